@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .basic import col, non_empty, strip, utc_wall_clock
+from .basic import col, let, non_empty, strip, utc_wall_clock
 
 # Outline types taken as feeds.
 FEED_TYPES = ("rss", "link", "")
@@ -60,24 +60,34 @@ def _to_long(part: Column) -> Column:
 
 def published_date(text: str | Column) -> Column:
     """UTC publish time from a feed date in mail style, ISO 8601 or common free text; NULL when none fits."""
-    raw = strip(text)
-    iso = F.rlike(raw, F.lit(r"^[0-9]{4}-[0-9]{2}"))
-    iso_zone = F.rlike(raw, F.lit(r"[0-9]([Zz]|[+-][0-9]{2}:?[0-9]{2})$")) & F.rlike(raw, F.lit(r"[0-9]{2}:[0-9]{2}"))
-    iso_text = F.regexp_replace(raw, r"([+-][0-9]{2})([0-9]{2})$", "$1:$2")
-    iso_time = F.when(iso_zone, utc_wall_clock(iso_text.try_cast("timestamp"))).otherwise(raw.try_cast("timestamp_ntz"))
-
-    mail = F.regexp_replace(raw, r"^[A-Za-z]{3,9},?\s+(?=[0-9])", "")
-    mail = F.regexp_replace(mail, r"\s+", " ")
-    for name, offset in ZONE_OFFSETS.items():
-        mail = F.regexp_replace(mail, rf"(?<=[0-9])\s?{name}$", f" {offset}")
-    mail = F.regexp_replace(mail, r"([+-][0-9]{2}):([0-9]{2})$", "$1$2")
-    zoned = F.rlike(mail, F.lit(r" [+-][0-9]{4}$"))
-    with_zone = F.coalesce(*[F.try_to_timestamp(mail, F.lit(p)) for p in ZONED_PATTERNS])
-    without_zone = F.coalesce(
-        *[F.try_to_timestamp(F.concat(mail, F.lit(" +0000")), F.lit(f"{p} Z")) for p in PLAIN_PATTERNS]
-    )
-    mail_time = utc_wall_clock(F.when(zoned, with_zone).otherwise(without_zone))
-    return F.date_trunc("second", F.when(iso, iso_time).otherwise(mail_time)).cast("timestamp_ntz")
+    return let(strip(text), lambda raw: F.when(F.rlike(raw, F.lit(r"^[0-9]{4}-[0-9]{2}")), _iso_time(raw)).otherwise(_mail_time(raw)))
+
+
+def _iso_time(raw: Column) -> Column:
+    whole = F.regexp_replace(raw, r"[.][0-9]+", "")
+    zoned = F.rlike(whole, F.lit(r"[0-9]{2}:[0-9]{2}.*([Zz]|[+-][0-9]{2}:?[0-9]{2})$"))
+    instant = F.regexp_replace(whole, r"([0-9][+-][0-9]{2})([0-9]{2})$", "$1:$2").try_cast("timestamp")
+    return F.when(zoned, utc_wall_clock(instant)).otherwise(whole.try_cast("timestamp_ntz"))
+
+
+def _mail_time(raw: Column) -> Column:
+    """A weekday in front is left out; the zone may be an offset, a known name, or missing (UTC)."""
+    day = F.regexp_replace(F.regexp_replace(raw, r"^(Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,?\s+", ""), r"\s+", " ")
+    offsets = F.create_map(*[F.lit(x) for pair in ZONE_OFFSETS.items() for x in pair])
+
+    def with_offset(text: Column) -> Column:
+        named = F.try_element_at(offsets, F.regexp_extract(text, "(?<=[0-9] ?)([A-Z]{1,3})$", 1))
+        return (
+            F.when(named.isNotNull(), F.concat(F.regexp_replace(text, " ?[A-Z]{1,3}$", " "), named))
+            .otherwise(F.regexp_replace(text, r" ?([+-][0-9]{2}):?([0-9]{2})$", " $1$2"))
+        )
+
+    def parse(text: Column) -> Column:
+        zoned = [F.try_to_timestamp(text, F.lit(p)) for p in ZONED_PATTERNS]
+        plain = [F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit(f"{p} Z")) for p in PLAIN_PATTERNS]
+        return F.when(F.rlike(text, F.lit(r" [+-][0-9]{4}$")), F.coalesce(*zoned)).otherwise(F.coalesce(*plain))
+
+    return utc_wall_clock(let(let(day, with_offset), parse))
 
 
 def feed_name(text: str | Column, title: str | Column) -> Column:

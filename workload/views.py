@@ -211,7 +211,7 @@ SQL_VIEWS = {
         CASE WHEN stage = 'transcribe' AND status <> 'error' THEN 'raw/' || id END AS raw_transcript_path,
         CASE WHEN stage = 'clean' AND status <> 'error' THEN 'clean/' || id END AS cleaned_transcript_path,
         CASE WHEN stage = 'summarize' AND status <> 'error' THEN 'summary/' || id END AS summary_path,
-        "timestamp" AS at, id AS seq FROM logs""",
+        "timestamp" AS "at", id AS seq FROM logs""",
     "transcripts": """SELECT doc_id AS id, doc_id AS episode_id, text AS raw_text, CASE WHEN lang = 'en' THEN text END AS cleaned_text,
         lang AS transcription_model, source AS cleaning_model, TIMESTAMP '2024-01-01' AS created_at,
         TIMESTAMP '2024-01-01' AS updated_at FROM documents""",
