@@ -1,6 +1,6 @@
 """The registered queries: feedlake operators over the given tables, each with the same result in SQL where SQL can say it."""
 
-from . import relational, texts, updates
+from . import pipelines, relational, texts, updates
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "relational", "texts", "updates"]
+__all__ = ["QUERIES", "SQL", "pipelines", "relational", "texts", "updates"]
