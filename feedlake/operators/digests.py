@@ -6,14 +6,14 @@ in that order and joined by line ends, are the document. ``sinks.documents`` wri
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import digest as fd
+from ..functions import summaries as fs
 from .aggregates import digest_heading
 from .ordering import with_position
+from .state import latest_summaries
 
 TITLE = "Your Weekly Podcast Digest"
 HTML_HEAD = '<!DOCTYPE html>\n<html>\n<head><meta charset="UTF-8"></head>\n<body>'
@@ -27,25 +27,39 @@ def positioned(base: DataFrame) -> DataFrame:
     return with_position(base, F.col("completed_at").desc(), "id", into="position", start=0)
 
 
-def with_summary(base: DataFrame, latest: DataFrame) -> DataFrame:
-    """Left join to the latest summary struct of each item, one job instead of one lookup per item."""
-    found = latest.select(F.col("episode_id").alias("id"), "summary")
-    return base.join(found, "id", "left")
+def with_summary(base: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Left join to the latest summary of each item, one job instead of one lookup per item.
+
+    The stored summaries are first cut down to the items of the digest, which are few beside the whole table.
+    """
+    wanted = summaries.join(base.select(F.col("id").alias("episode_id")), "episode_id", "left_semi")
+    latest = fs.stored(latest_summaries(wanted)).select(F.col("episode_id").alias("id"), "summary")
+    return base.join(latest, "id", "left")
 
 
 def _episode() -> Column:
     return F.struct("title", "feed_name", "published_date")
 
 
-def _fixed(heading: DataFrame, part: int, text: str | Column) -> DataFrame:
-    value = F.lit(text) if isinstance(text, str) else text
-    return heading.select(F.lit(part).alias("part"), F.lit(0).cast("bigint").alias("position"), value.alias("text"))
+def _rows(df: DataFrame, *parts: tuple[int, Column, Column, Column | None]) -> DataFrame:
+    """Rows ``(part, position, text)`` out of each row of ``df``, for the parts whose condition holds: one pass for all."""
+    made = []
+    for part, position, text, condition in parts:
+        row = F.struct(F.lit(part).alias("part"), position.cast("bigint").alias("position"), text.alias("text"))
+        made.append(row if condition is None else F.when(condition, row))
+    kept = F.filter(F.array(*made), lambda r: r.isNotNull())
+    return df.select(F.explode(kept).alias("r")).select("r.*")
+
 
+def _frame(base: DataFrame, *parts: tuple[int, Column | str, Column | None]) -> DataFrame:
+    """The parts that occur once."""
+    fixed = [(part, F.lit(0), F.lit(t) if isinstance(t, str) else t, condition) for part, t, condition in parts]
+    return _rows(digest_heading(base), *fixed)
 
-def html_digest(numbered: DataFrame, full: bool = False) -> DataFrame:
-    """``numbered``: items with ``position`` and ``summary``. Without items, the fixed empty page."""
-    heading = digest_heading(numbered)
-    some, none = heading.filter("n > 0"), heading.filter("n = 0")
+
+def html_digest(base: DataFrame, summaries: DataFrame, full: bool = False) -> DataFrame:
+    """``base``: items with ``position``. Without items, the fixed empty page."""
+    some, none = F.col("n") > 0, F.col("n") == 0
     intro = F.concat(
         F.lit(f'<div class="header"><h1>🎧 {TITLE}</h1>\n<p class="subtitle">'), "date_range",
         F.lit('</p>\n<p class="summary-count">'), "counted", F.lit("</p></div>"),
@@ -54,35 +68,27 @@ def html_digest(numbered: DataFrame, full: bool = False) -> DataFrame:
         f'<div class="header"><h1>🎧 {TITLE}</h1>\n<p class="subtitle">No episodes processed this week</p></div>\n'
         '<div class="episode"><p>No podcast episodes were processed in the last 7 days.</p></div>'
     )
-    contents = numbered.select(
-        F.lit(3).alias("part"), "position",
-        fd.contents_line(_episode(), F.col("position"), F.col("summary").isNotNull()).alias("text"),
+    frame = _frame(
+        base, (0, HTML_HEAD, None), (1, intro, some), (1, empty, none),
+        (2, "<div class=\"toc\"><h2>This Week's Episodes</h2>\n<ul>", some), (4, "</ul></div>", some), (6, HTML_FOOT, None),
     )
-    blocks = numbered.filter("summary IS NOT NULL").select(
-        F.lit(5).alias("part"), "position",
-        fd.html_block(_episode(), F.col("summary"), F.col("position"), full).alias("text"),
+    position, summary = F.col("position"), F.col("summary")
+    items = _rows(
+        with_summary(base, summaries),
+        (3, position, fd.contents_line(_episode(), position, summary.isNotNull()), None),
+        (5, position, fd.html_block(_episode(), summary, position, full), summary.isNotNull()),
     )
-    return reduce(DataFrame.unionByName, [
-        _fixed(heading, 0, HTML_HEAD),
-        _fixed(some, 1, intro),
-        _fixed(none, 1, empty),
-        _fixed(some, 2, "<div class=\"toc\"><h2>This Week's Episodes</h2>\n<ul>"),
-        contents,
-        _fixed(some, 4, "</ul></div>"),
-        blocks,
-        _fixed(heading, 6, HTML_FOOT),
-    ])
-
-
-def text_digest(numbered: DataFrame) -> DataFrame:
+    return frame.unionByName(items)
+
+
+def text_digest(base: DataFrame, summaries: DataFrame) -> DataFrame:
     """Plain-text form; the numbers start at 1 and count items without a summary."""
-    heading = digest_heading(numbered)
-    some, none = heading.filter("n > 0"), heading.filter("n = 0")
+    some, none = F.col("n") > 0, F.col("n") == 0
     intro = F.concat(F.lit(f"{TITLE.upper()}\n{'=' * 50}\n\n"), "counted", F.lit("\n"))
-    blocks = numbered.filter("summary IS NOT NULL").select(
-        F.lit(1).alias("part"), "position",
-        fd.text_block(_episode(), F.col("summary"), F.col("position") + 1).alias("text"),
+    frame = _frame(base, (0, intro, some), (0, EMPTY_TEXT, none), (2, TEXT_FOOT, some))
+    position, summary = F.col("position"), F.col("summary")
+    items = _rows(
+        with_summary(base, summaries).filter(summary.isNotNull()),
+        (1, position, fd.text_block(_episode(), summary, position + 1), None),
     )
-    return reduce(DataFrame.unionByName, [
-        _fixed(some, 0, intro), _fixed(none, 0, EMPTY_TEXT), blocks, _fixed(some, 2, TEXT_FOOT),
-    ])
+    return frame.unionByName(items)

@@ -41,16 +41,20 @@ def hash_id(*natural_key: str) -> Column:
     return F.xxhash64(*natural_key)
 
 
-def first_per_key(df: DataFrame, key: str, *order: str) -> DataFrame:
-    """First row of each key; rows without a key are all kept. ``order`` must be unique.
+def _own_key(key: str, order: tuple[str, ...]) -> Column:
+    """The key as text; a row without one gets its own from the order, so that such rows spread over all tasks."""
+    own = F.concat_ws(":", F.lit("n"), *[F.col(c).cast("string") for c in order])
+    return F.when(F.col(key).isNotNull(), F.concat(F.lit("k"), F.col(key).cast("string"))).otherwise(own)
 
-    Rows without a key get one of their own from the order, so that they spread over all tasks.
-    """
-    own = F.when(
-        F.col(key).isNotNull(), F.concat(F.lit("k"), F.col(key).cast("string"))
-    ).otherwise(F.concat_ws(":", F.lit("n"), *[F.col(c).cast("string") for c in order]))
+
+def _first_rows(df: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
     first = F.min_by(F.struct(*df.columns), F.struct(*order)).alias("row")
-    return df.groupBy(own.alias("_key")).agg(first).select("row.*")
+    return df.groupBy(_own_key(key, order).alias("_key")).agg(first).select("_key", "row.*")
+
+
+def first_per_key(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """First row of each key; rows without a key are all kept. ``order`` must be unique."""
+    return _first_rows(df, key, order).drop("_key")
 
 
 def latest_per_key(df: DataFrame, key: str, *order: str) -> DataFrame:
@@ -111,7 +115,7 @@ def upsert_feeds(feeds: DataFrame, outcomes: DataFrame, as_of: str | datetime) -
 def insert_items(
     episodes: DataFrame,
     items: DataFrame,
-    feeds: DataFrame,
+    feeds: DataFrame | None,
     as_of: str | datetime,
     order: tuple[str, ...] = ("feed_id", "pos"),
     ids: str = "sequence",
@@ -119,14 +123,16 @@ def insert_items(
     """Rows to add to ``episodes``: the first item of each guid that is not stored yet.
 
     ``items`` has the episode columns without id, plus the columns of ``order``, which must be unique. Rows that miss a required value
-    or whose feed is unknown are dropped. A NULL guid never collides. ``ids`` is ``sequence`` or ``hash``.
+    or whose feed is unknown are dropped; without ``feeds``, all feeds count as known. A NULL guid never collides. ``ids`` is
+    ``sequence`` or ``hash``. Repeats are dropped before the join, and both use one shuffle by guid.
     """
     complete = items
     for column in NOT_NULL["episodes"]:
         complete = complete.filter(F.col(column).isNotNull())
-    complete = complete.join(feeds.select(F.col("id").alias("feed_id")), "feed_id", "left_semi")
-    first = first_per_key(complete, "guid", *order)
-    fresh = first.join(episodes.select("guid"), "guid", "left_anti")
+    if feeds is not None:
+        complete = complete.join(feeds.select(F.col("id").alias("feed_id")), "feed_id", "left_semi")
+    stored = episodes.filter("guid IS NOT NULL").select(F.concat(F.lit("k"), "guid").alias("_key"))
+    fresh = _first_rows(complete, "guid", order).join(stored, "_key", "left_anti").drop("_key")
     numbered = (
         with_new_ids(fresh, last_id(episodes), *order)
         if ids == "sequence"
@@ -199,13 +205,14 @@ def save_transcripts(transcripts: DataFrame, saves: DataFrame) -> DataFrame:
     return both.select(*[merged.get(c, F.col(c)).alias(c) for c in transcripts.columns])
 
 
-def save_summaries(summaries: DataFrame, saved: DataFrame, as_of: str | datetime) -> DataFrame:
+def save_summaries(
+    summaries: DataFrame, saved: DataFrame, as_of: str | datetime, order: tuple[str, ...] = ("episode_id",)
+) -> DataFrame:
     """Rows to add for a batch ``(episode_id, …text columns, model_used)``: every save is a row of its own, so history is kept.
 
-    Read the table through ``latest_summaries``.
+    ``order`` must be unique in the batch. Read the table through ``latest_summaries``.
     """
-    ids = with_new_ids(saved.select("episode_id"), last_id(summaries), "episode_id")
-    rows = saved.join(ids, "episode_id").withColumn("created_at", utc(as_of))
+    rows = with_new_ids(saved, last_id(summaries), *order).withColumn("created_at", utc(as_of))
     return rows.select(*summaries.columns)
 
 

@@ -68,8 +68,8 @@ def sync_feeds(
         feeds = materialize(state.upsert_feeds(feeds, state.feed_outcomes(feeds, configured), as_of))
     items = incoming_items(fetched, feeds, as_of, max_age_days)
     order = ("feed_id", "payload_no", "pos") if "payload_no" in items.columns else ("feed_id", "pos")
-    # Four results read the inserted rows: parse the documents once.
-    inserted = materialize(state.insert_items(episodes, items, feeds, as_of, order))
+    # The numbering writes the new rows once, so the results below do not parse the documents again.
+    inserted = state.insert_items(episodes, items, None, as_of, order)
     return Sync(
         feeds=state.stamp_checked(feeds, joins.enabled_feeds(feeds), as_of),
         episodes=state.append(episodes, inserted),
@@ -100,9 +100,11 @@ def clean_texts(
     """
     spoken = texts.filter(F.length(strip("raw_text")) > 0).select("episode_id", "raw_text")
     chunks = ft.explode_chunks(spoken, "raw_text", chunk_size).drop("n_chunks")
-    prompts = chunks.withColumn("prompt", ft.prompt(template, "chunk"))
+    # The chunks of one long text leave its task, so that no task has more calls to make than another.
+    spread = (partitions, "episode_id", "chunk_no") if partitions else ("episode_id", "chunk_no")
+    prompts = chunks.repartition(*spread).withColumn("prompt", ft.prompt(template, "chunk"))
     # Written once: the calls are the dear part, and must not run again for a second use.
-    replies = materialize(apply_model(prompts, "prompt", make_model, partitions=partitions, **options))
+    replies = materialize(apply_model(prompts, "prompt", make_model, **options))
     piece = F.struct("chunk_no", ft.cleaned_or_chunk(strip("reply"), "chunk").alias("text"))
     # The chunks of one item come from one row, so they fit one again.
     merged = replies.groupBy("episode_id").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
@@ -220,10 +222,8 @@ def weekly_digest(
     days: int = 7, full: bool = False,
 ) -> Digest:
     """HTML and text digest of the items completed in the last ``days``."""
-    base = joins.digest_base(episodes, feeds, status, as_of, days)
-    latest = fs.stored(state.latest_summaries(summaries))
-    numbered = digests.with_summary(digests.positioned(base), latest)
-    return Digest(base=base, html=digests.html_digest(numbered, full), text=digests.text_digest(numbered))
+    base = digests.positioned(joins.digest_base(episodes, feeds, status, as_of, days))
+    return Digest(base=base, html=digests.html_digest(base, summaries, full), text=digests.text_digest(base, summaries))
 
 
 @dataclass

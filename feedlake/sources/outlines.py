@@ -14,12 +14,13 @@ from ..functions.basic import non_empty, strip
 
 _ROWS = "file STRING, pos INT, text STRING, title STRING, type STRING, url STRING, html_url STRING, description STRING, " \
         "category STRING, error STRING"
+_ROWS_PER_FRAME = 10_000
 # column -> attribute of an outline element
 _ATTRIBUTES = {"text": "text", "title": "title", "type": "type", "url": "xmlUrl", "html_url": "htmlUrl",
                "description": "description", "category": "category"}
 
 
-def _feed_elements(document: str) -> Iterator[ElementTree.Element]:
+def _feed_elements(document: bytes) -> Iterator[ElementTree.Element]:
     """Outlines with an address, in document order; what lies below such an outline is not visited."""
     body = ElementTree.fromstring(document).find("body")
     if body is None:
@@ -33,17 +34,25 @@ def _feed_elements(document: str) -> Iterator[ElementTree.Element]:
             waiting.extend(reversed(outline.findall("outline")))
 
 
+def _rows(file: str, document: bytes) -> list[dict]:
+    try:
+        found = [{c: e.get(a) for c, a in _ATTRIBUTES.items()} for e in _feed_elements(document)]
+    except (ElementTree.ParseError, ValueError) as e:
+        found = [{"error": f"{type(e).__name__}: {e}"}]
+    return [{"file": file, "pos": pos, **row} for pos, row in enumerate(found)]
+
+
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["file", "pos", *_ATTRIBUTES, "error"]
+    rows: list[dict] = []
     for batch in batches:
         for file, document in zip(batch["file"], batch["content"]):
-            try:
-                rows = [{c: e.get(a) for c, a in _ATTRIBUTES.items()} for e in _feed_elements(bytes(document))]
-                found = pd.DataFrame(rows, columns=list(_ATTRIBUTES)).assign(error=None)
-            except (ElementTree.ParseError, ValueError) as e:
-                found = pd.DataFrame([{"error": f"{type(e).__name__}: {e}"}], columns=[*_ATTRIBUTES, "error"])
-            found.insert(0, "pos", range(len(found)))
-            found.insert(0, "file", file)
-            yield found.astype(object).where(found.notna(), None)
+            rows += _rows(file, bytes(document))
+            if len(rows) >= _ROWS_PER_FRAME:
+                yield pd.DataFrame(rows, columns=columns, dtype=object)
+                rows = []
+    if rows:
+        yield pd.DataFrame(rows, columns=columns, dtype=object)
 
 
 def outline_rows(documents: DataFrame) -> DataFrame:

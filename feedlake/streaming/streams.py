@@ -56,7 +56,7 @@ def sync_stream(
     def take_up(batch: DataFrame, batch_id: int) -> None:
         known = stored_episodes(batch.sparkSession, path, batch_id).drop("batch_id")
         items = incoming_items(batch, feeds, as_of, max_age_days)
-        inserted = state.insert_items(known, items, feeds, as_of, ("feed_id", "payload_no", "pos"))
+        inserted = state.insert_items(known, items, None, as_of, ("feed_id", "payload_no", "pos"))
         inserted.write.mode("overwrite").parquet(_batch_path(path, batch_id))
 
     return run_batches(fetched, take_up, checkpoint)

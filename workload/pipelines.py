@@ -7,7 +7,6 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.functions import summaries as fs
 from feedlake.functions.basic import escape_attribute, escape_xml
 from feedlake.operators import digests, state
 from feedlake.plans import jobs
@@ -16,7 +15,7 @@ from feedlake.sinks import documents
 from feedlake.sinks import tables as table_sinks
 from feedlake.sources import outlines, payloads
 from feedlake.sources import tables as table_sources
-from feedlake.storage import fresh_dir, materialize
+from feedlake.storage import fresh_dir
 from feedlake.streaming import streams
 
 from .registry import query
@@ -270,14 +269,9 @@ def _html_sql(full: bool) -> str:
     UNION ALL SELECT 6, 0, '{digests.HTML_FOOT}'"""
 
 
-def numbered_digest(t: Tables) -> DataFrame:
-    latest = fs.stored(state.latest_summaries(t.summaries))
-    return digests.with_summary(digests.positioned(digest_base_of(t)), latest)
-
-
 @query("x13_html_digest", sql(_html_sql(True), "episodes", "feeds", "status_rows"))
 def html_digest(t):
-    return digests.html_digest(numbered_digest(t), full=True)
+    return digests.html_digest(digests.positioned(digest_base_of(t)), t.summaries, full=True)
 
 
 TEXT_DIGEST = NUMBERED + """
@@ -304,7 +298,7 @@ Generated by feedlake'"""
 
 @query("x14_text_digest", sql(TEXT_DIGEST, "episodes", "feeds", "status_rows"))
 def text_digest(t):
-    return digests.text_digest(numbered_digest(t))
+    return digests.text_digest(digests.positioned(digest_base_of(t)), t.summaries)
 
 
 def weekly(t: Tables) -> jobs.Digest:
@@ -324,7 +318,7 @@ def weekly_text(t):
 @query("k6_digest_document", sql(f"""SELECT unnest(string_split(text, chr(10))) AS line FROM ({TEXT_DIGEST})""", "episodes", "feeds", "status_rows"))
 def digest_document(t):
     folder = fresh_dir(t.spark, "digest")
-    documents.write_document(digests.text_digest(numbered_digest(t)), folder)
+    documents.write_document(text_digest(t), folder)
     return t.spark.read.text(folder).select(F.col("value").alias("line"))
 
 

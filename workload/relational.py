@@ -219,10 +219,7 @@ def now_enabled(t):
 @query("j7_digest_summaries", sql(f"""SELECT b.id, b.feed_name, d.source AS host_and_guest, d.text AS comprehensive_summary
     FROM ({DIGEST_BASE}) b LEFT JOIN documents d ON b.id = d.doc_id""", "episodes", "feeds", "status_rows"))
 def digest_summaries(t):
-    from feedlake.functions import summaries as fs
-
-    latest = fs.stored(state.latest_summaries(t.summaries))
-    joined = digests.with_summary(digest_base_of(t), latest)
+    joined = digests.with_summary(digest_base_of(t), t.summaries)
     return joined.select("id", "feed_name", "summary.host_and_guest", "summary.comprehensive_summary")
 
 
