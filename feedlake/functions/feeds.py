@@ -12,21 +12,21 @@ FEED_TYPES = ("rss", "link", "")
 # Conversion quality by name; any other name counts as 'good'.
 QUALITY_LEVELS = {"best": "0", "good": "2", "medium": "5"}
 DEFAULT_QUALITY = "2"
-# Offsets of the zone names allowed in mail-style dates.
+# Offsets of the zone names allowed in mail-style dates. Other names count as UTC.
 ZONE_OFFSETS = {
-    "GMT": "+0000", "UTC": "+0000", "UT": "+0000", "Z": "+0000",
-    "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500",
-    "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700",
+    "EST": "-05:00", "EDT": "-04:00", "CST": "-06:00", "CDT": "-05:00",
+    "MST": "-07:00", "MDT": "-06:00", "PST": "-08:00", "PDT": "-07:00",
 }
-# Date patterns that carry an offset, then patterns that do not (read as UTC).
-ZONED_PATTERNS = (
-    "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z", "d MMM yy HH:mm:ss Z", "d MMM yy HH:mm Z", "d MMMM yyyy HH:mm:ss Z",
-    "yyyy-MM-dd HH:mm:ss Z", "MMM d, yyyy HH:mm:ss Z", "MMMM d, yyyy HH:mm:ss Z",
-)
-PLAIN_PATTERNS = (
-    "d MMM yyyy HH:mm:ss", "d MMM yyyy HH:mm", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy",
-    "MMMM d, yyyy HH:mm:ss", "MMM d yyyy", "MMMM d yyyy", "MMM d HH:mm:ss yyyy", "yyyy/M/d", "yyyy/M/d HH:mm:ss",
-    "M/d/yyyy", "M/d/yyyy HH:mm:ss", "yyyyMMdd",
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+_CLOCK = r"(?:,? ([0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?))?(?: ?([A-Z]{1,5}|[+-][0-9]{2}:?[0-9]{2}))?$"
+# Shapes of written dates, and which group holds year, month, day, time and zone (0: none).
+_SHAPES = (
+    (r"^([0-9]{1,2})[ -]([A-Za-z]{3})[a-z]*[.]?,?[ -]([0-9]{4}|[0-9]{2})" + _CLOCK, (3, 2, 1, 4, 5)),
+    (r"^([A-Za-z]{3})[a-z]*[.]? ([0-9]{1,2}),? ([0-9]{4})" + _CLOCK, (3, 1, 2, 4, 5)),
+    (r"^([A-Za-z]{3}) ([0-9]{1,2}) ([0-9]{1,2}:[0-9]{2}:[0-9]{2}) ([0-9]{4})$", (4, 1, 2, 3, 0)),
+    (r"^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})" + _CLOCK, (1, 2, 3, 4, 5)),
+    (r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})" + _CLOCK, (3, 1, 2, 4, 5)),
+    (r"^([0-9]{4})([0-9]{2})([0-9]{2})$", (1, 2, 3, 0, 0)),
 )
 
 
@@ -41,15 +41,13 @@ def audio_url(enclosures: str | Column, links: str | Column) -> Column:
 
 def duration_seconds(text: str | Column) -> Column:
     """``S``, ``M:S`` or ``H:M:S`` to seconds, without a range check; NULL for anything else."""
-    parts = F.split(col(text), ":")
-    whole = F.forall(parts, lambda p: F.rlike(strip(p), F.lit(r"^[+-]?[0-9]+(_[0-9]+)*$")))
-    number = F.transform(parts, _to_long)
-    seconds = (
-        F.when(F.size(parts) == 1, F.get(number, F.lit(0)))
-        .when(F.size(parts) == 2, F.get(number, F.lit(0)) * 60 + F.get(number, F.lit(1)))
-        .when(F.size(parts) == 3, F.get(number, F.lit(0)) * 3600 + F.get(number, F.lit(1)) * 60 + F.get(number, F.lit(2)))
-    )
-    return F.when(whole, seconds).try_cast("int")
+
+    def seconds(parts: Column) -> Column:
+        whole = F.forall(parts, lambda p: F.rlike(strip(p), F.lit(r"^[+-]?[0-9]+(_[0-9]+)*$")))
+        total = F.aggregate(F.transform(parts, _to_long), F.lit(0).cast("bigint"), lambda sum_, n: sum_ * 60 + n)
+        return F.when(whole & (F.size(parts) <= 3), total).try_cast("int")
+
+    return let(F.split(col(text), ":"), seconds)
 
 
 def _to_long(part: Column) -> Column:
@@ -59,35 +57,46 @@ def _to_long(part: Column) -> Column:
 
 
 def published_date(text: str | Column) -> Column:
-    """UTC publish time from a feed date in mail style, ISO 8601 or common free text; NULL when none fits."""
-    return let(strip(text), lambda raw: F.when(F.rlike(raw, F.lit(r"^[0-9]{4}-[0-9]{2}")), _iso_time(raw)).otherwise(_mail_time(raw)))
+    """UTC publish time from a feed date in mail style, ISO 8601 or common free text; NULL when none fits.
+
+    Written dates are put into ISO form by their shape and then cast, which costs far less than trying one pattern after another.
+    """
+    return let(strip(text), lambda raw: F.when(F.rlike(raw, F.lit(r"^[0-9]{4}-[0-9]{2}")), _iso_time(raw)).otherwise(_written_time(raw)))
 
 
 def _iso_time(raw: Column) -> Column:
-    whole = F.regexp_replace(raw, r"[.][0-9]+", "")
+    whole = F.regexp_replace(F.regexp_replace(raw, r"[.][0-9]+", ""), r"([T ][0-9]{2}:[0-9]{2})(?=$|[Zz+-])", "$1:00")
     zoned = F.rlike(whole, F.lit(r"[0-9]{2}:[0-9]{2}.*([Zz]|[+-][0-9]{2}:?[0-9]{2})$"))
     instant = F.regexp_replace(whole, r"([0-9][+-][0-9]{2})([0-9]{2})$", "$1:$2").try_cast("timestamp")
     return F.when(zoned, utc_wall_clock(instant)).otherwise(whole.try_cast("timestamp_ntz"))
 
 
-def _mail_time(raw: Column) -> Column:
-    """A weekday in front is left out; the zone may be an offset, a known name, or missing (UTC)."""
-    day = F.regexp_replace(F.regexp_replace(raw, r"^(Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,?\s+", ""), r"\s+", " ")
-    offsets = F.create_map(*[F.lit(x) for pair in ZONE_OFFSETS.items() for x in pair])
-
-    def with_offset(text: Column) -> Column:
-        named = F.try_element_at(offsets, F.regexp_extract(text, "(?<=[0-9] ?)([A-Z]{1,3})$", 1))
-        return (
-            F.when(named.isNotNull(), F.concat(F.regexp_replace(text, " ?[A-Z]{1,3}$", " "), named))
-            .otherwise(F.regexp_replace(text, r" ?([+-][0-9]{2}):?([0-9]{2})$", " $1$2"))
-        )
-
-    def parse(text: Column) -> Column:
-        zoned = [F.try_to_timestamp(text, F.lit(p)) for p in ZONED_PATTERNS]
-        plain = [F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit(f"{p} Z")) for p in PLAIN_PATTERNS]
-        return F.when(F.rlike(text, F.lit(r" [+-][0-9]{4}$")), F.coalesce(*zoned)).otherwise(F.coalesce(*plain))
-
-    return utc_wall_clock(let(let(day, with_offset), parse))
+def _written_time(raw: Column) -> Column:
+    """A weekday in front is left out; the zone may be an offset, a name, or missing."""
+    plain = F.regexp_replace(F.regexp_replace(raw, r"^(Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,?\s+", ""), r"\s+", " ")
+    months = F.create_map(*[F.lit(x) for i, name in enumerate(MONTHS, 1) for x in (name, f"{i:02d}")])
+    zones = F.create_map(*[F.lit(x) for pair in ZONE_OFFSETS.items() for x in pair])
+
+    def iso(text: Column) -> Column:
+        def part(shape: str, group: int) -> Column:
+            return F.regexp_extract(text, shape, group) if group else F.lit("")
+
+        found = F
+        for shape, (year, month, day, time, zone) in _SHAPES:
+            y, m, z = part(shape, year), part(shape, month), part(shape, zone)
+            year4 = F.when(F.length(y) == 2, F.concat(F.when(y < "90", F.lit("20")).otherwise(F.lit("19")), y)).otherwise(y)
+            number = F.coalesce(F.try_element_at(months, F.lower(m)), m)
+            offset = F.regexp_replace(z, "^([+-][0-9]{2}):?([0-9]{2})$", "$1:$2")
+            offset = F.when(F.rlike(z, F.lit("^[+-]")), offset).otherwise(F.coalesce(F.try_element_at(zones, z), F.lit("+00:00")))
+            t = part(shape, time)
+            clock = F.when(t == "", F.lit("00:00:00")).when(F.length(t) < 6, F.concat(t, F.lit(":00"))).otherwise(t)
+            found = found.when(
+                F.rlike(text, F.lit(shape)),
+                F.concat(year4, F.lit("-"), number, F.lit("-"), part(shape, day), F.lit("T"), clock, offset),
+            )
+        return found
+
+    return utc_wall_clock(let(plain, iso).try_cast("timestamp"))
 
 
 def feed_name(text: str | Column, title: str | Column) -> Column:

@@ -6,26 +6,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import SUMMARY, SUMMARY_ARRAYS
-from .basic import col, non_empty, strip
+from .basic import col, let, non_empty, strip
 from .text import sentences
 
 
 def unfence(reply: str | Column) -> Column:
     """Trim a model reply and drop the first and last line of a fenced block of more than two lines."""
-    text = strip(reply)
-    lines = F.split(text, "\n")
-    inner = F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 2, F.lit(0))), "\n")
-    return F.when(F.startswith(text, F.lit("```")) & (F.size(lines) > 2), inner).otherwise(text)
+
+    def inner(text: Column) -> Column:
+        lines = F.split(text, "\n")
+        body = let(lines, lambda a: F.when(F.size(a) > 2, F.array_join(F.slice(a, F.lit(2), F.greatest(F.size(a) - 2, F.lit(0))), "\n")))
+        return F.when(F.startswith(text, F.lit("```")), F.coalesce(body, text)).otherwise(text)
+
+    return let(strip(reply), inner)
 
 
 def decode(reply: str | Column) -> Column:
-    """Model reply to summary struct; NULL when it is not a JSON object."""
-    summary = F.from_json(unfence(reply), SUMMARY, {"mode": "PERMISSIVE"})
-    fields = [summary[name].isNotNull() for name in ("host_and_guest", "comprehensive_summary", *SUMMARY_ARRAYS)]
-    found = fields[0]
-    for other in fields[1:]:
-        found = found | other
-    return F.when(found, summary)
+    """Model reply to summary struct; NULL when it is not a JSON object with any of the fields."""
+
+    def known(summary: Column) -> Column:
+        fields = [summary[name] for name in ("host_and_guest", "comprehensive_summary", *SUMMARY_ARRAYS)]
+        present = [f.isNotNull() for f in fields]
+        return F.when(F.exists(F.array(*present), lambda p: p), summary)
+
+    return let(F.from_json(unfence(reply), SUMMARY), known)
 
 
 def decode_array(name: str, text: str | Column) -> Column:
@@ -103,70 +107,71 @@ def markdown(summary: str | Column) -> Column:
     ))
 
 
-def with_rule_summary(
-    df: DataFrame,
-    text: str,
+def frequent_words(text: str | Column, n: int, shortest: int = 4) -> Column:
+    """The ``n`` most frequent words as ``(less, word)``: the count negated, so that struct order is by falling count, then word.
+
+    The counts are the lengths of the runs in the sorted array of words: no shuffle, and sorting is the dearest step.
+    """
+    words = F.filter(F.split(F.lower(col(text)), r"[^\p{L}]+"), lambda w: F.length(w) >= shortest)
+
+    def counted(ordered: Column) -> Column:
+        begins = F.filter(
+            F.transform(ordered, lambda w, i: F.when((i == 0) | (w != F.get(ordered, i - 1)), i)), lambda i: i.isNotNull()
+        )
+
+        def lengths(runs: Column) -> Column:
+            return F.transform(runs, lambda at, j: F.struct(
+                (at - F.coalesce(F.get(runs, j + 1), F.size(ordered))).alias("less"), F.get(ordered, at).alias("word")))
+
+        return let(begins, lengths)
+
+    return F.slice(F.sort_array(let(F.sort_array(words), counted)), 1, n)
+
+
+def rule_summary(
+    text: str | Column,
     companies: list[tuple[str, str]] = (),
-    into: str = "summary",
     n_overview: int = 3,
     n_topics: int = 5,
     n_quotes: int = 3,
     n_observations: int = 3,
-) -> DataFrame:
+) -> Column:
     """Fill the summary struct by rules: the stand-in for a hosted model, with the same output.
 
-    Overview: first sentences. Topics: most frequent words of at least four letters (ties by word). Quotes: longest sentences (ties by
-    position). Observations: first sentences with a digit. Companies: names of the given list found as words. Blank text has no
-    summary. Every row is worked out on its own, so there is no shuffle: the word counts come from run lengths in the sorted
-    array of words.
+    Overview: first sentences. Topics: most frequent words of at least four letters. Quotes: longest sentences, the earlier first.
+    Observations: first sentences with a digit. Companies: names of the given ``(name, industry)`` list found as words. Blank text
+    has no summary. Every text is worked out on its own, so there is no shuffle.
     """
-    step = df.withColumn("_said", F.filter(F.transform(sentences(text), strip), lambda s: F.length(s) > 0))
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= 4)
-    step = step.withColumn("_words", F.array_sort(words))
-    step = step.withColumn(
-        "_runs",
-        F.expr(
-            "filter(transform(_words, (w, i) -> if(i > 0 and w = get(_words, i - 1), null, i)), i -> i is not null)"
-        ),
-    )
-    # Ordered by falling count, then word: struct order does both once the count is negated.
-    step = step.withColumn(
-        "_counts",
-        F.expr(
-            "transform(_runs, (at, j) -> struct(at - coalesce(get(_runs, j + 1), size(_words)) as less,"
-            " get(_words, at) as word))"
-        ),
-    )
-    topics = F.transform(
-        F.slice(F.array_sort("_counts"), 1, n_topics),
-        lambda c: F.struct(
-            c["word"].alias("topic"),
-            F.concat(F.lit("Mentioned "), (-c["less"]).cast("string"), F.lit(" times")).alias("description"),
-        ),
-    )
-    longest = F.slice(
-        F.array_sort(F.transform("_said", lambda s, i: F.struct((-F.length(s)).alias("less"), i.alias("at"), s.alias("said")))),
-        1, n_quotes,
-    )
-    quotes = F.transform(longest, lambda q: F.struct(
-        q["said"].alias("quote"), F.lit("Unknown").alias("speaker"),
-        F.concat(F.lit("Sentence "), (q["at"] + 1).cast("string")).alias("context")))
-    observations = F.slice(F.filter("_said", lambda s: F.rlike(s, F.lit("[0-9]"))), 1, n_observations)
-    listed = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(i).alias("industry")) for n, i in companies])
-    found = F.filter(listed, lambda c: F.array_contains(F.col("_words"), F.lower(c["name"]))) if companies else F.array()
-    mentions = F.transform(found, lambda c: F.struct(
-        c["name"].alias("name"), c["industry"].alias("industry"), F.lit("Named in the transcript").alias("context"),
-        F.lit("").alias("details"))) if companies else F.array()
-    summary = F.struct(
-        F.lit("Unknown").alias("host_and_guest"),
-        F.array_join(F.slice("_said", 1, n_overview), ". ").alias("comprehensive_summary"),
-        topics.cast(SUMMARY_ARRAYS["key_topics"]).alias("key_topics"),
-        quotes.cast(SUMMARY_ARRAYS["actionable_quotes"]).alias("actionable_quotes"),
-        F.array().cast(SUMMARY_ARRAYS["investment_theses"]).alias("investment_theses"),
-        observations.alias("noteworthy_observations"),
-        mentions.cast(SUMMARY_ARRAYS["company_mentions"]).alias("company_mentions"),
-    )
-    return (
-        step.withColumn(into, F.when(F.size("_said") > 0, summary))
-        .drop("_said", "_words", "_runs", "_counts")
-    )
+    topics = F.transform(frequent_words(text, n_topics), lambda c: F.struct(
+        c["word"].alias("topic"),
+        F.concat(F.lit("Mentioned "), (-c["less"]).cast("string"), F.lit(" times")).alias("description")))
+
+    def mentions() -> Column:
+        if not companies:
+            return F.array()
+        listed = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(i).alias("industry")) for n, i in companies])
+        names = [n.lower() for n, _ in companies]
+        # Only the listed words are kept, so that each name is looked up in a short array.
+        words = F.filter(F.split(F.lower(col(text)), r"[^\p{L}]+"), lambda w: w.isin(*names))
+        return let(F.array_distinct(words), lambda said: F.transform(
+            F.filter(listed, lambda c: F.array_contains(said, F.lower(c["name"]))), lambda c: F.struct(
+                c["name"].alias("name"), c["industry"].alias("industry"), F.lit("Named in the transcript").alias("context"),
+                F.lit("").alias("details"))))
+
+    def filled(said: Column) -> Column:
+        by_length = F.sort_array(F.transform(said, lambda s, i: F.struct((-F.length(s)).alias("less"), i.alias("at"))))
+        quotes = F.transform(F.slice(by_length, 1, n_quotes), lambda q: F.struct(
+            F.get(said, q["at"]).alias("quote"), F.lit("Unknown").alias("speaker"),
+            F.concat(F.lit("Sentence "), (q["at"] + 1).cast("string")).alias("context")))
+        observations = F.slice(F.filter(said, lambda s: F.rlike(s, F.lit("[0-9]"))), 1, n_observations)
+        fields = {
+            "key_topics": topics, "actionable_quotes": quotes, "investment_theses": F.array(),
+            "noteworthy_observations": observations, "company_mentions": mentions(),
+        }
+        return F.when(F.size(said) > 0, F.struct(
+            F.lit("Unknown").alias("host_and_guest"),
+            F.array_join(F.slice(said, 1, n_overview), ". ").alias("comprehensive_summary"),
+            *[value.cast(SUMMARY_ARRAYS[name]).alias(name) for name, value in fields.items()],
+        ))
+
+    return let(F.filter(F.transform(sentences(text), strip), lambda s: F.length(s) > 0), filled)

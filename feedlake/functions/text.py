@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import SEGMENTS, TRANSCRIPT, WORDS
-from .basic import col, non_empty, strip
+from .basic import col, let, non_empty, strip
 
 # Fillers that can be dropped without looking at the context.
 FILLERS = ("um+", "uh+", "ah+", "you know")
@@ -26,8 +26,6 @@ def time_coded_line(start: str | Column, text: str | Column) -> Column:
 
 def recognised(reply: str | Column, with_words: bool = False) -> Column:
     """Decode a recogniser's JSON reply and trim its texts; NULL when it is not JSON."""
-    result = F.from_json(col(reply), TRANSCRIPT)
-
     def segment(s: Column) -> Column:
         words = s["words"] if with_words else F.lit(None).cast(WORDS)
         return F.struct(
@@ -35,13 +33,12 @@ def recognised(reply: str | Column, with_words: bool = False) -> Column:
             words.alias("words"),
         )
 
-    segments = F.coalesce(F.transform(result["segments"], segment), F.array().cast(SEGMENTS))
-    return F.when(
-        result["text"].isNotNull(),
-        F.struct(
-            strip(result["text"]).alias("text"), result["language"].alias("language"), segments.alias("segments")
-        ),
-    )
+    def normal(result: Column) -> Column:
+        segments = F.coalesce(F.transform(result["segments"], segment), F.array().cast(SEGMENTS))
+        fields = F.struct(strip(result["text"]).alias("text"), result["language"].alias("language"), segments.alias("segments"))
+        return F.when(result["text"].isNotNull(), fields)
+
+    return let(F.from_json(col(reply), TRANSCRIPT), normal)
 
 
 def transcript_text(transcript: str | Column, time_codes: bool = True) -> Column:
@@ -58,43 +55,49 @@ def sentences(text: str | Column) -> Column:
     return F.split(F.replace(col(text), F.lit("\n"), F.lit(" ")), r"\. ")
 
 
-def with_chunks(df: DataFrame, text: str, chunk_size: int = CHUNK_SIZE, into: str = "chunks") -> DataFrame:
-    """Add the array of chunks of ``text``: whole sentences, filled greedily up to ``chunk_size`` characters.
+def _chunk_starts(said: Column, chunk_size: int) -> Column:
+    """Index of the first sentence of each chunk. The fold keeps only these, so its state stays small."""
+    begin = F.struct(
+        F.lit(0).alias("at"), F.lit(0).alias("size"), F.array(F.lit(0)).cast("array<int>").alias("starts")
+    )
+
+    def step(acc: Column, n: Column) -> Column:
+        full = (acc["at"] > 0) & (acc["size"] + n > chunk_size)
+        return F.struct(
+            (acc["at"] + 1).alias("at"),
+            F.when(full, n).otherwise(acc["size"] + n).alias("size"),
+            F.when(full, F.array_append(acc["starts"], acc["at"])).otherwise(acc["starts"]).alias("starts"),
+        )
+
+    return F.aggregate(F.transform(said, F.length), begin, step, lambda acc: acc["starts"])
+
+
+def chunks(text: str | Column, chunk_size: int = CHUNK_SIZE) -> Column:
+    """Array of chunks: whole sentences, filled greedily up to ``chunk_size`` characters.
 
     Separators are not counted, a sentence above the size stays whole, closed chunks end with a full stop, and a text within the
-    size is one unchanged chunk. The fold keeps only the chunk starts, so its state stays small and the work is linear in the
-    text.
+    size is one unchanged chunk. The work is linear in the text.
     """
-    start = "named_struct('at', 0, 'size', 0, 'starts', cast(array(0) as array<int>))"
-    step = (
-        f"(acc, n) -> if(acc.at > 0 and acc.size + n > {int(chunk_size)}, "
-        "named_struct('at', acc.at + 1, 'size', n, 'starts', array_append(acc.starts, acc.at)), "
-        "named_struct('at', acc.at + 1, 'size', acc.size + n, 'starts', acc.starts))"
-    )
-    # The columns are used more than once, so Spark computes each of them once per row.
-    split = df.withColumn("_sentences", F.when(F.length(text) > chunk_size, sentences(text)))
-    folded = split.withColumn(
-        "_starts",
-        F.expr(f"aggregate(transform(_sentences, s -> length(s)), {start}, {step}).starts"),
-    )
 
-    def chunk(at: Column, i: Column) -> Column:
-        following = F.get(F.col("_starts"), i + 1)
-        size = F.coalesce(following, F.size("_sentences")) - at
-        joined = F.array_join(F.slice("_sentences", at + 1, size), ". ")
-        return F.when(following.isNotNull(), F.concat(joined, F.lit("."))).otherwise(joined)
+    def joined(said: Column) -> Column:
+        def pick(starts: Column) -> Column:
+            def chunk(at: Column, i: Column) -> Column:
+                following = F.get(starts, i + 1)
+                body = F.array_join(F.slice(said, at + 1, F.coalesce(following, F.size(said)) - at), ". ")
+                return F.concat(body, F.when(following.isNotNull(), F.lit(".")).otherwise(F.lit("")))
 
-    chunks = F.when(F.col("_starts").isNotNull(), F.transform("_starts", chunk)).otherwise(F.array(F.col(text)))
-    return folded.withColumn(into, chunks).drop("_sentences", "_starts")
+            return F.transform(starts, chunk)
+
+        return let(_chunk_starts(said, chunk_size), pick)
+
+    return F.when(F.length(col(text)) > chunk_size, let(sentences(text), joined)).otherwise(F.array(col(text)))
 
 
 def explode_chunks(df: DataFrame, text: str, chunk_size: int = CHUNK_SIZE) -> DataFrame:
-    """One row per chunk: the other columns, ``chunk_no`` from 0, ``n_chunks`` and ``chunk``."""
+    """One row per chunk: the other columns, ``chunk_no`` from 0, and ``chunk``."""
     kept = [c for c in df.columns if c != text]
-    return (
-        with_chunks(df, text, chunk_size, "_chunks")
-        .select(*kept, F.size("_chunks").alias("n_chunks"), F.posexplode("_chunks").alias("chunk_no", "chunk"))
-    )
+    # Every text has a chunk, so the outer form gives the same rows; the inner form would add a filter that chunks a second time.
+    return df.select(*kept, F.posexplode_outer(chunks(text, chunk_size)).alias("chunk_no", "chunk"))
 
 
 def cleaned_or_chunk(cleaned: str | Column, chunk: str | Column) -> Column:

@@ -65,7 +65,7 @@ def time_coded_parts(segments: DataFrame, lines_per_part: int = 1000) -> DataFra
     """
     line = F.struct("id", time_coded_line("start", "text").alias("line"))
     parts = segments.groupBy("episode_id", F.floor(F.col("id") / lines_per_part).alias("part_no")).agg(
-        F.array_sort(F.collect_list(line)).alias("lines")
+        F.sort_array(F.collect_list(line)).alias("lines")
     )
     return parts.select("episode_id", "part_no", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"))
 

@@ -47,8 +47,8 @@ def _rows(df: DataFrame, *parts: tuple[int, Column, Column, Column | None]) -> D
     for part, position, text, condition in parts:
         row = F.struct(F.lit(part).alias("part"), position.cast("bigint").alias("position"), text.alias("text"))
         made.append(row if condition is None else F.when(condition, row))
-    kept = F.filter(F.array(*made), lambda r: r.isNotNull())
-    return df.select(F.explode(kept).alias("r")).select("r.*")
+    # The outer form adds no filter below, which would render every text twice.
+    return df.select(F.explode_outer(F.array(*made)).alias("r")).filter("r IS NOT NULL").select("r.*")
 
 
 def _frame(base: DataFrame, *parts: tuple[int, Column | str, Column | None]) -> DataFrame:

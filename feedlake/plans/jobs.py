@@ -99,7 +99,7 @@ def clean_texts(
     A chunk whose call fails keeps its own text. Blank texts have no row.
     """
     spoken = texts.filter(F.length(strip("raw_text")) > 0).select("episode_id", "raw_text")
-    chunks = ft.explode_chunks(spoken, "raw_text", chunk_size).drop("n_chunks")
+    chunks = ft.explode_chunks(spoken, "raw_text", chunk_size)
     # The chunks of one long text leave its task, so that no task has more calls to make than another.
     spread = (partitions, "episode_id", "chunk_no") if partitions else ("episode_id", "chunk_no")
     prompts = chunks.repartition(*spread).withColumn("prompt", ft.prompt(template, "chunk"))
@@ -107,7 +107,7 @@ def clean_texts(
     replies = materialize(apply_model(prompts, "prompt", make_model, **options))
     piece = F.struct("chunk_no", ft.cleaned_or_chunk(strip("reply"), "chunk").alias("text"))
     # The chunks of one item come from one row, so they fit one again.
-    merged = replies.groupBy("episode_id").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+    merged = replies.groupBy("episode_id").agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
     return merged.select("episode_id", F.array_join(F.transform("pieces", lambda p: p["text"]), "\n\n").alias("cleaned_text"))
 
 

@@ -56,7 +56,8 @@ def _targets(links: Column) -> Column:
 def raw_items(documents: DataFrame) -> DataFrame:
     """One row per item, ``pos`` from 0, with the fields that item rules read."""
     carried = [c for c in documents.columns if c != "document"]
-    exploded = documents.select(*carried, F.posexplode(_items(F.col("document"))).alias("pos", "i"))
+    # The outer form with a filter above it: the inner form would parse every document a second time to find those with items.
+    exploded = documents.select(*carried, F.posexplode_outer(_items(F.col("document"))).alias("pos", "i")).filter("i IS NOT NULL")
     i = F.col("i")
     none = F.array().cast("ARRAY<STRUCT<type: STRING, href: STRING>>")
     attached = F.transform(i["enclosure"], lambda e: F.struct(e["_type"].alias("type"), e["_url"].alias("href")))

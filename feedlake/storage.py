@@ -33,3 +33,12 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and cut its lineage; survives the loss of executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal the rows out over all cores when the input has fewer splits than there are cores, as a single small file has.
+
+    For steps that work long on each row. Input with more splits, so any large table, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -151,7 +151,7 @@ def fetched(t: Tables) -> DataFrame:
         F.lit('.mp3"/></entry></feed>'),
     )
     xml = F.when(F.col("lang") == "fr", atom).when(F.col("lang") == "es", F.substring(rss, 1, 200)).otherwise(rss)
-    return t.given("documents").select(
+    return t.documents.select(
         F.col("doc_id").alias("payload_no"), F.concat(F.lit("https://feeds.example.com/"), key).alias("url"), xml.alias("xml"))
 
 
@@ -346,7 +346,7 @@ class Analyst:
 
 
 def processed(t: Tables) -> jobs.Processing:
-    docs = t.given("documents")
+    docs = t.documents
     queue = docs.select(F.col("doc_id").alias("id"))
     media = docs.filter("lang <> 'de'").select(F.col("doc_id").alias("episode_id"), F.concat(F.lit("audio/"), F.col("doc_id").cast("string")).alias("audio_path"))
     nothing = t.spark.createDataFrame([], TABLES["transcripts"]), t.spark.createDataFrame([], TABLES["summaries"])

@@ -102,7 +102,7 @@ def replies(t: Tables) -> DataFrame:
     segments = F.when(F.col("lang") != "fr", segments)
     body = F.struct(F.concat(F.lit("\n "), "text", F.lit(" ")).alias("text"), F.col("lang").alias("language"), segments.alias("segments"))
     reply = F.when(F.col("lang") == "es", F.lit("not json")).otherwise(F.to_json(body))
-    return t.given("documents").select(F.col("doc_id").alias("episode_id"), reply.alias("reply"))
+    return t.documents.select(F.col("doc_id").alias("episode_id"), reply.alias("reply"))
 
 
 SPLIT = "string_split(replace(text, chr(10), ' '), '. ')"
@@ -136,16 +136,16 @@ CHUNKS = f"""WITH RECURSIVE said AS (SELECT doc_id, unnest({SPLIT}) AS s, genera
         FROM placed p JOIN said n ON n.doc_id = p.doc_id AND n.i = p.i + 1),
     joined AS (SELECT doc_id, chunk_no, string_agg(s, '. ' ORDER BY i) AS chunk,
         max(chunk_no) OVER (PARTITION BY doc_id) + 1 AS n_chunks FROM placed GROUP BY doc_id, chunk_no),
-    chunks AS (SELECT doc_id AS episode_id, CAST(n_chunks AS BIGINT) AS n_chunks, CAST(chunk_no AS BIGINT) AS chunk_no,
+    chunks AS (SELECT doc_id AS episode_id, CAST(chunk_no AS BIGINT) AS chunk_no,
         CASE WHEN chunk_no + 1 < n_chunks THEN chunk || '.' ELSE chunk END AS chunk FROM joined
-        UNION ALL SELECT doc_id, 1, 0, text FROM documents WHERE length(text) <= {CHUNK})
+        UNION ALL SELECT doc_id, 0, text FROM documents WHERE length(text) <= {CHUNK})
     """
 
 
 def chunks_of(t: Tables) -> DataFrame:
-    texts = t.given("documents").select(F.col("doc_id").alias("episode_id"), "text")
+    texts = t.documents.select(F.col("doc_id").alias("episode_id"), "text")
     rows = ft.explode_chunks(texts, "text", CHUNK)
-    return rows.withColumn("n_chunks", F.col("n_chunks").cast("bigint")).withColumn("chunk_no", F.col("chunk_no").cast("bigint"))
+    return rows.withColumn("chunk_no", F.col("chunk_no").cast("bigint"))
 
 
 @query("x12_chunks", CHUNKS + "SELECT * FROM chunks")
@@ -168,7 +168,7 @@ class Shout:
 @query("m1_apply_model", """SELECT doc_id AS episode_id, CASE WHEN NOT contains(text, '|') THEN '> ' || replace(replace(text, 'e', 'E'), 'a', 'A') END
     AS reply, CASE WHEN contains(text, '|') THEN 'ValueError: a table' END AS error FROM documents""")
 def model(t):
-    texts = t.given("documents").select(F.col("doc_id").alias("episode_id"), "text")
+    texts = t.documents.select(F.col("doc_id").alias("episode_id"), "text")
     return apply_model(texts, "text", Shout, mark="> ")
 
 
@@ -184,7 +184,7 @@ SPOKEN = "replace(replace(text, ' the ', ' um, the  uhh you know, '), ' of ', '
 @query("m3_drop_fillers", f"""SELECT doc_id AS episode_id, trim(regexp_replace(regexp_replace({SPOKEN},
     '(?i)\\b(um+|uh+|ah+|you know)\\b,?\\s*', '', 'g'), ' {{2,}}', ' ', 'g'), ' ' || chr(9) || chr(10)) AS text FROM documents WHERE lang = 'en'""")
 def fillers(t):
-    english = t.given("documents").filter("lang = 'en'")
+    english = t.documents.filter("lang = 'en'")
     return english.select(F.col("doc_id").alias("episode_id"), ft.drop_fillers(F.expr(SPOKEN)).alias("text"))
 
 
@@ -205,16 +205,18 @@ COMPANIES = [("The", "article"), ("Tion", "suffix"), ("Nicht", "word"), ("Leréa
         string_agg(s || ' [Sentence ' || n || ']', chr(10) ORDER BY by_length) FILTER (WHERE by_length <= 3) AS quotes,
         coalesce(string_agg(s, chr(10) ORDER BY n) FILTER (WHERE by_digit <= 3), '') AS observations,
         coalesce(max(topics), '') AS topics,
-        concat_ws(', ', {", ".join(f"CASE WHEN max(CASE WHEN EXISTS (SELECT 1 FROM counts c WHERE c.doc_id = n.doc_id AND c.w = lower('{n}')) THEN 1 ELSE 0 END) = 1 THEN '{n} ({i})' END" for n, i in COMPANIES)}) AS companies
+        concat_ws(', ', {", ".join(f"CASE WHEN max(CASE WHEN (n.doc_id, lower('{n}')) IN (SELECT doc_id, w FROM words) THEN 1 ELSE 0 END) = 1 THEN '{n} ({i})' END" for n, i in COMPANIES)}) AS companies
     FROM numbered n LEFT JOIN topics USING (doc_id) GROUP BY n.doc_id""")
 def rule_summary(t):
-    made = fs.with_rule_summary(t.given("documents").select(F.col("doc_id").alias("episode_id"), "text"), "text", COMPANIES)
+    # Blank texts have no summary; asking the text is cheaper than asking the summary, which would be made twice.
+    spoken = t.documents.filter(F.length(strip("text")) > 0)
+    made = spoken.select(F.col("doc_id").alias("episode_id"), fs.rule_summary("text", COMPANIES).alias("summary"))
     s = F.col("summary")
 
     def lines(array, render, between="\n"):
         return F.array_join(F.transform(array, render), between)
 
-    return made.filter("summary IS NOT NULL").select(
+    return made.select(
         "episode_id", s["comprehensive_summary"].alias("overview"),
         lines(s["actionable_quotes"], lambda q: F.concat(q["quote"], F.lit(" ["), q["context"], F.lit("]"))).alias("quotes"),
         F.array_join(s["noteworthy_observations"], "\n").alias("observations"),
@@ -227,7 +229,7 @@ def rule_summary(t):
         ELSE '> ' || replace(replace('Clean: ' || chunk, 'e', 'E'), 'a', 'A') END, chr(10) || chr(10) ORDER BY chunk_no) AS cleaned_text
     FROM chunks GROUP BY episode_id""")
 def merged_chunks(t):
-    texts = t.given("documents").select(F.col("doc_id").alias("episode_id"), F.col("text").alias("raw_text"))
+    texts = t.documents.select(F.col("doc_id").alias("episode_id"), F.col("text").alias("raw_text"))
     return clean_texts(texts, Shout, template="Clean: {transcript}", chunk_size=CHUNK, mark="> ")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from feedlake.functions import summaries as fs
 from feedlake.schemas import SUMMARY
+from feedlake.storage import spread
 
 AS_OF = "2001-08-01 00:00:00"
 DAYS = 200
@@ -25,6 +26,11 @@ class Tables:
     def given(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @property
+    def documents(self) -> DataFrame:
+        """Documents for steps that work long on each text."""
+        return spread(self.given("documents"), "doc_id")
+
     def stream(self, name: str) -> DataFrame:
         # The bracket makes the path a pattern, which the file stream needs when the table is a single file.
         return self.spark.readStream.schema(self.given(name).schema).parquet(f"{self.folder}/{name[:-1]}[{name[-1]}].parquet")
@@ -130,7 +136,7 @@ class Tables:
           'noteworthy_observations', array(concat('seen in ', source), concat('said in ', lang)),
           'company_mentions', transform(sequence(1, 6), k -> named_struct('name', concat('Firm ', k), 'industry',
               if(lang = 'fr', null, lang), 'context', source, 'details', if(lang = 'es', 'listed', null))))"""
-        return self.given("documents").select(F.col("doc_id").alias("episode_id"), F.expr(f"cast({fields} AS {SUMMARY})").alias("summary"))
+        return self.documents.select(F.col("doc_id").alias("episode_id"), F.expr(f"cast({fields} AS {SUMMARY})").alias("summary"))
 
     @property
     def summaries(self) -> DataFrame:
