@@ -19,14 +19,14 @@ ZONE_OFFSETS = {
 }
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 _CLOCK = r"(?:,? ([0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?))?(?: ?([A-Z]{1,5}|[+-][0-9]{2}:?[0-9]{2}))?$"
-# Shapes of written dates, and which group holds year, month, day, time and zone (0: none).
+# Shapes of written dates, and their year, month, day, time and zone.
 _SHAPES = (
-    (r"^([0-9]{1,2})[ -]([A-Za-z]{3})[a-z]*[.]?,?[ -]([0-9]{4}|[0-9]{2})" + _CLOCK, (3, 2, 1, 4, 5)),
-    (r"^([A-Za-z]{3})[a-z]*[.]? ([0-9]{1,2}),? ([0-9]{4})" + _CLOCK, (3, 1, 2, 4, 5)),
-    (r"^([A-Za-z]{3}) ([0-9]{1,2}) ([0-9]{1,2}:[0-9]{2}:[0-9]{2}) ([0-9]{4})$", (4, 1, 2, 3, 0)),
-    (r"^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})" + _CLOCK, (1, 2, 3, 4, 5)),
-    (r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})" + _CLOCK, (3, 1, 2, 4, 5)),
-    (r"^([0-9]{4})([0-9]{2})([0-9]{2})$", (1, 2, 3, 0, 0)),
+    (r"^([0-9]{1,2})[ -]([A-Za-z]{3})[a-z]*[.]?,?[ -]([0-9]{4}|[0-9]{2})" + _CLOCK, "$3|$2|$1|$4|$5"),
+    (r"^([A-Za-z]{3})[a-z]*[.]? ([0-9]{1,2}),? ([0-9]{4})" + _CLOCK, "$3|$1|$2|$4|$5"),
+    (r"^([A-Za-z]{3}) ([0-9]{1,2}) ([0-9]{1,2}:[0-9]{2}:[0-9]{2}) ([0-9]{4})$", "$4|$1|$2|$3|"),
+    (r"^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})" + _CLOCK, "$1|$2|$3|$4|$5"),
+    (r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})" + _CLOCK, "$3|$1|$2|$4|$5"),
+    (r"^([0-9]{4})([0-9]{2})([0-9]{2})$", "$1|$2|$3||"),
 )
 
 
@@ -77,26 +77,23 @@ def _written_time(raw: Column) -> Column:
     months = F.create_map(*[F.lit(x) for i, name in enumerate(MONTHS, 1) for x in (name, f"{i:02d}")])
     zones = F.create_map(*[F.lit(x) for pair in ZONE_OFFSETS.items() for x in pair])
 
-    def iso(text: Column) -> Column:
-        def part(shape: str, group: int) -> Column:
-            return F.regexp_extract(text, shape, group) if group else F.lit("")
-
+    def parts(text: Column) -> Column:
         found = F
-        for shape, (year, month, day, time, zone) in _SHAPES:
-            y, m, z = part(shape, year), part(shape, month), part(shape, zone)
-            year4 = F.when(F.length(y) == 2, F.concat(F.when(y < "90", F.lit("20")).otherwise(F.lit("19")), y)).otherwise(y)
-            number = F.coalesce(F.try_element_at(months, F.lower(m)), m)
-            offset = F.regexp_replace(z, "^([+-][0-9]{2}):?([0-9]{2})$", "$1:$2")
-            offset = F.when(F.rlike(z, F.lit("^[+-]")), offset).otherwise(F.coalesce(F.try_element_at(zones, z), F.lit("+00:00")))
-            t = part(shape, time)
-            clock = F.when(t == "", F.lit("00:00:00")).when(F.length(t) < 6, F.concat(t, F.lit(":00"))).otherwise(t)
-            found = found.when(
-                F.rlike(text, F.lit(shape)),
-                F.concat(year4, F.lit("-"), number, F.lit("-"), part(shape, day), F.lit("T"), clock, offset),
-            )
+        for shape, order in _SHAPES:
+            found = found.when(F.rlike(text, F.lit(shape)), F.split(F.regexp_replace(text, shape, order), "[|]"))
         return found
 
-    return utc_wall_clock(let(plain, iso).try_cast("timestamp"))
+    def iso(p: Column) -> Column:
+        year, month, day, time, zone = (F.get(p, F.lit(i)) for i in range(5))
+        century = F.when(F.length(year) > 2, F.lit("")).when(year < "90", F.lit("20")).otherwise(F.lit("19"))
+        number = F.coalesce(F.try_element_at(months, F.lower(month)), month)
+        clock = F.concat(time, F.when(time == "", F.lit("00:00:00")).when(F.length(time) < 6, F.lit(":00")).otherwise(F.lit("")))
+        offset = F.regexp_replace(zone, "^([+-][0-9]{2}):?([0-9]{2})$", "$1:$2")
+        offset = F.when(F.startswith(offset, F.lit("+")) | F.startswith(offset, F.lit("-")), offset)
+        offset = F.coalesce(offset, F.try_element_at(zones, zone), F.lit("+00:00"))
+        return F.concat(century, year, F.lit("-"), number, F.lit("-"), day, F.lit("T"), clock, offset)
+
+    return utc_wall_clock(let(let(plain, parts), iso).try_cast("timestamp"))
 
 
 def feed_name(text: str | Column, title: str | Column) -> Column:

@@ -48,5 +48,8 @@ def violations(tables: dict[str, DataFrame]) -> DataFrame:
         if name in FOREIGN_KEYS:
             column, parent, parent_key = FOREIGN_KEYS[name]
             if parent in tables:
-                report(orphans(df, column, tables[parent], parent_key), name, f"{column} is in {parent}")
+                # Counted per key first: the join sees each key once, however many rows a key has.
+                counts = df.groupBy(column).agg(F.count("*").alias("n"))
+                lost = orphans(counts, column, tables[parent], parent_key).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("violations"))
+                reports.append(lost.select(F.lit(name).alias("table_name"), F.lit(f"{column} is in {parent}").alias("rule"), "violations"))
     return reduce(DataFrame.unionByName, reports)

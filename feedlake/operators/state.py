@@ -41,6 +41,15 @@ def hash_id(*natural_key: str) -> Column:
     return F.xxhash64(*natural_key)
 
 
+def stored_matches(stored: DataFrame, batch: DataFrame, key: str, limit: int = 200_000) -> DataFrame:
+    """The stored rows that a small batch can meet; the whole table for a batch with more than ``limit`` distinct keys.
+
+    The keys of a counted small batch are broadcast, so a big table is filtered where it is read instead of being shuffled.
+    """
+    keys = batch.select(key).distinct()
+    return stored.join(F.broadcast(keys), key, "left_semi").select(*stored.columns) if keys.count() <= limit else stored
+
+
 def _own_key(key: str, order: tuple[str, ...]) -> Column:
     """The key as text; a row without one gets its own from the order, so that such rows spread over all tasks."""
     own = F.concat_ws(":", F.lit("n"), *[F.col(c).cast("string") for c in order])

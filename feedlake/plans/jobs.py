@@ -59,6 +59,7 @@ def sync_feeds(
     as_of: str | datetime,
     max_age_days: int | None = None,
     configured: DataFrame | None = None,
+    ids: str = "sequence",
 ) -> Sync:
     """Take up the new items of all enabled feeds in one job.
 
@@ -68,8 +69,10 @@ def sync_feeds(
         feeds = materialize(state.upsert_feeds(feeds, state.feed_outcomes(feeds, configured), as_of))
     items = incoming_items(fetched, feeds, as_of, max_age_days)
     order = ("feed_id", "payload_no", "pos") if "payload_no" in items.columns else ("feed_id", "pos")
-    # The numbering writes the new rows once, so the results below do not parse the documents again.
-    inserted = state.insert_items(episodes, items, None, as_of, order)
+    # Written once, by the numbering or here, so that the results below do not parse the documents again.
+    inserted = state.insert_items(episodes, items, None, as_of, order, ids)
+    if ids == "hash":
+        inserted = materialize(inserted)
     return Sync(
         feeds=state.stamp_checked(feeds, joins.enabled_feeds(feeds), as_of),
         episodes=state.append(episodes, inserted),

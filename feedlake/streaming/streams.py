@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import state
 from ..plans.jobs import incoming_items
 from ..schemas import COMPLETED, TABLES
+from ..storage import materialize
 
 
 def _batch_path(path: str, batch_id: int) -> str:
@@ -46,17 +47,21 @@ def stored_episodes(spark: SparkSession, path: str, before: int | None = None) -
 
 
 def sync_stream(
-    fetched: DataFrame, feeds: DataFrame, path: str, checkpoint: str, as_of: str | datetime, max_age_days: int | None = None
+    fetched: DataFrame, feeds: DataFrame, path: str, checkpoint: str, as_of: str | datetime, max_age_days: int | None = None,
+    ids: str = "hash",
 ) -> StreamingQuery:
     """Take up new items from a stream of payloads ``(payload_no, url, xml)``.
 
-    Every batch is compared with the whole stored table, so a guid is never forgotten. ``as_of`` fixes the age rule of the run.
+    Every batch is compared with the whole stored table, so a guid is never forgotten. ``as_of`` fixes the age rule of the run. Ids are
+    hashes by default: consecutive ones need the largest stored id in every batch.
     """
+    order = ("feed_id", "payload_no", "pos")
 
     def take_up(batch: DataFrame, batch_id: int) -> None:
-        known = stored_episodes(batch.sparkSession, path, batch_id).drop("batch_id")
-        items = incoming_items(batch, feeds, as_of, max_age_days)
-        inserted = state.insert_items(known, items, None, as_of, ("feed_id", "payload_no", "pos"))
+        stored = stored_episodes(batch.sparkSession, path, batch_id).drop("batch_id")
+        items = materialize(incoming_items(batch, feeds, as_of, max_age_days))
+        known = state.stored_matches(stored, items, "guid") if ids == "hash" else stored
+        inserted = state.insert_items(known, items, None, as_of, order, ids)
         inserted.write.mode("overwrite").parquet(_batch_path(path, batch_id))
 
     return run_batches(fetched, take_up, checkpoint)

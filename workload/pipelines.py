@@ -424,14 +424,14 @@ def log_stream(t):
     return t.spark.read.parquet(f"{out}/rows").drop("batch_id")
 
 
-@query("st1_sync_stream", sql(SYNCED.replace("(SELECT max(id) FROM known) + ", "")
-                              .replace(" AND guid NOT IN (SELECT guid FROM known)", ""), "feeds"))
+@query("st1_sync_stream", sql(f"SELECT feed_id, title, guid, published_date FROM ({SYNCED.replace(' AND guid NOT IN (SELECT guid FROM known)', '')})",
+                              "feeds", "known"))
 def sync_stream(t):
     folder, out = fresh_dir(t.spark, "fetched"), fresh_dir(t.spark, "sync")
     fetched(t).write.parquet(folder)
     arriving = t.spark.readStream.schema("payload_no BIGINT, url STRING, xml STRING").parquet(folder)
     streams.sync_stream(arriving, t.feeds, f"{out}/episodes", f"{out}/checkpoint", SYNC_AS_OF, SYNC_AGE).awaitTermination()
-    return streams.stored_episodes(t.spark, f"{out}/episodes").select("id", "feed_id", "title", "guid", "published_date")
+    return streams.stored_episodes(t.spark, f"{out}/episodes").select("feed_id", "title", "guid", "published_date")
 
 
 @query("st2_without_repeats", "SELECT DISTINCT md5(text) AS guid FROM documents")
