@@ -10,7 +10,10 @@ OTHER_ENDINGS = (".mp3", ".m4a", ".webm", ".opus")
 
 
 def read_transcript_files(spark: SparkSession, path: str, kind: str = "raw") -> DataFrame:
-    """Whole files ``{id}_{kind}.txt`` as rows ``(episode_id, kind, text)``; other names are left out."""
+    """Whole files ``{id}_{kind}.txt`` as rows ``(episode_id, kind, text)``.
+
+    Other names are left out, and so are empty files, which Spark does not list.
+    """
     name = F.regexp_extract(F.col("_metadata.file_name"), rf"^([0-9]+)_{kind}\.txt$", 1)
     texts = spark.read.text(path, wholetext=True, pathGlobFilter=f"*_{kind}.txt")
     return texts.select(name.try_cast("bigint").alias("episode_id"), F.lit(kind).alias("kind"), F.col("value").alias("text")) \
