@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from ..functions.basic import non_empty, utc
 from ..schemas import COMPLETED, NOT_NULL, PENDING, TABLES
-from ..storage import materialize
 from .ordering import with_position
 
 STATUS_PATHS = ("audio_path", "raw_transcript_path", "cleaned_transcript_path", "summary_path")
@@ -87,7 +86,7 @@ def feed_outcomes(feeds: DataFrame, batch: DataFrame) -> DataFrame:
     """What a batch ``(pos, name, url, enabled)`` does, one row per address.
 
     The last row of an address names the feed, the first one sets its place among the new ids. Rows without an address are counted
-    under NULL. Written once, because the new table and the counts both need it.
+    under NULL. The numbering puts the new addresses first and writes all rows once, for the new table and the counts to read.
     """
     named = batch.select("pos", F.coalesce("name", F.lit("")).alias("name"), non_empty("url").alias("url"), "enabled")
     per_url = named.groupBy("url").agg(
@@ -97,12 +96,11 @@ def feed_outcomes(feeds: DataFrame, batch: DataFrame) -> DataFrame:
         F.count("*").alias("n_rows"),
     )
     known = feeds.select("url", F.col("id").alias("known_id"))
-    marked = materialize(
-        per_url.join(known, "url", "left").withColumn("is_added", F.col("url").isNotNull() & F.col("known_id").isNull())
-    )
-    new_ids = with_new_ids(marked.filter("is_added").select("url", "first_pos"), last_id(feeds), "first_pos", into="new_id")
-    return marked.join(new_ids.select("url", "new_id"), "url", "left").select(
-        "url", F.coalesce("known_id", "new_id").alias("id"), "name", "enabled", "first_pos", "n_rows", "is_added"
+    marked = per_url.join(known, "url", "left").withColumn("is_added", F.col("url").isNotNull() & F.col("known_id").isNull())
+    numbered = with_position(marked, F.col("is_added").desc(), "first_pos", into="new_id", start=last_id(feeds) + 1)
+    return numbered.select(
+        "url", F.when(F.col("is_added"), F.col("new_id")).otherwise(F.col("known_id")).alias("id"), "name", "enabled", "first_pos",
+        "n_rows", "is_added",
     )
 
 

@@ -142,19 +142,17 @@ def process_items(
                                    F.when(F.length("audio_path") > 0, non_empty("raw_text")).alias("raw_text")))
     cleaned = clean_texts(work, clean_model, chunk_size=chunk_size, partitions=partitions)
     texts = work.join(cleaned, "episode_id", "left").withColumn("cleaned_text", ft.cleaned_or_raw("cleaned_text", "raw_text"))
-    texts = materialize(texts)
-    spoken = texts.filter(F.length(strip("cleaned_text")) > 0)
-    prompts = spoken.select("episode_id", ft.prompt(SUMMARY_TEMPLATE, "cleaned_text").alias("prompt"))
-    replies = apply_model(prompts, "prompt", summary_model, error="summary_error", partitions=partitions)
-    decoded = materialize(replies.select("episode_id", fs.decode("reply").alias("summary")))
-
-    written = documents.summary_rows(decoded, output_format)
+    spoken = F.when(F.length(strip("cleaned_text")) > 0, ft.prompt(SUMMARY_TEMPLATE, "cleaned_text"))
+    # The texts go past the model in the same rows, which is cheaper than joining its replies back to them.
+    replies = apply_model(texts.withColumn("prompt", spoken), "prompt", summary_model, partitions=partitions)
     failed_at = (
         F.when(F.col("audio_path").isNull(), 0).when(F.col("raw_text").isNull(), 1)
         .when(F.col("summary").isNull(), 3).otherwise(4)
     )
-    results = texts.join(decoded, "episode_id", "left").join(written.select("episode_id", "summary_path"), "episode_id", "left")
-    results = materialize(results.withColumn("failed_at", failed_at))
+    decoded = replies.withColumn("summary", fs.decode("reply")).drop("reply", "error")
+    results = materialize(
+        decoded.withColumn("failed_at", failed_at).withColumn("summary_path", documents.summary_paths(output_format)["summary_path"])
+    )
 
     saves = results.filter("failed_at > 1").select(
         "episode_id", "raw_text", "cleaned_text", F.lit(models[0]).alias("transcription_model"),
@@ -166,7 +164,7 @@ def process_items(
         results=results,
         transcripts=state.save_transcripts(transcripts, saves),
         summaries=state.append(summaries, state.save_summaries(summaries, saved, as_of)),
-        documents=written,
+        documents=documents.summary_rows(done.select("episode_id", "summary"), output_format),
         status=state.update_status(status, _status_updates(results, as_of)),
         logs=_log_rows(results, as_of),
         outcomes=agg.outcome_counts(results.select(F.when(F.col("failed_at") == 4, "success").otherwise("failed").alias("outcome"))),
@@ -240,7 +238,7 @@ def import_outlines(feeds: DataFrame, documents_: DataFrame, as_of: str | dateti
     """Add the feeds of outline documents ``(file, content)`` to the feeds table."""
     found = materialize(outlines.valid_feeds(outlines.feeds_of(outlines.outline_rows(documents_))))
     batch = found.select(F.struct("file", "pos").alias("pos"), "name", "url", F.lit(enabled).alias("enabled"))
-    outcomes = materialize(state.feed_outcomes(feeds, batch))
+    outcomes = state.feed_outcomes(feeds, batch)
     new_feeds = state.upsert_feeds(feeds, outcomes, as_of)
     return Import(
         feeds=new_feeds, counts=agg.import_counts(outcomes),

@@ -62,22 +62,27 @@ def transcript_rows(transcripts: DataFrame) -> DataFrame:
     return both.filter("text IS NOT NULL").select("episode_id", "kind", name.alias("file_name"), "text")
 
 
+def summary_paths(output_format: str = "both", folder: str = "summaries") -> dict[str, Column]:
+    """Paths of an item's JSON and Markdown files, NULL for a form that is not wanted, and the path the status table keeps."""
+    base = F.concat(F.lit(f"{folder}/"), F.col("episode_id").cast("string"), F.lit("_summary"))
+    none = F.lit(None).cast("string")
+    json_path = F.concat(base, F.lit(".json")) if output_format in ("json", "both") else none
+    markdown_path = F.concat(base, F.lit(".md")) if output_format in ("markdown", "both") else none
+    return {"json_path": json_path, "markdown_path": markdown_path, "summary_path": F.coalesce(markdown_path, json_path)}
+
+
 def summary_rows(summaries: DataFrame, output_format: str = "both", folder: str = "summaries") -> DataFrame:
-    """JSON and Markdown documents of ``(episode_id, summary)`` with their paths and the path the status table keeps.
+    """JSON and Markdown documents of ``(episode_id, summary)`` with their paths.
 
     ``output_format`` is ``json``, ``markdown`` or ``both``; a form that is not wanted is NULL.
     """
-    wants_json, wants_markdown = output_format in ("json", "both"), output_format in ("markdown", "both")
-    base = F.concat(F.lit(f"{folder}/"), F.col("episode_id").cast("string"), F.lit("_summary"))
     none = F.lit(None).cast("string")
-    rows = summaries.filter("summary IS NOT NULL").select(
+    return summaries.filter("summary IS NOT NULL").select(
         "episode_id",
-        (F.concat(base, F.lit(".json")) if wants_json else none).alias("json_path"),
-        (fs.document("summary") if wants_json else none).alias("json_text"),
-        (F.concat(base, F.lit(".md")) if wants_markdown else none).alias("markdown_path"),
-        (fs.markdown("summary") if wants_markdown else none).alias("markdown_text"),
+        *[path.alias(name) for name, path in summary_paths(output_format, folder).items()],
+        (fs.document("summary") if output_format in ("json", "both") else none).alias("json_text"),
+        (fs.markdown("summary") if output_format in ("markdown", "both") else none).alias("markdown_text"),
     )
-    return rows.withColumn("summary_path", F.coalesce("markdown_path", "json_path"))
 
 
 def write_texts(rows: DataFrame, key: list[str], text: str, path: str) -> None:

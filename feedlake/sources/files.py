@@ -20,6 +20,15 @@ def read_transcript_files(spark: SparkSession, path: str, kind: str = "raw") ->
         .filter("episode_id IS NOT NULL")
 
 
+def read_item_texts(spark: SparkSession, path: str) -> DataFrame:
+    """Whole texts ``(episode_id, kind, text)`` from the folders that ``sinks.documents.write_texts`` makes.
+
+    The line end that the sink puts behind each text is taken off again.
+    """
+    texts = spark.read.schema("value STRING, kind STRING, episode_id BIGINT").text(path, wholetext=True)
+    return texts.select("episode_id", "kind", F.regexp_replace("value", r"\n\z", "").alias("text"))
+
+
 def media_inventory(spark: SparkSession, path: str) -> DataFrame:
     """Path, size and time of the media files. The content is never read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

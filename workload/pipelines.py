@@ -13,9 +13,9 @@ from feedlake.plans import jobs
 from feedlake.schemas import TABLES
 from feedlake.sinks import documents
 from feedlake.sinks import tables as table_sinks
-from feedlake.sources import outlines, payloads
+from feedlake.sources import files, outlines, payloads
 from feedlake.sources import tables as table_sources
-from feedlake.storage import fresh_dir
+from feedlake.storage import fresh_dir, spread
 from feedlake.streaming import streams
 
 from .registry import query
@@ -402,6 +402,28 @@ def process_outcomes(t):
     return processed(t).outcomes
 
 
+# --- files --------------------------------------------------------------------------------------------------------------------
+
+
+def item_files(t: Tables) -> str:
+    """The raw transcripts as text files, one per item."""
+    folder = fresh_dir(t.spark, "texts")
+    rows = spread(documents.transcript_rows(t.transcripts).filter("kind = 'raw'"), "episode_id")
+    documents.write_texts(rows, ["kind", "episode_id"], "text", folder)
+    return folder
+
+
+@query("s4_transcript_files", "SELECT doc_id AS episode_id, 'raw' AS kind, text FROM documents")
+def transcript_files(t):
+    return files.read_item_texts(t.spark, item_files(t))
+
+
+@query("s5_file_inventory", "SELECT doc_id AS episode_id, CAST(strlen(text) + 1 AS BIGINT) AS size FROM documents")
+def file_inventory(t):
+    found = files.media_inventory(t.spark, item_files(t)).filter(F.endswith("file_name", F.lit(".txt")))
+    return found.select(F.regexp_extract("path", "episode_id=([0-9]+)/", 1).cast("bigint").alias("episode_id"), F.col("length").alias("size"))
+
+
 # --- logs and streams ---------------------------------------------------------------------------------------------------------
 
 LOG_ROWS = sql('SELECT id, episode_id, stage, status, message, "timestamp" FROM logs', "logs")
