@@ -67,13 +67,19 @@ def sync_stream(
     return run_batches(fetched, take_up, checkpoint)
 
 
-def without_repeats(items: DataFrame, time: str = "published_date", key: str = "guid", delay: str = "30 days") -> DataFrame:
+def without_repeats(
+    items: DataFrame, time: str = "published_date", key: str = "guid", delay: str = "30 days", salts: int = 16
+) -> DataFrame:
     """Drop repeats of a key within the delay, and rows later than it, with bounded state. Rows without a time do not belong here.
 
-    The limit follows the newest time seen, not the clock; for an exact age rule use ``sync_stream``.
+    A key with very many copies is first thinned out in ``salts`` groups at a time, so that one task meets at most that many copies of it;
+    0 leaves this step out. The limit follows the newest time seen, not the clock; for an exact age rule use ``sync_stream``.
     """
-    timed = items.withColumn("_time", F.col(time).cast("timestamp"))
-    return timed.withWatermark("_time", delay).dropDuplicatesWithinWatermark([key]).drop("_time")
+    timed = items.withColumn("_time", F.col(time).cast("timestamp")).withWatermark("_time", delay)
+    if salts:
+        salted = timed.withColumn("_salt", F.floor(F.rand(seed=7) * salts))
+        timed = salted.dropDuplicatesWithinWatermark([key, "_salt"]).drop("_salt")
+    return timed.dropDuplicatesWithinWatermark([key]).drop("_time")
 
 
 def live_status(logs: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from feedlake.schemas import TABLES
@@ -69,15 +70,16 @@ def test_live_status_over_batches(spark, tmp_path):
     assert now == {1: ("clean", "started", day[3]), 2: ("download", "started", day[0])}
 
 
-def test_repeats_and_late_rows(spark, tmp_path):
+@pytest.mark.parametrize("salts", [0, 4])
+def test_repeats_and_late_rows(spark, tmp_path, salts):
     folder, out = str(tmp_path / "in"), str(tmp_path / "out")
     schema = "guid string, published_date timestamp_ntz"
-    for rows in ([("a", datetime(2024, 3, 1)), ("a", datetime(2024, 3, 2)), ("b", datetime(2024, 3, 20))],
+    for rows in ([("a", datetime(2024, 3, 1))] * 50 + [("a", datetime(2024, 3, 2)), ("b", datetime(2024, 3, 20))],
                  [("a", datetime(2024, 3, 3)), ("c", datetime(2024, 3, 21))],
                  [("late", datetime(2024, 1, 1)), ("b", datetime(2024, 3, 22))]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    streams.write_batches(streams.without_repeats(stream), out, str(tmp_path / "c")).awaitTermination()
+    streams.write_batches(streams.without_repeats(stream, salts=salts), out, str(tmp_path / "c")).awaitTermination()
     assert sorted(r.guid for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
 
 
