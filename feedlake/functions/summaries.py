@@ -9,6 +9,23 @@ from ..schemas import SUMMARY, SUMMARY_ARRAYS
 from .basic import col, let, non_empty, strip
 from .text import sentences
 
+# Headings, labels and defaults of a Markdown summary.
+MARKDOWN_TITLE = "# Podcast Summary"
+MARKDOWN_HEADINGS = {
+    "host_and_guest": "## Host and Guest",
+    "comprehensive_summary": "## Comprehensive Summary",
+    "key_topics": "## Key Topics and Themes",
+    "actionable_quotes": "## Actionable Quotes",
+    "investment_theses": "## Investment Theses",
+    "noteworthy_observations": "## Noteworthy Observations",
+    "company_mentions": "## Company Mentions",
+}
+MARKDOWN_LABELS = {
+    "quote": "### Quote ", "context_of_quote": "*Context: ", "thesis": "### Thesis ", "reasoning": "**Reasoning:** ",
+    "risks": "**Risks/Caveats:** ", "industry": "**Industry:** ", "context": "**Context:** ", "details": "**Details:** ",
+}
+MISSING_TEXT, MISSING_TOPIC, MISSING_SPEAKER, MISSING_COMPANY = "N/A", "Unknown Topic", "Unknown", "Unknown Company"
+
 
 def unfence(reply: str | Column) -> Column:
     """Trim a model reply and drop the first and last line of a fenced block of more than two lines."""
@@ -66,45 +83,47 @@ def document(summary: str | Column) -> Column:
 
 
 def markdown(summary: str | Column) -> Column:
-    """Seven headed sections; every entry is followed by an empty line."""
+    """Headed sections with one entry per block; blocks are separated by an empty line."""
     s = col(summary)
+    labels = {name: F.lit(label) for name, label in MARKDOWN_LABELS.items()}
 
     def text(c: Column, default: str = "") -> Column:
         return F.coalesce(c, F.lit(default))
 
-    def section(array: str, render) -> Column:
-        blocks = F.transform(s[array], render)
-        return F.when(F.size(s[array]) > 0, F.concat(F.lit("\n"), F.array_join(blocks, "\n")))
+    def block(*pieces: str | Column) -> Column:
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in pieces], F.lit("\n"))
 
-    def optional(label: str, c: Column) -> Column:
-        return F.when(F.length(c) > 0, F.concat(F.lit(f"\n**{label}:** "), c, F.lit("\n"))).otherwise(F.lit(""))
+    def labelled(label: str, c: Column) -> Column:
+        """A block that is left out with its label when the text is empty."""
+        return F.when(F.length(c) > 0, F.concat(F.lit("\n"), block(labels[label], c))).otherwise(F.lit(""))
 
-    def numbered(i: Column) -> Column:
+    def number(i: Column) -> Column:
         return (i + 1).cast("string")
 
-    topics = section("key_topics", lambda t: F.concat(
-        F.lit("### "), text(t["topic"], "Unknown Topic"), F.lit("\n\n"), text(t["description"]), F.lit("\n")))
-    quotes = section("actionable_quotes", lambda q, i: F.concat(
-        F.lit("### Quote "), numbered(i), F.lit('\n\n> "'), text(q["quote"]), F.lit('"\n\n**— '),
-        text(q["speaker"], "Unknown"), F.lit("**\n\n*Context: "), text(q["context"]), F.lit("*\n")))
-    theses = section("investment_theses", lambda t, i: F.concat(
-        F.lit("### Thesis "), numbered(i), F.lit(": "), text(t["thesis"], "N/A"), F.lit("\n\n**Reasoning:** "),
-        text(t["reasoning"]), F.lit("\n"), optional("Risks/Caveats", t["risks"])))
-    observations = section("noteworthy_observations", lambda o: F.concat(F.lit("- "), text(o), F.lit("\n")))
-    companies = section("company_mentions", lambda c: F.concat(
-        F.lit("### "), text(c["name"], "Unknown Company"), F.lit("\n\n**Industry:** "), text(c["industry"], "N/A"),
-        F.lit("\n\n**Context:** "), text(c["context"]), F.lit("\n"), optional("Details", c["details"])))
-
-    none = F.lit("")
-    return F.when(s.isNotNull(), F.concat(
-        F.lit("# Podcast Summary\n\n## Host and Guest\n\n"), text(s["host_and_guest"], "N/A"),
-        F.lit("\n\n## Comprehensive Summary\n\n"), text(s["comprehensive_summary"], "N/A"),
-        F.lit("\n\n## Key Topics and Themes\n"), F.coalesce(topics, none),
-        F.lit("\n## Actionable Quotes\n"), F.coalesce(quotes, none),
-        F.lit("\n## Investment Theses\n"), F.coalesce(theses, none),
-        F.lit("\n## Noteworthy Observations\n"), F.coalesce(observations, none),
-        F.lit("\n## Company Mentions\n"), F.coalesce(companies, none),
-    ))
+    entries = {
+        "key_topics": lambda t: F.concat(block("### ", text(t["topic"], MISSING_TOPIC)), F.lit("\n"), block(text(t["description"]))),
+        "actionable_quotes": lambda q, i: F.concat(
+            block(labels["quote"], number(i)), F.lit("\n"), block('> "', text(q["quote"]), '"'), F.lit("\n"),
+            block("**— ", text(q["speaker"], MISSING_SPEAKER), "**"), F.lit("\n"),
+            block(labels["context_of_quote"], text(q["context"]), "*")),
+        "investment_theses": lambda t, i: F.concat(
+            block(labels["thesis"], number(i), ": ", text(t["thesis"], MISSING_TEXT)), F.lit("\n"),
+            block(labels["reasoning"], text(t["reasoning"])), labelled("risks", t["risks"])),
+        "noteworthy_observations": lambda o: block("- ", text(o)),
+        "company_mentions": lambda c: F.concat(
+            block("### ", text(c["name"], MISSING_COMPANY)), F.lit("\n"), block(labels["industry"], text(c["industry"], MISSING_TEXT)),
+            F.lit("\n"), block(labels["context"], text(c["context"])), labelled("details", c["details"])),
+    }
+    parts = [block(MARKDOWN_TITLE)]
+    for field, heading in MARKDOWN_HEADINGS.items():
+        parts.append(block(heading))
+        if field in entries:
+            body = F.array_join(F.transform(s[field], entries[field]), "\n")
+            parts.append(F.when(F.size(s[field]) > 0, body))
+        else:
+            parts.append(block(text(s[field], MISSING_TEXT)))
+    # concat_ws leaves out the sections without entries.
+    return F.when(s.isNotNull(), F.concat_ws("\n", *parts))
 
 
 def frequent_words(text: str | Column, n: int, shortest: int = 4) -> Column:

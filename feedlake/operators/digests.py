@@ -15,11 +15,15 @@ from .aggregates import digest_heading
 from .ordering import with_position
 from .state import latest_summaries
 
+# The titles and the texts of an empty digest. The frame around them is our own.
 TITLE = "Your Weekly Podcast Digest"
+CONTENTS = "This Week's Episodes"
+EMPTY_TEXT = "No podcast episodes were processed this week."
+EMPTY_SUBTITLE = "No episodes processed this week"
+EMPTY_BODY = "No podcast episodes were processed in the last 7 days."
 HTML_HEAD = '<!DOCTYPE html>\n<html>\n<head><meta charset="UTF-8"></head>\n<body>'
 HTML_FOOT = '<div class="footer"><p>This is an automated weekly digest.</p></div>\n</body>\n</html>'
 TEXT_FOOT = "\n" + "=" * 50 + "\nGenerated by feedlake"
-EMPTY_TEXT = "No podcast episodes were processed this week."
 
 
 def positioned(base: DataFrame) -> DataFrame:
@@ -65,12 +69,12 @@ def html_digest(base: DataFrame, summaries: DataFrame, full: bool = False) -> Da
         F.lit('</p>\n<p class="summary-count">'), "counted", F.lit("</p></div>"),
     )
     empty = (
-        f'<div class="header"><h1>🎧 {TITLE}</h1>\n<p class="subtitle">No episodes processed this week</p></div>\n'
-        '<div class="episode"><p>No podcast episodes were processed in the last 7 days.</p></div>'
+        f'<div class="header"><h1>🎧 {TITLE}</h1>\n<p class="subtitle">{EMPTY_SUBTITLE}</p></div>\n'
+        f'<div class="episode"><p>{EMPTY_BODY}</p></div>'
     )
     frame = _frame(
         base, (0, HTML_HEAD, None), (1, intro, some), (1, empty, none),
-        (2, "<div class=\"toc\"><h2>This Week's Episodes</h2>\n<ul>", some), (4, "</ul></div>", some), (6, HTML_FOOT, None),
+        (2, f'<div class="toc"><h2>{CONTENTS}</h2>\n<ul>', some), (4, "</ul></div>", some), (6, HTML_FOOT, None),
     )
     position, summary = F.col("position"), F.col("summary")
     items = _rows(

@@ -32,6 +32,9 @@ SUMMARY_TEMPLATE = (
     '"company_mentions": [{"name": "", "industry": "", "context": "", "details": ""}]}\n\n'
     "{transcript}"
 )
+# What the status table and the log say about a failed stage, in the order of the stages.
+STATUS_ERRORS = ("Audio download failed", "Transcription failed", "Cleaning failed", "Summarization failed")
+LOG_ERRORS = ("Download failed", "Transcription failed", "Cleaning failed", "Summarization failed")
 
 
 @dataclass
@@ -173,7 +176,7 @@ def process_items(
 
 def _status_updates(results: DataFrame, as_of: str | datetime) -> DataFrame:
     at = F.col("failed_at")
-    error = F.when(at == 0, "Audio download failed").when(at == 1, "Transcription failed").when(at == 3, "Summarization failed")
+    error = F.get(F.array(*[F.lit(e) for e in STATUS_ERRORS]), at)
     name = F.concat(F.lit("transcripts/"), F.col("episode_id").cast("string"))
     return results.select(
         "episode_id",
@@ -196,13 +199,12 @@ def _log_rows(results: DataFrame, as_of: str | datetime) -> DataFrame:
         F.concat(F.lit("Cleaned "), F.length("cleaned_text").cast("string"), F.lit(" characters")),
         F.concat(F.lit("Summary saved to "), "summary_path"),
     )
-    failure = ("Download failed", "Transcription failed", "Cleaning failed", "Summarization failed")
     events = []
     for i, stage in enumerate(LOG_STAGES[:4]):
         here, ok = F.col("failed_at") >= i, F.col("failed_at") > i
         for seq, state_, message in (
             (2 * i, F.lit("started"), F.lit(None).cast("string")),
-            (2 * i + 1, F.when(ok, "success").otherwise("error"), F.when(ok, success[i]).otherwise(F.lit(failure[i]))),
+            (2 * i + 1, F.when(ok, "success").otherwise("error"), F.when(ok, success[i]).otherwise(F.lit(LOG_ERRORS[i]))),
         ):
             event = F.struct(F.lit(seq).alias("seq"), F.lit(stage).alias("stage"), state_.alias("status"), message.alias("message"))
             events.append(F.when(here, event))

@@ -325,6 +325,15 @@ def latest_summaries(t):
     return state.latest_summaries(t.summaries).select("id", "episode_id", "comprehensive_summary", "model_used")
 
 
+@query("w2_latest_transcripts", """SELECT doc_id AS episode_id, CASE WHEN lang = 'en' THEN 'second' ELSE text END AS raw_text FROM documents""")
+def latest_transcripts(t):
+    # English transcripts have a second row with a smaller id, but a later time.
+    later = F.lit("2024-01-02").cast("timestamp_ntz")
+    again = t.transcripts.filter("transcription_model = 'en'").withColumn("id", -F.col("id")).withColumn("raw_text", F.lit("second"))
+    both = t.transcripts.unionByName(again.withColumn("updated_at", later))
+    return state.latest_transcripts(both).select("episode_id", "raw_text")
+
+
 @query("w4_first_and_last", sql("""SELECT url, min(pos) AS first_pos, first(name ORDER BY pos) AS first_name,
     last(name ORDER BY pos) AS last_name, count(*) AS n_rows FROM feed_batch GROUP BY url""", "feed_batch"))
 def first_and_last(t):
