@@ -17,12 +17,13 @@ _ITEM = (
 # One schema reads both formats in one pass: RSS has a channel, Atom has its fields at the top.
 _DOCUMENT = (
     f"STRUCT<channel: STRUCT<title: STRING, description: STRING, language: STRING, link: {_LINKS}, item: ARRAY<{_ITEM}>>, "
-    f"item: ARRAY<{_ITEM}>, title: STRING, subtitle: STRING, link: {_LINKS}, entry: ARRAY<{_ITEM}>>"
+    f"item: ARRAY<{_ITEM}>, title: STRING, subtitle: STRING, link: {_LINKS}, entry: ARRAY<{_ITEM}>, "
+    "_corrupt_record: STRING>"
 )
 
 
 def parsed(payloads: DataFrame, xml: str = "xml") -> DataFrame:
-    """Add ``document``; a malformed payload gives a document without a title and without items."""
+    """Add ``document``; a malformed payload gives a document without a title and without items, and does not end the job."""
     return payloads.withColumn("document", F.from_xml(F.col(xml), _DOCUMENT)).drop(xml)
 
 
@@ -42,6 +43,7 @@ def feed_headers(documents: DataFrame) -> DataFrame:
         F.coalesce(_page(d["channel"]["link"]), _page(d["link"]), F.lit("")).alias("link"),
         F.coalesce(d["channel"]["language"], F.lit("")).alias("language"),
         F.coalesce(F.size(_items(d)) > 0, F.lit(False)).alias("has_items"),
+        (d.isNull() | d["_corrupt_record"].isNotNull()).alias("malformed"),
     )
 
 

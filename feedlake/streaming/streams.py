@@ -41,7 +41,10 @@ def stored_episodes(spark: SparkSession, path: str, before: int | None = None) -
     """Episodes written by the sync stream, optionally only by batches before ``before``."""
     try:
         rows = spark.read.schema(f"{TABLES['episodes']}, batch_id BIGINT").parquet(path)
-    except AnalysisException:  # nothing written yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        # nothing written yet
         rows = spark.createDataFrame([], f"{TABLES['episodes']}, batch_id BIGINT")
     return rows if before is None else rows.filter(F.col("batch_id") < before)
 

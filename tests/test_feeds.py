@@ -86,6 +86,7 @@ def test_documents(spark):
         "rss": (*show, True), "no audio": (*show, True), "empty": (*show, False), "cut": ("Unknown", "", "", "", False),
         "text": ("Unknown", "", "", "", False), "null": ("Unknown", "", "", "", False), "atom": ("At", "S", "h", "", True),
     }
+    assert {r.name for r in payloads.feed_headers(parsed).collect() if r.malformed} == {"cut", "text", "null"}
     items = payloads.episode_items(payloads.raw_items(parsed))
     rows = [(r.name, r.pos, r.title, r.description, r.audio_url, r.published_date, r.duration_seconds, r.guid) for r in items.orderBy("name", "pos").collect()]
     date = datetime(2024, 3, 5, 10)

@@ -168,9 +168,10 @@ def feed_items(t):
 
 @query("s3_feed_headers", """SELECT doc_id AS payload_no, CASE lang WHEN 'es' THEN 'Unknown' ELSE 'Feed ' || source END AS title,
     CASE lang WHEN 'es' THEN '' ELSE 'https://example.com/' || source END AS link,
-    CASE WHEN lang IN ('es', 'fr') THEN '' ELSE lang END AS language, lang <> 'es' AS has_items FROM documents""")
+    CASE WHEN lang IN ('es', 'fr') THEN '' ELSE lang END AS language, lang <> 'es' AS has_items, lang = 'es' AS malformed
+    FROM documents""")
 def feed_headers(t):
-    return payloads.feed_headers(payloads.parsed(fetched(t))).select("payload_no", "title", "link", "language", "has_items")
+    return payloads.feed_headers(payloads.parsed(fetched(t))).select("payload_no", "title", "link", "language", "has_items", "malformed")
 
 
 @query("x4_item_defaults", """SELECT doc_id AS payload_no, CASE lang WHEN 'en' THEN 'Untitled' ELSE '' END AS title, '' AS description,
