@@ -48,6 +48,11 @@ def utc_wall_clock(instant: Column) -> Column:
     return utc("1970-01-01 00:00:00") + F.make_dt_interval(secs=seconds)
 
 
+def utc_instant(wall_clock: str | Column) -> Column:
+    """Instant of a UTC wall-clock time, whatever the session time zone is."""
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", utc("1970-01-01 00:00:00"), col(wall_clock)))
+
+
 def days_before(moment: str | datetime | Column, days: int) -> Column:
     return utc(moment) - F.make_dt_interval(days=F.lit(days))
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.basic import utc_instant, utc_wall_clock
 from ..operators import state
 from ..plans.jobs import incoming_items
 from ..schemas import COMPLETED, TABLES
@@ -78,7 +79,7 @@ def without_repeats(
     A key with very many copies is first thinned out in ``salts`` groups at a time, so that one task meets at most that many copies of it;
     0 leaves this step out. The limit follows the newest time seen, not the clock; for an exact age rule use ``sync_stream``.
     """
-    timed = items.withColumn("_time", F.col(time).cast("timestamp")).withWatermark("_time", delay)
+    timed = items.withColumn("_time", utc_instant(time)).withWatermark("_time", delay)
     if salts:
         salted = timed.withColumn("_salt", F.floor(F.rand(seed=7) * salts))
         timed = salted.dropDuplicatesWithinWatermark([key, "_salt"]).drop("_salt")
@@ -104,8 +105,8 @@ def weekly_completions(finished: DataFrame, delay: str = "1 day") -> DataFrame:
     ``finished`` has ``feed_id``, ``status`` and ``completed_at``. Partial counts are made before the shuffle, so one busy feed does not
     load one task.
     """
-    done = finished.filter(F.col("status") == COMPLETED).withColumn("_time", F.col("completed_at").cast("timestamp"))
+    done = finished.filter(F.col("status") == COMPLETED).withColumn("_time", utc_instant("completed_at"))
     weeks = done.withWatermark("_time", delay).groupBy(F.window("_time", "7 days").alias("week"), "feed_id")
     return weeks.agg(F.count("*").alias("n")).select(
-        F.col("week.start").cast("timestamp_ntz").alias("week_start"), "feed_id", "n"
+        utc_wall_clock(F.col("week.start")).alias("week_start"), "feed_id", "n"
     )

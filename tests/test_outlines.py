@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import subprocess
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from feedlake.operators import aggregates, state
@@ -147,3 +151,15 @@ def test_round_trip_through_files(spark, tmp_path):
     back = outlines.feeds_of(outlines.outline_rows(documents_of(spark, {"f": joined}))).select("name", "url")
     assert back.exceptAll(feeds.filter("enabled").select("name", "url")).count() == 0
     assert back.count() == 25
+
+
+def test_worker_code_needs_no_package(tmp_path):
+    """Executors without this repository can run the outline scan."""
+    (tmp_path / "f").write_bytes(cloudpickle.dumps(outlines._read))
+    code = (
+        "import pickle, pandas as pd; read = pickle.load(open('f', 'rb'));"
+        "frame = pd.DataFrame({'file': ['a'], 'content': [b'<opml><body><outline xmlUrl=\"u\"/></body></opml>']});"
+        "print(next(read(iter([frame])))['url'][0])"
+    )
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert done.stdout.strip() == "u", done.stderr

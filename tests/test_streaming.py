@@ -83,14 +83,19 @@ def test_repeats_and_late_rows(spark, tmp_path, salts):
     assert sorted(r.guid for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
 
 
-def test_weeks_close_with_the_watermark(spark, tmp_path):
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_weeks_close_with_the_watermark(spark, tmp_path, zone):
     folder, out = str(tmp_path / "in"), str(tmp_path / "out")
     schema = "feed_id bigint, status string, completed_at timestamp_ntz"
     first = datetime(2024, 2, 29)  # a Thursday, as weeks begin
     rows = [(1, "completed", first), (1, "completed", datetime(2024, 3, 6, 23)), (2, "completed", first), (1, "failed", first),
             (1, "completed", datetime(2024, 3, 9))]
     spark.createDataFrame(rows, schema).write.parquet(folder)
-    streams.write_batches(streams.weekly_completions(spark.readStream.schema(schema).parquet(folder)), out, str(tmp_path / "c")).awaitTermination()
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        streams.write_batches(streams.weekly_completions(spark.readStream.schema(schema).parquet(folder)), out, str(tmp_path / "c")).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert {(r.week_start, r.feed_id, r.n) for r in spark.read.parquet(out).collect()} == {(first, 1, 2), (first, 2, 1)}
 
 
