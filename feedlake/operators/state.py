@@ -208,7 +208,8 @@ def save_transcripts(transcripts: DataFrame, saves: DataFrame) -> DataFrame:
         "updated_at": F.coalesce("n_last_at", "updated_at"),
         **{f: F.coalesce(f"n_{f}", f) for f in TRANSCRIPT_FIELDS},
     }
-    both = transcripts.join(changes, "episode_id", "full_outer").join(new_ids, "episode_id", "left")
+    # The ids join the batch, not the result: the full outer join keeps no partitioning, and the whole table would be shuffled again.
+    both = transcripts.join(changes.join(new_ids, "episode_id", "left"), "episode_id", "full_outer")
     return both.select(*[merged.get(c, F.col(c)).alias(c) for c in transcripts.columns])
 
 

@@ -11,7 +11,7 @@ from __spark_entry__ import queries
 from feedlake.functions import summaries as fs
 from feedlake.functions import text as ft
 from feedlake.operators import aggregates, joins, state
-from feedlake.sinks.tables import write_version
+from feedlake.sinks.tables import save_bucketed, write_version
 from feedlake.sources import payloads
 from feedlake.sources.tables import read_table
 from workload.views import AS_OF, Tables
@@ -46,6 +46,30 @@ def test_queue_pushes_its_states_and_takes_the_top(stored):
     assert "TakeOrderedAndProject" in text and "In(status, [failed,pending])" in text
 
 
+def test_bucketed_tables_join_without_a_shuffle(spark, stored, tmp_path):
+    for name, key in (("episodes", "id"), ("processing_status", "episode_id")):
+        save_bucketed(stored[name], f"bucketed_{name}", str(tmp_path / name), key, 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = joins.pending_queue(spark.table("bucketed_episodes"), spark.table("bucketed_processing_status"), 5)
+        assert "Exchange" not in plan(joined) and "SortMergeJoin" in plan(joined)
+        assert joined.collect() == joins.pending_queue(stored["episodes"], stored["processing_status"], 5).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in ("episodes", "processing_status"):
+            spark.sql(f"DROP TABLE bucketed_{name}")
+
+
+def test_partitioned_version_prunes(spark, stored, tmp_path):
+    write_version(stored["processing_status"], str(tmp_path / "s"), partition_by=("status",), sort_by=("completed_at",))
+    status = read_table(spark, "processing_status", str(tmp_path / "s"))
+    text = plan(joins.digest_base(stored["episodes"], stored["feeds"], status, AS_OF, 200))
+    assert re.search(r"PartitionFilters: \[[^\]]*status[^\]]*completed", text)
+    found = joins.digest_base(stored["episodes"], stored["feeds"], status, AS_OF, 200)
+    assert found.exceptAll(joins.digest_base(stored["episodes"], stored["feeds"], stored["processing_status"], AS_OF, 200)).count() == 0
+    assert found.count() > 0
+
+
 def test_flags_and_status_reach_the_scan(stored):
     assert "EqualTo(enabled,true)" in plan(joins.enabled_feeds(stored["feeds"]))
     assert "EqualTo(status,failed)" in plan(joins.with_status(stored["processing_status"], "failed"))
