@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.basic import let
 from ..storage import materialize
-from .common import SPACES, UPPER, drop_characters, text_of, whole_rows, words_of
+from .common import SPACE_CLASS, text_of, whole_rows, words_of
 
 # The symbols that are counted.
 SYMBOLS = "#*$%&|<>"
@@ -28,49 +28,48 @@ SKETCH_BITS = 7
 #: Fences lie ``SPREAD`` quartile distances and a slack (thousandths) above the upper quartile. The slack keeps clean texts where
 #: nearly all documents of a source have the same rate.
 SPREAD = 3
-SLACK = {"symbols": 250, "marks": 300, "capitals": 250, "word_length": 3000, "dup_lines": 300}
+SLACK = {"symbols": 250, "marks": 300, "word_length": 3000, "dup_lines": 300}
 
 
-def repeated_words(words: Column) -> Column:
-    """How many words lie in a window of five words that occurs at least twice in the text."""
+def repeated_words(windows: Column) -> Column:
+    """How many words lie in a window that occurs at least twice. ``windows``: all windows of the text in order, as strings."""
+    ordered = F.array_sort(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
 
-    def exact(windows: Column) -> Column:
-        ordered = F.array_sort(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    def covered(s: Column) -> Column:
+        twin = lambda x, j: F.coalesce(x["w"] == F.get(s, j)["w"], F.lit(False))
+        same = F.filter(s, lambda x, j: twin(x, j - 1) | twin(x, j + 1))
+        places = F.array_sort(F.transform(same, lambda x: x["i"]))
+        start = F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last"))
+        step = lambda a, p: F.struct((a["n"] + F.least(F.lit(WINDOW), p - a["last"])).alias("n"), p.alias("last"))
+        return F.aggregate(places, start, step, lambda a: a["n"])
 
-        def covered(s: Column) -> Column:
-            same = F.filter(s, lambda x, j: F.coalesce(x["w"] == F.get(s, j - 1)["w"], F.lit(False)) | F.coalesce(x["w"] == F.get(s, j + 1)["w"], F.lit(False)))
-            places = F.array_sort(F.transform(same, lambda x: x["i"]))
-            start = F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last"))
-            step = lambda a, p: F.struct((a["n"] + F.least(F.lit(WINDOW), p - a["last"])).alias("n"), p.alias("last"))
-            return F.aggregate(places, start, step, lambda a: a["n"])
+    repeats = F.size(F.array_distinct(windows)) < F.size(windows)
+    return F.when(repeats, let(ordered, covered)).otherwise(0).cast("long")
 
-        return let(ordered, covered)
 
-    def windows(make) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(words) - WINDOW), make)
+def _count(text: Column, characters: str) -> Column:
+    """How often the text has one of the characters."""
+    return (F.size(F.split(text, characters, -1)) - 1).cast("long")
 
-    hashes = windows(lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]))
-    repeats = let(hashes, lambda h: F.size(F.array_distinct(h)) < F.size(h))
-    texts = windows(lambda i: F.array_join(F.slice(words, i + 1, WINDOW), " "))
-    return F.when(F.size(words) <= WINDOW, 0).when(repeats, exact(texts)).otherwise(0).cast("long")
 
+def counted(rows: DataFrame) -> DataFrame:
+    """The rows with the counts of their ``_text`` in its place, and the rates in thousandths.
 
-def _rates(text: Column) -> Column:
-    """Struct of counts and of rates in thousandths, but for the repeated words."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(drop_characters(x, SPACES)) > 0)
-
-    def with_words(n: Column) -> Column:
-        chars = F.length(drop_characters(text, SPACES)).cast("long")
-        symbols = (F.length(text) - F.length(drop_characters(text, SYMBOLS))).cast("long")
-        marks = F.length(text) - F.length(drop_characters(text, "!?"))
-        capitals = F.length(text) - F.length(drop_characters(text, UPPER))
-        return let(lines, lambda ls: let(F.struct(F.size(ls).alias("lines"), (F.size(ls) - F.size(F.array_distinct(ls))).alias("dup")), lambda d: let(
-            F.struct(n.alias("n"), chars.alias("chars"), symbols.alias("symbols"), d["dup"].cast("long").alias("dup")), lambda c: F.struct(
-                c["n"].alias("n_words"), c["chars"].alias("word_chars"), c["symbols"].alias("n_symbols"), c["dup"].alias("n_dup_lines"),
-                _milli(c["symbols"], c["n"]).alias("symbols"), _milli(marks, c["n"]).alias("marks"), _milli(capitals, c["chars"]).alias("capitals"),
-                _milli(c["chars"], c["n"]).alias("word_length"), _milli(c["dup"], d["lines"]).alias("dup_lines")))))
-
-    return with_words
+    Words joined by one space give the windows by a look-ahead at the start of each word, in one pass of the pattern.
+    """
+    rest = [c for c in rows.columns if c != "_text"]
+    split = rows.select("*", words_of(F.col("_text")).alias("_words"), F.filter(F.split("_text", "\n"), lambda x: x.rlike(f"[^{SPACE_CLASS[1:]}")).alias("_lines"))
+    joined = split.select(*rest, "_text", "_lines", F.size("_words").cast("long").alias("n_words"), F.array_join("_words", " ").alias("_joined"))
+    window = f"(?<![^ ])(?=([^ ]++(?: [^ ]++){{{WINDOW - 1}}}))"
+    windowed = joined.select(
+        *rest, "n_words", (F.length("_joined") - F.greatest(F.col("n_words") - 1, F.lit(0))).cast("long").alias("word_chars"),
+        _count(F.col("_text"), f"[{SYMBOLS}]").alias("n_symbols"), _count(F.col("_text"), "[!?]").alias("_marks"),
+        F.size("_lines").alias("_n_lines"), (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        F.regexp_extract_all("_joined", F.lit(window), F.lit(1)).alias("_windows"))
+    return windowed.select(
+        *rest, "n_words", "word_chars", "n_symbols", "n_dup_lines", repeated_words(F.col("_windows")).alias("n_repeat_words"),
+        _milli(F.col("n_symbols"), F.col("n_words")).alias("symbols"), _milli(F.col("_marks"), F.col("n_words")).alias("marks"),
+        _milli(F.col("word_chars"), F.col("n_words")).alias("word_length"), _milli(F.col("n_dup_lines"), F.col("_n_lines")).alias("dup_lines"))
 
 
 def _milli(part: Column, whole: Column) -> Column:
@@ -107,21 +106,13 @@ def fences(sketch: DataFrame, groups: list[str]) -> DataFrame:
 def rate_documents(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: list[str] | None = None) -> DataFrame:
     """Each row (its columns ``keep``) as ``row``, its counts, ``base_failed`` and ``kept``.
 
-    The cheap rates are read in a first pass for the sketches. Their fences, a row per language and source, are written to the
-    shared folder, so that Spark knows their size when it picks the join.
+    Texts are read once; rows and counts are written to the shared folder. So are the fences, a row per language and source, so that
+    Spark knows their size when it picks the join.
     """
-    body = text_of(text)
-
-    def rated(df: DataFrame, *more: Column) -> DataFrame:
-        split = df.select("*", words_of(F.col("_text")).alias("_words"))
-        return split.select(*[c for c in df.columns if c != "_text"], *more, _rates(F.col("_text"))(F.size("_words").cast("long")).alias("r"))
-
-    keys = [F.col(lang).alias("_lang"), F.col(source).alias("_source"), body.alias("_text")]
-    first = rated(docs.select(*keys)).select("_lang", "_source", "r.*").filter("n_words > 0")
-    limits = materialize(fences(sketches(first, ["_lang", "_source"]), ["_lang", "_source"]))
+    keys = [F.col(lang).alias("_lang"), F.col(source).alias("_source"), text_of(text).alias("_text")]
+    rows = materialize(counted(whole_rows(docs, *keys, keep=keep)))
+    limits = materialize(fences(sketches(rows.filter("n_words > 0"), ["_lang", "_source"]), ["_lang", "_source"]))
     limits = limits.withColumnsRenamed({"_lang": "_of_lang", "_source": "_of_source"})
-    rows = rated(whole_rows(docs, *keys, keep=keep), repeated_words(F.col("_words")).alias("n_repeat_words"))
-    rows = rows.select("row", "_lang", "_source", "n_repeat_words", "r.*")
     same = F.col("_lang").eqNullSafe(F.col("_of_lang")) & F.col("_source").eqNullSafe(F.col("_of_source"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     passes = ~failed

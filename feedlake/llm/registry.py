@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, secret_scans, source_mixing, url_filters
+from . import (
+    bpe, nearest, ngram_join, quality_classifier, quality_rules, secret_scans, source_mixing, substring_dedup, suffix_dedup, url_filters,
+)
 
 QUERIES = {}
 SQL = {}
@@ -35,6 +37,40 @@ def op2_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("row.page_id", "host", "path", "rule", "verdict")
 
 
+@_query
+def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    found = ngram_join.link_documents(_table(spark, folder, "documents").select("doc_id", "text"), gram=4, percent=85)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "n_links")
+
+
+@_query
+def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = _table(spark, folder, "documents").select("doc_id", "text"), _table(spark, folder, "labels")
+    scored = quality_classifier.score_documents(docs, quality_classifier.train(docs, labels), keep=["doc_id"])
+    held_out = quality_classifier.fold(F.col("row.doc_id")) == quality_classifier.HELD_OUT_FOLD
+    predicted = (F.col("score") >= quality_classifier.THRESHOLD).cast("int")
+    return scored.select("row.doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
+def word_vocabulary() -> str:
+    """Place of the public vocabulary file that the registered queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@_query
+def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    encoded = bpe.encode_documents(_table(spark, folder, "documents").select("doc_id", "text"), word_vocabulary(), keep=["doc_id"])
+    return encoded.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@_query
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = substring_dedup.remove_repeats(_table(spark, folder, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return cleaned.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @_query
 def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     # The text is not needed once it is counted, so the rows that travel are narrow.
@@ -42,6 +78,18 @@ def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return source_mixing.mix(docs.select("doc_id", "source", "text"), keep=["doc_id"]).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+@_query
+def op8_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return nearest.nearest(vectors, F.col("vec_id") % 20 == 0)
+
+
+@_query
+def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = suffix_dedup.remove_repeats(_table(spark, folder, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return cleaned.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @_query
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     rated = quality_rules.rate_documents(_table(spark, folder, "documents").select("doc_id", "text", "lang", "source"), keep=["doc_id"])
