@@ -23,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LINES, SHARE, GROWTH = 48, 0.45, 1.5
+#: Lines; the part of them on which a vector must lie in the window; half the first window in standard deviations; growth of a window.
+LINES, COLLISIONS, START, GROWTH = 48, 0.6, 1.1, 1.1
 #: Part of a block that is verified at least before the windows stop growing, and the fewest vectors.
-VERIFIED, FEWEST = 0.12, 200
+VERIFIED, FEWEST = 0.33, 400
 BLOCK_ROWS, QUERY_ROWS = 8192, 2048
 SEED = 11
 
@@ -39,48 +40,43 @@ def usable(vector: Column) -> Column:
 def _search(ids: np.ndarray, points: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, longest: float) -> Iterator[tuple]:
     """The ``k`` best found of one block for each query: (query id, ids, scores)."""
     n, d = points.shape
-    rng = np.random.default_rng(SEED)
-    lines = rng.normal(size=(d + 1, LINES))
+    lines = np.random.default_rng(SEED).normal(size=(d + 1, LINES))
     tail = np.sqrt(np.maximum(longest * longest - (points * points).sum(1), 0))
-    places = points @ lines[:d] + np.outer(tail, lines[d])
-    order = np.argsort(places, axis=0, kind="stable")
-    sorted_places = np.take_along_axis(places, order, 0)
-    spread = places.std(0) + 1e-12
-    asked = queries @ lines[:d]
-    wanted = min(n, max(FEWEST, 10 * k, int(VERIFIED * n)))
+    places = (points @ lines[:d] + np.outer(tail, lines[d])).T
+    order = np.argsort(places, axis=1, kind="stable").astype(np.int32)
+    arrays = np.take_along_axis(places, order, 1)
+    spread = places.std(1) + 1e-12
+    asked = (queries @ lines[:d]).T
+    wanted, threshold = min(n, max(FEWEST, 10 * k, int(VERIFIED * n))), int(COLLISIONS * LINES)
+
+    def window(step: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of all queries on all lines after so many growths."""
+        half = spread * START * GROWTH**step
+        low = np.stack([np.searchsorted(a, x - h) for a, x, h in zip(arrays, asked, half)])
+        return low, np.stack([np.searchsorted(a, x + h, side="right") for a, x, h in zip(arrays, asked, half)])
+
+    steps = [window(0)]
     for q in range(len(query_ids)):
-        counts = np.zeros(n, np.int16)
-        low = np.array([np.searchsorted(sorted_places[:, i], asked[q, i]) for i in range(LINES)])
-        high = low.copy()
-        half = SHARE
-        while True:
-            full = True
-            for i in range(LINES):
-                column = sorted_places[:, i]
-                a = np.searchsorted(column, asked[q, i] - half * spread[i])
-                b = np.searchsorted(column, asked[q, i] + half * spread[i], side="right")
-                a, b = min(a, low[i]), max(b, high[i])
-                counts[order[a:low[i], i]] += 1
-                counts[order[high[i]:b, i]] += 1
-                low[i], high[i] = a, b
-                full = full and a == 0 and b == n
-            # The threshold follows the windows: clearly more lines than a vector meets by chance.
-            expected = (high - low).mean() / n * LINES
-            threshold = min(LINES, expected + 1.2 * np.sqrt(expected * (1 - expected / LINES) + 0.25))
-            found = np.flatnonzero(counts >= threshold)
-            if len(found) >= wanted or full:
-                break
-            half *= GROWTH
-        if full and len(found) < wanted:
-            found = np.arange(n)
+        low, high = steps[0][0][:, q], steps[0][1][:, q]
+        counts = np.bincount(np.concatenate([o[a:b] for o, a, b in zip(order, low.tolist(), high.tolist())]), minlength=n)
+        step = 0
+        while (counts >= threshold).sum() < wanted and not (low.max() == 0 and high.min() == n):
+            step += 1
+            if step == len(steps):
+                steps.append(window(step))
+            wider = steps[step][0][:, q], steps[step][1][:, q]
+            new = [x for o, a, b, c, e in zip(order, wider[0].tolist(), low.tolist(), high.tolist(), wider[1].tolist()) for x in (o[a:b], o[c:e])]
+            counts += np.bincount(np.concatenate(new), minlength=n)
+            low, high = wider
+        found = np.flatnonzero(counts >= threshold)
         found = found[ids[found] != query_ids[q]]
-        scores = points[found] @ queries[q]
+        # The same order of additions for every vector, so that equal vectors get equal scores.
+        scores = (points[found] * queries[q]).sum(1)
+        if len(found) > k:
+            best = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
+            found, scores = found[best], scores[best]
         best = np.lexsort((ids[found], -scores))[:k]
-        # The same sum for every block and machine: added up component by component.
-        exact = np.zeros(len(best))
-        for j in range(d):
-            exact += points[found[best], j] * queries[q, j]
-        yield query_ids[q], ids[found[best]], exact
+        yield query_ids[q], ids[found[best]], scores[best]
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding",

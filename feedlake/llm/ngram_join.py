@@ -264,7 +264,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def link_documents(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per document: ``id``, ``at`` (content key), ``n_shingles``, ``component_id`` and ``n_links``, the links of its class to others."""
+    """One row per document: ``id``, ``at`` (content key), ``n_shingles`` and ``component_id``."""
     sets, frequent = set_table(docs, gram, text, key)
     shared = materialize(shared_segments(docs, frequent, gram, percent, text))
     tested = links = label = None
@@ -297,16 +297,15 @@ def link_documents(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, te
         tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
         links = linked if links is None else links.union(linked)
         label = components(links)
-    degrees = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("cls")).agg(F.count("*").alias("n_links")) if links is not None else None
     rows = sets
     if label is None:
-        rows = rows.withColumn("component", F.col("cls")).withColumn("n_links", F.lit(0).cast("long"))
+        rows = rows.withColumn("component", F.col("cls"))
     else:
-        rows = rows.join(label, "cls", "left").join(degrees, "cls", "left").withColumn("component", F.coalesce("component", "cls")).fillna(0, ["n_links"])
+        rows = rows.join(label, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     # Rows without a set keep their own id; the groups are made over the others, by partial minima.
     smallest = rows.filter("cls IS NOT NULL").groupBy("component").agg(F.min("id").alias("smallest"))
     return rows.join(smallest, "component", "left").select(
-        "id", "at", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("smallest")).alias("component_id"), "n_links")
+        "id", "at", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("smallest")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:

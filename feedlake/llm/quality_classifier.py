@@ -97,8 +97,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
         if negative >= 0:
             gp = prior * (-sigmoid(-zp) - sigmoid(zp)) / len(p)
             gu = sigmoid(zu) / len(u)
-        else:  # the negative part has gone below what a risk can be: step back from it
-            gp, gu = prior * sigmoid(zp) / len(p), -sigmoid(zu) / len(u)
+        else:  # the negative part has gone below what a risk can be, and counts as 0
+            gp, gu = -prior * sigmoid(-zp) / len(p), np.zeros(len(u))
         back = lambda x, h, g: (x.T @ (np.outer(g, w[2]) * (1 - h * h)), (np.outer(g, w[2]) * (1 - h * h)).sum(0), h.T @ g, g.sum())
         grads = [a + b for a, b in zip(back(p, hp, gp), back(u, hu, gu), strict=True)]
         for i, g in enumerate(grads):
@@ -118,15 +118,18 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     """Fit on the training rows. The texts of the sample are turned into vectors by the executors; only vectors reach the driver."""
     known = labels.select(F.col(key).alias("_key"), F.col(label).alias("_label")).dropna().groupBy("_key").agg(F.min("_label").alias("_label"))
     known = known.filter(fold(F.col("_key")) != HELD_OUT_FOLD)
-    counts = known.agg(F.avg((F.col("_label") == 1).cast("double"))).first()[0]
-    if not counts:
+    prior, n = known.agg(F.avg((F.col("_label") == 1).cast("double")), F.count("*")).first()
+    if not prior:
         return None
+    # The lower end of the estimate: with too large a prior, bad texts pass for the positives that are thought to be missing.
+    prior = max(prior - 2 * (prior * (1 - prior) / n) ** 0.5, 0.5 * prior)
     rows = docs.select(F.col(key).alias("_key")).filter(fold(F.col("_key")) != HELD_OUT_FOLD).dropDuplicates()
     order = F.xxhash64(F.lit(SEED), "_key")
     positive = rows.join(known.filter("_label = 1"), "_key", "left_semi").orderBy(order, "_key").limit(sample).withColumn("_positive", F.lit(True))
     unlabelled = rows.orderBy(F.xxhash64(F.lit(SEED + 1), "_key"), "_key").limit(sample).withColumn("_positive", F.lit(False))
     chosen = positive.unionAll(unlabelled).groupBy("_key").agg(F.max("_positive").alias("p"), F.min("_positive").alias("u"))
-    picked = docs.select(F.col(key).alias("_key"), text_of(text).alias("_text")).join(chosen, "_key").select("p", "u", "_text")
+    # At most twice the sample, so small enough to broadcast.
+    picked = docs.select(F.col(key).alias("_key"), text_of(text).alias("_text")).join(F.broadcast(chosen), "_key").select("p", "u", "_text")
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,11 +138,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
     found = picked.mapInArrow(turn, "p boolean, u boolean, x array<double>").toArrow()
     x = np.array(found.column("x").to_pylist(), dtype=np.float64).reshape(found.num_rows, -1)
-    x = x[np.lexsort(x.T)] if False else x
     is_p, not_u = np.array(found.column("p").to_pylist(), bool), np.array(found.column("u").to_pylist(), bool)
     # Rows arrive in any order; sorted, the sums and so the scores are the same in every run.
     arrange = lambda a: a[np.lexsort(a.T[::-1])] if len(a) else a
-    return fit(arrange(x[is_p]), arrange(x[~not_u]), min(float(counts), 0.99))
+    return fit(arrange(x[is_p]), arrange(x[~not_u]), min(prior, 0.99))
 
 
 def score_documents(docs: DataFrame, network: Network | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:

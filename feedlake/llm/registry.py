@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    bpe, nearest, ngram_join, quality_classifier, quality_rules, secret_scans, source_mixing, substring_dedup, suffix_dedup, url_filters,
+    bpe, nearest, ngram_join, oracles, quality_classifier, quality_rules, secret_scans, source_mixing, substring_dedup, suffix_dedup, url_filters,
 )
 
 QUERIES = {}
-SQL = {}
+SQL = oracles.SQL
 
 
 def _query(build):
@@ -40,7 +40,7 @@ def op2_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     found = ngram_join.link_documents(_table(spark, folder, "documents").select("doc_id", "text"), gram=4, percent=85)
-    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "n_links")
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
 @_query
