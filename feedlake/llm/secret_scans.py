@@ -132,7 +132,7 @@ def joined_spans(spans: Column) -> Column:
 
 
 def mask_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", mask: str = MASK) -> DataFrame:
-    """The documents with every span replaced by ``mask`` (spans that meet are replaced together); ``n_chars`` follows the text."""
+    """The documents with every span replaced by ``mask`` (spans that overlap are replaced together); ``n_chars`` follows the text."""
     at = content_key(key, text_of(text)).alias("_at")
     found = scan_secrets(docs.select(at, text), text, key="_at").filter(F.size("spans") > 0)
     found = found.groupBy("_at").agg(F.min("spans").alias("spans"))  # copies of a row have the same spans

@@ -54,16 +54,17 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) ->
 def apportion(parties: DataFrame, seats: str, votes: str, room: str, within: list[str], order: str, into: str) -> DataFrame:
     """Sainte-Laguë quotas of ``seats`` among the parties of a group, no party above its ``room``.
 
-    Only the quotients near the proportional share can decide: with ``m`` parties no quota is further than ``m / 2`` from it, so the seats
-    below that are given at once and the rest goes to the highest quotients.
+    Only the quotients near the proportional share can decide: with ``m`` parties no quota is further than ``m / 2`` from it, but for the
+    seats that full parties leave to others. So the seats below that are given at once and the rest goes to the highest quotients.
     """
     group = Window.partitionBy(*within)
     m = F.count("*").over(group)
-    share = F.col(seats) * F.col(votes) / F.sum(votes).over(group)
+    share = F.coalesce(F.try_divide(F.col(seats) * F.col(votes), F.sum(votes).over(group)), F.lit(0.0))
     sure = F.greatest(F.lit(0), F.least(F.col(room), F.floor(share) - F.floor(m / 2) - 1)).cast("long")
     near = parties.withColumn("_m", m).withColumn("_sure", F.when(F.col(votes) > 0, sure).otherwise(0))
     near = near.withColumn("_left", F.col(seats) - F.sum("_sure").over(group))
-    more = F.least(F.col("_left"), F.col("_m") + 4, F.col(room) - F.col("_sure"))
+    near = near.withColumn("_over", F.sum(F.greatest(F.ceil(share) - F.col(room), F.lit(0))).over(group).cast("long"))
+    more = F.least(F.col("_left"), F.col("_m") + 4 + F.col("_over"), F.col(room) - F.col("_sure"))
     contest = near.withColumn("_more", F.when(F.col(votes) > 0, F.greatest(more, F.lit(0))).otherwise(0))
     bids = contest.select("*", F.explode(F.when(F.col("_more") > 0, F.sequence(F.lit(0).cast("long"), F.col("_more") - 1))).alias("_k"))
     quotient = F.col(votes) / (2 * (F.col("_sure") + F.col("_k")) + 1)

@@ -130,7 +130,7 @@ def test_random_strings_by_hand(spark, tmp_path):
 
 def test_masking(spark, tmp_path):
     rows = [(1, "x password=abcdefghijklmnop y deadbeefdeadbeef z", 5), (1, "x password=abcdefghijklmnop y deadbeefdeadbeef z", 5), (2, "nothing", 7), (3, None, None),
-            (4, "deadbeefdeadbeefAPIKEY=deadbeefdeadbeef", 1), (None, "é token: ABCDEFGHIJKLMNOP", 1)]
+            (4, "deadbeefdeadbeefAPIKEY=deadbeefdeadbeef", 1), (5, "token=deadbeefdeadbeef.x", 1), (None, "é token: ABCDEFGHIJKLMNOP", 1)]
     path = str(tmp_path / "d")
     spark.createDataFrame(rows, "doc_id long, text string, n_chars long").withColumn("spans", F.lit("clash")).write.parquet(path)
     docs = spark.read.parquet(path)
@@ -139,7 +139,7 @@ def test_masking(spark, tmp_path):
     found = sorted(((r.doc_id or 0), r.text, r.n_chars) for r in masked.collect() if r.text is not None)
     mask = secret_scans.MASK
     first = f"x {mask} y {mask} z"
-    assert found == [(0, f"é {mask}", 2 + len(mask)), (1, first, len(first)), (1, first, len(first)), (2, "nothing", 7), (4, mask, len(mask))] and masked.count() == 6
+    assert found == [(0, f"é {mask}", 2 + len(mask)), (1, first, len(first)), (1, first, len(first)), (2, "nothing", 7), (4, mask + mask, 2 * len(mask)), (5, mask, len(mask))] and masked.count() == 7
 
 
 def test_quotas_are_the_highest_quotients(spark):

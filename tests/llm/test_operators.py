@@ -42,7 +42,7 @@ def awkward_rows():
         "deadbeefdeadbeefAPIKEY=deadbeefdeadbeef", "#*$%&|<> " * 20, "WHY!! " * 30,
     ]
     rows = [(i, t, rng.choice(["en", "fr", None]), rng.choice(["a", "b", None]), None if t is None else len(t)) for i, t in enumerate(texts)]
-    rows += [rows[5], rows[5], (7, prose(80), "en", "a", 1), (None, base, None, None, 0), (None, None, None, None, None), (None, passage, "en", "b", 2)]
+    rows += [rows[5], rows[5], (7, prose(80), "en", "a", 1), (None, base, None, None, 0), (None, None, None, None, None), (None, passage, "en", "b", 2), (900, "", "en", "only empty", 0), (901, None, "en", "only empty", 0)]
     rng.shuffle(rows)
     return rows
 
