@@ -75,7 +75,7 @@ def _cut(window: int, gram: int, parts: int):
                 first_word = np.searchsorted(text, np.arange(text[-1] + 1))
                 row = text[at]
                 yield from gatherer.add(strings, minimiser=minima[at], id=ids[lo + row], digest=digests[lo + row],
-                                        start=at - first_word[row], windows=count.astype(np.int32))
+                                        start=at - first_word[row], windows=count)
         yield from gatherer.flush()
 
     return cut
@@ -128,7 +128,7 @@ def _count(window: int):
         for i in np.flatnonzero(~done).tolist():
             hit = np.flatnonzero(hits[number[i]])
             if len(hit):
-                s, e = merged(hit + fields["start"][i], hit + fields["start"][i] + window)
+                s, e = merged(hit + int(fields["start"][i]), hit + int(fields["start"][i]) + window)
                 ids += [fields["id"][i]] * len(s)
                 digests += [fields["digest"][i]] * len(s)
                 starts.append(s)
@@ -141,8 +141,8 @@ def _count(window: int):
 
 
 def identity(key: str, text: Column) -> tuple[Column, Column]:
-    """Integer id (the largest integer for null) and digest of the text: the same in every scan."""
-    return F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("_id"), F.xxhash64(text).alias("_digest")
+    """Integer id (the largest integer for null) and a short digest of the text, which tells documents that share an id apart."""
+    return F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("_id"), F.hash(text).cast("long").alias("_digest")
 
 
 def removed_spans(docs: DataFrame, cut, count, text: str, key: str, parts: int) -> DataFrame:

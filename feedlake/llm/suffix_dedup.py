@@ -23,11 +23,15 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
 from .substring_dedup import cut_out, group_count, removed_spans, with_spans
-from .windows import Gatherer, byte_grams, numbered_strings, runs, sliding_min, span_table, spans_by_document, text_chunks, unpack
+from .windows import (
+    U64, Gatherer, byte_grams, mix, numbered_strings, runs, sequence_digests, sliding_min, span_table, spans_by_document, text_chunks, unpack,
+)
 
 WINDOW, GRAM = 100, 24
-#: Bytes of strings in one shard at least; a group has at most 65,536 shards.
-SHARD = 1 << 16
+#: Strings that may share a window must have all but so many of its bytes in common.
+SLACK = 16
+#: Bytes of strings in one shard at least; a group has about 200 shards at most.
+SHARD = 1 << 18
 
 
 def _later(number: np.ndarray, fields: dict[str, np.ndarray]) -> np.ndarray:
@@ -67,34 +71,39 @@ def _cut(window: int, parts: int):
                 strings = [raw[a:b] for a, b in zip(at.tolist(), (at + count + window - 1).tolist())]
                 row = text[at]
                 yield from gatherer.add(strings, minimiser=minima[at], id=ids[lo + row], digest=digests[lo + row],
-                                        start=at - offsets[row], windows=count.astype(np.int32))
+                                        start=at - offsets[row], windows=count)
         yield from gatherer.flush()
 
     return cut
 
 
+#: UTF-8 has no byte of 0xF8 or more, so all bytes and the two closing symbols fit one byte: 0 closes a shard, 1 a string.
+CLOSE_SHARD, CLOSE_STRING, FIRST_BYTE = 0, 1, 2
+
+
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
     """Order of all suffixes of one shard, by doubling the sorted length until no two are equal. The last symbol is unique."""
-    n = len(symbols)
-    rank, length = symbols.astype(np.int64), 1
+    n, length = len(symbols), 7
+    padded = np.concatenate([symbols, np.zeros(8, np.uint8)])
+    first = np.zeros(n, np.uint64)
+    for i in range(length):
+        first = first * np.uint64(256) + padded[i : i + n]
+    key = first.astype(np.int64)
     while True:
-        after = np.zeros(n, np.int64)
-        after[: max(n - length, 0)] = rank[length:] + 1
-        pair = rank * (max(int(rank.max()), n) + 2) + after
-        order = np.argsort(pair, kind="stable")
-        new = np.concatenate([[0], np.cumsum(np.diff(pair[order]) != 0)])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
+        order = np.argsort(key, kind="stable")
+        new = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
         if new[-1] == n - 1:
             return order
+        rank = np.empty(n, np.int64)
+        rank[order] = new
+        key = rank * (n + 1)
+        key[: max(n - length, 0)] += rank[length:] + 1
         length *= 2
 
 
-def shard_transforms(strings: list[bytes], limit: int = SHARD) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-    """Per shard: suffix order, transform, and the number of its first string and where its strings start, as one array.
-
-    Symbols: 0 closes the shard, 1 closes a string, bytes follow from 2 on.
-    """
+def shard_transforms(strings: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Per shard: suffix order, transform, and the number of its first string and where its strings start, as one array."""
+    limit = max(SHARD, sum(map(len, strings)) // 200)
     orders, transforms, layouts, lo = [], [], [], 0
     while lo < len(strings):
         hi, size = lo, 0
@@ -103,9 +112,9 @@ def shard_transforms(strings: list[bytes], limit: int = SHARD) -> tuple[list[np.
             hi += 1
         flat = b"".join(s + b"\0" for s in strings[lo:hi])
         ends = np.cumsum([len(s) + 1 for s in strings[lo:hi]])
-        symbols = np.frombuffer(flat, np.uint8).astype(np.int16) + 2
-        symbols[ends - 1] = 1
-        symbols = np.concatenate([symbols, np.zeros(1, np.int16)])
+        symbols = np.frombuffer(flat, np.uint8) + np.uint8(FIRST_BYTE)
+        symbols[ends - 1] = CLOSE_STRING
+        symbols = np.concatenate([symbols, np.array([CLOSE_SHARD], np.uint8)])
         order = suffix_order(symbols)
         orders.append(order)
         transforms.append(symbols[order - 1])
@@ -117,25 +126,33 @@ def shard_transforms(strings: list[bytes], limit: int = SHARD) -> tuple[list[np.
 def merge_transforms(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Interleave of the shards' suffixes sorted by ``depth`` symbols, and the common prefix of each with the one before (at most ``depth``).
 
-    ``came`` says, for the present interleave, which entry of the joined transforms stands at a place. A round sorts it stably by symbol;
-    a shard's own suffixes keep their order, so the transforms are only read, never sorted.
+    The interleave holds places in the joined transforms. A round puts the preceding symbol in front of every suffix: its stable sort by
+    that symbol gives the new order, and each shard's own transform says which of its suffixes now stands there. So the
+    transforms are only read; no suffix is compared with another.
     """
     joined = np.concatenate(transforms)
-    shard = np.repeat(np.arange(len(transforms), dtype=np.uint16), [len(t) for t in transforms])
-    interleave, block = shard.copy(), np.zeros(len(joined), np.int64)
-    common = np.full(len(joined), depth, np.int32)
-    common[0] = 0
+    steps, at = [], 0
+    for t in transforms:
+        step = np.empty(len(t), np.int32)
+        step[np.argsort(t, kind="stable")] = np.arange(at, at + len(t), dtype=np.int32)
+        steps.append(step)
+        at += len(t)
+    before = np.concatenate(steps)  # the place, in the same shard, of the suffix that is one symbol longer
+    interleave, block = np.arange(len(joined), dtype=np.int32), np.zeros(len(joined), np.int32)
+    common = np.full(len(joined), depth, np.int16)
+    border = np.zeros(len(joined), bool)
     for h in range(1, depth + 1):
-        place = np.argsort(interleave, kind="stable")  # places of shard 0 in order, then of shard 1, ...
-        symbols = np.empty(len(joined), joined.dtype)
-        symbols[place] = joined
+        symbols = joined[interleave]
         order = np.argsort(symbols, kind="stable")
-        s, b = symbols[order], block[order]
-        interleave = interleave[order]
-        new = np.concatenate([[True], (s[1:] != s[:-1]) | (b[1:] != b[:-1])])
-        common[new & (common == depth)] = h - 1
-        block = np.cumsum(new) - 1
-        if block[-1] == len(block) - 1:
+        block = block[order]
+        new = np.concatenate([[True], block[1:] != block[:-1]])
+        count = np.bincount(symbols, minlength=256)
+        new[np.cumsum(count)[:-1][np.cumsum(count)[:-1] < len(joined)]] = True  # where the next symbol begins
+        interleave = before[interleave[order]]
+        common[new & ~border] = h - 1
+        border = new
+        block = np.cumsum(new, dtype=np.int32)
+        if block[-1] == len(joined):
             break
     return interleave, common
 
@@ -144,15 +161,14 @@ def repeated_places(strings: list[bytes], window: int) -> tuple[np.ndarray, np.n
     """All places (string, offset) of windows that occur at least twice, and a number per window."""
     orders, transforms, layouts = shard_transforms(strings)
     interleave, common = merge_transforms(transforms, window)
-    place = np.argsort(interleave, kind="stable")
-    string, offset, room = (np.empty(len(place), np.int64) for _ in range(3))
-    at = 0
+    string, offset, room = [], [], []
     for order, layout in zip(orders, layouts):
-        here = place[at : at + len(order)]
-        at += len(order)
         starts = layout[1:]
         which = np.minimum(np.searchsorted(starts, order, side="right") - 1, len(starts) - 2)
-        string[here], offset[here], room[here] = which + layout[0], order - starts[which], starts[which + 1] - 1 - order
+        string.append(which + layout[0])
+        offset.append(order - starts[which])
+        room.append(starts[which + 1] - 1 - order)
+    string, offset, room = (np.concatenate(x)[interleave] for x in (string, offset, room))
     interval = np.cumsum(common < window)
     valid = room >= window
     size = np.bincount(interval[valid], minlength=interval[-1] + 1)
@@ -160,6 +176,38 @@ def repeated_places(strings: list[bytes], window: int) -> tuple[np.ndarray, np.n
     return string[hit], offset[hit], interval[hit]
 
 
+def _share_a_seed(strings: list[bytes], bucket: np.ndarray, length: int) -> np.ndarray:
+    """Which strings have ``length`` bytes in common with another one of their bucket, by digest.
+
+    Strings that share a window share these too. Most strings that meet in a bucket do not: they hold the same short line.
+    """
+    if not strings or length <= 0:
+        return np.arange(len(strings))
+    found = np.zeros(len(strings), bool)
+    order = np.argsort(bucket, kind="stable").tolist()
+    lo = 0
+    while lo < len(order):  # whole buckets, so many that their digests take little memory
+        hi, size = lo, 0
+        while hi < len(order) and (size < 1 << 20 or bucket[order[hi]] == bucket[order[hi - 1]]):
+            size += len(strings[order[hi]])
+            hi += 1
+        some = order[lo:hi]
+        data = np.frombuffer(b"".join(strings[i] for i in some), np.uint8)
+        owner = np.repeat(np.array(some), [len(strings[i]) for i in some])
+        digests = sequence_digests(data.astype(U64) + U64(1), length)
+        n = len(digests)
+        whole = np.flatnonzero(owner[:n] == owner[length - 1 :])
+        digests = digests[whole] ^ mix(bucket[owner[whole]].astype(U64))
+        own = owner[whole]
+        by = np.argsort(digests)
+        d, o = digests[by], own[by]
+        same = np.flatnonzero(d[1:] == d[:-1])
+        found[o[same]] = True
+        found[o[same + 1]] = True
+        lo = hi
+    return np.flatnonzero(found)
+
+
 def _count(window: int):
     def count(table: pa.Table) -> pa.Table:
         fields, strings = unpack([v for v in table.column("packed").to_pylist() if v is not None])
@@ -169,13 +217,16 @@ def _count(window: int):
         later = _later(number, fields)
         gone = np.flatnonzero(later)
         ids, digests = [fields["id"][gone]], [fields["digest"][gone]]
-        starts, ends = [fields["start"][gone]], [fields["start"][gone] + fields["windows"][gone] + window - 1]
+        starts = [fields["start"][gone].astype(np.int64)]
+        ends = [starts[0] + fields["windows"][gone] + window - 1]
         # One reference per distinct string; a few documents with one id may each keep theirs.
         kept = np.flatnonzero(~later)
         first = kept[np.unique(number[kept], return_index=True)[1]]
         minimiser, inverse, sizes = np.unique(fields["minimiser"][first], return_inverse=True, return_counts=True)
-        shared = sizes[inverse] > 1
-        chosen = [i for i, s in zip(first.tolist(), shared.tolist()) if s or _periodic(strings[i], int(fields["windows"][i]), window)]
+        shared = np.flatnonzero(sizes[inverse] > 1)
+        seeds = _share_a_seed([strings[first[i]] for i in shared.tolist()], inverse[shared], window - SLACK)
+        chosen = first[shared[seeds]].tolist()
+        chosen += [i for i in np.delete(first, shared[seeds]).tolist() if _periodic(strings[i], int(fields["windows"][i]), window)]
         if chosen:
             string, offset, interval = repeated_places([strings[i] for i in chosen], window)
         else:
@@ -189,7 +240,7 @@ def _count(window: int):
             many = np.array([len(x) for x in lists])
             who = np.concatenate([np.array(lists[s]) for s in string.tolist()]) if many.max() > 1 else np.array([x[0] for x in lists])[string]
             offset, interval = np.repeat(offset, many[string]), np.repeat(interval, many[string])
-            spot = {"id": fields["id"][who], "digest": fields["digest"][who], "start": fields["start"][who] + offset}
+            spot = {"id": fields["id"][who], "digest": fields["digest"][who], "start": fields["start"][who].astype(np.int64) + offset}
             after = _later(interval, spot)
             ids.append(spot["id"][after])
             digests.append(spot["digest"][after])
@@ -202,7 +253,7 @@ def _count(window: int):
 
 def _periodic(string: bytes, windows: int, window: int) -> bool:
     """Whether a run may hold one window twice: then the bytes that all its windows share stand in it once more."""
-    return windows > window - GRAM or (windows > 1 and string.find(string[windows - 1 : window], windows) >= 0)
+    return windows > window - GRAM + 1 or (windows > 1 and string.find(string[windows - 1 : window], windows) >= 0)
 
 
 def _keep_bytes(text: str, starts: list[int], ends: list[int]) -> tuple[int, int, int, str, bytes]:

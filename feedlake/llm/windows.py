@@ -147,14 +147,14 @@ def spans_by_document(ids: np.ndarray, digests: np.ndarray, starts: np.ndarray,
         yield int(ids[a]), int(digests[a]), np.stack([s, e], 1).ravel().tolist()
 
 
-#: Occurrences of packed strings, one array per field.
-FIELDS = [("minimiser", "<u8"), ("id", "<i8"), ("digest", "<i8"), ("start", "<i8"), ("windows", "<i4"), ("mark", "|u1"), ("length", "<i4")]
+#: Occurrences of packed strings, one array per field. Of a minimiser, four bytes travel: two that agree in them share a bucket, no more.
+FIELDS = [("minimiser", "<u4"), ("id", "<i8"), ("digest", "<i4"), ("start", "<i4"), ("windows", "<u2"), ("mark", "|u1"), ("length", "<i4")]
 
 
 def pack(fields: dict[str, np.ndarray], strings: list[bytes]) -> bytes:
     """Occurrences and their strings as one compressed value."""
     head = np.array([len(strings)], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=2).compress(head + b"".join(fields[n].astype(t).tobytes() for n, t in FIELDS) + b"".join(strings))
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(fields[n].astype(t).tobytes() for n, t in FIELDS) + b"".join(strings))
 
 
 def unpack(values: list[bytes]) -> tuple[dict[str, np.ndarray], list[bytes]]:
@@ -210,7 +210,7 @@ class Gatherer:
         decided, travels, fields["mark"] = self.settle(numbered_strings(strings), fields)
         rows = []
         if decided.any():
-            starts = fields["start"][decided]
+            starts = fields["start"][decided].astype(np.int64)
             ends = starts + fields["windows"][decided] + self.window - 1
             for i, d, spans in spans_by_document(fields["id"][decided], fields["digest"][decided], starts, ends):
                 rows.append((d % self.parts, None, i, d, spans))
