@@ -12,21 +12,28 @@ FEED_TYPES = ("rss", "link", "")
 # Conversion quality by name; any other name counts as 'good'.
 QUALITY_LEVELS = {"best": "0", "good": "2", "medium": "5"}
 DEFAULT_QUALITY = "2"
-# Offsets of the zone names allowed in mail-style dates. Other names count as UTC.
+# Offsets of zone names in dates. A name that is not listed here, or is used for several zones, counts as UTC.
 ZONE_OFFSETS = {
-    "EST": "-05:00", "EDT": "-04:00", "CST": "-06:00", "CDT": "-05:00",
-    "MST": "-07:00", "MDT": "-06:00", "PST": "-08:00", "PDT": "-07:00",
+    "EST": "-05:00", "EDT": "-04:00", "CST": "-06:00", "CDT": "-05:00", "MST": "-07:00", "MDT": "-06:00", "PST": "-08:00", "PDT": "-07:00",
+    "AKST": "-09:00", "AKDT": "-08:00", "HST": "-10:00", "WEST": "+01:00", "BST": "+01:00", "CET": "+01:00", "CEST": "+02:00",
+    "EET": "+02:00", "EEST": "+03:00", "MSK": "+03:00", "JST": "+09:00", "KST": "+09:00", "AEST": "+10:00", "AEDT": "+11:00",
+    "NZST": "+12:00", "NZDT": "+13:00",
 }
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
-_CLOCK = r"(?:,? ([0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?))?(?: ?([A-Z]{1,5}|[+-][0-9]{2}:?[0-9]{2}))?$"
-# Shapes of written dates, and their year, month, day, time and zone.
+_OFFSET = r"(?: ?([Zz]|[+-][0-9]{2}:?[0-9]{2}))?$"
+_CLOCK = r"(?:,? (?:at )?([0-9]{1,2}(?::[0-9]{2}){1,2}|[0-9]{1,2}(?= ?[AP]M))(?: ?([AP])M)?)?" + _OFFSET
+# Shapes of written dates, and their year, month, day, time, half of the day and offset. A first number above 12 is a day.
 _SHAPES = (
-    (r"^([0-9]{1,2})[ -]([A-Za-z]{3})[a-z]*[.]?,?[ -]([0-9]{4}|[0-9]{2})" + _CLOCK, "$3|$2|$1|$4|$5"),
-    (r"^([A-Za-z]{3})[a-z]*[.]? ([0-9]{1,2}),? ([0-9]{4})" + _CLOCK, "$3|$1|$2|$4|$5"),
-    (r"^([A-Za-z]{3}) ([0-9]{1,2}) ([0-9]{1,2}:[0-9]{2}:[0-9]{2}) ([0-9]{4})$", "$4|$1|$2|$3|"),
-    (r"^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})" + _CLOCK, "$1|$2|$3|$4|$5"),
-    (r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})" + _CLOCK, "$3|$1|$2|$4|$5"),
-    (r"^([0-9]{4})([0-9]{2})([0-9]{2})$", "$1|$2|$3||"),
+    (r"^([0-9]{1,2})[ -]([A-Za-z]{3})[a-z]*[.]?,?[ -]([0-9]{4}|[0-9]{2})" + _CLOCK, "$3|$2|$1|$4|$5|$6"),
+    (r"^([A-Za-z]{3})[a-z]*[.]? ([0-9]{1,2}),? ([0-9]{4})" + _CLOCK, "$3|$1|$2|$4|$5|$6"),
+    (r"^([A-Za-z]{3}) ([0-9]{1,2}) ([0-9]{1,2}:[0-9]{2}:[0-9]{2}) ([0-9]{4})$", "$4|$1|$2|$3||"),
+    (r"^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})" + _CLOCK, "$1|$2|$3|$4|$5|$6"),
+    (r"^(1[3-9]|2[0-9]|3[01])/([0-9]{1,2})/([0-9]{4})" + _CLOCK, "$3|$2|$1|$4|$5|$6"),
+    (r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})" + _CLOCK, "$3|$1|$2|$4|$5|$6"),
+    (r"^([0-9]{4})([0-9]{2})([0-9]{2})$", "$1|$2|$3|||"),
+    (r"^([0-9]{4})([0-9]{2})([0-9]{2})[Tt ]?([0-9]{2})([0-9]{2})([0-9]{2})" + _OFFSET, "$1|$2|$3|$4:$5:$6||$7"),
+    (r"^([0-9]{4})([0-9]{2})([0-9]{2})[Tt ]?([0-9]{2})([0-9]{2})" + _OFFSET, "$1|$2|$3|$4:$5||$6"),
+    (r"^([0-9]{4})-([0-9]{2})-([0-9]{2}) ([0-9]{1,2}(?::[0-9]{2}){0,2}) ?([AP])M" + _OFFSET, "$1|$2|$3|$4|$5|$6"),
 )
 
 
@@ -44,16 +51,17 @@ def duration_seconds(text: str | Column) -> Column:
 
     def seconds(parts: Column) -> Column:
         whole = F.forall(parts, lambda p: F.rlike(strip(p), F.lit(r"^[+-]?[0-9]+(_[0-9]+)*$")))
-        total = F.aggregate(F.transform(parts, _to_long), F.lit(0).cast("bigint"), lambda sum_, n: sum_ * 60 + n)
+        sixty = F.lit(60).cast("decimal(38,0)")
+        total = F.aggregate(F.transform(parts, _to_number), F.lit(0).cast("decimal(38,0)"),
+                            lambda sum_, n: F.try_add(F.try_multiply(sum_, sixty), n).try_cast("decimal(38,0)"))
         return F.when(whole & (F.size(parts) <= 3), total).try_cast("int")
 
     return let(F.split(col(text), ":"), seconds)
 
 
-def _to_long(part: Column) -> Column:
-    # Longer numbers do not fit the column; leaving them out keeps the products from overflowing.
-    digits = F.replace(strip(part), F.lit("_"), F.lit(""))
-    return F.when(F.length(digits) <= 10, digits.try_cast("bigint"))
+def _to_number(part: Column) -> Column:
+    """A whole number of any sign and with any leading zeros; what does not fit 38 digits does not fit the column either."""
+    return F.replace(strip(part), F.lit("_"), F.lit("")).try_cast("decimal(38,0)")
 
 
 def published_date(text: str | Column) -> Column:
@@ -61,21 +69,40 @@ def published_date(text: str | Column) -> Column:
 
     Written dates are put into ISO form by their shape and then cast, which costs far less than trying one pattern after another.
     """
-    return let(strip(text), lambda raw: F.when(F.rlike(raw, F.lit(r"^[0-9]{4}-[0-9]{2}")), _iso_time(raw)).otherwise(_written_time(raw)))
+    zones = F.create_map(*[F.lit(x) for pair in ZONE_OFFSETS.items() for x in pair])
+
+    def plain(raw: Column) -> Column:
+        """Without a weekday in front, a remark behind, ordinals and parts of seconds."""
+        steps = ((r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*[.]?,?\s+", ""), (r"\s*\([^()]*\)$", ""), (r"\s+", " "),
+                 (r"(?i)\b([0-9]{1,2})(st|nd|rd|th)\b", "$1"), (r"(:[0-9]{2})[.,][0-9]+", "$1"), (r"(?i)([0-9]) ?([ap])[.]?m[.]?(?=$| )", "$1 $2M"),
+                 (r"(?i) ?(gmt|utc) ?(?=[+-][0-9]{2}:?[0-9]{2}$)", ""))
+        for pattern, to in steps:
+            raw = F.regexp_replace(raw, pattern, to)
+        return F.regexp_replace(F.regexp_replace(raw, r" aM(?=$| )", " AM"), r" pM(?=$| )", " PM")
+
+    def zoned(text: Column) -> Column:
+        """A zone name behind the time becomes its offset."""
+        name = F.upper(F.regexp_extract(text, r"(?:[0-9]|[0-9] [AP]M) ?((?![AaPp]M$|[Zz]$)[A-Za-z]{1,5})$", 1))
+        offset = F.coalesce(F.try_element_at(zones, name), F.lit("+00:00"))
+        return F.when(name == "", text).otherwise(F.concat(F.rtrim(F.substr(text, F.lit(1), F.length(text) - F.length(name))), offset))
+
+    def time(text: Column) -> Column:
+        iso = F.rlike(text, F.lit(r"^[0-9]{4}-[0-9]{2}")) & ~F.rlike(text, F.lit("[AP]M"))
+        return F.when(iso, _iso_time(text)).otherwise(_written_time(text))
+
+    return let(let(plain(strip(text)), zoned), time)
 
 
 def _iso_time(raw: Column) -> Column:
-    whole = F.regexp_replace(F.regexp_replace(raw, r"[.][0-9]+", ""), r"([T ][0-9]{2}:[0-9]{2})(?=$|[Zz+-])", "$1:00")
+    whole = F.regexp_replace(F.regexp_replace(raw, r" (?=[Zz+-])", ""), r"([T ][0-9]{2}:[0-9]{2})(?=$|[Zz+-])", "$1:00")
     zoned = F.rlike(whole, F.lit(r"[0-9]{2}:[0-9]{2}.*([Zz]|[+-][0-9]{2}:?[0-9]{2})$"))
     instant = F.regexp_replace(whole, r"([0-9][+-][0-9]{2})([0-9]{2})$", "$1:$2").try_cast("timestamp")
     return F.when(zoned, utc_wall_clock(instant)).otherwise(whole.try_cast("timestamp_ntz"))
 
 
-def _written_time(raw: Column) -> Column:
-    """A weekday in front is left out; the zone may be an offset, a name, or missing."""
-    plain = F.regexp_replace(F.regexp_replace(raw, r"^(Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,?\s+", ""), r"\s+", " ")
+def _written_time(text: Column) -> Column:
+    """A date in one of the written shapes, its zone already an offset."""
     months = F.create_map(*[F.lit(x) for i, name in enumerate(MONTHS, 1) for x in (name, f"{i:02d}")])
-    zones = F.create_map(*[F.lit(x) for pair in ZONE_OFFSETS.items() for x in pair])
 
     def parts(text: Column) -> Column:
         found = F
@@ -84,16 +111,20 @@ def _written_time(raw: Column) -> Column:
         return found
 
     def iso(p: Column) -> Column:
-        year, month, day, time, zone = (F.get(p, F.lit(i)) for i in range(5))
+        year, month, day, time, half, zone = (F.get(p, F.lit(i)) for i in range(6))
         century = F.when(F.length(year) > 2, F.lit("")).when(year < "90", F.lit("20")).otherwise(F.lit("19"))
         number = F.coalesce(F.try_element_at(months, F.lower(month)), month)
-        clock = F.concat(time, F.when(time == "", F.lit("00:00:00")).when(F.length(time) < 6, F.lit(":00")).otherwise(F.lit("")))
+        hour = F.split_part(time, F.lit(":"), F.lit(1)).try_cast("int")
+        # 12 is the first hour of either half; a half with any other hour above 12 is no time.
+        of_half = F.when(hour.between(1, 12), F.lpad((hour % 12 + F.when(half == "P", 12).otherwise(0)).cast("string"), 2, "0"))
+        rest = F.substr(time, F.length(F.split_part(time, F.lit(":"), F.lit(1))) + 1)
+        clock = F.when(time == "", F.lit("00")).when(half == "", F.lpad(F.split_part(time, F.lit(":"), F.lit(1)), 2, "0")).otherwise(of_half)
+        clock = F.concat(clock, rest, F.repeat(F.lit(":00"), 2 - F.length(F.regexp_replace(rest, "[^:]", ""))))
         offset = F.regexp_replace(zone, "^([+-][0-9]{2}):?([0-9]{2})$", "$1:$2")
-        offset = F.when(F.startswith(offset, F.lit("+")) | F.startswith(offset, F.lit("-")), offset)
-        offset = F.coalesce(offset, F.try_element_at(zones, zone), F.lit("+00:00"))
+        offset = F.when(offset.isin("", "Z", "z"), F.lit("+00:00")).otherwise(offset)
         return F.concat(century, year, F.lit("-"), number, F.lit("-"), day, F.lit("T"), clock, offset)
 
-    return utc_wall_clock(let(let(plain, parts), iso).try_cast("timestamp"))
+    return utc_wall_clock(let(let(text, parts), iso).try_cast("timestamp"))
 
 
 def feed_name(text: str | Column, title: str | Column) -> Column:

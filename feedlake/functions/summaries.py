@@ -149,7 +149,6 @@ def frequent_words(text: str | Column, n: int, shortest: int = 4) -> Column:
 
 def rule_summary(
     text: str | Column,
-    companies: list[tuple[str, str]] = (),
     n_overview: int = 3,
     n_topics: int = 5,
     n_quotes: int = 3,
@@ -158,25 +157,13 @@ def rule_summary(
     """Fill the summary struct by rules: the stand-in for a hosted model, with the same output.
 
     Overview: first sentences. Topics: most frequent words of at least four letters. Quotes: longest sentences, the earlier first.
-    Observations: first sentences with a digit. Companies: names of the given ``(name, industry)`` list found as words. Blank text
-    has no summary. Every text is worked out on its own, so there is no shuffle.
+    Observations: first sentences with a digit. Companies are left empty; ``operators.mentions`` finds them with a table of names. Blank
+    text has no summary. Every text is worked out on its own, so there is no shuffle.
     """
     topics = F.transform(frequent_words(text, n_topics), lambda c: F.struct(
         c["word"].alias("topic"),
         F.concat(F.lit("Mentioned "), (-c["less"]).cast("string"), F.lit(" times")).alias("description")))
 
-    def mentions() -> Column:
-        if not companies:
-            return F.array()
-        listed = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(i).alias("industry")) for n, i in companies])
-        names = [n.lower() for n, _ in companies]
-        # Only the listed words are kept, so that each name is looked up in a short array.
-        words = F.filter(F.split(F.lower(col(text)), r"[^\p{L}]+"), lambda w: w.isin(*names))
-        return let(F.array_distinct(words), lambda said: F.transform(
-            F.filter(listed, lambda c: F.array_contains(said, F.lower(c["name"]))), lambda c: F.struct(
-                c["name"].alias("name"), c["industry"].alias("industry"), F.lit("Named in the transcript").alias("context"),
-                F.lit("").alias("details"))))
-
     def filled(said: Column) -> Column:
         by_length = F.sort_array(F.transform(said, lambda s, i: F.struct((-F.length(s)).alias("less"), i.alias("at"))))
         quotes = F.transform(F.slice(by_length, 1, n_quotes), lambda q: F.struct(
@@ -185,7 +172,7 @@ def rule_summary(
         observations = F.slice(F.filter(said, lambda s: F.rlike(s, F.lit("[0-9]"))), 1, n_observations)
         fields = {
             "key_topics": topics, "actionable_quotes": quotes, "investment_theses": F.array(),
-            "noteworthy_observations": observations, "company_mentions": mentions(),
+            "noteworthy_observations": observations, "company_mentions": F.array(),
         }
         return F.when(F.size(said) > 0, F.struct(
             F.lit("Unknown").alias("host_and_guest"),

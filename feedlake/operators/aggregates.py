@@ -80,11 +80,11 @@ def text_lengths(transcripts: DataFrame, by: str) -> DataFrame:
     )
 
 
-def stage_runs(logs: DataFrame, group_limit: int = 1_000_000) -> DataFrame:
+def stage_runs(logs: DataFrame) -> DataFrame:
     """Each 'started' log row with the next row of the same item and stage, if that one ends the run."""
     order = ["timestamp", "id"]
     slim = logs.select("episode_id", "stage", "status", *order)
-    followed = with_next(slim, ["episode_id", "stage"], order, ["status", "timestamp"], group_limit)
+    followed = with_next(slim, ["episode_id", "stage"], order, ["status", "timestamp"])
     ended = F.col("next_status").isin("success", "error")
     seconds = F.timestamp_diff("SECOND", F.col("timestamp"), F.col("next_timestamp"))
     return followed.filter(F.col("status") == LOG_STATUSES[0]).select(

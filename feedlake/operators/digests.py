@@ -20,7 +20,7 @@ TITLE = "Your Weekly Podcast Digest"
 CONTENTS = "This Week's Episodes"
 EMPTY_TEXT = "No podcast episodes were processed this week."
 EMPTY_SUBTITLE = "No episodes processed this week"
-EMPTY_BODY = "No podcast episodes were processed in the last 7 days."
+EMPTY_BODY = "No podcast episodes were processed in the last 7 days. Check your feeds or processing status."
 HTML_HEAD = '<!DOCTYPE html>\n<html>\n<head><meta charset="UTF-8"></head>\n<body>'
 HTML_FOOT = '<div class="footer"><p>This is an automated weekly digest.</p></div>\n</body>\n</html>'
 TEXT_FOOT = "\n" + "=" * 50 + "\nGenerated by feedlake"

@@ -9,43 +9,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 Model = Callable[[str], str]
+BatchModel = Callable[[list[str]], list[str | None]]
+
+
+def _text_or_error(answer) -> tuple[str | None, str | None]:
+    if answer is None or isinstance(answer, str):
+        return answer, None
+    return None, f"TypeError: the reply is {type(answer).__name__}, not str"
 
 
 def apply_model(
     df: DataFrame,
     text: str,
-    make_model: Callable[..., Model],
+    make_model: Callable[..., Model | BatchModel],
     reply: str = "reply",
     error: str = "error",
     partitions: int | None = None,
+    batch_size: int | None = None,
     **options,
 ) -> DataFrame:
     """Replace the column ``text`` by the model's ``reply`` and an ``error`` text.
 
     ``make_model(**options)`` is called once per task and returns a function from prompt to reply, for example a client of a hosted
-    model with ``temperature`` and ``max_tokens``. A row that fails gets a NULL reply and its error; the job goes on. ``partitions``
-    spreads the rows and so sets how many tasks call the model at a time. Write the result before using it twice: a second
-    action would call the model again.
+    model with ``temperature`` and ``max_tokens``; if it fails, the task fails, since no row could be answered. With ``batch_size`` the
+    function takes a list of at most so many prompts, which it may send at once, and returns a list of as many replies. A row that
+    fails, or whose reply is no string, gets a NULL reply and its error; the job goes on. So does each row of a batch that fails.
+    ``partitions`` spreads the rows and so sets how many tasks call the model at a time. Write the result before using it twice: a
+    second action would call the model again.
     """
     kept = [f for f in df.schema.fields if f.name != text]
     schema = T.StructType([*kept, T.StructField(reply, T.StringType()), T.StructField(error, T.StringType())])
     names = [f.name for f in kept]
     rows = df.repartition(partitions) if partitions else df
 
+    def ask(model, prompts: list[str]) -> list[tuple[str | None, str | None]]:
+        try:
+            answers = list(model(prompts)) if batch_size else [model(prompts[0])]
+            if len(answers) != len(prompts):
+                raise ValueError(f"{len(answers)} replies to {len(prompts)} prompts")
+        except Exception as e:  # bad rows must not end the job
+            return [(None, f"{type(e).__name__}: {e}")] * len(prompts)
+        return [_text_or_error(a) for a in answers]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = None
         for batch in batches:
-            replies, errors = [], []
-            for value in batch[text]:
-                answer, problem = None, None
-                if value is not None:
-                    try:
-                        model = model or make_model(**options)
-                        answer = model(value)
-                    except Exception as e:  # one bad row must not end the job
-                        problem = f"{type(e).__name__}: {e}"
-                replies.append(answer)
-                errors.append(problem)
-            yield batch[names].assign(**{reply: replies, error: errors})
+            found: list[tuple[str | None, str | None]] = [(None, None)] * len(batch)
+            asked = [(i, value) for i, value in enumerate(batch[text]) if value is not None]
+            if asked and model is None:
+                model = make_model(**options)
+            for lo in range(0, len(asked), batch_size or 1):
+                some = asked[lo : lo + (batch_size or 1)]
+                for (i, _), answer in zip(some, ask(model, [value for _, value in some])):
+                    found[i] = answer
+            yield batch[names].assign(**{reply: [a for a, _ in found], error: [e for _, e in found]})
 
     return rows.mapInPandas(run, schema)

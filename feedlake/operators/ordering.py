@@ -41,17 +41,12 @@ def with_position(df: DataFrame, *order: str | Column, into: str = "position", s
     )
 
 
-def with_next(df: DataFrame, keys: list[str], order: list[str], fields: list[str], group_limit: int = 1_000_000) -> DataFrame:
+def with_next(df: DataFrame, keys: list[str], order: list[str], fields: list[str]) -> DataFrame:
     """Add ``next_<field>``: the fields of the following row with the same keys. ``keys + order`` must be unique.
 
-    Groups up to ``group_limit`` rows take an ordinary window. If a larger one exists, the rows are cut into slices instead, each
-    slice also gets the first row of the slice after it, and the window runs per slice.
+    The rows are cut into slices, so that a group may be of any size; each slice also gets the first row of the slice after it, and the
+    window runs per slice.
     """
-    largest = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest <= group_limit:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return df.select("*", *[F.lead(f).over(window).alias(f"next_{f}") for f in fields])
-
     rows = sliced(df, *keys, *order)
     kept = rows.withColumn("_border", F.lit(False))
     # One row per slice, so the window below stays small whatever the data.

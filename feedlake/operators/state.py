@@ -40,13 +40,17 @@ def hash_id(*natural_key: str) -> Column:
     return F.xxhash64(*natural_key)
 
 
-def stored_matches(stored: DataFrame, batch: DataFrame, key: str, limit: int = 200_000) -> DataFrame:
-    """The stored rows that a small batch can meet; the whole table for a batch with more than ``limit`` distinct keys.
+def shared_ids(*tables: DataFrame) -> DataFrame:
+    """``(id, n)`` of ids that more than one row has, over all tables: hash ids are 64 bits wide, so large loads should check them."""
+    ids = tables[0].select("id")
+    for table in tables[1:]:
+        ids = ids.unionAll(table.select("id"))
+    return ids.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
 
-    The keys of a counted small batch are broadcast, so a big table is filtered where it is read instead of being shuffled.
-    """
-    keys = batch.select(key).distinct()
-    return stored.join(F.broadcast(keys), key, "left_semi").select(*stored.columns) if keys.count() <= limit else stored
+
+def stored_matches(stored: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+    """The stored rows that a batch can meet. The join kind is left to Spark, which knows the size of a batch that has been written."""
+    return stored.join(batch.select(key).distinct(), key, "left_semi").select(*stored.columns)
 
 
 def _own_key(key: str, order: tuple[str, ...]) -> Column:
@@ -194,17 +198,16 @@ def save_transcripts(transcripts: DataFrame, saves: DataFrame) -> DataFrame:
     """Apply a batch ``(episode_id, *fields, at, seq)``: insert, or overwrite the fields that are not NULL ('' does overwrite)."""
     changes = saves.groupBy("episode_id").agg(
         *[_last(F.col(f), F.col(f).isNotNull()).alias(f"n_{f}") for f in TRANSCRIPT_FIELDS],
-        F.min("at").alias("n_first_at"),
+        F.min(F.struct("at", "seq")).alias("n_first"),
         F.max("at").alias("n_last_at"),
     )
-    firsts = saves.groupBy("episode_id").agg(F.min(F.struct("at", "seq")).alias("first"))
-    unseen = firsts.join(transcripts.select("episode_id"), "episode_id", "left_anti").select(
-        "episode_id", F.col("first.at").alias("at"), F.col("first.seq").alias("seq")
+    unseen = changes.join(transcripts.select("episode_id"), "episode_id", "left_anti").select(
+        "episode_id", F.col("n_first.at").alias("at"), F.col("n_first.seq").alias("seq")
     )
     new_ids = with_new_ids(unseen, last_id(transcripts), "at", "seq", "episode_id", into="n_id").select("episode_id", "n_id")
     merged = {
         "id": F.coalesce("id", "n_id"),
-        "created_at": F.coalesce("created_at", "n_first_at"),
+        "created_at": F.coalesce("created_at", "n_first.at"),
         "updated_at": F.coalesce("n_last_at", "updated_at"),
         **{f: F.coalesce(f"n_{f}", f) for f in TRANSCRIPT_FIELDS},
     }

@@ -47,7 +47,7 @@ class Sync:
 
 
 def incoming_items(fetched: DataFrame, feeds: DataFrame, as_of: str | datetime, max_age_days: int | None) -> DataFrame:
-    """Recent audio items of the enabled feeds; ``fetched`` is ``(url, xml)`` and may have a ``payload_no``."""
+    """Recent audio items of the enabled feeds; ``fetched`` is ``(payload_no, url, xml)``."""
     enabled = joins.enabled_feeds(feeds).select(F.col("id").alias("feed_id"), "url")
     documents_ = payloads.parsed(fetched.join(enabled, "url"))
     items = payloads.episode_items(payloads.raw_items(documents_))
@@ -66,12 +66,15 @@ def sync_feeds(
 ) -> Sync:
     """Take up the new items of all enabled feeds in one job.
 
+    ``fetched`` is ``(payload_no, url, xml)``; the number, unique per payload, settles which of two payloads of a feed comes first.
     ``configured`` is an optional batch of feeds ``(pos, name, url, enabled)`` to add or update first.
     """
+    if "payload_no" not in fetched.columns:
+        raise ValueError("fetched needs a payload_no: without it, the order of two payloads of one feed is undefined")
     if configured is not None:
         feeds = materialize(state.upsert_feeds(feeds, state.feed_outcomes(feeds, configured), as_of))
     items = incoming_items(fetched, feeds, as_of, max_age_days)
-    order = ("feed_id", "payload_no", "pos") if "payload_no" in items.columns else ("feed_id", "pos")
+    order = ("feed_id", "payload_no", "pos")
     # Written once, by the numbering or here, so that the results below do not parse the documents again.
     inserted = state.insert_items(episodes, items, None, as_of, order, ids)
     if ids == "hash":

@@ -34,10 +34,12 @@ def _feed_elements(document: bytes) -> Iterator[ElementTree.Element]:
             waiting.extend(reversed(outline.findall("outline")))
 
 
-def _rows(file: str, document: bytes) -> list[dict]:
+def _rows(file: str, document) -> list[dict]:
     try:
-        found = [{c: e.get(a) for c, a in _ATTRIBUTES.items()} for e in _feed_elements(document)]
-    except (ElementTree.ParseError, ValueError) as e:
+        if document is None:
+            raise ValueError("no content")
+        found = [{c: e.get(a) for c, a in _ATTRIBUTES.items()} for e in _feed_elements(bytes(document))]
+    except Exception as e:  # whatever is wrong with one document, such as an unknown encoding, must not end the job
         found = [{"error": f"{type(e).__name__}: {e}"}]
     return [{"file": file, "pos": pos, **row} for pos, row in enumerate(found)]
 
@@ -47,7 +49,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rows: list[dict] = []
     for batch in batches:
         for file, document in zip(batch["file"], batch["content"]):
-            rows += _rows(file, bytes(document))
+            rows += _rows(file, document)
             if len(rows) >= _ROWS_PER_FRAME:
                 yield pd.DataFrame(rows, columns=columns, dtype=object)
                 rows = []

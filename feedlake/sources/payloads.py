@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import feeds as ff
+from ..functions.basic import let
 
 _LINKS = "ARRAY<STRUCT<_VALUE: STRING, _href: STRING, _rel: STRING, _type: STRING>>"
 _ITEM = (
@@ -22,9 +23,60 @@ _DOCUMENT = (
 )
 
 
+# The namespaces whose elements are read, by the prefix that the schema uses.
+NAMESPACES = {
+    "itunes": "http://www.itunes.com/dtds/podcast-1.0.dtd", "atom": "http://www.w3.org/2005/Atom",
+    "dc": "http://purl.org/dc/elements/1.1/", "content": "http://purl.org/rss/1.0/modules/content/",
+}
+_BLOCKS = r"(?s)<(item|entry)(?=[\s>])[^>]*>.*?</\1\s*>"
+# Characters that no XML document may hold, and ampersands that start none of the five known entities or a number.
+_CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
+_BARE_AMPERSAND = r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]{1,7}|#x[0-9A-Fa-f]{1,6});)"
+
+
+def _usual_prefixes(xml: Column) -> Column:
+    """Elements of the known namespaces under the prefix that the schema uses, whatever prefix the document binds to them."""
+
+    def renamed(prefix: str, address: str):
+        binding = rf"""xmlns:([A-Za-z_][A-Za-z0-9_-]*)\s*=\s*["']{address.replace(".", "[.]")}["']"""
+
+        def rename(text: Column) -> Column:
+            bound = F.regexp_extract(text, binding, 1)
+            changed = F.regexp_replace(text, F.concat(F.lit("<(/?)"), bound, F.lit(":")), F.lit(f"<$1{prefix}:"))
+            return F.when(F.contains(text, F.lit(address)) & ~bound.isin("", prefix), changed).otherwise(text)
+
+        return rename
+
+    for prefix, address in NAMESPACES.items():
+        xml = let(xml, renamed(prefix, address))
+    return xml
+
+
+def _repaired(xml: Column) -> Column:
+    """The document up to its first item, its complete items that can be read, and the end tags it needs."""
+
+    def whole(text: Column) -> Column:
+        blocks = F.filter(F.regexp_extract_all(text, F.lit(_BLOCKS), F.lit(0)), lambda b: F.from_xml(b, _DOCUMENT)["_corrupt_record"].isNull())
+        head = F.get(F.split(text, r"<(item|entry)(?=[\s>])", 2), F.lit(0))
+        root = F.regexp_extract(head, r"<(rss|feed|rdf:RDF)(?=[\s>])", 1)
+        channel = F.when(F.rlike(head, F.lit(r"<channel[\s>]")) & ~F.contains(head, F.lit("</channel>")), F.lit("</channel>")).otherwise(F.lit(""))
+        return F.concat(head, F.array_join(blocks, ""), channel, F.lit("</"), root, F.lit(">"))
+
+    return let(F.regexp_replace(F.regexp_replace(xml, _CONTROLS, ""), _BARE_AMPERSAND, "&amp;"), whole)
+
+
 def parsed(payloads: DataFrame, xml: str = "xml") -> DataFrame:
-    """Add ``document``; a malformed payload gives a document without a title and without items, and does not end the job."""
-    return payloads.withColumn("document", F.from_xml(F.col(xml), _DOCUMENT)).drop(xml)
+    """Add ``document``.
+
+    A malformed payload does not end the job. It is repaired as far as its header and its complete items allow, so that only what is broken
+    is lost; if even its header cannot be read, the document has no title and no items.
+    """
+
+    def read(text: Column) -> Column:
+        return let(F.from_xml(text, _DOCUMENT), lambda d: F.when(
+            d["_corrupt_record"].isNull(), d).otherwise(let(F.from_xml(_repaired(text), _DOCUMENT), lambda r: r.withField("_corrupt_record", text))))
+
+    return payloads.withColumn("document", let(_usual_prefixes(F.col(xml)), read)).drop(xml)
 
 
 def _page(links: Column) -> Column:

@@ -39,10 +39,6 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal the rows out over all cores when the input has fewer splits than there are cores, as a single small file has.
-
-    For steps that work long on each row. Input with more splits, so any large table, is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, key: str, partitions: int) -> DataFrame:
+    """Deal the rows out into ``partitions`` by key: for steps that work long on each row of a table that is stored in a few files."""
+    return df.repartition(partitions, key)

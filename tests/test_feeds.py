@@ -111,7 +111,7 @@ def test_age_rule(spark):
 
 def sync(spark, payload_rows, episodes=(), **options):
     feeds = table(spark, "feeds", [(1, "A", "ua", True, None, None), (2, "B", "ub", True, None, None), (3, "C", "uc", False, None, None)])
-    fetched = spark.createDataFrame(payload_rows, "url string, xml string")
+    fetched = spark.createDataFrame([(n, *row) for n, row in enumerate(payload_rows)], "payload_no int, url string, xml string")
     return jobs.sync_feeds(feeds, table(spark, "episodes", episodes), table(spark, "processing_status"), fetched, datetime(2024, 3, 10), 30, **options)
 
 
@@ -159,3 +159,13 @@ def test_quality_and_shortening(spark):
 def test_media_type_filter(spark):
     df = spark.createDataFrame([("rss", "u"), ("link", "u"), ("", "u"), (None, "u"), ("video", "u"), ("video", "https://RSS"), ("RSS", "u")], "t string, u string")
     assert [r[0] for r in df.select(F.coalesce(ff.is_feed("t", "u"), F.lit(None))).collect()] == [True, True, True, True, False, True, False]
+
+
+def test_two_payloads_of_one_feed(spark):
+    """The first payload wins; without numbers the order would be undefined, and is refused."""
+    rows = [("ua", RSS.format(items=item("same"))), ("ua", RSS.format(items=item("other") + item("same")))]
+    result = sync(spark, rows).inserted.orderBy("id").collect()
+    assert [r.guid for r in result] == ["same", "other"]
+    with pytest.raises(ValueError, match="payload_no"):
+        jobs.sync_feeds(table(spark, "feeds"), table(spark, "episodes"), table(spark, "processing_status"),
+                        spark.createDataFrame(rows, "url string, xml string"), datetime(2024, 3, 10))

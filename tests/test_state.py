@@ -123,4 +123,9 @@ def test_small_batches_filter_the_stored_rows(spark):
     stored = spark.range(100).select(F.col("id").cast("string").alias("guid"), "id")
     batch = spark.createDataFrame([("5",), ("5",), ("x",)], "guid string")
     assert state.stored_matches(stored, batch, "guid").collect() == [("5", 5)]
-    assert state.stored_matches(stored, batch, "guid", limit=1).count() == 100
+
+
+def test_shared_ids(spark):
+    a, b = spark.range(5), spark.createDataFrame([(4,), (7,), (7,)], "id long")
+    assert {(r.id, r.n) for r in state.shared_ids(a, b).collect()} == {(4, 2), (7, 2)}
+    assert state.shared_ids(a).count() == 0

@@ -13,6 +13,7 @@ from feedlake.functions import summaries as fs
 from feedlake.functions import text as ft
 from feedlake.functions.basic import WHITESPACE, strip
 from feedlake.operators.aggregates import time_coded_parts
+from feedlake.operators import mentions
 from feedlake.operators.inference import apply_model
 from feedlake.plans import jobs
 from feedlake.schemas import SUMMARY, TABLES
@@ -211,7 +212,7 @@ def test_summary_files(spark, form, json_path, markdown_path):
 
 def test_rule_summary(spark):
     text = "Alpha beta alpha gamma. Acme sells 3 gammas to BETA\nand alpha. Short. One more sentence that is the longest of all"
-    made = column(spark, [text, "", " \n", None]).select(fs.rule_summary("text", [("Acme", "trade"), ("Nobody", "x")])).collect()
+    made = column(spark, [text, "", " \n", None]).select(fs.rule_summary("text")).collect()
     s = made[0][0]
     words = Counter(w for w in text.lower().replace(".", " ").split() if len(w) >= 4)
     top = sorted(words.items(), key=lambda kv: (-kv[1], kv[0]))[:5]
@@ -219,10 +220,21 @@ def test_rule_summary(spark):
     assert s.comprehensive_summary == "Alpha beta alpha gamma. Acme sells 3 gammas to BETA and alpha. Short"
     assert [q.context for q in s.actionable_quotes] == ["Sentence 4", "Sentence 2", "Sentence 1"]
     assert s.noteworthy_observations == ["Acme sells 3 gammas to BETA and alpha"]
-    assert [(c.name, c.industry) for c in s.company_mentions] == [("Acme", "trade")]
+    assert s.company_mentions == []
     assert [r[0] for r in made[1:]] == [None] * 3
 
 
+def test_companies_by_name(spark):
+    texts = spark.createDataFrame([(1, "Shares of 3M, Morgan Stanley and Apple.\nMorgan  stanley again"), (2, "Morgan fell; Stanley rose; pineapple"), (3, ""), (4, None)], "episode_id int, text string")
+    names = spark.createDataFrame([("Morgan Stanley", "bank"), ("Apple", "phones"), ("3M", None), ("Apple", "phones"), ("!!", "x"), (None, "y")], "name string, industry string")
+    found = {r.episode_id: [(c.name, c.industry) for c in r.company_mentions] for r in mentions.company_mentions(texts, names).collect()}
+    assert found == {1: [("3M", ""), ("Apple", "phones"), ("Morgan Stanley", "bank")]}
+    made = texts.select("episode_id", fs.rule_summary("text").alias("summary"))
+    rows = {r.episode_id: r.summary for r in mentions.with_mentions(made, mentions.company_mentions(texts, names)).collect()}
+    assert len(rows[1].company_mentions) == 3 and rows[2].company_mentions == [] and rows[3] is None and rows[4] is None
+    assert mentions.company_mentions(texts, names.limit(0)).count() == 0
+
+
 class Half:
     """Fails on texts with an x; counts nothing, keeps nothing."""
 
@@ -243,7 +255,50 @@ def test_models_fail_alone(spark):
     df = spark.createDataFrame([(1, "a"), (2, "x"), (3, None)], "id int, text string")
     rows = {r.id: (r.reply, r.error) for r in apply_model(df, "text", Half, partitions=3, suffix="!").collect()}
     assert rows == {1: ("a!", None), 2: (None, "RuntimeError: no x"), 3: (None, None)}
-    assert {r.error for r in apply_model(df, "text", broken).collect()} == {"OSError: no such model", None}
+    with pytest.raises(Exception, match="no such model"):
+        apply_model(df, "text", broken).collect()
+
+
+def odd_replies(**options):
+    return lambda prompt: {"a": {"no": "text"}, "b": ["x"], "c": 3}.get(prompt, prompt)
+
+
+class Falsy:
+    """A model that counts as false; it must still be made once per task."""
+
+    made = 0
+
+    def __init__(self):
+        Falsy.made += 1
+        self.number = Falsy.made
+
+    def __bool__(self):
+        return False
+
+    def __call__(self, prompt):
+        return str(self.number)
+
+
+def in_batches(**options):
+    def model(prompts):
+        if "x" in prompts:
+            raise RuntimeError("no x")
+        return [f"{len(prompts)}:{p}" if p != "c" else 7 for p in prompts]
+
+    return model
+
+
+def test_replies_that_are_no_text(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d")], "id int, text string")
+    rows = {r.id: (r.reply, (r.error or "")[:9]) for r in apply_model(df, "text", odd_replies).collect()}
+    assert rows == {1: (None, "TypeError"), 2: (None, "TypeError"), 3: (None, "TypeError"), 4: ("d", "")}
+    assert {r.reply for r in apply_model(df.coalesce(1), "text", Falsy).collect()} == {"1"}
+
+
+def test_prompts_in_batches(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "c"), (5, "x"), (6, "d")], "id int, text string").coalesce(1)
+    rows = {r.id: (r.reply, (r.error or "")[:9]) for r in apply_model(df, "text", in_batches, batch_size=2).collect()}
+    assert rows == {1: ("2:a", ""), 2: ("2:b", ""), 3: (None, ""), 4: (None, "RuntimeEr"), 5: (None, "RuntimeEr"), 6: ("1:d", "")}
 
 
 def test_prompt_keeps_braces_and_dollars(spark):

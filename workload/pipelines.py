@@ -32,7 +32,10 @@ SYNC_AS_OF, SYNC_AGE = "2025-02-01 00:00:00", 200
 
 
 def outline_files(t: Tables) -> DataFrame:
-    """One outline document per customer: nested feeds, a rejected type, a feed below a feed; some broken, some without a body."""
+    """One outline document per customer: nested feeds, a rejected type, a feed below a feed.
+
+    A few are cut short, have no body, an unknown encoding, or no content.
+    """
     key, name = F.col("c_custkey").cast("string"), escape_attribute("c_name")
     whole = F.concat(
         F.lit('<?xml version="1.0"?><opml version="2.0"><head/><body><outline text="Group"><outline type="rss" text="'), name,
@@ -41,14 +44,15 @@ def outline_files(t: Tables) -> DataFrame:
         F.lit('"><outline xmlUrl="https://inner.example.com/"/></outline></outline></outline><outline type="video" text="v" xmlUrl="https://v.example.com/'),
         key, F.lit('" category="'), F.col("c_mktsegment"), F.lit('"/></body></opml>'),
     )
+    odd = F.col("c_custkey") % 20
     content = (
-        F.when(F.col("c_mktsegment") == "FURNITURE", F.substring(whole, 1, 80))
-        .when(F.col("c_mktsegment") == "BUILDING", F.lit("<opml><head/></opml>")).otherwise(whole)
+        F.when(odd == 3, F.substring(whole, 1, 80)).when(odd == 7, F.lit("<opml><head/></opml>"))
+        .when(odd == 11, F.replace(whole, F.lit('version="1.0"'), F.lit('version="1.0" encoding="no-such"'))).when(odd != 13, whole)
     )
     return t.given("customer").select(F.concat(F.lit("c"), key).alias("file"), content.alias("content"))
 
 
-GOOD = "FROM customer WHERE c_mktsegment NOT IN ('FURNITURE', 'BUILDING')"
+GOOD = "FROM customer WHERE c_custkey % 20 NOT IN (3, 7, 11, 13)"
 NESTED = f"""SELECT 'c' || c_custkey AS file, 0 AS pos, c_name AS name, 'https://feeds.example.com/' || c_custkey AS url {GOOD}
     UNION ALL SELECT 'c' || c_custkey, 1, 'T' || c_custkey, 'https://RSS.example.com/' || c_custkey {GOOD}"""
 
@@ -58,7 +62,7 @@ NESTED = f"""SELECT 'c' || c_custkey AS file, 0 AS pos, c_name AS name, 'https:/
     UNION ALL SELECT 'c' || c_custkey, 1, '', 'T' || c_custkey, 'video', 'https://RSS.example.com/' || c_custkey, NULL, NULL, false {GOOD}
     UNION ALL SELECT 'c' || c_custkey, 2, 'v', NULL, 'video', 'https://v.example.com/' || c_custkey, NULL, c_mktsegment, false {GOOD}
     UNION ALL SELECT 'c' || c_custkey, 0, NULL, NULL, NULL, NULL, NULL, NULL, true FROM customer
-        WHERE c_mktsegment IN ('FURNITURE', 'BUILDING')""")
+        WHERE c_custkey % 20 IN (3, 7, 11, 13)""")
 def outline_rows(t):
     rows = outlines.outline_rows(outline_files(t))
     return rows.select("file", "pos", "text", "title", "type", "url", "description", "category", F.col("error").isNotNull().alias("failed"))
@@ -128,36 +132,45 @@ def export_outline(t):
 
 
 def fetched(t: Tables) -> DataFrame:
-    """A feed document per row: Atom for French, cut short for Spanish, else RSS with a second item without audio."""
+    """A feed document per row: Atom for French, else RSS with a second item without audio; German ones use a prefix of their own.
+
+    A few are malformed: cut within a second item, with a bare ampersand and an unknown entity, with one bad item, cut within the header.
+    """
     key = F.col("doc_id").cast("string")
     guid = F.md5(F.encode("text", "UTF-8"))
+    spoilt = F.col("doc_id") % 50
     text = escape_xml("text")
     date = F.expr("timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, n_chars % 400)")
     rss = F.concat(
         F.lit('<?xml version="1.0" encoding="UTF-8"?><rss version="2.0" xmlns:itunes="http://www.itunes.com/dtds/podcast-1.0.dtd">'
-              "<channel><title>Feed "), "source", F.lit("</title><link>https://example.com/"), "source",
-        F.lit("</link><language>"), "lang", F.lit("</language><item><title>Item "), key,
+              "<channel><title>Feed "), F.when(spoilt == 17, F.lit("R&D &nbsp; ")).otherwise(F.lit("")), "source",
+        F.lit("</title><link>https://example.com/"), "source", F.lit("</link><language>"), "lang", F.lit("</language>"),
+        F.when(spoilt == 27, F.lit("<item><title>bad<b></title></item>")).otherwise(F.lit("")), F.lit("<item><title>Item "), key,
         F.lit('</title><guid isPermaLink="false">'), guid, F.lit("</guid><description>"), text, F.lit("</description><pubDate>Tue, "),
         F.date_format(date, "dd MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate><itunes:duration>0:"), F.col("n_chars").cast("string"),
         F.lit('</itunes:duration><enclosure url="image" type="image/png"/><enclosure url="https://media.example.com/'), key,
-        F.lit('.mp3" type="audio/mpeg" length="1"/></item><item><title>No audio</title><guid>g</guid></item></channel></rss>'),
+        F.lit('.mp3" type="audio/mpeg" length="1"/></item><item><title>No audio'),
+        F.when(spoilt == 7, F.lit("")).otherwise(F.lit("</title><guid>g</guid></item></channel></rss>")),
     )
+    own = F.replace(F.replace(rss, F.lit("xmlns:itunes"), F.lit("xmlns:own")), F.lit("itunes:duration"), F.lit("own:duration"))
+    rss = F.when(F.col("lang") == "de", own).otherwise(rss)
     atom = F.concat(
         F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title type="text">Feed '), "source",
         F.lit('</title><link rel="self" href="self"/><link href="https://example.com/'), "source",
         F.lit('"/><entry><title>Item '), key, F.lit("</title><id>"), guid, F.lit('</id><summary type="text">'), text,
         F.lit("</summary><published>"), F.date_format(date, "yyyy-MM-dd'T'HH:mm:ss"),
         F.lit('Z</published><link href="page"/><link rel="enclosure" type="audio/mpeg" href="https://media.example.com/'), key,
-        F.lit('.mp3"/></entry></feed>'),
+        F.lit('.mp3"/></entry>'), F.when(spoilt == 7, F.lit("<entry><title>x")).otherwise(F.lit("</feed>")),
     )
-    xml = F.when(F.col("lang") == "fr", atom).when(F.col("lang") == "es", F.substring(rss, 1, 200)).otherwise(rss)
+    whole = F.when(F.col("lang") == "fr", atom).otherwise(rss)
+    xml = F.when(spoilt == 37, F.substring(whole, 1, 45)).otherwise(whole)
     return t.documents.select(
         F.col("doc_id").alias("payload_no"), F.concat(F.lit("https://feeds.example.com/"), key).alias("url"), xml.alias("xml"))
 
 
 PARSED = """SELECT doc_id AS payload_no, 0 AS pos, 'Item ' || doc_id AS title, text AS description,
     'https://media.example.com/' || doc_id || '.mp3' AS audio_url, TIMESTAMP '2024-01-01' + to_days(CAST(n_chars % 400 AS INTEGER)) AS published_date,
-    CASE WHEN lang <> 'fr' THEN CAST(n_chars AS INTEGER) END AS duration_seconds, md5(text) AS guid FROM documents WHERE lang <> 'es'"""
+    CASE WHEN lang <> 'fr' THEN CAST(n_chars AS INTEGER) END AS duration_seconds, md5(text) AS guid FROM documents WHERE doc_id % 50 <> 37"""
 
 
 @query("s2_feed_items", PARSED)
@@ -166,10 +179,11 @@ def feed_items(t):
     return items.select("payload_no", "pos", "title", "description", "audio_url", "published_date", "duration_seconds", "guid")
 
 
-@query("s3_feed_headers", """SELECT doc_id AS payload_no, CASE lang WHEN 'es' THEN 'Unknown' ELSE 'Feed ' || source END AS title,
-    CASE lang WHEN 'es' THEN '' ELSE 'https://example.com/' || source END AS link,
-    CASE WHEN lang IN ('es', 'fr') THEN '' ELSE lang END AS language, lang <> 'es' AS has_items, lang = 'es' AS malformed
-    FROM documents""")
+@query("s3_feed_headers", """SELECT doc_id AS payload_no, CASE WHEN doc_id % 50 = 37 THEN 'Unknown' WHEN doc_id % 50 = 17 AND lang <> 'fr'
+        THEN 'Feed R&D &nbsp; ' || source ELSE 'Feed ' || source END AS title,
+    CASE WHEN doc_id % 50 = 37 THEN '' ELSE 'https://example.com/' || source END AS link,
+    CASE WHEN doc_id % 50 = 37 OR lang = 'fr' THEN '' ELSE lang END AS language, doc_id % 50 <> 37 AS has_items,
+    doc_id % 50 IN (7, 37) OR (doc_id % 50 IN (17, 27) AND lang <> 'fr') AS malformed FROM documents""")
 def feed_headers(t):
     return payloads.feed_headers(payloads.parsed(fetched(t))).select("payload_no", "title", "link", "language", "has_items", "malformed")
 
@@ -349,7 +363,7 @@ class Analyst:
 def processed(t: Tables) -> jobs.Processing:
     docs = t.documents
     queue = docs.select(F.col("doc_id").alias("id"))
-    media = docs.filter("lang <> 'de'").select(F.col("doc_id").alias("episode_id"), F.concat(F.lit("audio/"), F.col("doc_id").cast("string")).alias("audio_path"))
+    media = docs.filter("doc_id % 20 <> 9").select(F.col("doc_id").alias("episode_id"), F.concat(F.lit("audio/"), F.col("doc_id").cast("string")).alias("audio_path"))
     nothing = t.spark.createDataFrame([], TABLES["transcripts"]), t.spark.createDataFrame([], TABLES["summaries"])
     waiting = docs.select(
         F.col("doc_id").alias("episode_id"), F.lit("pending").alias("status"),
@@ -358,7 +372,7 @@ def processed(t: Tables) -> jobs.Processing:
     return jobs.process_items(queue, media, replies(t), Editor, Analyst, AS_OF, waiting, *nothing, chunk_size=CHUNK)
 
 
-FAILED_AT = "CASE WHEN lang = 'de' THEN 0 WHEN lang = 'es' THEN 1 WHEN regexp_matches(text, '[0-9]') THEN 3 ELSE 4 END"
+FAILED_AT = "CASE WHEN doc_id % 20 = 9 THEN 0 WHEN doc_id % 20 = 3 THEN 1 WHEN regexp_matches(text, '[0-9]') THEN 3 ELSE 4 END"
 CLEANED = CHUNKS + """, cleaned AS (SELECT episode_id, string_agg(CASE WHEN contains(chunk, '|') THEN chunk ELSE replace(chunk, 'e', 'E') END,
     chr(10) || chr(10) ORDER BY chunk_no) AS cleaned_text FROM chunks GROUP BY episode_id)"""
 
@@ -409,7 +423,7 @@ def process_outcomes(t):
 def item_files(t: Tables) -> str:
     """The raw transcripts as text files, one per item."""
     folder = fresh_dir(t.spark, "texts")
-    rows = spread(documents.transcript_rows(t.transcripts).filter("kind = 'raw'"), "episode_id")
+    rows = spread(documents.transcript_rows(t.transcripts).filter("kind = 'raw'"), "episode_id", t.partitions)
     documents.write_texts(rows, ["kind", "episode_id"], "text", folder)
     return folder
 

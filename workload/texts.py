@@ -10,6 +10,7 @@ from feedlake.functions import feeds as ff
 from feedlake.functions import summaries as fs
 from feedlake.functions import text as ft
 from feedlake.functions.basic import strip
+from feedlake.operators import mentions
 from feedlake.operators.inference import apply_model
 from feedlake.plans.jobs import clean_texts
 from feedlake.schemas import SUMMARY_ARRAYS
@@ -49,27 +50,36 @@ def audio_items(t):
     return found.filter(F.col("audio_url").isNotNull() & (F.col("audio_url") != ""))
 
 
-@query("x2_published_date", """SELECT o_orderkey AS id, CASE o_orderpriority WHEN '1-URGENT' THEN o_orderdate + INTERVAL 8 HOUR
-    WHEN '2-HIGH' THEN o_orderdate + INTERVAL 10 HOUR + INTERVAL 30 MINUTE WHEN '3-MEDIUM' THEN o_orderdate
-    WHEN '4-NOT SPECIFIED' THEN o_orderdate + INTERVAL 15 HOUR END AS published_date FROM orders""")
+# Ways to write a date: before, pattern, after, and what it adds to the day (None: no date).
+WRITTEN = [
+    ("Tue, ", "dd MMM yyyy", " 10:00:00 +0200", "8 HOUR"), ("", "yyyy-MM-dd", "T10:30:00Z", "630 MINUTE"), ("", "MMMM d, yyyy", "", "0 HOUR"),
+    ("Sat, ", "dd MMM yyyy", " 10:00:00 EST", "15 HOUR"), ("some time after ", "yyyy-MM-dd", "", None), ("", "MMMM d, yyyy", " 3:30 PM", "930 MINUTE"),
+    ("", "d MMM yyyy", " 10:00:00.5 GMT", "10 HOUR"), ("tue, ", "dd MMM yyyy", " 10:00:00 GMT+0200", "8 HOUR"), ("", "d'th' MMMM yyyy", "", "0 HOUR"),
+    ("", "yyyyMMdd", "T090500Z", "545 MINUTE"), ("", "yyyy-MM-dd", " 09:05:00 EST", "845 MINUTE"), ("", "dd MMM yyyy", " 09:05:00 -0500 (EST)", "845 MINUTE"),
+    ("", "yyyy/MM/dd", " 9:05 am CET", "485 MINUTE"), ("", "yyyy-MM-dd", "T23:59:59+00:00", "86399 SECOND"), ("Friday, ", "MMM dd, yyyy", " 12:15 AM XYZ", "15 MINUTE"),
+]
+SLASHED = "CASE WHEN day(o_orderdate) > 12 THEN o_orderdate ELSE CAST(make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate)) AS TIMESTAMP) END"
+
+
+@query("x2_published_date", f"""SELECT o_orderkey AS id, CASE o_orderkey % {len(WRITTEN) + 1} {" ".join(
+    f"WHEN {i} THEN " + (f"o_orderdate + INTERVAL {gap}" if gap else "NULL") for i, (*_, gap) in enumerate(WRITTEN))}
+    ELSE {SLASHED} END AS published_date FROM orders""")
 def published_date(t):
-    day = {p: F.date_format("o_orderdate", p) for p in ("dd MMM yyyy", "yyyy-MM-dd", "MMMM d, yyyy")}
-    text = (
-        F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit("Tue, "), day["dd MMM yyyy"], F.lit(" 10:00:00 +0200")))
-        .when(F.col("o_orderpriority") == "2-HIGH", F.concat(day["yyyy-MM-dd"], F.lit("T10:30:00Z")))
-        .when(F.col("o_orderpriority") == "3-MEDIUM", day["MMMM d, yyyy"])
-        .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", F.concat(F.lit("Sat, "), day["dd MMM yyyy"], F.lit(" 10:00:00 EST")))
-        .otherwise(F.concat(F.lit("some time after "), day["yyyy-MM-dd"]))
-    )
+    text = F
+    for i, (front, pattern, back, _) in enumerate(WRITTEN):
+        text = text.when(F.col("o_orderkey") % (len(WRITTEN) + 1) == i, F.concat(F.lit(front), F.date_format("o_orderdate", pattern), F.lit(back)))
+    text = text.otherwise(F.date_format("o_orderdate", "dd/MM/yyyy"))
     return t.given("orders").select(F.col("o_orderkey").alias("id"), ff.published_date(text).alias("published_date"))
 
 
 @query("x3_duration", """SELECT o_orderkey AS id, CAST(CASE o_orderpriority WHEN '1-URGENT' THEN o_custkey WHEN '2-HIGH' THEN o_custkey * 60 + 75
-    WHEN '3-MEDIUM' THEN o_custkey * 3600 + 62 END AS INTEGER) AS duration_seconds FROM orders""")
+    WHEN '3-MEDIUM' THEN o_custkey * 3600 + 62 ELSE CASE o_orderkey % 5 WHEN 0 THEN o_custkey WHEN 1 THEN o_custkey * 60 + 2
+    WHEN 2 THEN -o_custkey * 60 + 2 END END AS INTEGER) AS duration_seconds FROM orders""")
 def duration(t):
     text = F.expr("""CASE o_orderpriority WHEN '1-URGENT' THEN concat(' ', o_custkey) WHEN '2-HIGH' THEN concat(o_custkey, ':75')
-        WHEN '3-MEDIUM' THEN concat(o_custkey, ':01:02') WHEN '4-NOT SPECIFIED' THEN concat(o_custkey, ':1:2:3')
-        ELSE concat(o_custkey, '.5') END""")
+        WHEN '3-MEDIUM' THEN concat(o_custkey, ':01:02') ELSE CASE o_orderkey % 5 WHEN 0 THEN concat('+', lpad(string(o_custkey), 40, '0'))
+        WHEN 1 THEN concat(lpad(string(o_custkey), 14, '0'), ':02') WHEN 2 THEN concat('-000', o_custkey, ':+0000000000002')
+        WHEN 3 THEN concat(o_custkey, ':1:2:3') ELSE concat(o_custkey, '.5') END END""")
     return t.given("orders").select(F.col("o_orderkey").alias("id"), ff.duration_seconds(text).alias("duration_seconds"))
 
 
@@ -95,20 +105,20 @@ def time_code(t):
 
 
 def replies(t: Tables) -> DataFrame:
-    """A recogniser's JSON per document: one segment per sentence, padded texts; French ones have no segments."""
+    """A recogniser's JSON per document: one segment per sentence, padded texts; French ones have no segments, and one in twenty is no JSON."""
     said = ft.sentences("text")
     segments = F.transform(said, lambda s, i: F.struct(
         i.alias("id"), (i * 37.5).alias("start"), ((i + 1) * 37.5).alias("end"), F.concat(F.lit(" "), s, F.lit("\n")).alias("text")))
     segments = F.when(F.col("lang") != "fr", segments)
     body = F.struct(F.concat(F.lit("\n "), "text", F.lit(" ")).alias("text"), F.col("lang").alias("language"), segments.alias("segments"))
-    reply = F.when(F.col("lang") == "es", F.lit("not json")).otherwise(F.to_json(body))
+    reply = F.when(F.col("doc_id") % 20 == 3, F.lit("not json")).otherwise(F.to_json(body))
     return t.documents.select(F.col("doc_id").alias("episode_id"), reply.alias("reply"))
 
 
 SPLIT = "string_split(replace(text, chr(10), ' '), '. ')"
 
 
-@query("x9_time_coded_text", f"""SELECT doc_id AS episode_id, CASE lang WHEN 'es' THEN NULL WHEN 'fr' THEN trim(text, chr(10) || ' ') ELSE (
+@query("x9_time_coded_text", f"""SELECT doc_id AS episode_id, CASE WHEN doc_id % 20 = 3 THEN NULL WHEN lang = 'fr' THEN trim(text, chr(10) || ' ') ELSE (
         SELECT string_agg(printf('[%02d:%02d:%02d] ', CAST(floor(i * 37.5) AS BIGINT) // 3600, CAST(floor(i * 37.5) AS BIGINT) % 3600 // 60,
             CAST(floor(i * 37.5) AS BIGINT) % 60) || trim(s, chr(10) || ' '), chr(10) ORDER BY i)
         FROM (SELECT unnest({SPLIT}) AS s, generate_subscripts({SPLIT}, 1) - 1 AS i)) END AS text FROM documents""")
@@ -120,7 +130,7 @@ def time_coded_text(t):
 @query("x10_recognised", f"""SELECT doc_id AS episode_id, lang AS language, trim(text, chr(10) || ' ') AS text,
     CASE WHEN lang = 'fr' THEN 0 ELSE len({SPLIT}) END AS segments,
     CASE WHEN lang <> 'fr' THEN trim(list_extract({SPLIT}, -1), chr(10) || ' ') END AS last_text,
-    CASE WHEN lang <> 'fr' THEN CAST(len({SPLIT}) * 37.5 AS DOUBLE) END AS last_end FROM documents WHERE lang <> 'es'""")
+    CASE WHEN lang <> 'fr' THEN CAST(len({SPLIT}) * 37.5 AS DOUBLE) END AS last_end FROM documents WHERE doc_id % 20 <> 3""")
 def recognised(t):
     heard = replies(t).select("episode_id", ft.recognised("reply").alias("h")).filter("h IS NOT NULL")
     last = F.try_element_at(F.col("h.segments"), F.lit(-1))
@@ -172,6 +182,18 @@ def model(t):
     return apply_model(texts, "text", Shout, mark="> ")
 
 
+def counting_model():
+    """Takes a batch of prompts; its reply to one with a percent sign is a number, not a text."""
+    return lambda prompts: [len(p) if "%" in p else f"< {p}" for p in prompts]
+
+
+@query("m1_batches", """SELECT doc_id AS episode_id, CASE WHEN NOT contains(text, '%') THEN '< ' || text END AS reply,
+    CASE WHEN contains(text, '%') THEN 'TypeError: the reply is int, not str' END AS error FROM documents""")
+def model_in_batches(t):
+    texts = t.documents.select(F.col("doc_id").alias("episode_id"), "text")
+    return apply_model(texts, "text", counting_model, batch_size=16)
+
+
 @query("m2_prompt", """SELECT doc_id AS episode_id, 'Answer as {"summary": "text"}. Here it is: ' || text AS prompt FROM documents""")
 def prompt(t):
     template = 'Answer as {"summary": "text"}. Here it is: {transcript}'
@@ -188,7 +210,9 @@ def fillers(t):
     return english.select(F.col("doc_id").alias("episode_id"), ft.drop_fillers(F.expr(SPOKEN)).alias("text"))
 
 
-COMPANIES = [("The", "article"), ("Tion", "suffix"), ("Nicht", "word"), ("Leréaux", "name")]
+COMPANIES = [("The", "article"), ("Tion", "suffix"), ("Nicht", "word"), ("Leréaux", "name"), ("And The", "pair"), ("555", "number"), ("--", "no word")]
+NAMED = ", ".join(f"CASE WHEN contains(max(' ' || array_to_string(regexp_split_to_array(lower(d.text), '[^\\p{{L}}\\p{{N}}]+'), ' ') || ' '), ' {n.lower()} ') THEN '{n} ({i})' END"
+                  for n, i in sorted(COMPANIES) if n != "--")
 
 
 @query("m4_rule_summary", f"""WITH said AS (SELECT doc_id, trim(s, ' ' || chr(9)) AS s, i FROM (SELECT doc_id, unnest({SPLIT}) AS s,
@@ -205,12 +229,14 @@ COMPANIES = [("The", "article"), ("Tion", "suffix"), ("Nicht", "word"), ("Leréa
         string_agg(s || ' [Sentence ' || n || ']', chr(10) ORDER BY by_length) FILTER (WHERE by_length <= 3) AS quotes,
         coalesce(string_agg(s, chr(10) ORDER BY n) FILTER (WHERE by_digit <= 3), '') AS observations,
         coalesce(max(topics), '') AS topics,
-        concat_ws(', ', {", ".join(f"CASE WHEN max(CASE WHEN (n.doc_id, lower('{n}')) IN (SELECT doc_id, w FROM words) THEN 1 ELSE 0 END) = 1 THEN '{n} ({i})' END" for n, i in COMPANIES)}) AS companies
-    FROM numbered n LEFT JOIN topics USING (doc_id) GROUP BY n.doc_id""")
+        concat_ws(', ', {NAMED}) AS companies
+    FROM numbered n LEFT JOIN topics USING (doc_id) JOIN documents d USING (doc_id) GROUP BY n.doc_id""")
 def rule_summary(t):
     # Blank texts have no summary; asking the text is cheaper than asking the summary, which would be made twice.
     spoken = t.documents.filter(F.length(strip("text")) > 0)
-    made = spoken.select(F.col("doc_id").alias("episode_id"), fs.rule_summary("text", COMPANIES).alias("summary"))
+    made = spoken.select(F.col("doc_id").alias("episode_id"), fs.rule_summary("text").alias("summary"))
+    names = t.spark.createDataFrame(COMPANIES, "name string, industry string")
+    made = mentions.with_mentions(made, mentions.company_mentions(spoken, names, "doc_id").withColumnRenamed("doc_id", "episode_id"))
     s = F.col("summary")
 
     def lines(array, render, between="\n"):
@@ -233,30 +259,30 @@ def merged_chunks(t):
     return clean_texts(texts, Shout, template="Clean: {transcript}", chunk_size=CHUNK, mark="> ")
 
 
-@query("x16_fallback", """SELECT doc_id AS episode_id, CASE lang WHEN 'es' THEN '  ' WHEN 'en' THEN 'clean' ELSE text END AS text FROM documents""")
+@query("x16_fallback", """SELECT doc_id AS episode_id, CASE WHEN doc_id % 20 = 3 THEN '  ' WHEN lang IN ('en', 'es') THEN 'clean ' || text ELSE text END AS text
+    FROM documents""")
 def fallback(t):
-    raw = F.when(F.col("lang") == "es", F.lit("  ")).otherwise(F.col("text"))
-    cleaned = F.expr("CASE lang WHEN 'en' THEN 'clean' WHEN 'es' THEN 'clean' WHEN 'de' THEN '' END")
+    raw = F.when(F.col("doc_id") % 20 == 3, F.lit("  ")).otherwise(F.col("text"))
+    cleaned = F.expr("CASE WHEN lang IN ('en', 'es') THEN concat('clean ', text) WHEN lang = 'de' THEN '' END")
     return t.given("documents").select(F.col("doc_id").alias("episode_id"), ft.cleaned_or_raw(cleaned, raw).alias("text"))
 
 
-@query("x17_unfence", """SELECT doc_id AS episode_id, CASE lang WHEN 'en' THEN text WHEN 'fr' THEN '```' || chr(10) || lang
+@query("x17_unfence", """SELECT doc_id AS episode_id, CASE lang WHEN 'en' THEN text WHEN 'fr' THEN '```' || chr(10) || rtrim(replace(text, chr(10), ' '))
     ELSE trim(text, ' ' || chr(9) || chr(10)) END AS text FROM documents""")
 def unfence(t):
     reply = (
         F.when(F.col("lang") == "en", F.concat(F.lit(" ```json\n"), "text", F.lit("\n```\n")))
-        .when(F.col("lang") == "fr", F.concat(F.lit("```\n"), "lang")).otherwise(F.col("text"))
+        .when(F.col("lang") == "fr", F.concat(F.lit("```\n"), F.replace("text", F.lit("\n"), F.lit(" ")))).otherwise(F.col("text"))
     )
     return t.given("documents").select(F.col("doc_id").alias("episode_id"), fs.unfence(reply).alias("text"))
 
 
 @query("x18_decode", """SELECT doc_id AS episode_id, source AS host_and_guest, text AS comprehensive_summary,
-    '4 ' || text AS last_quote, CAST(6 AS BIGINT) AS n_topics, 'said in ' || lang AS last_observation FROM documents WHERE lang <> 'es'""")
+    '4 ' || text AS last_quote, CAST(6 AS BIGINT) AS n_topics, 'said in ' || lang AS last_observation FROM documents WHERE doc_id % 20 <> 3""")
 def decode(t):
-    made = t.summary_structs.select("episode_id", "summary.host_and_guest", fs.document("summary").alias("json"),
-                                    F.col("summary.key_topics")[0]["topic"].alias("first_topic"))
+    made = t.summary_structs.select("episode_id", "summary.host_and_guest", fs.document("summary").alias("json"))
     fenced = F.concat(F.lit("```json\n"), "json", F.lit("\n```"))
-    reply = F.when(F.startswith("first_topic", F.lit("es")), F.substring("json", 1, 40)).otherwise(fenced)
+    reply = F.when(F.col("episode_id") % 20 == 3, F.substring("json", 1, 40)).otherwise(fenced)
     decoded = made.select("episode_id", fs.decode(reply).alias("s")).filter("s IS NOT NULL")
     return decoded.select(
         "episode_id", "s.host_and_guest", "s.comprehensive_summary",
@@ -282,12 +308,14 @@ def encode(t):
 
 
 @query("x20_display_date", """SELECT o_orderkey AS id, CASE o_orderpriority WHEN '1-URGENT' THEN 'Unknown date' WHEN '2-HIGH' THEN 'soon'
+    WHEN '5-LOW' THEN CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y') ELSE strftime(o_orderdate, '%Y-%m') END
     ELSE strftime(o_orderdate, '%B %d, %Y') END AS shown FROM orders""")
 def display_date(t):
     iso = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
     text = (
         F.when(F.col("o_orderpriority") == "1-URGENT", F.lit(None).cast("string")).when(F.col("o_orderpriority") == "2-HIGH", F.lit("soon"))
-        .when(F.col("o_orderpriority") == "3-MEDIUM", F.concat(iso, F.lit("Z"))).otherwise(iso)
+        .when(F.col("o_orderpriority") == "3-MEDIUM", F.concat(iso, F.lit("Z")))
+        .when(F.col("o_orderpriority") == "5-LOW", F.when(F.col("o_orderkey") % 2 == 0, F.substring(iso, 1, 4)).otherwise(F.substring(iso, 1, 7))).otherwise(iso)
     )
     return t.given("orders").select(F.col("o_orderkey").alias("id"), fd.display_date(text).alias("shown"))
 

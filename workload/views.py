@@ -29,7 +29,12 @@ class Tables:
     @property
     def documents(self) -> DataFrame:
         """Documents for steps that work long on each text."""
-        return spread(self.given("documents"), "doc_id")
+        return spread(self.given("documents"), "doc_id", self.partitions)
+
+    @property
+    def partitions(self) -> int:
+        """The given tables are single files; steps that are long per row are dealt out over this many tasks."""
+        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
     def stream(self, name: str) -> DataFrame:
         # The bracket makes the path a pattern, which the file stream needs when the table is a single file.
