@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import text_of, whole_rows
 from .windows import (
-    SPANS_SCHEMA, U64, Gatherer, merged, numbered_strings, runs, sequence_digests, sliding_min, span_table, spans_by_document, text_chunks, unpack,
+    CHUNK, SPANS_SCHEMA, Gatherer, merged, numbered_strings, runs, sequence_digests, sliding_min, span_table, spans_by_document, text_chunks, unpack,
     word_digests, words,
 )
 
@@ -81,36 +81,48 @@ def _cut(window: int, gram: int, parts: int):
     return cut
 
 
+def _windows(strings: list[bytes], window: int) -> tuple[np.ndarray, ...]:
+    """Digest, string, start and end of every window of the strings, worked out for a few strings at a time."""
+    found: list[list[np.ndarray]] = [[], [], [], []]
+    lo = 0
+    while lo < len(strings):
+        hi, size = lo, 0
+        while hi < len(strings) and (hi == lo or size + len(strings[hi]) <= CHUNK):
+            size += len(strings[hi]) + 1
+            hi += 1
+        data = np.frombuffer(b"\n".join(strings[lo:hi]), np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(s) + 1 for s in strings[lo:hi]])])
+        offsets[-1] -= 1
+        starts, ends, text = words(data, offsets)
+        n = len(starts) - window + 1
+        at = np.flatnonzero(text[:n] == text[window - 1 :])
+        digests = sequence_digests(word_digests(data, starts, ends), window)
+        own = text[at]
+        for values, new in zip(found, (digests[at], own + lo, starts[at] - offsets[own], ends[at + window - 1] - offsets[own])):
+            values.append(new.astype(np.uint64 if values is found[0] else np.int32))
+        lo = hi
+    return tuple(np.concatenate(x) for x in found)
+
+
 def repeated_windows(strings: list[bytes], marked: np.ndarray, window: int) -> list[np.ndarray]:
     """For each distinct string, which of its windows occur twice among all strings; those of marked strings do in any case."""
-    joined = np.frombuffer(b"\n".join(strings), np.uint8)
-    offsets = np.concatenate([[0], np.cumsum([len(s) + 1 for s in strings])])
-    offsets[-1] -= 1
-    starts, ends, text = words(joined, offsets)
-    n = len(starts) - window + 1
-    whole = text[:n] == text[window - 1 :]
-    digests = sequence_digests(word_digests(joined, starts, ends), window)
-    at = np.flatnonzero(whole)
-    order = at[np.argsort(digests[at], kind="stable")]
+    digests, owner, starts, ends = _windows(strings, window)
+    order = np.argsort(digests, kind="stable")
     d = digests[order]
-    equal = np.concatenate([[False], d[1:] == d[:-1]])
-    group = np.cumsum(~equal)
-    size = np.bincount(group)[group]
-    hit = np.zeros(n, bool)
-    hit[at] = marked[text[at]]
-    # Equal digests: sorted by their words, equal neighbours are repeats.
-    raw = joined.tobytes()
-    several = np.flatnonzero(size > 1)
+    group = np.cumsum(np.concatenate([[True], d[1:] != d[:-1]])) - 1
+    several = np.flatnonzero(np.bincount(group)[group] > 1)
+    hit = marked[owner]
+    # Equal digests: compared word for word, equal ones are repeats.
     cuts = np.flatnonzero(np.diff(group[several])) + 1
     for members in np.split(order[several], cuts) if len(several) else []:
         seen: dict[bytes, list[int]] = {}
         for w in members.tolist():
-            seen.setdefault(raw[starts[w] : ends[w + window - 1]], []).append(w)
+            seen.setdefault(strings[owner[w]][starts[w] : ends[w]], []).append(w)
         for same in seen.values():
             if len(same) > 1:
                 hit[same] = True
-    first = np.searchsorted(text[at], np.arange(len(strings) + 1))
-    return [hit[at[a:b]] for a, b in zip(first[:-1], first[1:])]
+    first = np.searchsorted(owner, np.arange(len(strings) + 1))
+    return [hit[a:b] for a, b in zip(first[:-1], first[1:])]
 
 
 def _count(window: int):

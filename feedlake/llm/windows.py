@@ -17,7 +17,7 @@ U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 _MIX1, _MIX2 = U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53)
 #: Bytes of text that are worked on at once (a longer document alone), and bytes of packed strings that a task gathers before it sends them.
-CHUNK, FLUSH = 1 << 20, 24 << 20
+CHUNK, FLUSH = 1 << 19, 16 << 20
 #: Windows in one run at most; periodic texts would give runs without end.
 LONGEST_RUN = 256
 
