@@ -9,8 +9,9 @@ a set with too few segments left shows those of the whole set as well. So common
 
 Candidates are verified by vertical partial counts: in each of ``SLICES`` slices of the order the overlap is counted on its own, and the
 counts are summed per pair. Copies (equal sets) are one class. In a group of equal segments each class is first compared with one
-hub; only classes that are still in different components are compared with each other, until no such pair is left untested. So a
-group of near copies costs about one pair per member, and no link is lost.
+hub, so that a group of near copies costs about one pair per member. Then only classes that are still in different components are
+compared: small groups give their pairs; the members of large ones go, block by block, to tasks that sum the overlaps of all their pairs
+slice by slice as a matrix and give only the links. No pair that could link two components is left untested.
 
 Rows with an empty set (null or empty text) link with nothing and are a component of their own. A component's id is its smallest document
 id; null ids are passed over, and null only if there is no other. Repeated rows are copies. An empty table gives an empty result.
@@ -34,10 +35,12 @@ from .windows import U64, lower_bytes, mix, sequence_digests, text_chunks, word_
 
 #: Words per n-gram and least similarity in percent, for near duplicates; the registered query states its own.
 GRAM, PERCENT = 5, 80
-SLICES = 16
+SLICES = 4
 #: An n-gram is called frequent if it is in so many texts of one chunk of a task and in so many texts in all; at most ``FREQUENT`` are kept.
 LOCAL_TEXTS, ALL_TEXTS, FREQUENT = 3, 32, 50_000
 STAR_ROUNDS = 2
+#: Groups of more classes are compared by blocks of at most so many classes and n-grams, so many n-grams at a time.
+LARGE, BLOCK_CLASSES, BLOCK_GRAMS, MATRIX_GRAMS = 16, 1024, 500_000, 4096
 GROUPS = 4
 
 
@@ -206,16 +209,20 @@ def _close(n: str, m: str, percent: int):
     return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
 
 
+def _texts(classes: DataFrame, sets: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(cls, _text): the text of one document of each of the classes."""
+    one = sets.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("at").alias("at"))
+    holders = classes.distinct().join(one, "cls")
+    rows = docs.select(content_key(key, text_of(text)).alias("at"), text_of(text).alias("_text"))
+    return holders.join(rows, "at").select("cls", "_text").dropDuplicates(["cls"])
+
+
 def verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, gram: int, percent: int, text: str, key: str) -> DataFrame:
     """The pairs of classes (a, b) that reach the threshold, by partial overlaps per slice of the order, summed per pair.
 
-    A text of each class that takes part is sent, once per pair, to the group of the pair's first class; slices are counted there.
+    A class that takes part is cut into slices once; the slices of a pair meet by join on class and slice.
     """
-    uses = pairs.select("a", F.col("a").alias("cls")).union(pairs.select("a", F.col("b").alias("cls"))).distinct()
-    one = sets.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("at").alias("at"))
-    holders = uses.select("cls").distinct().join(one, "cls")
-    rows = docs.select(content_key(key, text_of(text)).alias("at"), text_of(text).alias("_text"))
-    texts = holders.join(rows, "at").select("cls", "_text").dropDuplicates(["cls"])
+    texts = _texts(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))), sets, docs, text, key)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,39 +270,93 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
+def _pairs(found: DataFrame, tested: DataFrame | None, percent: int) -> DataFrame:
+    """Distinct pairs of (h, hn) and (cls, n) that are near enough in size and not yet tested; written, so that their size is known."""
+    found = found.filter(_close("n", "hn", percent))
+    low, high = F.struct(F.col("h").alias("c"), F.col("hn").alias("n")), F.struct(F.col("cls").alias("c"), F.col("n").alias("n"))
+    pairs = found.select(F.least(low, high).alias("l"), F.greatest(low, high).alias("r"))
+    pairs = pairs.select(F.col("l.c").alias("a"), F.col("r.c").alias("b"), F.col("l.n").alias("na"), F.col("r.n").alias("nb")).distinct()
+    return materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+
+
+def _block_links(members: DataFrame, sets: DataFrame, docs: DataFrame, gram: int, percent: int, text: str, key: str) -> DataFrame:
+    """Links (a, b) between classes of one family and of different components; ``members`` is (family, cls, component, n).
+
+    Each class is sent to the tasks of all pairs of blocks that its own block is in.
+    """
+    sizes = members.groupBy("family").agg(F.count("*").alias("m"), F.sum("n").alias("grams"))
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK_CLASSES, F.col("grams") / BLOCK_GRAMS)).cast("int")
+    placed = members.join(sizes.select("family", blocks.alias("blocks")), "family").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    placed = placed.select("family", "cls", "component", "own", other)
+    placed = placed.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "component")
+    texts = _texts(members.select("cls"), sets, docs, text, key)
+
+    def compare(table: pa.Table) -> pa.Table:
+        cls, component, own = (table.column(c).to_numpy() for c in ("cls", "component", "own"))
+        last = int(table.column("j")[0].as_py())
+        grams, lengths = [], []
+        for _, _, data, offsets in text_chunks(table.column("_text").combine_chunks()):
+            found, cut = gram_sets(data, offsets, gram)
+            grams.append(found)
+            lengths += np.diff(cut).tolist()
+        tokens, n = np.concatenate(grams), np.array(lengths, np.int64)
+        owner = np.repeat(np.arange(len(n)), n)
+        _, inverse, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+        shared = counts[inverse] > 1
+        column = (np.cumsum(counts > 1) - 1)[inverse[shared]]
+        row, common = owner[shared], np.zeros((len(n), len(n)), np.float32)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, MATRIX_GRAMS):
+            a, b = np.searchsorted(column, (lo, lo + MATRIX_GRAMS))
+            part = np.zeros((len(n), MATRIX_GRAMS), np.float32)
+            part[row[a:b], column[a:b] - lo] = 1
+            common += part @ part.T
+        x, y = np.nonzero(common.astype(np.int64) * (100 + percent) >= (n[:, None] + n[None, :]) * percent)
+        kept = (cls[x] < cls[y]) & (component[x] != component[y]) & ((own[x] != own[y]) | (own[x] == last) & (table.column("i")[0].as_py() == last))
+        return pa.table({"a": cls[x[kept]], "b": cls[y[kept]]})
+
+    return placed.join(texts, "cls").groupBy("family", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def link_documents(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per document: ``id``, ``at`` (content key), ``n_shingles`` and ``component_id``."""
     sets, frequent = set_table(docs, gram, text, key)
     shared = materialize(shared_segments(docs, frequent, gram, percent, text))
     tested = links = label = None
-    rounds = 0
-    while True:
-        known = shared if label is None else shared.join(label, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        if label is None or rounds < STAR_ROUNDS:
-            of = F.col("component") if label is not None else F.col("cls")
-            hub = known.withColumn("of", of).groupBy("sig").agg(F.min("of").alias("low"), F.max("of").alias("high"), F.min_by(F.struct("cls", "n"), "of").alias("hub"))
-            hub = hub.filter("low < high").select("sig", "low", F.col("hub.cls").alias("h"), F.col("hub.n").alias("hn"))
-            found = known.withColumn("of", of).join(hub, "sig").filter(F.col("of") != F.col("low")).select(F.col("h"), F.col("hn"), F.col("cls"), F.col("n"))
-        else:
-            # What the hubs have not joined: classes of different components that share a segment.
-            mine = known.select("sig", F.col("cls").alias("h"), F.col("n").alias("hn"), F.col("component").alias("hc"))
-            split = known.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("sig")
-            found = known.join(split, "sig").join(mine, "sig").filter(F.col("hc") < F.col("component")).select("h", "hn", "cls", "n")
-        found = found.filter(_close("n", "hn", percent))
-        low, high = F.struct(F.col("h").alias("c"), F.col("hn").alias("n")), F.struct(F.col("cls").alias("c"), F.col("n").alias("n"))
-        pairs = found.select(F.least(low, high).alias("l"), F.greatest(low, high).alias("r"))
-        pairs = pairs.select(F.col("l.c").alias("a"), F.col("r.c").alias("b"), F.col("l.n").alias("na"), F.col("r.n").alias("nb")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs)
-        rounds += 1
-        if pairs.isEmpty():
-            if rounds > STAR_ROUNDS:
-                break
-            continue
-        linked = materialize(verify(pairs, sets, docs, gram, percent, text, key))
+
+    def labelled() -> DataFrame:
+        """Segments with the component of each class, a class of its own if it has no link."""
+        if label is None:
+            return shared.withColumn("component", F.col("cls"))
+        return shared.join(label, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+
+    def take(pairs: DataFrame) -> None:
+        nonlocal tested, links, label
         tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
+        if not pairs.isEmpty():
+            linked = materialize(verify(pairs, sets, docs, gram, percent, text, key))
+            links = linked if links is None else links.union(linked)
+            label = components(links)
+
+    for _ in range(STAR_ROUNDS):
+        known = labelled()
+        hub = known.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("cls", "n"), "component").alias("hub"))
+        hub = hub.filter("low < high").select("sig", "low", F.col("hub.cls").alias("h"), F.col("hub.n").alias("hn"))
+        take(_pairs(known.join(hub, "sig").filter(F.col("component") != F.col("low")), tested, percent))
+    known = labelled()
+    split = known.groupBy("sig").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("cls").alias("first"))
+    split = materialize(known.join(split.filter("low < high").select("sig", "m", "first"), "sig"))
+    small, large = split.filter(F.col("m") <= LARGE), split.filter(F.col("m") > LARGE)
+    if not large.isEmpty():
+        family = components(large.select(F.col("first").alias("a"), F.col("cls").alias("b")).distinct()).withColumnRenamed("component", "family")
+        members = materialize(large.select("cls", "component", "n").distinct().join(family, "cls"))
+        linked = materialize(_block_links(members, sets, docs, gram, percent, text, key))
         links = linked if links is None else links.union(linked)
+    mine = small.select("sig", F.col("cls").alias("h"), F.col("n").alias("hn"), F.col("component").alias("hc"))
+    take(_pairs(small.join(mine, "sig").filter(F.col("hc") < F.col("component")), tested, percent))
+    if links is not None:
         label = components(links)
     rows = sets
     if label is None:

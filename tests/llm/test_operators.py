@@ -179,3 +179,22 @@ def test_empty_tables(spark, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
     assert source_mixing.mix(empty).count() == 0
     assert bpe.encode_documents(empty, registry.word_vocabulary()).count() == 0
+
+
+def test_large_families_of_near_copies(spark, tmp_path_factory, monkeypatch):
+    """Hundreds of texts that share most of their n-grams, above and below the threshold, compared block by block."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(140)]
+    rows = []
+    for i in range(260):
+        words = list(base)
+        for _ in range(rng.randrange(1, 9)):
+            words[rng.randrange(len(words))] = f"e{rng.randrange(30) if i % 3 else rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    docs = table(spark, rows, tmp_path_factory)
+    wanted = [(key, n, c) for (key, _), (n, c) in zip(rows, brute.components(rows, 4, 85))]
+    assert 3 < len({c for _, _, c in wanted}) < 250
+    for size in (1024, 60):
+        monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", size)
+        found = ngram_join.link_documents(docs, 4, 85).select("id", "n_shingles", "component_id").collect()
+        assert sorted_rows(map(tuple, found)) == sorted_rows(wanted)
