@@ -30,6 +30,9 @@ from .common import text_of, whole_rows
 
 #: Distinct pieces that a task remembers, and the longest piece that it remembers.
 CACHE_PIECES, CACHE_LENGTH = 400_000, 100
+_LAST_IDEOGRAPHS = "\U0002fa20"
+_BITS = 20
+_MASK = (1 << _BITS) - 1
 
 
 def byte_letters() -> list[str]:
@@ -51,35 +54,32 @@ class Encoder:
         kinds = [n["type"] for n in normalizer["normalizers"]]
         if model["type"] != "BPE" or model["unk_token"] or kinds != ["NFC", "Replace", "Lowercase"] or spec["decoder"] or spec["post_processor"]:
             raise ValueError("this kind of vocabulary file is not supported")
-        self.ids: dict[str, int] = model["vocab"]
-        self.suffix: str = model["end_of_word_suffix"]
+        ids: dict[str, int] = model["vocab"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.merges = {(self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in enumerate(merges)}
+        #: Two neighbours as one number -> rank of their merge and its symbol, as one number.
+        self.merges = {ids[a] << _BITS | ids[b]: rank << _BITS | ids[a + b] for rank, (a, b) in enumerate(merges)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.strings = {i: s for s, i in self.ids.items()} | {i: s for s, i in self.special.items()}
-        self.letters = byte_letters()
-        self.pieces = regex.compile(split["pretokenizers"][0]["pattern"]["Regex"])
+        self.strings = {i: s for s, i in ids.items()} | {i: s for s, i in self.special.items()}
+        letters = byte_letters()
+        self.inner, self.final = [ids[x] for x in letters], [ids[x + model["end_of_word_suffix"]] for x in letters]
+        self.split = regex.compile(split["pretokenizers"][0]["pattern"]["Regex"])
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.cache: dict[str, tuple[bytes, str]] = {}
+        self.chunks: dict[str, tuple[bytes, str]] = {}
+        self.pieces: dict[str, tuple[bytes, str]] = {}
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids as little-endian 32-bit integers, and the decoded text."""
-        ids, strings = [], []
+        ids, strings, chunks = [], [], self.chunks
         parts = self.at_special.split(text) if self.at_special else [text]
         for part in parts:
             if part in self.special:
                 ids.append(struct.pack("<I", self.special[part]))
                 strings.append(part)
                 continue
-            cache = self.cache
             for chunk in re.split("[ \t\n\x0b\x0c\r]+", part) if re.search("[\x1c-\x1f]", part) else part.split():
-                known = cache.get(chunk)
+                known = chunks.get(chunk)
                 if known is None:
-                    known = self._chunk(chunk)
-                    if len(chunk) <= CACHE_LENGTH:
-                        if len(cache) >= CACHE_PIECES:
-                            cache.clear()
-                        cache[chunk] = known
+                    known = _remember(chunks, chunk, self._chunk(chunk))
                 if known[0]:
                     ids.append(known[0])
                     strings.append(known[1])
@@ -93,41 +93,59 @@ class Encoder:
         text = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)
         # Letter by letter: the form of a final sigma does not depend on its place.
         text = text.replace("Σ", "σ").lower()
-        ids = [i for piece in self.pieces.findall(text) for i in self._piece(piece)]
-        return struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
-
-    def _piece(self, piece: str) -> list[int]:
-        letters = [self.letters[b] for b in piece.encode()]
-        letters[-1] += self.suffix
-        symbols = [self.ids.get(x, -1) for x in letters]
+        found = []
+        for piece in self._split(text):
+            known = self.pieces.get(piece)
+            if known is None:
+                ids = self._piece(piece.encode())
+                known = _remember(self.pieces, piece, (struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)))
+            found.append(known)
+        return found[0] if len(found) == 1 else (b"".join(x[0] for x in found), " ".join(x[1] for x in found))
+
+    def _split(self, text: str) -> list[str]:
+        if text.isascii() or max(text) < _LAST_IDEOGRAPHS:
+            return self.split.findall(text)
+        # The pattern library takes unassigned characters out there for letters; a private-use one stands in for them.
+        shadow = "".join("\ue000" if c >= _LAST_IDEOGRAPHS and unicodedata.category(c) == "Cn" else c for c in text)
+        return [text[m.start() : m.end()] for m in self.split.finditer(shadow)]
+
+    def _piece(self, raw: bytes) -> list[int]:
+        inner, merge = self.inner, self.merges.get
+        symbols = [inner[b] for b in raw]
+        symbols[-1] = self.final[raw[-1]]
         n = len(symbols)
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        queue = []
-        merges = self.merges
-
-        def offer(left: int) -> None:
-            right = after[left]
-            if right < n and (merge := merges.get((symbols[left], symbols[right]))):
-                heapq.heappush(queue, (merge[0], left, symbols[left], symbols[right], merge[1]))
-
-        for i in range(n - 1):
-            offer(i)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        # An entry is a rank and the place of its left symbol, as one number.
+        queue = [m >> _BITS << 32 | i for i in range(n - 1) if (m := merge(symbols[i] << _BITS | symbols[i + 1])) is not None]
+        heapq.heapify(queue)
         while queue:
-            _, left, a, b, new = heapq.heappop(queue)
+            entry = heapq.heappop(queue)
+            left = entry & 0xFFFFFFFF
             right = after[left]
-            if symbols[left] != a or right >= n or symbols[right] != b:
+            if symbols[left] < 0 or right >= n:
+                continue
+            found = merge(symbols[left] << _BITS | symbols[right])
+            if found is None or found >> _BITS != entry >> 32:
                 continue  # stale: one of the two has been merged since
-            symbols[left], symbols[right] = new, -2
-            after[left] = after[right]
-            if after[left] < n:
-                before[after[left]] = left
-            if before[left] >= 0:
-                offer(before[left])
-            offer(left)
+            new, following, preceding = found & _MASK, after[right], before[left]
+            symbols[left], symbols[right], after[left] = new, -1, following
+            if following < n:
+                before[following] = left
+                if (m := merge(new << _BITS | symbols[following])) is not None:
+                    heapq.heappush(queue, m >> _BITS << 32 | left)
+            if preceding >= 0 and (m := merge(symbols[preceding] << _BITS | new)) is not None:
+                heapq.heappush(queue, m >> _BITS << 32 | preceding)
         return [s for s in symbols if s >= 0]
 
 
+def _remember(cache: dict, key: str, value):
+    if len(key) <= CACHE_LENGTH:
+        if len(cache) >= CACHE_PIECES:
+            cache.clear()
+        cache[key] = value
+    return value
+
+
 def read_vocabulary(path: str) -> str:
     """The vocabulary file's content: a fixed public file of a few megabytes, read where the job is built."""
     with open(path, encoding="utf-8") as f:

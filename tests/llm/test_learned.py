@@ -183,3 +183,29 @@ def test_stages_on_an_empty_table(spark, tmp_path):
     spark.read.parquet(f"{SMALL}/documents.parquet").limit(0).write.parquet(path)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, spark.read.parquet(path), SMALL).count() == 0
+
+
+def test_encoder_on_generated_texts():
+    """Any assigned characters, special tokens, contractions, odd white space: the same ids and decoded text as the library's."""
+    import json
+    import struct
+
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+    from tokenizers import Tokenizer
+
+    path = registry.word_vocabulary()
+    plain = Tokenizer.from_file(path)
+    encoder = bpe.Encoder(json.loads(bpe.read_vocabulary(path)))
+    letters = st.one_of(st.characters(codec="utf-8", exclude_categories=["Cs", "Cn"]), st.sampled_from("aeiou tnrsT'’.,ΣσςİıǅßÅ \x1c\x85 가각日本🙂²½Ⅷ<|>"))
+    parts = st.sampled_from(["<|endoftext|>", "<|startoftext|>", " the", "don't", "I'LL", "x", "\n", " "])
+
+    @settings(max_examples=600, deadline=None, database=None)
+    @given(st.one_of(st.text(letters, max_size=40), st.lists(parts, max_size=8).map("".join)))
+    def check(text):
+        ids = plain.encode(text, add_special_tokens=False).ids
+        found, decoded = encoder.encode(text)
+        assert list(struct.unpack(f"<{len(found) // 4}I", found)) == ids
+        assert decoded == plain.decode(ids, skip_special_tokens=False)
+
+    check()
