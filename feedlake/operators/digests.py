@@ -22,7 +22,7 @@ EMPTY_TEXT = "No podcast episodes were processed this week."
 EMPTY_SUBTITLE = "No episodes processed this week"
 EMPTY_BODY = "No podcast episodes were processed in the last 7 days. Check your feeds or processing status."
 HTML_HEAD = '<!DOCTYPE html>\n<html>\n<head><meta charset="UTF-8"></head>\n<body>'
-HTML_FOOT = '<div class="footer"><p>This is an automated weekly digest.</p></div>\n</body>\n</html>'
+HTML_FOOT = "<footer>This is an automated weekly digest.</footer>\n</body>\n</html>"
 TEXT_FOOT = "\n" + "=" * 50 + "\nGenerated by feedlake"
 
 
@@ -65,16 +65,12 @@ def html_digest(base: DataFrame, summaries: DataFrame, full: bool = False) -> Da
     """``base``: items with ``position``. Without items, the fixed empty page."""
     some, none = F.col("n") > 0, F.col("n") == 0
     intro = F.concat(
-        F.lit(f'<div class="header"><h1>🎧 {TITLE}</h1>\n<p class="subtitle">'), "date_range",
-        F.lit('</p>\n<p class="summary-count">'), "counted", F.lit("</p></div>"),
-    )
-    empty = (
-        f'<div class="header"><h1>🎧 {TITLE}</h1>\n<p class="subtitle">{EMPTY_SUBTITLE}</p></div>\n'
-        f'<div class="episode"><p>{EMPTY_BODY}</p></div>'
+        F.lit(f"<header>\n<h1>🎧 {TITLE}</h1>\n<p>"), "date_range", F.lit("<br>"), "counted", F.lit("</p>\n</header>"),
     )
+    empty = f"<header>\n<h1>🎧 {TITLE}</h1>\n<p>{EMPTY_SUBTITLE}</p>\n</header>\n<p>{EMPTY_BODY}</p>"
     frame = _frame(
         base, (0, HTML_HEAD, None), (1, intro, some), (1, empty, none),
-        (2, f'<div class="toc"><h2>{CONTENTS}</h2>\n<ul>', some), (4, "</ul></div>", some), (6, HTML_FOOT, None),
+        (2, f"<nav>\n<h2>{CONTENTS}</h2>\n<ol>", some), (4, "</ol>\n</nav>", some), (6, HTML_FOOT, None),
     )
     position, summary = F.col("position"), F.col("summary")
     items = _rows(

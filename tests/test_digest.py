@@ -65,9 +65,9 @@ Generated by feedlake"""
 def test_html(spark):
     digest = jobs.weekly_digest(*tables(spark, [datetime(2024, 3, 5), datetime(2024, 3, 7)], [(1, "a < b", [])]), as_of=NOW)
     html = lines(digest.html)
-    assert '<p class="subtitle">March 05 - March 07, 2024</p>' in html and "2 episodes processed this week" in html
-    assert '<li>&lt;Title 2&gt; <span class="feed">(F &amp; co)</span></li>' in html  # no summary: listed without a link
-    assert '<li><a href="#episode-1">&lt;Title 1&gt;</a>' in html and 'id="episode-1"' in html and 'id="episode-0"' not in html
+    assert '<p>March 05 - March 07, 2024<br>' in html and "2 episodes processed this week" in html
+    assert '<li>&lt;Title 2&gt; <em>F &amp; co</em></li>' in html  # no summary: listed without a link
+    assert '<li><a href="#item-1">&lt;Title 1&gt;</a>' in html and 'id="item-1"' in html and 'id="item-0"' not in html
     assert "<p>a &lt; b</p>" in html and "March 08, 2024" in html and "Top Quotes" not in html
 
 

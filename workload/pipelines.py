@@ -15,7 +15,7 @@ from feedlake.sinks import documents
 from feedlake.sinks import tables as table_sinks
 from feedlake.sources import files, outlines, payloads
 from feedlake.sources import tables as table_sources
-from feedlake.storage import fresh_dir, spread
+from feedlake.storage import fresh_dir
 from feedlake.streaming import streams
 
 from .registry import query
@@ -85,13 +85,19 @@ OUTLINE = """SELECT 0 AS part, CAST(0 AS BIGINT) AS position, '<?xml version=''1
 </opml>'"""
 
 
-@query("k1_outline_document", sql("""SELECT 1 AS part, row_number() OVER (ORDER BY id) - 1 AS position, '    <outline type="rss" text="'
+@query("k1_outline_document", sql("""SELECT 0 AS part, CAST(0 AS BIGINT) AS position, '<?xml version=''1.0'' encoding=''utf-8''?>
+<opml version="2.0">
+  <head>
+    <title>Feeds</title>
+  </head>
+  <body>' AS text UNION ALL SELECT 2, 0, '  </body>
+</opml>' UNION ALL SELECT 1 AS part, row_number() OVER (ORDER BY id) - 1 AS position, '    <outline type="rss" text="'
     || replace(replace(name, '#', '&amp;'), 'C', '&lt;') || '" xmlUrl="' || url || '" description="a&#10;&quot;b&quot;" '
     || CASE WHEN enabled THEN 'htmlUrl="' || id || '" ' ELSE '' END || '/>' AS text FROM feeds""", "feeds"))
 def outline_document(t):
     marked = t.feeds.withColumn("name", F.replace(F.replace("name", F.lit("#"), F.lit("&")), F.lit("C"), F.lit("<")))
     marked = marked.withColumn("description", F.lit('a\n"b"')).withColumn("html_url", F.when(F.col("enabled"), F.col("id").cast("string")))
-    return documents.outline_document(marked).filter("part = 1")
+    return documents.outline_document(marked)
 
 
 @query("o2_round_trip", sql("""SELECT CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS extra
@@ -215,6 +221,25 @@ def sync(t):
     return synced(t).inserted.select("id", "feed_id", "title", "guid", "published_date")
 
 
+@query("p1_sync_episodes", sql(f"""SELECT id, feed_id, guid FROM known UNION ALL SELECT id, feed_id, guid FROM ({SYNCED})""", "feeds", "known"))
+def sync_episodes(t):
+    return synced(t).episodes.select("id", "feed_id", "guid")
+
+
+@query("p1_sync_status", sql(f"""SELECT episode_id, status FROM status_rows UNION ALL SELECT id, 'pending' FROM ({SYNCED})""", "feeds", "known", "status_rows"))
+def sync_status(t):
+    return synced(t).status.select("episode_id", "status")
+
+
+@query("p1_two_payloads", sql(f"""SELECT feed_id, guid, title, count(*) OVER () AS n FROM ({SYNCED})""", "feeds", "known"))
+def two_payloads(t):
+    """Every payload arrives twice; the second copy, under other titles, brings nothing new."""
+    first = fetched(t)
+    second = first.withColumn("payload_no", F.col("payload_no") + 10_000_000_000).withColumn("xml", F.replace("xml", F.lit("<title>Item "), F.lit("<title>Late ")))
+    inserted = jobs.sync_feeds(t.feeds, t.known, t.status, first.unionByName(second), SYNC_AS_OF, SYNC_AGE, ids="hash").inserted
+    return inserted.select("feed_id", "guid", "title").withColumn("n", F.lit(inserted.count()))
+
+
 @query("p1_sync_totals", sql(f"SELECT feed_id, count(*) AS new_episodes FROM ({SYNCED}) GROUP BY ROLLUP (feed_id)", "feeds", "known"))
 def sync_totals(t):
     return synced(t).totals
@@ -239,51 +264,75 @@ NUMBERED = f"""WITH base AS ({DIGEST_BASE}), numbered AS (SELECT b.*, row_number
 
 
 def _html_sql(full: bool) -> str:
-    quote = f"""'<blockquote>"' || k || ' ' || {_esc('body')} || '"<footer>— ' || CASE WHEN lang = 'en' THEN source ELSE 'Unknown' END
-        || '</footer></blockquote>'"""
-    theses = """'<div class="section"><h3>💡 Investment Theses</h3>
-<ul>
-<li><strong>a &lt; b &amp; c ' || doc_id || '</strong>: ' || lang || '</li>
-</ul>
-</div>
+    quote = f"""'<figure><blockquote>' || k || ' ' || {_esc('body')} || '</blockquote><figcaption>' || CASE WHEN lang = 'en' THEN source ELSE 'Unknown' END
+        || '</figcaption></figure>'"""
+    theses = """'<section>
+<h4>💡 Investment Theses</h4>
+<dl>
+<dt>a &lt; b &amp; c ' || doc_id || '</dt><dd>' || lang || '</dd>
+</dl>
+</section>
 ' ||""" if full else ""
     return f"""{NUMBERED}
     SELECT 0 AS part, CAST(0 AS BIGINT) AS position, '{digests.HTML_HEAD}' AS text
-    UNION ALL SELECT 1, 0, '<div class="header"><h1>🎧 Your Weekly Podcast Digest</h1>
-<p class="subtitle">' || days || '</p>
-<p class="summary-count">' || counted || '</p></div>' FROM heading
-    UNION ALL SELECT 2, 0, '<div class="toc"><h2>This Week''s Episodes</h2>
-<ul>'
-    UNION ALL SELECT 3, position, '<li>' || CASE WHEN doc_id IS NULL THEN title ELSE '<a href="#episode-' || position || '">' || title || '</a>' END
-        || ' <span class="feed">(' || feed_name || ')</span></li>' FROM numbered
-    UNION ALL SELECT 4, 0, '</ul></div>'
-    UNION ALL SELECT 5, position, '<div class="episode" id="episode-' || position || '">
-<h2 class="episode-title">' || title || '</h2>
-<p class="episode-meta"><strong>' || feed_name || '</strong> • ' || strftime(published_date, '%B %d, %Y') || '</p>
-<div class="section"><h3>🎙️ Host and Guest</h3>
+    UNION ALL SELECT 1, 0, '<header>
+<h1>🎧 Your Weekly Podcast Digest</h1>
+<p>' || days || '<br>' || counted || '</p>
+</header>' FROM heading
+    UNION ALL SELECT 2, 0, '<nav>
+<h2>This Week''s Episodes</h2>
+<ol>'
+    UNION ALL SELECT 3, position, '<li>' || CASE WHEN doc_id IS NULL THEN title ELSE '<a href="#item-' || position || '">' || title || '</a>' END
+        || ' <em>' || feed_name || '</em></li>' FROM numbered
+    UNION ALL SELECT 4, 0, '</ol>
+</nav>'
+    UNION ALL SELECT 5, position, '<article id="item-' || position || '">
+<h3>' || title || '</h3>
+<p>' || feed_name || ', <time>' || strftime(published_date, '%B %d, %Y') || '</time></p>
+<section>
+<h4>🎙️ Host and Guest</h4>
 <p>' || source || '</p>
-</div>
-<div class="section"><h3>📝 Summary</h3>
+</section>
+<section>
+<h4>📝 Summary</h4>
 <p>' || {_esc('body')} || '</p>
-</div>
-<div class="section"><h3>💬 Top Quotes</h3>
+</section>
+<section>
+<h4>💬 Top Quotes</h4>
 ' || (SELECT string_agg({quote}, chr(10) ORDER BY k) FROM range(1, 4) r(k)) || '
-</div>
-' || {theses} '<div class="section"><h3>🔑 Key Topics</h3>
-<ul>
-' || (SELECT string_agg('<li><strong>' || lang || k || '</strong>: ' || source || '</li>', chr(10) ORDER BY k) FROM range(1, 6) r(k)) || '
-</ul>
-</div>
-<div class="section"><h3>🏢 Companies Mentioned</h3>
-<ul>
-' || (SELECT string_agg('<li><strong>Firm ' || k || '</strong> (' || CASE WHEN lang = 'fr' THEN 'N/A' ELSE lang END || '): ' || source || '</li>',
+</section>
+' || {theses} '<section>
+<h4>🔑 Key Topics</h4>
+<dl>
+' || (SELECT string_agg('<dt>' || lang || k || '</dt><dd>' || source || '</dd>', chr(10) ORDER BY k) FROM range(1, 6) r(k)) || '
+</dl>
+</section>
+<section>
+<h4>🏢 Companies Mentioned</h4>
+<dl>
+' || (SELECT string_agg('<dt>Firm ' || k || ' (' || CASE WHEN lang = 'fr' THEN 'N/A' ELSE lang END || ')</dt><dd>' || source || '</dd>',
         chr(10) ORDER BY k) FROM range(1, 6) r(k)) || '
-</ul>
-</div>
-</div><hr>' FROM numbered WHERE doc_id IS NOT NULL
+</dl>
+</section>
+</article>' FROM numbered WHERE doc_id IS NOT NULL
     UNION ALL SELECT 6, 0, '{digests.HTML_FOOT}'"""
 
 
+@query("x13_empty_digest", f"""SELECT * FROM (VALUES (0, '{digests.HTML_HEAD}'), (1, '<header>
+<h1>🎧 Your Weekly Podcast Digest</h1>
+<p>No episodes processed this week</p>
+</header>
+<p>No podcast episodes were processed in the last 7 days. Check your feeds or processing status.</p>'), (6, '{digests.HTML_FOOT}')) d(part, text)""")
+def empty_html_digest(t):
+    # No item was completed in the seven days before this date.
+    return jobs.weekly_digest(t.episodes, t.feeds, t.status, t.summaries, "2031-01-01 00:00:00", 7).html.select("part", "text")
+
+
+@query("x14_empty_digest", "SELECT 0 AS part, 'No podcast episodes were processed this week.' AS text")
+def empty_text_digest(t):
+    return jobs.weekly_digest(t.episodes, t.feeds, t.status, t.summaries, "2031-01-01 00:00:00", 7).text.select("part", "text")
+
+
 @query("x13_html_digest", sql(_html_sql(True), "episodes", "feeds", "status_rows"))
 def html_digest(t):
     return digests.html_digest(digests.positioned(digest_base_of(t)), t.summaries, full=True)
@@ -420,25 +469,48 @@ def process_outcomes(t):
 # --- files --------------------------------------------------------------------------------------------------------------------
 
 
+SELECTION = 25
+
+
 def item_files(t: Tables) -> str:
-    """The raw transcripts as text files, one per item."""
+    """The raw transcripts of a stated selection, the items with the smallest ids, as text files. A whole table belongs in parquet."""
     folder = fresh_dir(t.spark, "texts")
-    rows = spread(documents.transcript_rows(t.transcripts).filter("kind = 'raw'"), "episode_id", t.partitions)
-    documents.write_texts(rows, ["kind", "episode_id"], "text", folder)
+    chosen = t.transcripts.orderBy("episode_id").limit(SELECTION)
+    documents.write_texts(documents.transcript_rows(chosen).filter("kind = 'raw'"), ["kind", "episode_id"], "text", folder)
     return folder
 
 
-@query("s4_transcript_files", "SELECT doc_id AS episode_id, 'raw' AS kind, text FROM documents")
+@query("s4_transcript_files", f"SELECT doc_id AS episode_id, 'raw' AS kind, text FROM documents ORDER BY doc_id LIMIT {SELECTION}")
 def transcript_files(t):
     return files.read_item_texts(t.spark, item_files(t))
 
 
-@query("s5_file_inventory", "SELECT doc_id AS episode_id, CAST(strlen(text) + 1 AS BIGINT) AS size FROM documents")
+@query("s4_stored_transcripts", sql("SELECT episode_id, 'raw' AS kind, episode_id || '_raw.txt' AS file_name, raw_text AS text FROM transcripts", "transcripts"))
+def stored_transcripts(t):
+    """All transcripts through the table form of the sink, which keeps the file's name as a column."""
+    folder = fresh_dir(t.spark, "transcripts")
+    documents.transcript_rows(t.transcripts).write.partitionBy("kind").parquet(folder)
+    return t.spark.read.parquet(folder).filter("kind = 'raw'").select("episode_id", "kind", "file_name", "text")
+
+
+@query("s5_file_inventory", f"SELECT doc_id AS episode_id, CAST(strlen(text) + 1 AS BIGINT) AS size FROM documents ORDER BY doc_id LIMIT {SELECTION}")
 def file_inventory(t):
     found = files.media_inventory(t.spark, item_files(t)).filter(F.endswith("file_name", F.lit(".txt")))
     return found.select(F.regexp_extract("path", "episode_id=([0-9]+)/", 1).cast("bigint").alias("episode_id"), F.col("length").alias("size"))
 
 
+@query("s5_located_media", sql("""SELECT id AS episode_id, CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'm/' || id || '.mp3' WHEN 2 THEN 'm/' || id || '.m4a'
+    ELSE 'm/' || id || '.mp3' END AS path, CASE WHEN id % 4 > 0 THEN id END AS size FROM episodes""", "episodes"))
+def located_media(t):
+    """Expected files against an inventory: missing, as expected, with another ending, with several endings."""
+    key = F.col("id").cast("string")
+    expected = t.episodes.select(F.col("id").alias("episode_id"), F.concat(key, F.lit(".mp3")).alias("file_name"))
+    endings = F.expr("CASE id % 4 WHEN 0 THEN array('.wav') WHEN 1 THEN array('.mp3') WHEN 2 THEN array('.opus', '.m4a') ELSE array('.webm', '.mp3', '.m4a') END")
+    present = t.episodes.select("id", F.explode(endings).alias("e")).select(
+        F.concat(F.col("id").cast("string"), "e").alias("file_name"), F.concat(F.lit("m/"), F.col("id").cast("string"), "e").alias("path"), F.col("id").alias("length"))
+    return files.located_media(expected, present).select("episode_id", "path", "size")
+
+
 # --- logs and streams ---------------------------------------------------------------------------------------------------------
 
 LOG_ROWS = sql('SELECT id, episode_id, stage, status, message, "timestamp" FROM logs', "logs")

@@ -13,6 +13,7 @@ from feedlake.functions.basic import strip
 from feedlake.operators import mentions
 from feedlake.operators.inference import apply_model
 from feedlake.plans.jobs import clean_texts
+from feedlake.storage import fresh_dir
 from feedlake.schemas import SUMMARY_ARRAYS
 from feedlake.sinks import documents
 
@@ -390,23 +391,42 @@ def markdown(t):
 @query("k4_markdown_sink", f"""SELECT episode_id, 'summaries/' || episode_id || '_summary.md' AS summary_path, CAST(NULL AS VARCHAR) AS json_path,
     markdown AS markdown_text FROM ({MARKDOWN})""")
 def markdown_sink(t):
-    return documents.summary_rows(t.summary_structs, "markdown").select("episode_id", "summary_path", "json_path", "markdown_text")
+    return _written(documents.summary_rows(t.summary_structs, "markdown").select("episode_id", "summary_path", "json_path", "markdown_text"))
+
+
+def _written(rows):
+    """Written as a table and read back: the form for whole tables, without a file per item."""
+    folder = fresh_dir(rows.sparkSession, "sink")
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
 
 
 @query("k3_json_sink", """SELECT doc_id AS episode_id, 'summaries/' || doc_id || '_summary.json' AS summary_path, source AS host_and_guest,
-    text AS comprehensive_summary, CAST(6 AS BIGINT) AS companies FROM documents""")
+    text AS comprehensive_summary, (SELECT string_agg(lang || k || '=' || source, ';' ORDER BY k) FROM range(1, 7) r(k)) AS topics,
+    (SELECT string_agg(k || ' ' || text || '=' || CASE WHEN lang = 'en' THEN source ELSE '-' END || '=' || lang, ';' ORDER BY k) FROM range(1, 5) r(k)) AS quotes,
+    'a < b & c ' || doc_id || '=' || lang || '=' || CASE WHEN lang = 'de' THEN 'high' ELSE '' END AS theses, 'seen in ' || source || ';said in ' || lang AS observations,
+    (SELECT string_agg('Firm ' || k || '=' || CASE WHEN lang = 'fr' THEN '-' ELSE lang END || '=' || source || '=' || CASE WHEN lang = 'es' THEN 'listed' ELSE '-' END, ';' ORDER BY k)
+        FROM range(1, 7) r(k)) AS companies FROM documents""")
 def json_sink(t):
     # The JSON text is read back, since its blanks and line ends carry no meaning.
-    rows = documents.summary_rows(t.summary_structs, "json").select("episode_id", "summary_path", fs.decode("json_text").alias("s"))
-    return rows.select("episode_id", "summary_path", "s.host_and_guest", "s.comprehensive_summary",
-                       F.size("s.company_mentions").cast("bigint").alias("companies"))
+    rows = _written(documents.summary_rows(t.summary_structs, "json")).select("episode_id", "summary_path", fs.decode("json_text").alias("s"))
+
+    def listed(array, *fields):
+        return F.array_join(F.transform(array, lambda x: F.concat_ws("=", *[F.coalesce(x[f], F.lit("-")) for f in fields])), ";")
+
+    return rows.select(
+        "episode_id", "summary_path", "s.host_and_guest", "s.comprehensive_summary", listed(F.col("s.key_topics"), "topic", "description").alias("topics"),
+        listed(F.col("s.actionable_quotes"), "quote", "speaker", "context").alias("quotes"),
+        listed(F.col("s.investment_theses"), "thesis", "reasoning", "risks").alias("theses"),
+        F.array_join("s.noteworthy_observations", ";").alias("observations"),
+        listed(F.col("s.company_mentions"), "name", "industry", "context", "details").alias("companies"))
 
 
 @query("k2_transcript_sink", sql("""SELECT episode_id, 'raw' AS kind, episode_id || '_raw.txt' AS file_name, raw_text AS text FROM transcripts
     UNION ALL SELECT episode_id, 'cleaned', episode_id || '_cleaned.txt', cleaned_text FROM transcripts WHERE cleaned_text IS NOT NULL""",
                                  "transcripts"))
 def transcript_sink(t):
-    return documents.transcript_rows(t.transcripts)
+    return _written(documents.transcript_rows(t.transcripts))
 
 
 @query("x4_trimmed_text", "SELECT doc_id AS episode_id, text FROM documents")

@@ -83,6 +83,16 @@ def hash_ids(t):
     return inserted(t, "hash").select("feed_id", "title", "guid", F.col("id").isNotNull().alias("has_id"))
 
 
+@query("u8_unique_hash_ids", sql(f"SELECT count(*) AS n, count(*) AS ids, CAST(0 AS BIGINT) AS shared, true AS stable FROM ({FRESH})", "feeds", "known"))
+def unique_hash_ids(t):
+    """No two new rows share an id, none has that of a stored row, and a second load gives each row the same id."""
+    new, again = inserted(t, "hash").select("id", "guid"), inserted(t, "hash").select(F.col("id").alias("again"), F.col("guid").alias("same"))
+    both = new.join(again, F.col("guid") == F.col("same"))
+    facts = both.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.bool_and(F.col("id") == F.col("again")).alias("stable"))
+    shared = state.shared_ids(new, t.known).agg(F.count("*").alias("shared"))
+    return facts.withColumn("_k", F.lit(0)).join(shared.withColumn("_k", F.lit(0)), "_k").select("n", "ids", "shared", "stable")
+
+
 @query("u8_sequence_ids", sql("""SELECT guid, (SELECT max(id) FROM episodes) + row_number() OVER (ORDER BY feed_id, pos) AS id
     FROM items""", "episodes", "items"))
 def sequence_ids(t):
@@ -147,11 +157,16 @@ def save_transcripts(t):
     return state.save_transcripts(t.transcripts, saves)
 
 
-@query("u7_save_summaries", f"""WITH old AS (SELECT doc_id * 2 + n AS id, doc_id AS episode_id, CASE n WHEN 0 THEN 'old' ELSE 'new' END AS model_used
-        FROM documents, (SELECT unnest([0, 1]) AS n))
-    SELECT * FROM old UNION ALL
-    SELECT (SELECT max(id) FROM old) + row_number() OVER (ORDER BY doc_id), doc_id, 'again' FROM documents""")
+@query("u7_save_summaries", f"""WITH old AS (SELECT doc_id * 2 + n AS id, doc_id, CASE n WHEN 0 THEN 'old' ELSE 'new' END AS model_used,
+        CASE n WHEN 0 THEN 'outdated' ELSE text END AS overview, CASE n WHEN 0 THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2024-01-02' END AS created_at
+        FROM documents, (SELECT unnest([0, 1]) AS n)),
+    every AS (SELECT * FROM old UNION ALL SELECT (SELECT max(id) FROM old) + row_number() OVER (ORDER BY doc_id), doc_id, 'again', text, {NOW} FROM documents)
+    SELECT id, doc_id AS episode_id, model_used, created_at, source AS host_and_guest, overview AS comprehensive_summary,
+        '["seen in ' || source || '","said in ' || lang || '"]' AS noteworthy_observations,
+        '[{{"thesis":"a < b & c ' || doc_id || '","reasoning":"' || lang || '","risks":"' || CASE WHEN lang = 'de' THEN 'high' ELSE '' END || '"}}]' AS investment_theses,
+        CAST(6 AS BIGINT) AS topics, CAST(4 AS BIGINT) AS quotes, CAST(6 AS BIGINT) AS companies FROM every JOIN documents USING (doc_id)""")
 def save_summaries(t):
     saved = fs.storable(t.summary_structs).withColumn("model_used", F.lit("again"))
     both = state.append(t.summaries, state.save_summaries(t.summaries, saved, AS_OF))
-    return both.select("id", "episode_id", "model_used")
+    sizes = [F.size(fs.decode_array(c, c)).cast("bigint").alias(n) for c, n in (("key_topics", "topics"), ("actionable_quotes", "quotes"), ("company_mentions", "companies"))]
+    return both.select("id", "episode_id", "model_used", "created_at", "host_and_guest", "comprehensive_summary", "noteworthy_observations", "investment_theses", *sizes)
