@@ -42,6 +42,9 @@ STAR_ROUNDS = 2
 #: Groups of more classes are compared by blocks of at most so many classes and n-grams, so many n-grams at a time.
 LARGE, BLOCK_CLASSES, BLOCK_GRAMS, MATRIX_GRAMS = 16, 1024, 500_000, 4096
 GROUPS = 4
+PAIRS_PER_GROUP = 512
+#: Size of the maps that tell which rows surely take no part: 2 MB.
+FILTER_BITS = 1 << 24
 
 
 def gram_sets(data: np.ndarray, offsets: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -209,50 +212,71 @@ def _close(n: str, m: str, percent: int):
     return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
 
 
-def _texts(classes: DataFrame, sets: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(cls, _text): the text of one document of each of the classes."""
-    one = sets.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("at").alias("at"))
-    holders = classes.distinct().join(one, "cls")
-    rows = docs.select(content_key(key, text_of(text)).alias("at"), text_of(text).alias("_text"))
-    return holders.join(rows, "at").select("cls", "_text").dropDuplicates(["cls"])
+def digest_filter(digests: DataFrame, digest: str) -> np.ndarray:
+    """Bits that digests in the column set in a map of ``FILTER_BITS``: of fixed size whatever the data, so it may be broadcast.
 
+    A digest whose bit is not set is surely not in the column. The fuller the map, the more others pass; they only cost time.
+    """
+    bit = F.pmod(F.col(digest), F.lit(FILTER_BITS))
+    value = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(32)).cast("int"))
+    found = digests.select(F.floor(bit / 32).cast("int").alias("word"), value.alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 32, np.uint32)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
+    return out
 
-def verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, gram: int, percent: int, text: str, key: str) -> DataFrame:
-    """The pairs of classes (a, b) that reach the threshold, by partial overlaps per slice of the order, summed per pair.
 
-    A class that takes part is cut into slices once; the slices of a pair meet by join on class and slice.
-    """
-    texts = _texts(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))), sets, docs, text, key)
+def passes(bits: np.ndarray, digests: np.ndarray) -> np.ndarray:
+    bit = digests % FILTER_BITS
+    return (bits[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 > 0
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offsets in text_chunks(batch.column(1)):
-                found, at = gram_sets(data, offsets, gram)
-                edges = np.searchsorted
-                out = [], [], []
-                for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
-                    own = found[a:b]
-                    borders = edges(own, np.arange(1, SLICES, dtype=np.uint64) * U64((1 << 64) // SLICES))
-                    for s, piece in enumerate(np.split(own, borders)):
-                        if len(piece):
-                            out[0].append(batch.column(0)[lo + i].as_py())
-                            out[1].append(s)
-                            out[2].append(piece.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], ["cls", "slice", "grams"])
-
-    slices = texts.mapInArrow(cut, "cls long, slice int, grams binary")
-    left = pairs.join(slices.select(F.col("cls").alias("a"), "slice", F.col("grams").alias("x")), "a")
-    both = left.join(slices.select(F.col("cls").alias("b"), "slice", F.col("grams").alias("y")), ["b", "slice"])
-
-    def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def candidate_texts(classes: DataFrame, sets: DataFrame, docs: DataFrame, gram: int, text: str, key: str) -> DataFrame:
+    """(cls, _text): a text of each class that may take part in a pair, written once. Only texts that pass the filter are dealt out."""
+    one = sets.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("at").alias("at")).join(classes.distinct(), "cls", "left_semi")
+    holders = materialize(one.select("cls", "at", F.xxhash64("at").alias("h")))
+    bits = docs.sparkSession.sparkContext.broadcast(digest_filter(holders, "h"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            xs, ys = batch.column(4).to_pylist(), batch.column(5).to_pylist()
-            counts = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(xs, ys)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(4)], pa.array(counts, pa.int64())], ["a", "b", "na", "nb", "common"])
+            yield batch.filter(pa.array(passes(bits.value, batch.column(2).to_numpy())))
 
-    partial = both.select("a", "b", "na", "nb", "x", "y").mapInArrow(overlap, "a long, b long, na long, nb long, common long")
-    summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
-    return summed.filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b")
+    rows = docs.select(content_key(key, text_of(text)).alias("at"), text_of(text).alias("_text")).withColumn("h", F.xxhash64("at"))
+    chosen = rows.mapInArrow(choose, "at string, _text string, h long").select("at", "_text")
+    # A row that repeats gives its text twice, which does no harm.
+    return materialize(chosen.join(holders.select("cls", "at"), "at").select("cls", "_text"))
+
+
+def verify(pairs: DataFrame, texts: DataFrame, gram: int, percent: int) -> DataFrame:
+    """The pairs of classes (a, b) that reach the threshold, by partial overlaps per slice of the order, summed per pair.
+
+    The texts of a pair meet in the group of its first class; a class with very many pairs has several such groups.
+    """
+    parts = GROUPS * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_PER_GROUP).cast("int").alias("shares"))
+    placed = pairs.select("a", "b").join(shares, "a").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int"))
+    uses = placed.select("a", "share", F.col("b").alias("cls")).unionByName(placed.select("a", "share", F.col("a").alias("cls")).distinct())
+    part = F.pmod(F.xxhash64("a", "share"), F.lit(parts)).cast("int")
+    rows = uses.join(texts, "cls").select(part.alias("part"), "a", "share", "cls", "_text")
+    borders = np.arange(1, SLICES, dtype=np.uint64) * U64((1 << 64) // SLICES)
+
+    def count(table: pa.Table) -> pa.Table:
+        hubs, share, cls = (table.column(c).to_numpy() for c in ("a", "share", "cls"))
+        sets: list[np.ndarray] = []
+        for _, _, data, offsets in text_chunks(table.column("_text").combine_chunks()):
+            found, cut = gram_sets(data, offsets, gram)
+            sets += [found[x:y] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist())]
+        at = {(a, s): i for i, (a, s, c) in enumerate(zip(hubs.tolist(), share.tolist(), cls.tolist())) if a == c}
+        links = []
+        for i, (a, s, c) in enumerate(zip(hubs.tolist(), share.tolist(), cls.tolist())):
+            if a != c:
+                x, y = sets[at[a, s]], sets[i]
+                partial = [len(np.intersect1d(u, v, assume_unique=True))
+                           for u, v in zip(np.split(x, np.searchsorted(x, borders)), np.split(y, np.searchsorted(y, borders)))]
+                if sum(partial) * 100 >= (len(x) + len(y) - sum(partial)) * percent:
+                    links.append((a, c))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return rows.groupBy("part").applyInArrow(count, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -279,7 +303,7 @@ def _pairs(found: DataFrame, tested: DataFrame | None, percent: int) -> DataFram
     return materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
 
 
-def _block_links(members: DataFrame, sets: DataFrame, docs: DataFrame, gram: int, percent: int, text: str, key: str) -> DataFrame:
+def _block_links(members: DataFrame, texts: DataFrame, gram: int, percent: int) -> DataFrame:
     """Links (a, b) between classes of one family and of different components; ``members`` is (family, cls, component, n).
 
     Each class is sent to the tasks of all pairs of blocks that its own block is in.
@@ -290,8 +314,6 @@ def _block_links(members: DataFrame, sets: DataFrame, docs: DataFrame, gram: int
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     placed = placed.select("family", "cls", "component", "own", other)
     placed = placed.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "component")
-    texts = _texts(members.select("cls"), sets, docs, text, key)
-
     def compare(table: pa.Table) -> pa.Table:
         cls, component, own = (table.column(c).to_numpy() for c in ("cls", "component", "own"))
         last = int(table.column("j")[0].as_py())
@@ -324,6 +346,7 @@ def link_documents(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, te
     """One row per document: ``id``, ``at`` (content key), ``n_shingles`` and ``component_id``."""
     sets, frequent = set_table(docs, gram, text, key)
     shared = materialize(shared_segments(docs, frequent, gram, percent, text))
+    texts = candidate_texts(shared.select("cls"), sets, docs, gram, text, key)
     tested = links = label = None
 
     def labelled() -> DataFrame:
@@ -336,7 +359,7 @@ def link_documents(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, te
         nonlocal tested, links, label
         tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
         if not pairs.isEmpty():
-            linked = materialize(verify(pairs, sets, docs, gram, percent, text, key))
+            linked = materialize(verify(pairs, texts, gram, percent))
             links = linked if links is None else links.union(linked)
             label = components(links)
 
@@ -352,7 +375,7 @@ def link_documents(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, te
     if not large.isEmpty():
         family = components(large.select(F.col("first").alias("a"), F.col("cls").alias("b")).distinct()).withColumnRenamed("component", "family")
         members = materialize(large.select("cls", "component", "n").distinct().join(family, "cls"))
-        linked = materialize(_block_links(members, sets, docs, gram, percent, text, key))
+        linked = materialize(_block_links(members, texts, gram, percent))
         links = linked if links is None else links.union(linked)
     mine = small.select("sig", F.col("cls").alias("h"), F.col("n").alias("hn"), F.col("component").alias("hc"))
     take(_pairs(small.join(mine, "sig").filter(F.col("hc") < F.col("component")), tested, percent))
@@ -371,7 +394,19 @@ def link_documents(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, te
 
 def keep_one(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One document of each group, that with the smallest id, with the columns it came with; repeated rows are one document."""
-    found = link_documents(docs, gram, percent, text, key)
-    kept = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("at").alias("_at")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), content_key(key, text_of(text)).alias("_at"))
-    return rows.join(kept, "_at", "left_semi").dropDuplicates(["_at"]).select("row.*")
+    found = materialize(link_documents(docs, gram, percent, text, key).withColumn("h", F.xxhash64("at")))
+    stays = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("at").agg(F.first("h").alias("h"), F.count("*").alias("rows"))
+    # Rows that go, or that repeat, have their bit set; all others stay where they are and are not dealt out.
+    once = stays.filter("rows = 1").select(F.col("at").alias("_at"))
+    leaves = found.select("at", "h").join(once, F.col("at") == F.col("_at"), "left_anti")
+    bits = docs.sparkSession.sparkContext.broadcast(digest_filter(leaves, "h"))
+
+    @F.arrow_udf("boolean")
+    def may_leave(h: pa.Array) -> pa.Array:
+        return pa.array(passes(bits.value, h.to_numpy()))
+
+    key_ = content_key(key, text_of(text))
+    rows = docs.select(F.struct("*").alias("row"), key_.alias("_at"), may_leave(F.xxhash64(key_)).alias("_leaves"))
+    sure = rows.filter(~F.col("_leaves")).select("row.*")
+    asked = rows.filter("_leaves").join(stays.select(F.col("at").alias("_at")), "_at", "left_semi").dropDuplicates(["_at"]).select("row.*")
+    return sure.unionByName(asked)
