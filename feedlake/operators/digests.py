@@ -13,7 +13,6 @@ from ..functions import digest as fd
 from ..functions import summaries as fs
 from .aggregates import digest_heading
 from .ordering import with_position
-from .state import latest_summaries
 
 # The titles and the texts of an empty digest. The frame around them is our own.
 TITLE = "Your Weekly Podcast Digest"
@@ -34,11 +33,13 @@ def positioned(base: DataFrame) -> DataFrame:
 def with_summary(base: DataFrame, summaries: DataFrame) -> DataFrame:
     """Left join to the latest summary of each item, one job instead of one lookup per item.
 
-    The stored summaries are first cut down to the items of the digest, which are few beside the whole table.
+    The latest row is picked on ids and times alone; only then are the texts fetched, by the picked ids. ``base`` is read once.
     """
-    wanted = summaries.join(base.select(F.col("id").alias("episode_id")), "episode_id", "left_semi")
-    latest = fs.stored(latest_summaries(wanted)).select(F.col("episode_id").alias("id"), "summary")
-    return base.join(latest, "id", "left")
+    versions = summaries.select(F.col("episode_id").alias("_of"), "created_at", F.col("id").alias("_version"))
+    newest = F.max(F.struct("created_at", "_version")).alias("_newest")
+    picked = base.join(versions, F.col("id") == F.col("_of"), "left").groupBy(*base.columns).agg(newest)
+    texts = fs.stored(summaries).select(F.col("id").alias("_version"), "summary")
+    return picked.withColumn("_version", F.col("_newest._version")).join(texts, "_version", "left").select(*base.columns, "summary")
 
 
 def _episode() -> Column:

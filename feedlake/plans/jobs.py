@@ -155,7 +155,8 @@ def process_items(
         F.when(F.col("audio_path").isNull(), 0).when(F.col("raw_text").isNull(), 1)
         .when(F.col("summary").isNull(), 3).otherwise(4)
     )
-    decoded = replies.withColumn("summary", fs.decode("reply")).drop("reply", "error")
+    # The error text of a failed call stays in the results.
+    decoded = replies.withColumn("summary", fs.decode("reply")).drop("reply")
     results = materialize(
         decoded.withColumn("failed_at", failed_at).withColumn("summary_path", documents.summary_paths(output_format)["summary_path"])
     )

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -38,16 +38,27 @@ def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     return run_batches(stream, write, checkpoint, mode)
 
 
-def stored_episodes(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """Episodes written by the sync stream, optionally only by batches before ``before``."""
+BUCKETS = 64
+
+
+def guid_bucket(guid: str = "guid") -> Column:
+    """The folder of an episode: a batch is compared only with the folders that its own guids fall into."""
+    return F.pmod(F.xxhash64(guid), F.lit(BUCKETS)).cast("int")
+
+
+def stored_episodes(spark: SparkSession, path: str, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+    """Episodes written by the sync stream, optionally only by batches before ``before`` and in the given buckets, whose folders alone are read."""
+    schema = f"{TABLES['episodes']}, batch_id BIGINT, bucket INT"
     try:
-        rows = spark.read.schema(f"{TABLES['episodes']}, batch_id BIGINT").parquet(path)
+        rows = spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         # nothing written yet
-        rows = spark.createDataFrame([], f"{TABLES['episodes']}, batch_id BIGINT")
-    return rows if before is None else rows.filter(F.col("batch_id") < before)
+        rows = spark.createDataFrame([], schema)
+    if before is not None:
+        rows = rows.filter(F.col("batch_id") < before)
+    return (rows if buckets is None else rows.filter(F.col("bucket").isin(buckets))).drop("bucket")
 
 
 def sync_stream(
@@ -56,17 +67,17 @@ def sync_stream(
 ) -> StreamingQuery:
     """Take up new items from a stream of payloads ``(payload_no, url, xml)``.
 
-    Every batch is compared with the whole stored table, so a guid is never forgotten. ``as_of`` fixes the age rule of the run. Ids are
-    hashes by default: consecutive ones need the largest stored id in every batch.
+    Every batch is compared with all that is stored of its guids' buckets, so a guid is never forgotten. ``as_of`` fixes the age rule of
+    the run. Ids are hashes by default: consecutive ones need the largest stored id in every batch.
     """
     order = ("feed_id", "payload_no", "pos")
 
     def take_up(batch: DataFrame, batch_id: int) -> None:
-        stored = stored_episodes(batch.sparkSession, path, batch_id).drop("batch_id")
         items = materialize(incoming_items(batch, feeds, as_of, max_age_days))
-        known = state.stored_matches(stored, items, "guid") if ids == "hash" else stored
-        inserted = state.insert_items(known, items, None, as_of, order, ids)
-        inserted.write.mode("overwrite").parquet(_batch_path(path, batch_id))
+        touched = [r[0] for r in items.select(guid_bucket()).distinct().collect()] if ids == "hash" else None  # at most BUCKETS numbers
+        stored = stored_episodes(batch.sparkSession, path, batch_id, touched).drop("batch_id")
+        inserted = state.insert_items(stored, items, None, as_of, order, ids).withColumn("bucket", guid_bucket())
+        inserted.write.mode("overwrite").partitionBy("bucket").parquet(_batch_path(path, batch_id))
 
     return run_batches(fetched, take_up, checkpoint)
 

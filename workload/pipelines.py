@@ -15,7 +15,7 @@ from feedlake.sinks import documents
 from feedlake.sinks import tables as table_sinks
 from feedlake.sources import files, outlines, payloads
 from feedlake.sources import tables as table_sources
-from feedlake.storage import fresh_dir
+from feedlake.storage import fresh_dir, spread
 from feedlake.streaming import streams
 
 from .registry import query
@@ -543,6 +543,16 @@ def sync_stream(t):
     return streams.stored_episodes(t.spark, f"{out}/episodes").select("feed_id", "title", "guid", "published_date")
 
 
+@query("st1_sync_batches", sql(f"SELECT guid FROM ({SYNCED.replace(' AND guid NOT IN (SELECT guid FROM known)', '')})", "feeds", "known"))
+def sync_batches(t):
+    """Several files, taken up in several batches: the later ones meet what the earlier ones stored, so each guid is stored once."""
+    folder, out = fresh_dir(t.spark, "fetched"), fresh_dir(t.spark, "sync")
+    spread(fetched(t), "payload_no", 4).write.parquet(folder)
+    arriving = t.spark.readStream.schema("payload_no BIGINT, url STRING, xml STRING").option("maxFilesPerTrigger", 2).parquet(folder)
+    streams.sync_stream(arriving, t.feeds, f"{out}/episodes", f"{out}/checkpoint", SYNC_AS_OF, SYNC_AGE).awaitTermination()
+    return streams.stored_episodes(t.spark, f"{out}/episodes").select("guid")
+
+
 @query("st2_without_repeats", "SELECT DISTINCT md5(text) AS guid FROM documents")
 def without_repeats(t):
     out = fresh_dir(t.spark, "distinct")
