@@ -38,7 +38,7 @@ def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     return run_batches(stream, write, checkpoint, mode)
 
 
-BUCKETS = 64
+BUCKETS = 16
 
 
 def guid_bucket(guid: str = "guid") -> Column:
@@ -77,7 +77,7 @@ def sync_stream(
         touched = [r[0] for r in items.select(guid_bucket()).distinct().collect()] if ids == "hash" else None  # at most BUCKETS numbers
         stored = stored_episodes(batch.sparkSession, path, batch_id, touched).drop("batch_id")
         inserted = state.insert_items(stored, items, None, as_of, order, ids).withColumn("bucket", guid_bucket())
-        inserted.write.mode("overwrite").partitionBy("bucket").parquet(_batch_path(path, batch_id))
+        inserted.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(_batch_path(path, batch_id))
 
     return run_batches(fetched, take_up, checkpoint)
 

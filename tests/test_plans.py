@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from feedlake.functions import summaries as fs
 from feedlake.functions import text as ft
-from feedlake.operators import aggregates, joins, state
+from feedlake.operators import aggregates, digests, joins, state
 from feedlake.sinks.tables import save_bucketed, write_version
 from feedlake.sources import payloads
 from feedlake.sources.tables import read_table
@@ -93,7 +93,7 @@ def test_insert_shuffles_items_once(spark):
     assert "partial_min_by" in text and "SortMergeJoin" in left
 
 
-@pytest.mark.parametrize("name", ["x12_chunks", "m4_rule_summary", "x11_markdown", "x18_decode", "s2_feed_items", "x2_published_date"])
+@pytest.mark.parametrize("name", ["x12_chunks", "x11_markdown", "x18_decode", "s2_feed_items", "x2_published_date"])
 def test_row_work_stays_in_the_jvm_without_shuffle(spark, name):
     text = plan(QUERIES[name](spark, FOLDER))
     assert not re.search(r"Python|Pandas|Arrow", text)
@@ -101,6 +101,22 @@ def test_row_work_stays_in_the_jvm_without_shuffle(spark, name):
     assert text.count("Exchange") == text.count("REPARTITION_BY_NUM")
 
 
+def test_names_are_joined_in_the_jvm(spark):
+    text = plan(QUERIES["m4_rule_summary"](spark, FOLDER))
+    assert not re.search(r"Python|Pandas|Arrow", text) and "Join" in text
+
+
+def test_digest_reads_its_base_once(stored, spark):
+    """Two joins make the base, one finds the latest versions, one fetches their texts."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        base = joins.digest_base(stored["episodes"], stored["feeds"], stored["processing_status"], AS_OF, 200)
+        text = plan(digests.with_summary(base, Tables(spark, FOLDER).summaries))
+        assert len(re.findall(r"SortMergeJoin|ShuffledHashJoin", text)) == 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_costly_values_are_made_once(spark):
     docs = spark.createDataFrame([("a", "b")], "xml string, text string")
     items = payloads.episode_items(payloads.raw_items(payloads.parsed(docs)))

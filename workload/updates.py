@@ -87,10 +87,10 @@ def hash_ids(t):
 def unique_hash_ids(t):
     """No two new rows share an id, none has that of a stored row, and a second load gives each row the same id."""
     new, again = inserted(t, "hash").select("id", "guid"), inserted(t, "hash").select(F.col("id").alias("again"), F.col("guid").alias("same"))
-    both = new.join(again, F.col("guid") == F.col("same"))
-    facts = both.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.bool_and(F.col("id") == F.col("again")).alias("stable"))
-    shared = state.shared_ids(new, t.known).agg(F.count("*").alias("shared"))
-    return facts.withColumn("_k", F.lit(0)).join(shared.withColumn("_k", F.lit(0)), "_k").select("n", "ids", "shared", "stable")
+    stored = t.known.select(F.col("id").alias("stored"))
+    both = new.join(again, F.col("guid") == F.col("same")).join(stored, F.col("id") == F.col("stored"), "left")
+    return both.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count("stored").alias("shared"),
+                    F.bool_and(F.col("id") == F.col("again")).alias("stable"))
 
 
 @query("u8_sequence_ids", sql("""SELECT guid, (SELECT max(id) FROM episodes) + row_number() OVER (ORDER BY feed_id, pos) AS id
