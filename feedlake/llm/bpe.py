@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, whole_rows
+from .common import text_of, whole_rows, with_row
 
 #: Distinct pieces that a task remembers, and the longest piece that it remembers.
 CACHE_PIECES, CACHE_LENGTH = 400_000, 100
@@ -180,8 +180,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", keep:
                     columns += [pa.array(ids_lists, pa.list_(pa.int32())), pa.array(decoded_texts, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, ["row", "n_tokens", "ids_sha256", "decoded_sha256", *[n for n, _ in more]])
 
-    schema = "row " + rows.schema["row"].dataType.simpleString() + ", n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return rows.mapInArrow(encode, schema + (", ids array<int>, decoded string" if full else ""))
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if full else "")
+    return rows.mapInArrow(encode, with_row(rows, schema))
 
 
 def tokenized(docs: DataFrame, vocabulary: str, key: str = "doc_id") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The characters between words, as a character class and as plain characters.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -34,6 +35,11 @@ def whole_rows(df: DataFrame, *columns: str | Column, keep: list[str] | None = N
     return df.select(F.struct(*(keep or ["*"])).alias("row"), *columns)
 
 
+def with_row(rows: DataFrame, more: str) -> T.StructType:
+    """Schema of ``row`` as it is in ``rows``, whatever the names in it, and the fields ``more``."""
+    return T.StructType([rows.schema["row"], *T.StructType.fromDDL(more).fields])
+
+
 def numbered(df: DataFrame, *columns: str | Column) -> DataFrame:
     """The given columns with ``rid``, a number that tells repeated rows apart.
 

@@ -10,7 +10,7 @@ The vectors are dealt out into blocks of about ``BLOCK_ROWS`` and the queries in
 is one task of bounded memory, with the sorted arrays of its vectors. A block gives its ``k`` best per query, and the best of all
 blocks are ranked. Every vector is in the index, whatever the size.
 
-Vectors that are null, zero, of another length than the first query's line, or hold null or non-finite components take no part. Ties go to
+Vectors that are null, zero, shorter or longer than the longest query, or hold null or non-finite components take no part. Ties go to
 the smaller id; rows with a null id take no part; repeated ids are candidates of their own, and a query is asked once per id.
 """
 

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialize
 from .common import content_key, text_of
+from .filters import digest_filter, passes
 from .windows import U64, lower_bytes, mix, sequence_digests, text_chunks, word_digests, words
 
 #: Words per n-gram and least similarity in percent, for near duplicates; the registered query states its own.
@@ -43,8 +44,6 @@ STAR_ROUNDS = 2
 LARGE, BLOCK_CLASSES, BLOCK_GRAMS, MATRIX_GRAMS = 16, 1024, 500_000, 4096
 GROUPS = 4
 PAIRS_PER_GROUP = 512
-#: Size of the maps that tell which rows surely take no part: 2 MB.
-FILTER_BITS = 1 << 24
 
 
 def gram_sets(data: np.ndarray, offsets: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -212,24 +211,6 @@ def _close(n: str, m: str, percent: int):
     return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
 
 
-def digest_filter(digests: DataFrame, digest: str) -> np.ndarray:
-    """Bits that digests in the column set in a map of ``FILTER_BITS``: of fixed size whatever the data, so it may be broadcast.
-
-    A digest whose bit is not set is surely not in the column. The fuller the map, the more others pass; they only cost time.
-    """
-    bit = F.pmod(F.col(digest), F.lit(FILTER_BITS))
-    value = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(32)).cast("int"))
-    found = digests.select(F.floor(bit / 32).cast("int").alias("word"), value.alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(FILTER_BITS // 32, np.uint32)
-    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
-    return out
-
-
-def passes(bits: np.ndarray, digests: np.ndarray) -> np.ndarray:
-    bit = digests % FILTER_BITS
-    return (bits[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 > 0
-
-
 def candidate_texts(classes: DataFrame, sets: DataFrame, docs: DataFrame, gram: int, text: str, key: str) -> DataFrame:
     """(cls, _text): a text of each class that may take part in a pair, written once. Only texts that pass the filter are dealt out."""
     one = sets.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("at").alias("at")).join(classes.distinct(), "cls", "left_semi")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, whole_rows
+from .common import text_of, whole_rows, with_row
 
 SAMPLE = 8000
 THRESHOLD = 0.7
@@ -156,4 +156,4 @@ def score_documents(docs: DataFrame, network: Network | None, text: str = "text"
                     found = network.scores(np.vstack([vectors([t.as_py()]) for t in part.column(1)]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.float64())], ["row", "score"])
 
-    return rows.mapInArrow(score, "row " + rows.schema["row"].dataType.simpleString() + ", score double")
+    return rows.mapInArrow(score, with_row(rows, "score double"))

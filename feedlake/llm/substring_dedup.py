@@ -6,7 +6,7 @@ times. In a bucket the windows are sorted by digest, and windows with equal dige
 Words covered by a window that occurs at least twice anywhere, its first place included, are removed.
 
 Equal strings of one task are sent once, marked as repeated, and their own places are decided where they lie: copies cost little. The
-texts themselves are dealt out once more, to meet their removed spans.
+texts of documents that lose words are dealt out once more, to meet their removed spans.
 
 Null texts have no words; texts shorter than a window lose nothing; the rows of a repeated document repeat each other and lose all windows;
 an empty table gives an empty result. A task holds one text at a time and the strings of one bucket group; the number of groups
@@ -24,7 +24,9 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, whole_rows
+from ..storage import materialize
+from .common import text_of, whole_rows, with_row
+from .filters import digest_filter, passes
 from .windows import (
     CHUNK, SPANS_SCHEMA, Gatherer, merged, numbered_strings, runs, sequence_digests, sliding_min, span_table, spans_by_document, text_chunks, unpack,
     word_digests, words,
@@ -182,14 +184,25 @@ def cut_out(parts_of, apply, rows: DataFrame, schema: str) -> DataFrame:
                 columns = [pa.array(c, k) for c, k in zip(zip(*made), parts_of)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["row", *[f"c{i}" for i in range(len(columns))]])
 
-    return rows.mapInArrow(work, "row " + rows.schema["row"].dataType.simpleString() + ", " + schema)
+    return rows.mapInArrow(work, with_row(rows, schema))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, text: str, key: str, keep: list[str] | None) -> DataFrame:
-    """``row``, text and spans (null if none) of every document."""
-    rows = whole_rows(docs, text_of(text).alias("_text"), *identity(key, text_of(text)), keep=keep)
-    return rows.join(spans.withColumnsRenamed({"id": "_of", "digest": "_of_digest"}), (F.col("_id") == F.col("_of")) & (F.col("_digest") == F.col("_of_digest")), "left").select(
-        "row", "_text", "spans")
+    """``row``, text and spans (null if none) of every document.
+
+    The spans are written first. Documents that surely have none stay where they are; only the others are dealt out to meet theirs.
+    """
+    spans = materialize(spans.select(F.col("id").alias("_of"), F.col("digest").alias("_of_digest"), "spans"))
+    bits = docs.sparkSession.sparkContext.broadcast(digest_filter(spans.select(F.xxhash64("_of", "_of_digest").alias("h")), "h"))
+
+    @F.arrow_udf("boolean")
+    def may_have(h: pa.Array) -> pa.Array:
+        return pa.array(passes(bits.value, h.to_numpy()))
+
+    rows = whole_rows(docs, text_of(text).alias("_text"), *identity(key, text_of(text)), keep=keep).withColumn("_asks", may_have(F.xxhash64("_id", "_digest")))
+    sure = rows.filter(~F.col("_asks")).select("row", "_text", F.lit(None).cast("array<long>").alias("spans"))
+    met = rows.filter("_asks").join(spans, (F.col("_id") == F.col("_of")) & (F.col("_digest") == F.col("_of_digest")), "left")
+    return sure.unionByName(met.select("row", "_text", "spans"))
 
 
 def _keep_words(text: str, starts: list[int], ends: list[int]) -> tuple[int, int, str, str]:
