@@ -51,7 +51,7 @@ def awkward_rows():
 def awkward(spark, tmp_path_factory):
     """The awkward rows as a table with further columns named like the operators' own."""
     path = str(tmp_path_factory.mktemp("awkward") / "documents.parquet")
-    clashing = ["rid", "row", "kept", "score", "size", "target", "n_words", "spans", "component_id", "cls", "_text", "_at", "taken", "shard", "id", "digest"]
+    clashing = ["rid", "row", "kept", "score", "size", "target", "n_words", "spans", "component_id", "cls", "_text", "_at", "taken", "shard", "id", "digest", "an odd: name`"]
     df = spark.createDataFrame(awkward_rows(), DOCS)
     df.select("*", *[F.lit("clash").alias(c) for c in clashing]).repartition(3).write.parquet(path)
     return spark.read.parquet(path)
