@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +20,8 @@ from ..operators.ordering import with_position
 # The frame of an outline document.
 OUTLINE_HEAD = "<?xml version='1.0' encoding='utf-8'?>\n<opml version=\"2.0\">\n  <head>\n    <title>"
 OUTLINE_BODY = "</title>\n  </head>\n"
+#: Folders among which item files are dealt out.
+FOLDERS = 64
 
 
 def outline_line(name: str | Column, url: str | Column, description: str | Column, html_url: str | Column) -> Column:
@@ -88,3 +96,30 @@ def summary_rows(summaries: DataFrame, output_format: str = "both", folder: str
 def write_texts(rows: DataFrame, key: list[str], text: str, path: str) -> None:
     """Text files in one folder per key value. Meant for selections; whole tables belong in parquet."""
     rows.select(*key, F.col(text).alias("value")).write.mode("errorifexists").partitionBy(*key).text(path)
+
+
+def write_item_files(rows: DataFrame, path: str, file_name: str = "file_name", text: str = "text") -> int:
+    """Every text as a file of its own name, a line end behind it, in one of ``FOLDERS`` folders by the hash of the name; returns their number.
+
+    Names are distinct. Tasks write their rows one by one and put each file in its place when it is whole, so that a repeated task leaves
+    the same files. The line end keeps empty texts visible to Spark's file scans, which do not list empty files. The folder is one
+    that executors reach by a path or a store of ``pyarrow.fs``.
+    """
+    target = re.sub("^file:/*", "file:///", path if re.match("[a-z0-9]+:/", path) else f"file:{os.path.abspath(path)}")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = FileSystem.from_uri(target)
+        for batch in batches:
+            for folder, name, value in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                place, own = f"{root}/{folder}/{name}", f"{root}/{folder}/.{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(own) as out:
+                    out.write(f"{value}\n".encode())
+                store.move(own, place)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    store, root = FileSystem.from_uri(target)
+    for i in range(FOLDERS):
+        store.create_dir(f"{root}/{i:02d}", recursive=True)
+    folder = F.lpad(F.pmod(F.xxhash64(file_name), F.lit(FOLDERS)).cast("string"), 2, "0")
+    named = rows.filter(F.col(text).isNotNull()).select(folder.alias("folder"), F.col(file_name).alias("name"), F.col(text).alias("value"))
+    return named.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -11,6 +11,8 @@ from feedlake.schemas import TABLES
 from feedlake.sinks import documents, tables
 from feedlake.sources import files
 from feedlake.sources.tables import read_table
+from workload.pipelines import item_files
+from workload.views import Tables
 
 
 def test_transcript_files(spark, tmp_path):
@@ -67,3 +69,18 @@ def test_document_order(spark, tmp_path):
     documents.write_document(parts, str(tmp_path / "d"))
     written = "".join(p.read_text() for p in sorted((tmp_path / "d").glob("part-*")))
     assert written.splitlines() == [f"line {i}" for i in range(5000)]
+
+
+def test_all_items_are_files(spark):
+    """The file queries write and scan every row of the table."""
+    names = [r.file_name for r in files.media_inventory(spark, item_files(Tables(spark, "/root/testdata/sf0.001"))).select("file_name").collect()]
+    assert len(names) == len(set(names)) == 200
+
+
+def test_item_files(spark, tmp_path):
+    rows = spark.createDataFrame([("1_raw.txt", "a\nb"), ("2_raw.txt", "ü\n"), ("3_raw.txt", ""), ("4_raw.txt", None)], "file_name string, text string")
+    for name, part, n in (("out", rows, 3), ("none", rows.filter("false"), 0)):
+        folder = str(tmp_path / name)
+        assert documents.write_item_files(part, folder) == n
+        found = files.read_transcript_files(spark, f"{folder}/*")
+        assert {tuple(r) for r in found.collect()} == {(1, "raw", "a\nb\n"), (2, "raw", "ü\n\n"), (3, "raw", "\n")} if n else found.count() == 0

@@ -473,16 +473,32 @@ SELECTION = 25
 
 
 def item_files(t: Tables) -> str:
-    """The raw transcripts of a stated selection, the items with the smallest ids, as text files. A whole table belongs in parquet."""
+    """The raw transcripts of all items as files ``{id}_raw.txt``."""
     folder = fresh_dir(t.spark, "texts")
-    chosen = t.transcripts.orderBy("episode_id").limit(SELECTION)
-    documents.write_texts(documents.transcript_rows(chosen).filter("kind = 'raw'"), ["kind", "episode_id"], "text", folder)
+    rows = documents.transcript_rows(t.transcripts).filter("kind = 'raw'").select("episode_id", "file_name", "text")
+    documents.write_item_files(spread(rows, "episode_id", t.partitions), folder)
     return folder
 
 
+def scanned_texts(t: Tables) -> DataFrame:
+    """The texts of all files, without the line end that the sink puts behind them."""
+    return files.read_transcript_files(t.spark, f"{item_files(t)}/*").withColumn("text", F.regexp_replace("text", r"\n\z", ""))
+
+
+def scanned_sizes(t: Tables) -> DataFrame:
+    found = files.media_inventory(t.spark, item_files(t))
+    return found.select(F.regexp_extract("file_name", r"^([0-9]+)_raw\.txt$", 1).try_cast("bigint").alias("episode_id"), F.col("length").alias("size"))
+
+
+@query("s4_all_transcript_files", "SELECT doc_id AS episode_id, 'raw' AS kind, text FROM documents")
+def all_transcript_files(t):
+    return scanned_texts(t)
+
+
 @query("s4_transcript_files", f"SELECT doc_id AS episode_id, 'raw' AS kind, text FROM documents ORDER BY doc_id LIMIT {SELECTION}")
 def transcript_files(t):
-    return files.read_item_texts(t.spark, item_files(t))
+    """All files are scanned; the SQL asks for the first items of the result."""
+    return scanned_texts(t).orderBy("episode_id").limit(SELECTION)
 
 
 @query("s4_stored_transcripts", sql("SELECT episode_id, 'raw' AS kind, episode_id || '_raw.txt' AS file_name, raw_text AS text FROM transcripts", "transcripts"))
@@ -493,10 +509,14 @@ def stored_transcripts(t):
     return t.spark.read.parquet(folder).filter("kind = 'raw'").select("episode_id", "kind", "file_name", "text")
 
 
+@query("s5_all_file_inventory", "SELECT doc_id AS episode_id, CAST(strlen(text) + 1 AS BIGINT) AS size FROM documents")
+def all_file_inventory(t):
+    return scanned_sizes(t)
+
+
 @query("s5_file_inventory", f"SELECT doc_id AS episode_id, CAST(strlen(text) + 1 AS BIGINT) AS size FROM documents ORDER BY doc_id LIMIT {SELECTION}")
 def file_inventory(t):
-    found = files.media_inventory(t.spark, item_files(t)).filter(F.endswith("file_name", F.lit(".txt")))
-    return found.select(F.regexp_extract("path", "episode_id=([0-9]+)/", 1).cast("bigint").alias("episode_id"), F.col("length").alias("size"))
+    return scanned_sizes(t).orderBy("episode_id").limit(SELECTION)
 
 
 @query("s5_located_media", sql("""SELECT id AS episode_id, CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'm/' || id || '.mp3' WHEN 2 THEN 'm/' || id || '.m4a'
