@@ -1,9 +1,10 @@
 """Secrets in texts: fixed patterns, and character Markov models for strings that look random.
 
 The patterns give the base spans. Their values are the labelled samples of random strings; the other long character runs of the same
-texts are the samples of ordinary identifiers. Two first-order Markov models, with add-one smoothing, are counted from all samples
-of all documents. A long run is a further secret (kind ``random``) if the log-likelihood ratio of the two models, summed over
-its character pairs, reaches ``MIN_RATIO``. Without samples both models are uniform and no run is added.
+texts are the samples of ordinary identifiers. Two first-order Markov models, with add-one smoothing, are counted from the different
+samples of all documents. A long run is a further secret (kind ``random``) if the log-likelihood ratio of the two models, summed over
+its character pairs, reaches ``MIN_RATIO``. Its own pairs are left out of the ordinary model, so that a bare secret does not vouch for
+itself, however often it is repeated. Without samples both models are uniform and no run is added.
 
 Spans are ``kind:start:end`` of the whole match in code points, end exclusive. Matches that fail their length are dropped, but use up
 their characters, as in any leftmost search. A run that holds or meets a base span is not added. Null texts count as empty; empty
@@ -12,6 +13,8 @@ texts have no spans; repeated rows are scanned one by one, alike; an empty table
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,30 +61,39 @@ def _masked(text: Column) -> Column:
 
 
 def pair_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Character pairs ``a``, ``b`` of the labelled samples with their number ``n`` per ``label``: at most two rows per pair of the alphabet."""
+    """Character pairs ``a``, ``b`` of the different labelled samples with their number ``n`` per ``label``: at most two rows per pair of the alphabet."""
     body = docs.select(text_of(text).alias("t"))
     values = F.flatten(F.array(*[F.transform(F.filter(_found(F.col("t"), *kind), lambda m: m["ok"]), lambda m: m["value"]) for kind in BASE]))
     ordinary = F.regexp_extract_all(_masked(F.col("t")), F.lit(f"({RUN_CLASS}{{{MIN_SAMPLE},}})"), F.lit(1))
     labelled = lambda found, label: F.transform(found, lambda s: F.struct(F.lit(label).alias("label"), s.alias("s")))
     samples = body.select(F.explode(F.concat(labelled(values, "random"), labelled(ordinary, "ordinary"))).alias("x")).select("x.*")
-    # Equal samples are counted first, so that copies of a text cost no further pairs.
-    samples = samples.groupBy("label", "s").agg(F.count("*").alias("w"))
+    # Equal samples count once, so that copies of a text neither weigh more nor cost further pairs.
+    samples = samples.distinct()
     pairs = F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.substring("s", i, 2))
-    counted = samples.filter(F.length("s") > 1).select("label", "w", F.explode(pairs).alias("pair")).groupBy("label", "pair").agg(F.sum("w").alias("n"))
+    counted = samples.filter(F.length("s") > 1).select("label", F.explode(pairs).alias("pair")).groupBy("label", "pair").agg(F.count("*").alias("n"))
     code = lambda c: F.locate(c, F.lit(ALPHABET)) if isinstance(c, str) else F.instr(F.lit(ALPHABET), c)
     return counted.select("label", code(F.substring("pair", 1, 1)).alias("a"), code(F.substring("pair", 2, 1)).alias("b"), "n").filter("a > 0 AND b > 0")
 
 
-def ratio_table(counts: DataFrame) -> list[float]:
-    """``log P(b | a, random) - log P(b | a, ordinary)`` for all pairs of the alphabet, row by row. Bounded by the alphabet."""
+def _grid(counts: DataFrame) -> DataFrame:
+    """``random`` and ``ordinary``: the counts of every pair of the alphabet."""
     n = len(ALPHABET)
-    spark = counts.sparkSession
     sums = counts.groupBy("a", "b").agg(*[F.sum(F.when(F.col("label") == x, F.col("n"))).alias(x) for x in ("random", "ordinary")])
-    grid = spark.range(n * n).select((F.floor(F.col("id") / n) + 1).cast("int").alias("a"), (F.col("id") % n + 1).cast("int").alias("b"))
-    full = grid.join(sums, ["a", "b"], "left").fillna(0, ["random", "ordinary"])
+    grid = counts.sparkSession.range(n * n).select((F.floor(F.col("id") / n) + 1).cast("int").alias("a"), (F.col("id") % n + 1).cast("int").alias("b"))
+    return grid.join(sums, ["a", "b"], "left").fillna(0, ["random", "ordinary"])
+
+
+def ratio_table(counts: DataFrame) -> list[float]:
+    """``log P(b | a, random) - log P(b | a, ordinary)`` for all pairs of the alphabet, row by row. Bounded by the alphabet."""
     row = Window.partitionBy("a")
-    share = lambda x: F.log((F.col(x) + 1) / (F.sum(x).over(row) + n))
-    return [r[0] for r in full.select("a", "b", (share("random") - share("ordinary")).alias("d")).orderBy("a", "b").select("d").collect()]
+    share = lambda x: F.log((F.col(x) + 1) / (F.sum(x).over(row) + len(ALPHABET)))
+    return [r[0] for r in _grid(counts).select("a", "b", (share("random") - share("ordinary")).alias("d")).orderBy("a", "b").select("d").collect()]
+
+
+def count_tables(counts: DataFrame) -> tuple[list[int], list[int]]:
+    """The counts of all pairs of the alphabet, row by row, in random and in ordinary samples. Bounded by the alphabet."""
+    rows = _grid(counts).orderBy("a", "b").select("random", "ordinary").collect()
+    return [r[0] for r in rows], [r[1] for r in rows]
 
 
 def log_ratio(run: Column, ratios: list[float]) -> Column:
@@ -98,16 +110,48 @@ def log_ratio(run: Column, ratios: list[float]) -> Column:
     return F.when(F.length(run) > 1, let(codes, summed)).otherwise(0.0)
 
 
+def _tallied(ordered: Column) -> Column:
+    """The different values ``x`` of a sorted array and their numbers ``c``."""
+
+    def tally(ends: Column) -> Column:
+        return F.transform(ends, lambda e, k: F.struct(F.get(ordered, e - 1).alias("x"), (e - F.coalesce(F.get(ends, k - 1), F.lit(0))).alias("c")))
+
+    last = lambda e: (e == F.size(ordered)) | (F.get(ordered, e - 1) != F.get(ordered, e))
+    return let(F.filter(F.sequence(F.lit(1), F.size(ordered)), last), tally)
+
+
+def left_out_ratio(run: Column, random: list[int], ordinary: list[int]) -> Column:
+    """The log ratio of a run of the alphabet's characters whose own pairs are left out of the ordinary counts."""
+    n = len(ALPHABET)
+    sums = lambda counts: [sum(counts[i * n:(i + 1) * n]) for i in range(n)]
+    table = lambda values, kind: F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+    shares = table([math.log((x + 1) / (total + n)) for total, i in zip(sums(random), range(n)) for x in random[i * n:(i + 1) * n]], "double")
+    pairs_of, heads_of = table(ordinary, "bigint"), table(sums(ordinary), "bigint")
+    codes = F.transform(F.split(run, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    pairs = lambda cs: F.array_sort(F.transform(F.sequence(F.lit(1), F.size(cs) - 1), lambda i: F.get(cs, i - 1) * n + F.get(cs, i)))
+    total = lambda terms: F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
+
+    def rest(ordered: Column, counts: Column, more: int) -> Column:
+        """The logarithms of the counts without the run's own, summed over the run."""
+        return total(F.transform(_tallied(ordered), lambda t: t["c"] * F.log(F.greatest(F.get(counts, t["x"]) - t["c"], F.lit(0)) + more)))
+
+    def ratio(ps: Column) -> Column:
+        heads = F.transform(ps, lambda p: F.floor(p / n).cast("int"))
+        return total(F.transform(ps, lambda p: F.get(shares, p))) - rest(ps, pairs_of, 1) + let(heads, lambda hs: rest(hs, heads_of, n))
+
+    return F.when(F.length(run) > 1, let(codes, lambda cs: let(pairs(cs), ratio))).otherwise(0.0)
+
+
 def scan_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", min_ratio: float = MIN_RATIO) -> DataFrame:
     """One row per document: ``rid``, the key, ``n_<kind>`` per base kind, ``n_random``, and ``base`` and ``spans`` as sorted arrays of
     (start, kind number, end, kind).
 
     The matches are dealt out by document, without the texts; a running sum turns their lengths into places.
     """
-    ratios = ratio_table(materialize(pair_counts(docs, text)))
+    random, ordinary = count_tables(materialize(pair_counts(docs, text)))
     rows = numbered(docs, F.col(key).alias("_key"), text_of(text).alias("t"))
     runs = F.transform(_found(F.col("t"), RANDOM, f"{RUN_CLASS}{{{MIN_RUN},}}", 0, MIN_RUN), lambda m: m.withField(
-        "ok", (log_ratio(m["value"], ratios) >= min_ratio) & ~m["value"].rlike("|".join(p for k, p, _, _ in BASE if k != "assign"))))
+        "ok", (left_out_ratio(m["value"], random, ordinary) >= min_ratio) & ~m["value"].rlike("|".join(p for k, p, _, _ in BASE if k != "assign"))))
     found = F.concat(*[_found(F.col("t"), *kind) for kind in BASE], runs)
     narrow = F.transform(found, lambda m: m.dropFields("value"))
     each = rows.select("rid", "_key", F.explode_outer(narrow).alias("m")).select("rid", "_key", "m.*").repartition("rid")

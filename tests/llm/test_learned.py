@@ -128,6 +128,32 @@ def test_random_strings_by_hand(spark, tmp_path):
     assert [x.split(":")[0] for x in spans[0].split(",")] == ["assign", "assign", "random"]  # runs inside base spans are not added
 
 
+def test_left_out_ratio_by_hand(spark):
+    """The run's own pairs are missing from the ordinary counts, as if the corpus did not hold it."""
+    n, letters = len(secret_scans.ALPHABET), secret_scans.ALPHABET
+    rng = np.random.default_rng(4)
+    random, rest = rng.integers(0, 20, n * n).tolist(), rng.integers(0, 20, n * n).tolist()
+    for run in ("aaaaaaaaabababab", "Xq9Zr4Tk7Wm2Lp8Vb3Nc6Yd0", "xy"):
+        ordinary = list(rest)
+        for a, b in zip(run, run[1:]):
+            ordinary[letters.index(a) * n + letters.index(b)] += 1
+        share = lambda t, a, b: math.log((t[letters.index(a) * n + letters.index(b)] + 1) / (sum(t[letters.index(a) * n:][:n]) + n))
+        by_hand = sum(share(random, a, b) - share(rest, a, b) for a, b in zip(run, run[1:]))
+        assert abs(spark.range(1).select(secret_scans.left_out_ratio(F.lit(run), random, ordinary)).first()[0] - by_hand) < 1e-9
+
+
+def test_repeated_bare_secrets_are_found(spark, tmp_path):
+    """A bare secret is reported in every copy, at the production threshold."""
+    bare = {1: "Xq9Zr4Tk7Wm2Lp8Vb3Nc6Yd0", 10: "hT5vKz81QnWc3JyR7bLdXe4M", 1000: "G2sVf9PkU6mDw0ZtAq8BxYj1"}
+    given = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text")
+    copies = spark.createDataFrame([(f"a bare {s} string",) for n, s in bare.items() for _ in range(n)], "text string")
+    path = str(tmp_path / "d")
+    given.unionByName(copies).select(F.monotonically_increasing_id().alias("doc_id"), "text").write.parquet(path)
+    docs = spark.read.parquet(path)
+    found = secret_scans.scan_secrets(docs).join(docs, "doc_id").filter("startswith(text, 'a bare ') AND n_random = 1").groupBy("text").count().collect()
+    assert {r.text.split(" ")[2]: r["count"] for r in found} == {s: n for n, s in bare.items()}
+
+
 def test_masking(spark, tmp_path):
     rows = [(1, "x password=abcdefghijklmnop y deadbeefdeadbeef z", 5), (1, "x password=abcdefghijklmnop y deadbeefdeadbeef z", 5), (2, "nothing", 7), (3, None, None),
             (4, "deadbeefdeadbeefAPIKEY=deadbeefdeadbeef", 1), (5, "token=deadbeefdeadbeef.x", 1), (None, "é token: ABCDEFGHIJKLMNOP", 1)]
