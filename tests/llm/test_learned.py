@@ -154,6 +154,19 @@ def test_repeated_bare_secrets_are_found(spark, tmp_path):
     assert {r.text.split(" ")[2]: r["count"] for r in found} == {s: n for n, s in bare.items()}
 
 
+def test_short_bare_secrets_are_found(spark, tmp_path):
+    """Bare keys of 16 characters: the ratio alone decides, and most reach it."""
+    rng = np.random.default_rng(8)
+    keys = ["".join(rng.choice(list(secret_scans.ALPHABET[:62]), 16)) for _ in range(40)]
+    given = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text")
+    path = str(tmp_path / "d")
+    given.unionByName(spark.createDataFrame([(f"a bare {k} string",) for k in keys], "text string")).select(
+        F.monotonically_increasing_id().alias("doc_id"), "text").write.parquet(path)
+    docs = spark.read.parquet(path)
+    found = secret_scans.scan_secrets(docs).filter("n_random > 0").join(docs, "doc_id").collect()
+    assert len(found) >= 30 and {r.text.split(" ")[2] for r in found} <= set(keys) and {len(r.spans) for r in found} == {1}
+
+
 def test_masking(spark, tmp_path):
     rows = [(1, "x password=abcdefghijklmnop y deadbeefdeadbeef z", 5), (1, "x password=abcdefghijklmnop y deadbeefdeadbeef z", 5), (2, "nothing", 7), (3, None, None),
             (4, "deadbeefdeadbeefAPIKEY=deadbeefdeadbeef", 1), (5, "token=deadbeefdeadbeef.x", 1), (None, "é token: ABCDEFGHIJKLMNOP", 1)]
