@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    bpe, nearest, ngram_join, oracles, quality_classifier, quality_rules, secret_scans, source_mixing, substring_dedup, suffix_dedup, url_filters,
+    bpe, conversation_repair, nearest, ngram_join, oracles, quality_classifier, quality_rules, secret_scans, source_mixing, substring_dedup, suffix_dedup, url_filters,
 )
 
 QUERIES = {}
@@ -94,3 +94,9 @@ def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     rated = quality_rules.rate_documents(_table(spark, folder, "documents").select("doc_id", "text", "lang", "source"), keep=["doc_id"])
     return rated.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@_query
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = conversation_repair.damaged(_table(spark, folder, "conversations").select("conv_id", "turn", "role", "text"))
+    return conversation_repair.repair(rows)

@@ -124,3 +124,61 @@ def repeated_bytes(rows, window):
         runs = len(re.findall(b"\1+", bytes(gone)))
         out.append((len(b), sum(gone), runs, sha(bytes(x for x, g in zip(b, gone) if not g))))
     return out
+
+
+def repaired(rows):
+    """Contract of the conversation repair for all rows ``(conv_id, turn, role, text)``: one tuple per conversation."""
+    import functools
+    import zlib
+
+    conversations = {}
+    for conv, turn, role, text in rows:
+        after = conversations.setdefault(conv, [])
+        name = f"{' ' if conv is None else conv}:{' ' if turn is None else turn}"
+        role, text = " " if role is None else role, " " if text is None else text
+        fault = zlib.crc32(name.encode()) % 20
+        if fault == 1:
+            text = ""
+        if fault == 2:
+            text = re.sub("[.!?]", "", text)
+        if fault == 4:
+            role = "user"
+        after += [(turn, role, text)] * {0: 0, 3: 2}.get(fault, 1)
+    out = []
+    for conv, after in conversations.items():
+        after.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), sha(r[2])))
+        turns = [t for t, _, _ in after if t is not None]
+        gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+        faults, seen = [], set()
+        for _, role, text in after:
+            bare = text.rstrip(" \t\n\x0b\x0c\r")
+            faults.append("blank" if not bare else "duplicate" if (role, text) in seen else "truncated" if bare[-1] not in ".!?" else "")
+            seen.add((role, text))
+        roles = [r[:1] for _, r, _ in after]
+
+        @functools.cache
+        def best(i, state, inserts):
+            """Cheapest (cost, audit, rows) from row i on; state is the last role's letter."""
+            found = [(0, "", ())] if i == len(after) and state in ("", "a") else []
+            then = {"": "u", "s": "u", "u": "a", "a": "u"}[state]
+            full = {"u": "user", "a": "assistant"}[then]
+            if inserts < 3:
+                c, a, r = best(i, then, inserts + 1)
+                found.append((c + 3, "I" + a, (f"{full}:", *r)))
+            if i < len(after):
+                _, role, text = after[i]
+                c, a, r = best(i + 1, state, 0)
+                found.append((c + 4, "D" + a, r))
+                if faults[i] not in ("blank", "duplicate"):
+                    more = 3 * (faults[i] == "truncated")
+                    c, a, r = best(i + 1, then, 0)
+                    found.append((c + 3 + more, "R" + a, (f"{full}:{text}", *r)))
+                    if roles[i] == then or (roles[i] == "s" and state == ""):
+                        c, a, r = best(i + 1, roles[i], 0)
+                        found.append((c + more, "K" + a, (f"{role}:{text}", *r)))
+            return min(found, default=(10**9, "", ()))
+
+        cost, audit, kept = best(0, "", 0)
+        illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(roles, roles[1:]))
+        out.append((conv, gaps, *[faults.count(f) for f in ("blank", "duplicate", "truncated")], illegal, cost, audit, sha("\n".join(kept))))
+    return out
