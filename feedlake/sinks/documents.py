@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import re
 import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.basic import escape_attribute, escape_xml, non_empty
 from ..functions import summaries as fs
 from ..operators.ordering import with_position
+from ..storage import store_of
 
 # The frame of an outline document.
 OUTLINE_HEAD = "<?xml version='1.0' encoding='utf-8'?>\n<opml version=\"2.0\">\n  <head>\n    <title>"
@@ -105,10 +103,8 @@ def write_item_files(rows: DataFrame, path: str, file_name: str = "file_name", t
     the same files. The line end keeps empty texts visible to Spark's file scans, which do not list empty files. The folder is one
     that executors reach by a path or a store of ``pyarrow.fs``.
     """
-    target = re.sub("^file:/*", "file:///", path if re.match("[a-z0-9]+:/", path) else f"file:{os.path.abspath(path)}")
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = FileSystem.from_uri(target)
+        store, root = store_of(path)
         for batch in batches:
             for folder, name, value in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 place, own = f"{root}/{folder}/{name}", f"{root}/{folder}/.{name}.{uuid.uuid4().hex}"
@@ -117,7 +113,7 @@ def write_item_files(rows: DataFrame, path: str, file_name: str = "file_name", t
                 store.move(own, place)
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
 
-    store, root = FileSystem.from_uri(target)
+    store, root = store_of(path)
     for i in range(FOLDERS):
         store.create_dir(f"{root}/{i:02d}", recursive=True)
     folder = F.lpad(F.pmod(F.xxhash64(file_name), F.lit(FOLDERS)).cast("string"), 2, "0")

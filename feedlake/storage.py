@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -42,3 +44,9 @@ def materialize(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, key: str, partitions: int) -> DataFrame:
     """Deal the rows out into ``partitions`` by key: for steps that work long on each row of a table that is stored in a few files."""
     return df.repartition(partitions, key)
+
+
+def store_of(path: str):
+    """The file store of a path or address, and the path within it: for code that reads or writes files of its own inside tasks."""
+    address = re.sub("^file:/*", "file:///", path if re.match("[a-z0-9]+:/", path) else f"file:{os.path.abspath(path)}")
+    return FileSystem.from_uri(address.rstrip("/"))
