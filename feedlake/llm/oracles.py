@@ -93,3 +93,28 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND coalesce(ok, FALSE) AS kept
 FROM counts LEFT JOIN passed USING (rid)
 """
+
+SQL["op11_warc"] = """
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+last AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS top FROM payloads)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM top THEN top END AS refers_to FROM last
+"""
+
+_TERMS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+SQL["op12_ranked_search"] = f"""
+WITH texts AS (SELECT doc_id, row_number() OVER () AS rid, {_TERMS} AS t FROM documents),
+facts AS (SELECT count(*) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS total FROM texts WHERE len(t) > 0),
+items AS (SELECT item, item_id, unnest(list_distinct(t)) AS term
+          FROM (SELECT item_id, row_number() OVER () AS item, {_TERMS} AS t FROM (SELECT DISTINCT item_id, text FROM benchmark))),
+found AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(t) AS term FROM texts) WHERE term IN (SELECT term FROM items) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS w
+            FROM (SELECT term, count(*) AS df FROM found GROUP BY term), facts),
+sizes AS (SELECT rid, doc_id, 100 - 50 + (50 * len(t) * n_docs) // total AS m FROM texts, facts WHERE len(t) > 0),
+scores AS (SELECT item, item_id, rid, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+           FROM items JOIN found USING (term) JOIN weights USING (term) JOIN sizes USING (rid) GROUP BY ALL)
+SELECT item_id, rank, doc_id, score
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scores WHERE score > 0) WHERE rank <= 50
+"""

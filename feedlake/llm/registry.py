@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import fresh_dir
 from . import (
-    bpe, conversation_repair, nearest, ngram_join, oracles, quality_classifier, quality_rules, secret_scans, source_mixing, substring_dedup, suffix_dedup, url_filters,
+    bpe, conversation_repair, nearest, ngram_join, oracles, quality_classifier, quality_rules, ranked_search, secret_scans, source_mixing, substring_dedup, suffix_dedup, url_filters, warc,
 )
 
 QUERIES = {}
@@ -96,6 +97,19 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rated.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@_query
+def op11_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archives = fresh_dir(spark, "archives")
+    warc.write_archive(warc.page_records(_table(spark, folder, "pages").select("page_id", "url", "html")), archives)
+    records = warc.read_archive(spark, archives, payload=False).filter("kind = 'record'")
+    return records.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
+
+
+@_query
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.search(_table(spark, folder, "documents").select("doc_id", "text"), _table(spark, folder, "benchmark").select("item_id", "text"))
+
+
 @_query
 def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     rows = conversation_repair.damaged(_table(spark, folder, "conversations").select("conv_id", "turn", "role", "text"))

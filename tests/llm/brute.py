@@ -182,3 +182,40 @@ def repaired(rows):
         illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(roles, roles[1:]))
         out.append((conv, gaps, *[faults.count(f) for f in ("blank", "duplicate", "truncated")], illegal, cost, audit, sha("\n".join(kept))))
     return out
+
+
+def ranked(docs, items, k=50):
+    """(item_id, rank, doc_id, score) of the ranked search."""
+    import math
+
+    term = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    texts = [(key, collections.Counter(term.findall((t or "").translate(LOWER)))) for key, t in docs]
+    texts = [(key, c, sum(c.values())) for key, c in texts if c]
+    n_docs, total = len(texts), sum(n for _, _, n in texts)
+    df = collections.Counter(x for _, c, _ in texts for x in c)
+    out = []
+    for item, text in set(items):
+        asked = set(term.findall((text or "").translate(LOWER)))
+        found = []
+        for key, c, n in texts:
+            m = 100 - 50 + (50 * n * n_docs) // total
+            score = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[x] + 1))) * ((1000000000 * c[x]) // (1000 * c[x] + 20 * m)) for x in asked if x in c)
+            if score > 0:
+                found.append((-score, key is None, key))
+        out += [(item, i + 1, key, -s) for i, (s, _, key) in enumerate(sorted(found, key=lambda f: (f[0], f[1], f[2] or 0))[:k])]
+    return out
+
+
+def archived(pages):
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of the archive round trip."""
+    raw = [(key, (html or "").encode()) for key, html in pages]
+    last = {}
+    for key, b in raw:
+        last.setdefault(b, []).append(key)
+    out = []
+    for key, b in raw:
+        known = [x for x in last[b] if x is not None]
+        top = max(known) if known else None
+        revisit = len(b) >= 1000 and key != top
+        out.append((key, len(b), hashlib.sha1(b).hexdigest(), "revisit" if revisit else "response", top if revisit else None))
+    return out
