@@ -19,22 +19,18 @@ ZONE_OFFSETS = {
     "EET": "+02:00", "EEST": "+03:00", "MSK": "+03:00", "JST": "+09:00", "KST": "+09:00", "AEST": "+10:00", "AEDT": "+11:00",
     "NZST": "+12:00", "NZDT": "+13:00",
 }
-MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
-_OFFSET = r"(?: ?([Zz]|[+-][0-9]{2}:?[0-9]{2}))?$"
-_CLOCK = r"(?:,? (?:at )?([0-9]{1,2}(?::[0-9]{2}){1,2}|[0-9]{1,2}(?= ?[AP]M))(?: ?([AP])M)?)?" + _OFFSET
-# Shapes of written dates, and their year, month, day, time, half of the day and offset. A first number above 12 is a day.
-_SHAPES = (
-    (r"^([0-9]{1,2})[ -]([A-Za-z]{3})[a-z]*[.]?,?[ -]([0-9]{4}|[0-9]{2})" + _CLOCK, "$3|$2|$1|$4|$5|$6"),
-    (r"^([A-Za-z]{3})[a-z]*[.]? ([0-9]{1,2}),? ([0-9]{4})" + _CLOCK, "$3|$1|$2|$4|$5|$6"),
-    (r"^([A-Za-z]{3}) ([0-9]{1,2}) ([0-9]{1,2}:[0-9]{2}:[0-9]{2}) ([0-9]{4})$", "$4|$1|$2|$3||"),
-    (r"^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})" + _CLOCK, "$1|$2|$3|$4|$5|$6"),
-    (r"^(1[3-9]|2[0-9]|3[01])/([0-9]{1,2})/([0-9]{4})" + _CLOCK, "$3|$2|$1|$4|$5|$6"),
-    (r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})" + _CLOCK, "$3|$1|$2|$4|$5|$6"),
-    (r"^([0-9]{4})([0-9]{2})([0-9]{2})$", "$1|$2|$3|||"),
-    (r"^([0-9]{4})([0-9]{2})([0-9]{2})[Tt ]?([0-9]{2})([0-9]{2})([0-9]{2})" + _OFFSET, "$1|$2|$3|$4:$5:$6||$7"),
-    (r"^([0-9]{4})([0-9]{2})([0-9]{2})[Tt ]?([0-9]{2})([0-9]{2})" + _OFFSET, "$1|$2|$3|$4:$5||$6"),
-    (r"^([0-9]{4})-([0-9]{2})-([0-9]{2}) ([0-9]{1,2}(?::[0-9]{2}){0,2}) ?([AP])M" + _OFFSET, "$1|$2|$3|$4|$5|$6"),
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
+_MONTH_NUMBERS = {**{name: i for i, name in enumerate(MONTHS, 1)}, **{name[:3]: i for i, name in enumerate(MONTHS, 1)}, "sept": 9}
+#: Words of a date that say nothing about it: weekdays, small words, and ordinal endings.
+_SILENT = r"\b(?:" + "|".join(WEEKDAYS) + "|(?:" + "|".join(d[:3] for d in WEEKDAYS) + r"|tues|weds|thurs?|at|of|on|t|the))\b|(?<=[0-9])(?:st|nd|rd|th)\b"
+#: A time of day with its half and zone. What stands before and behind it is the date.
+_CLOCK = (
+    r"^(.*?)(?:[ ,]+(?:at +)?|(?<=[0-9])t ?)?(?<![0-9])([0-9]{1,2})(?::([0-9]{2})(?::([0-9]{2}))?(?:[.,][0-9]+)?(?: ?([ap])[.]?m[.]?(?![a-z]))?| ?([ap])[.]?m[.]?(?![a-z]))"
+    r" ?((?!" + "|".join(w[:3] for w in (*MONTHS, *WEEKDAYS)) + r")[a-z]{1,5}(?![a-z]))? ?([+-][0-9]{1,2}:?(?:[0-9]{2})?)?(?![0-9:])(.*)$"
 )
+#: A date and perhaps a time written as digits alone.
+_DIGITS = r"^([0-9]{4})([0-9]{2})([0-9]{2})(?:[t ]?([0-9]{2})([0-9]{2})([0-9]{2})?(.*))?$"
 
 
 def audio_url(enclosures: str | Column, links: str | Column) -> Column:
@@ -67,66 +63,94 @@ def _to_number(part: Column) -> Column:
 def published_date(text: str | Column) -> Column:
     """UTC publish time from a feed date in mail style, ISO 8601 or common free text; NULL when none fits.
 
-    Written dates are put into ISO form by their shape and then cast, which costs far less than trying one pattern after another.
+    One pattern takes the time of day out; what is left is split into words and numbers once. Each token is classed (month, number, silent
+    word) and the three that matter are placed: a number above 31 or of more than two digits is the year; of two numbers beside a month name
+    the other is the day; of three numbers the first is the month, unless it is above 12. A word that is none of a date's makes it no date.
     """
-    zones = F.create_map(*[F.lit(x) for pair in ZONE_OFFSETS.items() for x in pair])
 
-    def plain(raw: Column) -> Column:
-        """Without a weekday in front, a remark behind, ordinals and parts of seconds."""
-        steps = ((r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*[.]?,?\s+", ""), (r"\s*\([^()]*\)$", ""), (r"\s+", " "),
-                 (r"(?i)\b([0-9]{1,2})(st|nd|rd|th)\b", "$1"), (r"(:[0-9]{2})[.,][0-9]+", "$1"), (r"(?i)([0-9]) ?([ap])[.]?m[.]?(?=$| )", "$1 $2M"),
-                 (r"(?i) ?(gmt|utc) ?(?=[+-][0-9]{2}:?[0-9]{2}$)", ""))
-        for pattern, to in steps:
-            raw = F.regexp_replace(raw, pattern, to)
-        return F.regexp_replace(F.regexp_replace(raw, r" aM(?=$| )", " AM"), r" pM(?=$| )", " PM")
-
-    def zoned(text: Column) -> Column:
-        """A zone name behind the time becomes its offset."""
-        name = F.upper(F.regexp_extract(text, r"(?:[0-9]|[0-9] [AP]M) ?((?![AaPp]M$|[Zz]$)[A-Za-z]{1,5})$", 1))
-        offset = F.coalesce(F.try_element_at(zones, name), F.lit("+00:00"))
-        return F.when(name == "", text).otherwise(F.concat(F.rtrim(F.substr(text, F.lit(1), F.length(text) - F.length(name))), offset))
-
-    def time(text: Column) -> Column:
-        iso = F.rlike(text, F.lit(r"^[0-9]{4}-[0-9]{2}")) & ~F.rlike(text, F.lit("[AP]M"))
-        return F.when(iso, _iso_time(text)).otherwise(_written_time(text))
-
-    return let(let(plain(strip(text)), zoned), time)
+    def whole(raw: Column) -> Column:
+        bare = F.when(F.contains(raw, F.lit("(")), F.regexp_replace(raw, r"\s*\([^()]*\)$", "")).otherwise(raw)
+        digits = F.rlike(bare, F.lit("^[0-9]{8}"))
+        spelled = F.regexp_replace(F.regexp_replace(bare, _DIGITS, "$1-$2-$3 $4:$5:$6$7"), "( ::$|:(?=$|[^0-9]))", "")
+        return F.when(digits, spelled).otherwise(bare)
+
+    def time(written: Column) -> Column:
+        # Texts with the separator of the parts are no dates.
+        parts = F.split(F.regexp_replace(written, _CLOCK, "$1 $9|$2|$3|$4|$5$6|$7|$8"), "[|]")
+        found = let(parts, lambda p: let(_date(F.get(p, F.lit(0))), lambda d: _moment(d, p)))
+        return F.coalesce(found, F.when(F.rlike(written, F.lit("^[0-9]{4}-[0-9]{2}")), _iso_time(F.upper(written))))
+
+    return let(let(F.lower(strip(text)), whole), time)
+
+
+def _date(rest: Column) -> Column:
+    """Year, month and day out of what is left beside the time; NULL if they are not there."""
+    months = F.create_map(*[F.lit(x) for pair in _MONTH_NUMBERS.items() for x in pair])
+    tokens = F.regexp_extract_all(F.regexp_replace(rest, _SILENT, " "), F.lit("[a-z]+|[0-9]+"), F.lit(0))
+
+    def classed(t: Column) -> Column:
+        return let(t.try_cast("int"), lambda n: F.struct(
+            n.alias("n"), F.when(n.isNull(), F.try_element_at(months, t)).alias("word"), (F.length(t) > 2).alias("long")))
+
+    def placed(s: Column) -> Column:
+        """The tokens that matter, in order."""
+        first, second, third = (F.get(s, F.lit(i)) for i in range(3))
+        year = lambda t: t["long"] | (t["n"] > 31)
+
+        def ymd(y: Column, m: Column, d: Column) -> Column:
+            full = F.when(y["long"], y["n"]).otherwise(y["n"] + F.when(y["n"] < 90, 2000).otherwise(1900))
+            return F.struct(full.alias("y"), F.coalesce(m["word"], m["n"]).alias("m"), d["n"].alias("d"))
+
+        is_month = lambda t: t["word"].isNotNull()
+        named = (
+            F.when(is_month(first), F.when(year(second), ymd(second, first, third)).otherwise(ymd(third, first, second)))
+            .when(is_month(second), F.when(year(first), ymd(first, second, third)).otherwise(ymd(third, second, first)))
+            .when(is_month(third), F.when(year(first), ymd(first, third, second)).otherwise(ymd(second, third, first)))
+        )
+        numbers = (
+            F.when(year(first), ymd(first, second, third)).when(first["n"] > 12, ymd(third, second, first)).otherwise(ymd(third, first, second))
+        )
+        # Each token is a number or a month, and at most one is a month.
+        known = lambda t: t["n"].isNotNull() | is_month(t)
+        all_known = known(first) & known(second) & known(third)
+        n_months = sum((is_month(t).cast("int") for t in (first, second, third)), F.lit(0))
+        return F.when(all_known & (n_months == 1), named).when(all_known & (n_months == 0), numbers)
+
+    return let(tokens, lambda t: F.when(F.size(t) == 3, let(F.transform(t, classed), placed)))
+
+
+def _moment(date: Column, parts: Column) -> Column:
+    """The date with the time of day, half and zone that ``_CLOCK`` found, in UTC."""
+    hour, minute, second = (F.coalesce(F.get(parts, F.lit(i)).try_cast("int"), F.lit(0)) for i in (1, 2, 3))
+    half, zone, offset = (F.coalesce(F.get(parts, F.lit(i)), F.lit("")) for i in (4, 5, 6))
+    # 12 is the first hour of either half; a half with any other hour above 12 is no time.
+    of_day = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0))
+    names = F.create_map(*[F.lit(x) for name, o in ZONE_OFFSETS.items() for x in (name.lower(), _minutes(o))])
+
+    def ahead(digits: Column) -> Column:
+        """Minutes of an offset written as ``+h``, ``+hh`` or ``+hhmm``."""
+        n = digits.try_cast("int")
+        return F.when(F.length(digits) > 3, F.floor(F.abs(n) / 100) * 60 + F.abs(n) % 100).otherwise(F.abs(n) * 60) * F.signum(n)
+
+    by_name = F.when(zone == "", F.lit(0)).otherwise(F.coalesce(F.try_element_at(names, zone), F.lit(0)))
+    minutes = F.when(offset == "", by_name).otherwise(let(F.replace(offset, F.lit(":"), F.lit("")), ahead)).cast("int")
+    local = F.try_make_timestamp_ntz(date["y"], date["m"], date["d"], of_day, minute, second)
+    return local - F.make_dt_interval(mins=minutes)
+
+
+def _minutes(offset: str) -> int:
+    sign = -1 if offset[0] == "-" else 1
+    return sign * (int(offset[1:3]) * 60 + int(offset[4:6]))
 
 
 def _iso_time(raw: Column) -> Column:
+    """What ISO 8601 allows beyond full dates, by a cast."""
     whole = F.regexp_replace(F.regexp_replace(raw, r" (?=[Zz+-])", ""), r"([T ][0-9]{2}:[0-9]{2})(?=$|[Zz+-])", "$1:00")
     zoned = F.rlike(whole, F.lit(r"[0-9]{2}:[0-9]{2}.*([Zz]|[+-][0-9]{2}:?[0-9]{2})$"))
     instant = F.regexp_replace(whole, r"([0-9][+-][0-9]{2})([0-9]{2})$", "$1:$2").try_cast("timestamp")
     return F.when(zoned, utc_wall_clock(instant)).otherwise(whole.try_cast("timestamp_ntz"))
 
 
-def _written_time(text: Column) -> Column:
-    """A date in one of the written shapes, its zone already an offset."""
-    months = F.create_map(*[F.lit(x) for i, name in enumerate(MONTHS, 1) for x in (name, f"{i:02d}")])
-
-    def parts(text: Column) -> Column:
-        found = F
-        for shape, order in _SHAPES:
-            found = found.when(F.rlike(text, F.lit(shape)), F.split(F.regexp_replace(text, shape, order), "[|]"))
-        return found
-
-    def iso(p: Column) -> Column:
-        year, month, day, time, half, zone = (F.get(p, F.lit(i)) for i in range(6))
-        century = F.when(F.length(year) > 2, F.lit("")).when(year < "90", F.lit("20")).otherwise(F.lit("19"))
-        number = F.coalesce(F.try_element_at(months, F.lower(month)), month)
-        hour = F.split_part(time, F.lit(":"), F.lit(1)).try_cast("int")
-        # 12 is the first hour of either half; a half with any other hour above 12 is no time.
-        of_half = F.when(hour.between(1, 12), F.lpad((hour % 12 + F.when(half == "P", 12).otherwise(0)).cast("string"), 2, "0"))
-        rest = F.substr(time, F.length(F.split_part(time, F.lit(":"), F.lit(1))) + 1)
-        clock = F.when(time == "", F.lit("00")).when(half == "", F.lpad(F.split_part(time, F.lit(":"), F.lit(1)), 2, "0")).otherwise(of_half)
-        clock = F.concat(clock, rest, F.repeat(F.lit(":00"), 2 - F.length(F.regexp_replace(rest, "[^:]", ""))))
-        offset = F.regexp_replace(zone, "^([+-][0-9]{2}):?([0-9]{2})$", "$1:$2")
-        offset = F.when(offset.isin("", "Z", "z"), F.lit("+00:00")).otherwise(offset)
-        return F.concat(century, year, F.lit("-"), number, F.lit("-"), day, F.lit("T"), clock, offset)
-
-    return utc_wall_clock(let(let(text, parts), iso).try_cast("timestamp"))
-
-
 def feed_name(text: str | Column, title: str | Column) -> Column:
     return F.coalesce(non_empty(text), non_empty(title), F.lit("Unnamed Feed"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import feeds as ff
 from ..functions.basic import let
+from .names import with_usual_names
 
 _LINKS = "ARRAY<STRUCT<_VALUE: STRING, _href: STRING, _rel: STRING, _type: STRING>>"
 _ITEM = (
@@ -23,35 +24,12 @@ _DOCUMENT = (
 )
 
 
-# The namespaces whose elements are read, by the prefix that the schema uses.
-NAMESPACES = {
-    "itunes": "http://www.itunes.com/dtds/podcast-1.0.dtd", "atom": "http://www.w3.org/2005/Atom",
-    "dc": "http://purl.org/dc/elements/1.1/", "content": "http://purl.org/rss/1.0/modules/content/",
-}
 _BLOCKS = r"(?s)<(item|entry)(?=[\s>])[^>]*>.*?</\1\s*>"
 # Characters that no XML document may hold, and ampersands that start none of the five known entities or a number.
 _CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
 _BARE_AMPERSAND = r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]{1,7}|#x[0-9A-Fa-f]{1,6});)"
 
 
-def _usual_prefixes(xml: Column) -> Column:
-    """Elements of the known namespaces under the prefix that the schema uses, whatever prefix the document binds to them."""
-
-    def renamed(prefix: str, address: str):
-        binding = rf"""xmlns:([A-Za-z_][A-Za-z0-9_-]*)\s*=\s*["']{address.replace(".", "[.]")}["']"""
-
-        def rename(text: Column) -> Column:
-            bound = F.regexp_extract(text, binding, 1)
-            changed = F.regexp_replace(text, F.concat(F.lit("<(/?)"), bound, F.lit(":")), F.lit(f"<$1{prefix}:"))
-            return F.when(F.contains(text, F.lit(address)) & ~bound.isin("", prefix), changed).otherwise(text)
-
-        return rename
-
-    for prefix, address in NAMESPACES.items():
-        xml = let(xml, renamed(prefix, address))
-    return xml
-
-
 def _repaired(xml: Column) -> Column:
     """The document up to its first item, its complete items that can be read, and the end tags it needs."""
 
@@ -68,7 +46,7 @@ def _repaired(xml: Column) -> Column:
 def parsed(payloads: DataFrame, xml: str = "xml") -> DataFrame:
     """Add ``document``.
 
-    A malformed payload does not end the job. It is repaired as far as its header and its complete items allow, so that only what is broken
+    Elements are read by their namespace, whatever their prefix, and named entities are characters (``sources.names``). A malformed payload does not end the job. It is repaired as far as its header and its complete items allow, so that only what is broken
     is lost; if even its header cannot be read, the document has no title and no items.
     """
 
@@ -76,7 +54,8 @@ def parsed(payloads: DataFrame, xml: str = "xml") -> DataFrame:
         return let(F.from_xml(text, _DOCUMENT), lambda d: F.when(
             d["_corrupt_record"].isNull(), d).otherwise(let(F.from_xml(_repaired(text), _DOCUMENT), lambda r: r.withField("_corrupt_record", text))))
 
-    return payloads.withColumn("document", let(_usual_prefixes(F.col(xml)), read)).drop(xml)
+    named = payloads.withColumn(xml, with_usual_names(F.col(xml)))
+    return named.withColumn("document", read(F.col(xml))).drop(xml)
 
 
 def _page(links: Column) -> Column:
@@ -95,7 +74,10 @@ def feed_headers(documents: DataFrame) -> DataFrame:
         F.coalesce(_page(d["channel"]["link"]), _page(d["link"]), F.lit("")).alias("link"),
         F.coalesce(d["channel"]["language"], F.lit("")).alias("language"),
         F.coalesce(F.size(_items(d)) > 0, F.lit(False)).alias("has_items"),
-        (d.isNull() | d["_corrupt_record"].isNotNull()).alias("malformed"),
+        # A document without any element of a feed is none, even if it is well-formed.
+        (d.isNull() | d["_corrupt_record"].isNotNull() | F.coalesce(
+            d["channel"]["title"], d["channel"]["description"], d["title"], d["subtitle"],
+            F.when(_items(d).isNotNull() | d["channel"].isNotNull() | d["link"].isNotNull(), F.lit(""))).isNull()).alias("malformed"),
     )
 
 

@@ -11,7 +11,7 @@ from feedlake.functions import feeds as ff
 from feedlake.operators import joins, state
 from feedlake.plans import jobs
 from feedlake.schemas import TABLES
-from feedlake.sources import payloads
+from feedlake.sources import names, payloads
 
 ITEM = "array<struct<type: string, href: string>>"
 RSS = """<?xml version="1.0"?><rss version="2.0" xmlns:itunes="i" xmlns:atom="a"><channel><title>Show</title>
@@ -52,7 +52,10 @@ def test_dates(spark):
         "Tue, 5 Mar 2024 05:00:00 EST": ten, "2024-03-05T10:00:00Z": ten, "2024-03-05T11:00:00.5+01:00": ten, "2024-03-05T10:00Z": ten,
         "2024-03-05 10:00:00": ten, "Tue Mar  5 10:00:00 2024": ten, "March 5, 2024 10:00": ten, "2024/03/05 10:00": ten,
         "2024-03-05": datetime(2024, 3, 5), "Tuesday, March 5, 2024": datetime(2024, 3, 5), "20240305": datetime(2024, 3, 5),
-        "3/5/2024": datetime(2024, 3, 5), "soon": None, "": None, "40 Mar 2024 10:00:00 GMT": None,
+        "3/5/2024": datetime(2024, 3, 5), "Tue,05 Mar 2024 10:00:00 GMT": ten, "2024-3-5": datetime(2024, 3, 5), "3/5/24": datetime(2024, 3, 5),
+        "Tue Mar 5 10:00:00 UTC 2024": ten, "5.3.2024": datetime(2024, 5, 3), "25.3.2024": datetime(2024, 3, 25), "5th of March 2024 at 10 a.m.": ten, "10:00 March 5, 2024": ten,
+        "05-Mar-24": datetime(2024, 3, 5), "05/Mar/2024:12:00:00 +0200": ten, "2024-03-05T02:00:00-08": ten, "2024-03": datetime(2024, 3, 1), "13 PM Mar 5 2024": None, "Mars 5 2024": None,
+        "5 Mar 2024 6 7": None, "a|b": None, "29.2.2023": None, "soon": None, "": None, "40 Mar 2024 10:00:00 GMT": None,
     }
     df = spark.createDataFrame([(k,) for k in cases], "d string")
     for zone in ("UTC", "America/New_York"):
@@ -169,3 +172,45 @@ def test_two_payloads_of_one_feed(spark):
     with pytest.raises(ValueError, match="payload_no"):
         jobs.sync_feeds(table(spark, "feeds"), table(spark, "episodes"), table(spark, "processing_status"),
                         spark.createDataFrame(rows, "url string, xml string"), datetime(2024, 3, 10))
+
+
+NAMED = {
+    "atom": '<a:feed xmlns:a="http://www.w3.org/2005/Atom"><a:title>At</a:title><a:link href="h"/><a:entry><a:title>E</a:title><a:id>i</a:id>'
+            '<a:link rel="enclosure" type="audio/x" href="u"/><a:summary>s</a:summary></a:entry></a:feed>',
+    "other case": '<rss xmlns:x="HTTP://WWW.ITUNES.COM/dtds/PodCast-1.0.dtd"><channel><title>T</title><item><x:duration>1:00</x:duration><title>E</title><guid>i</guid>'
+                  '<enclosure type="audio/x" url="u"/><description>s</description></item></channel></rss>',
+    "rebound": '<rss xmlns:x="urn:none"><channel><title>T</title><item><x:duration>9</x:duration><x:duration xmlns:x="http://www.itunes.com/dtds/podcast-1.0.dtd">1:00</x:duration>'
+               '<x:guid>no</x:guid><guid>i</guid><title>E</title><enclosure type="audio/x" url="u"/><description>s</description></item></channel></rss>',
+    "local atom": '<rss><channel><title>T</title><item><title>E</title><guid>i</guid><link xmlns="http://www.w3.org/2005/Atom" rel="enclosure" type="audio/x" href="u"/>'
+                  '<description>s</description></item></channel></rss>',
+    "entities": '<!DOCTYPE rss [<!ENTITY e "E"> <!ENTITY b "a&b;"> <!ENTITY m "<i>"> <!ENTITY x SYSTEM "f">]><rss><channel><title>&Eacute;&nbsp;&lt;&#233;</title><item><title>&e;</title><guid>i</guid>'
+                '<enclosure type="audio/x" url="u"/><description><![CDATA[s]]></description></item></channel></rss>',
+    "cdata": '<rss xmlns:x="http://www.itunes.com/dtds/podcast-1.0.dtd"><channel><title>T</title><item><title>E</title><guid>i</guid><enclosure type="audio/x" url="u"/>'
+             '<description><![CDATA[<x:duration>&eacute;<!--]]></description><!-- <x:duration>7</x:duration> --></item></channel></rss>',
+    "rdf": '<r:RDF xmlns:r="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:c="http://purl.org/rss/1.0/"><c:channel><c:title>T</c:title></c:channel><c:item><c:title>E</c:title><guid>i</guid>'
+           '<enclosure type="audio/x" url="u"/><c:description>s</c:description></c:item></r:RDF>',
+    "unknown entity": '<rss><channel><title>a &nosuch; b</title></channel></rss>',
+    "page": "<html><body>&eacute;</body></html>",
+}
+
+
+def test_names_and_entities(spark):
+    parsed = payloads.parsed(spark.createDataFrame(list(NAMED.items()), "name string, xml string"))
+    headers = {r.name: (r.title, r.malformed) for r in payloads.feed_headers(parsed).collect()}
+    assert headers == {"atom": ("At", False), "other case": ("T", False), "rebound": ("T", False), "local atom": ("T", False), "entities": ("É <é", False), "cdata": ("T", False),
+                       "rdf": ("T", False), "unknown entity": ("a &nosuch; b", True), "page": ("Unknown", True)}
+    items = {r.name: (r.title, r.guid, r.audio_url, r.description, r.duration_seconds) for r in payloads.episode_items(payloads.raw_items(parsed)).collect()}
+    plain = ("E", "i", "u", "s", None)
+    assert items == {"atom": plain, "other case": (*plain[:4], 60), "rebound": (*plain[:4], 60), "local atom": plain, "entities": plain,
+                     "cdata": ("E", "i", "u", "<x:duration>&eacute;<!--", None), "rdf": plain}
+
+
+def test_plain_documents_do_not_leave_the_jvm(spark):
+    """Usual prefixes and the five entities of XML need no pass; a document that closes wrongly keeps its names."""
+    usual = ['<rss xmlns:itunes="http://www.itunes.com/dtds/podcast-1.0.dtd" xmlns:atom="http://www.w3.org/2005/Atom"><channel><atom:link href="x"/><title>&amp;&#233;</title></channel></rss>',
+             '<feed xmlns="http://www.w3.org/2005/Atom"><title>x</title></feed>', '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><item/></rdf:RDF>', None]
+    df = spark.createDataFrame([(x,) for x in usual], "xml string")
+    assert not any(r[0] for r in df.select(names.needs_pass(F.col("xml"))).collect())
+    broken = "<a><b></a></b><c x='>' y=\"<\"/>&x;<!-- "
+    assert names.resolved(broken) == broken
+    assert names.resolved("<" * 5000 + "\"'" * 5000) == "<" * 5000 + "\"'" * 5000

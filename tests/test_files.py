@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from datetime import UTC, datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 from feedlake.schemas import TABLES
 from feedlake.sinks import documents, tables
-from feedlake.sources import files
+from feedlake.sinks.packs import PackWriter, write_packs
+from feedlake.sources import files, packs
 from feedlake.sources.tables import read_table
-from workload.pipelines import item_files
+from workload.pipelines import item_packs
 from workload.views import Tables
 
 
@@ -71,12 +74,55 @@ def test_document_order(spark, tmp_path):
     assert written.splitlines() == [f"line {i}" for i in range(5000)]
 
 
-def test_all_items_are_files(spark):
+def test_all_items_are_packed(spark):
     """The file queries write and scan every row of the table."""
-    names = [r.file_name for r in files.media_inventory(spark, item_files(Tables(spark, "/root/testdata/sf0.001"))).select("file_name").collect()]
+    names = [r.file_name for r in packs.packed_inventory(spark, item_packs(Tables(spark, "/root/testdata/sf0.001"))).collect()]
     assert len(names) == len(set(names)) == 200
 
 
+PACKED = "name string, content string"
+
+
+def test_packs(spark, tmp_path):
+    """Several packs and writes, empty and missing contents, names twice; the inventory reads no content."""
+    path = str(tmp_path / "packs")
+    rows = [(f"{i}_raw.txt", "ü" * i + "\n") for i in range(50)] + [("1_cleaned.txt", "c"), ("x_raw.txt", "x"), ("99_raw.txt", ""), ("98_raw.txt", None)]
+    table = spark.createDataFrame(rows, PACKED).repartition(3)
+    write_packs(table, path, pack_bytes=200)
+    write_packs(spark.createDataFrame([("1_cleaned.txt", "again")], PACKED), path)
+    write_packs(table.limit(0), path)
+    found = sorted((r.episode_id, r.text) for r in packs.read_transcript_packs(spark, path).collect())
+    assert found == sorted([(i, "ü" * i + "\n") for i in range(50)] + [(99, "")])
+    assert sorted(r.text for r in packs.read_transcript_packs(spark, path, "cleaned").collect()) == ["again", "c"]
+    inventory = packs.packed_inventory(spark, path)
+    assert inventory.count() == 54 and inventory.agg({"length": "sum"}).first()[0] == sum(len((t or "").encode()) for _, t in rows) + 5
+    assert len(packs.listed_packs(path)) > 5
+    assert sorted(len(b) for b in {r.path: None for r in inventory.collect()}) and "content" not in inventory.columns
+
+
+def test_a_failed_task_leaves_nothing(spark, tmp_path):
+    path = str(tmp_path / "packs")
+    bad = F.when(F.col("id") == 900, F.raise_error(F.lit("broken"))).otherwise(F.col("id").cast("string"))
+    with pytest.raises(Exception, match="broken"):
+        write_packs(spark.range(1000).repartition(4).select(F.col("id").alias("name"), bad.alias("content")), path)
+    assert [p for p in (tmp_path / "packs").rglob("*") if p.is_file()] == []
+    write_packs(spark.range(10).select(F.col("id").alias("name"), F.lit("x").alias("content")), path)
+    assert packs.read_packs(spark, path).count() == 10
+
+
+def test_leftovers_of_killed_tasks_are_not_read(spark, tmp_path):
+    """Files that no commit lists do not count, and the commit of their own write deletes them."""
+    path = tmp_path / "packs"
+    writer = PackWriter(str(path), ".pack", 100)
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", "b"]), pa.array([b"1", b"2"])], ["name", "content"])
+    kept = writer.write(iter([batch]))
+    writer.write(iter([batch]))
+    assert len([p for p in path.rglob("*.pack")]) == 2
+    writer.commit([kept, None])
+    assert len([p for p in path.rglob("*.pack")]) == 1 and len([p for p in path.rglob("*.index")]) == 1
+    assert {(r.name, bytes(r.content)) for r in packs.read_packs(spark, str(path)).collect()} == {("a", b"1"), ("b", b"2")}
+
+
 def test_item_files(spark, tmp_path):
     rows = spark.createDataFrame([("1_raw.txt", "a\nb"), ("2_raw.txt", "ü\n"), ("3_raw.txt", ""), ("4_raw.txt", None)], "file_name string, text string")
     for name, part, n in (("out", rows, 3), ("none", rows.filter("false"), 0)):

@@ -13,7 +13,8 @@ from feedlake.plans import jobs
 from feedlake.schemas import TABLES
 from feedlake.sinks import documents
 from feedlake.sinks import tables as table_sinks
-from feedlake.sources import files, outlines, payloads
+from feedlake.sinks.packs import write_packs
+from feedlake.sources import files, outlines, packs, payloads
 from feedlake.sources import tables as table_sources
 from feedlake.storage import fresh_dir, spread
 from feedlake.streaming import streams
@@ -140,7 +141,9 @@ def export_outline(t):
 def fetched(t: Tables) -> DataFrame:
     """A feed document per row: Atom for French, else RSS with a second item without audio; German ones use a prefix of their own.
 
-    A few are malformed: cut within a second item, with a bare ampersand and an unknown entity, with one bad item, cut within the header.
+    A few are malformed: cut within a second item, with a bare ampersand and an entity of HTML, with one bad item, cut within the header.
+    Others are well-formed in unusual ways: Atom under a prefix of its own, entities of HTML and of the document's own type, a prefix that is
+    bound on each element, and CDATA that looks like a renamed element.
     """
     key = F.col("doc_id").cast("string")
     guid = F.md5(F.encode("text", "UTF-8"))
@@ -148,18 +151,23 @@ def fetched(t: Tables) -> DataFrame:
     text = escape_xml("text")
     date = F.expr("timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, n_chars % 400)")
     rss = F.concat(
-        F.lit('<?xml version="1.0" encoding="UTF-8"?><rss version="2.0" xmlns:itunes="http://www.itunes.com/dtds/podcast-1.0.dtd">'
-              "<channel><title>Feed "), F.when(spoilt == 17, F.lit("R&D &nbsp; ")).otherwise(F.lit("")), "source",
+        F.lit('<?xml version="1.0" encoding="UTF-8"?>'),
+        F.when(spoilt == 13, F.lit('<!DOCTYPE rss [<!ENTITY co "Compa&#241;y"> <!ENTITY out SYSTEM "x">]>')).otherwise(F.lit("")),
+        F.lit('<rss version="2.0" xmlns:itunes="http://www.itunes.com/dtds/podcast-1.0.dtd"><channel><title>Feed '),
+        F.when(spoilt == 17, F.lit("R&D &nbsp; ")).when(spoilt == 13, F.lit("Caf&eacute;&nbsp;&mdash; &co; ")).otherwise(F.lit("")), "source",
         F.lit("</title><link>https://example.com/"), "source", F.lit("</link><language>"), "lang", F.lit("</language>"),
         F.when(spoilt == 27, F.lit("<item><title>bad<b></title></item>")).otherwise(F.lit("")), F.lit("<item><title>Item "), key,
-        F.lit('</title><guid isPermaLink="false">'), guid, F.lit("</guid><description>"), text, F.lit("</description><pubDate>Tue, "),
+        F.lit('</title><guid isPermaLink="false">'), guid, F.lit("</guid><description>"),
+        F.when(spoilt == 19, F.concat(F.lit("<![CDATA[<own:i xmlns:own='x'>&eacute;"), "text", F.lit("]]>"))).otherwise(text), F.lit("</description><pubDate>Tue, "),
         F.date_format(date, "dd MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate><itunes:duration>0:"), F.col("n_chars").cast("string"),
         F.lit('</itunes:duration><enclosure url="image" type="image/png"/><enclosure url="https://media.example.com/'), key,
         F.lit('.mp3" type="audio/mpeg" length="1"/></item><item><title>No audio'),
         F.when(spoilt == 7, F.lit("")).otherwise(F.lit("</title><guid>g</guid></item></channel></rss>")),
     )
     own = F.replace(F.replace(rss, F.lit("xmlns:itunes"), F.lit("xmlns:own")), F.lit("itunes:duration"), F.lit("own:duration"))
-    rss = F.when(F.col("lang") == "de", own).otherwise(rss)
+    bound = F.replace(rss, F.lit("<itunes:duration>"), F.lit("<p:duration xmlns:p='HTTP://www.itunes.com/DTDs/Podcast-1.0.dtd'>"))
+    bound = F.replace(F.replace(bound, F.lit("</itunes:duration>"), F.lit("</p:duration >")), F.lit("<title>Item"), F.lit("<title xmlns:p='urn:other'>Item"))
+    rss = F.when(spoilt == 15, bound).when(F.col("lang") == "de", own).otherwise(rss)
     atom = F.concat(
         F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title type="text">Feed '), "source",
         F.lit('</title><link rel="self" href="self"/><link href="https://example.com/'), "source",
@@ -168,13 +176,15 @@ def fetched(t: Tables) -> DataFrame:
         F.lit('Z</published><link href="page"/><link rel="enclosure" type="audio/mpeg" href="https://media.example.com/'), key,
         F.lit('.mp3"/></entry>'), F.when(spoilt == 7, F.lit("<entry><title>x")).otherwise(F.lit("</feed>")),
     )
-    whole = F.when(F.col("lang") == "fr", atom).otherwise(rss)
+    prefixed = F.replace(F.regexp_replace(atom, "<(/?)(?=[a-z])", "<$1a:"), F.lit("xmlns="), F.lit("xmlns:a="))
+    whole = F.when((F.col("lang") == "fr") & (spoilt == 11), prefixed).when(F.col("lang") == "fr", atom).otherwise(rss)
     xml = F.when(spoilt == 37, F.substring(whole, 1, 45)).otherwise(whole)
     return t.documents.select(
         F.col("doc_id").alias("payload_no"), F.concat(F.lit("https://feeds.example.com/"), key).alias("url"), xml.alias("xml"))
 
 
-PARSED = """SELECT doc_id AS payload_no, 0 AS pos, 'Item ' || doc_id AS title, text AS description,
+PARSED = """SELECT doc_id AS payload_no, 0 AS pos, 'Item ' || doc_id AS title,
+    CASE WHEN doc_id % 50 = 19 AND lang <> 'fr' THEN '<own:i xmlns:own=''x''>&eacute;' || text ELSE text END AS description,
     'https://media.example.com/' || doc_id || '.mp3' AS audio_url, TIMESTAMP '2024-01-01' + to_days(CAST(n_chars % 400 AS INTEGER)) AS published_date,
     CASE WHEN lang <> 'fr' THEN CAST(n_chars AS INTEGER) END AS duration_seconds, md5(text) AS guid FROM documents WHERE doc_id % 50 <> 37"""
 
@@ -186,7 +196,8 @@ def feed_items(t):
 
 
 @query("s3_feed_headers", """SELECT doc_id AS payload_no, CASE WHEN doc_id % 50 = 37 THEN 'Unknown' WHEN doc_id % 50 = 17 AND lang <> 'fr'
-        THEN 'Feed R&D &nbsp; ' || source ELSE 'Feed ' || source END AS title,
+        THEN 'Feed R&D ' || chr(160) || ' ' || source WHEN doc_id % 50 = 13 AND lang <> 'fr'
+        THEN 'Feed Café' || chr(160) || '— Compañy ' || source ELSE 'Feed ' || source END AS title,
     CASE WHEN doc_id % 50 = 37 THEN '' ELSE 'https://example.com/' || source END AS link,
     CASE WHEN doc_id % 50 = 37 OR lang = 'fr' THEN '' ELSE lang END AS language, doc_id % 50 <> 37 AS has_items,
     doc_id % 50 IN (7, 37) OR (doc_id % 50 IN (17, 27) AND lang <> 'fr') AS malformed FROM documents""")
@@ -469,36 +480,29 @@ def process_outcomes(t):
 # --- files --------------------------------------------------------------------------------------------------------------------
 
 
-SELECTION = 25
-
-
-def item_files(t: Tables) -> str:
-    """The raw transcripts of all items as files ``{id}_raw.txt``."""
+def item_packs(t: Tables) -> str:
+    """The raw transcripts of all items as packed files ``{id}_raw.txt``."""
     folder = fresh_dir(t.spark, "texts")
     rows = documents.transcript_rows(t.transcripts).filter("kind = 'raw'").select("episode_id", "file_name", "text")
-    documents.write_item_files(spread(rows, "episode_id", t.partitions), folder)
+    write_packs(spread(rows, "episode_id", t.partitions), folder, "file_name", "text")
     return folder
 
 
-def scanned_texts(t: Tables) -> DataFrame:
-    """The texts of all files, without the line end that the sink puts behind them."""
-    return files.read_transcript_files(t.spark, f"{item_files(t)}/*").withColumn("text", F.regexp_replace("text", r"\n\z", ""))
-
-
-def scanned_sizes(t: Tables) -> DataFrame:
-    found = files.media_inventory(t.spark, item_files(t))
+def packed_sizes(t: Tables) -> DataFrame:
+    found = packs.packed_inventory(t.spark, item_packs(t))
     return found.select(F.regexp_extract("file_name", r"^([0-9]+)_raw\.txt$", 1).try_cast("bigint").alias("episode_id"), F.col("length").alias("size"))
 
 
 @query("s4_all_transcript_files", "SELECT doc_id AS episode_id, 'raw' AS kind, text FROM documents")
 def all_transcript_files(t):
-    return scanned_texts(t)
+    return packs.read_transcript_packs(t.spark, item_packs(t))
 
 
-@query("s4_transcript_files", f"SELECT doc_id AS episode_id, 'raw' AS kind, text FROM documents ORDER BY doc_id LIMIT {SELECTION}")
+@query("s4_transcript_files", "SELECT doc_id AS episode_id, 'raw' AS kind, CAST(length(text) AS INTEGER) AS n_chars, md5(text) AS digest FROM documents")
 def transcript_files(t):
-    """All files are scanned; the SQL asks for the first items of the result."""
-    return scanned_texts(t).orderBy("episode_id").limit(SELECTION)
+    """What the packed files hold, without their texts."""
+    text = F.col("text")
+    return packs.read_transcript_packs(t.spark, item_packs(t)).select("episode_id", "kind", F.length(text).alias("n_chars"), F.md5(F.encode(text, "UTF-8")).alias("digest"))
 
 
 @query("s4_stored_transcripts", sql("SELECT episode_id, 'raw' AS kind, episode_id || '_raw.txt' AS file_name, raw_text AS text FROM transcripts", "transcripts"))
@@ -509,14 +513,17 @@ def stored_transcripts(t):
     return t.spark.read.parquet(folder).filter("kind = 'raw'").select("episode_id", "kind", "file_name", "text")
 
 
-@query("s5_all_file_inventory", "SELECT doc_id AS episode_id, CAST(strlen(text) + 1 AS BIGINT) AS size FROM documents")
+@query("s5_all_file_inventory", "SELECT doc_id AS episode_id, CAST(strlen(text) AS BIGINT) AS size FROM documents")
 def all_file_inventory(t):
-    return scanned_sizes(t)
+    return packed_sizes(t)
 
 
-@query("s5_file_inventory", f"SELECT doc_id AS episode_id, CAST(strlen(text) + 1 AS BIGINT) AS size FROM documents ORDER BY doc_id LIMIT {SELECTION}")
+@query("s5_file_inventory", "SELECT count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS size, CAST(sum(strlen(text)) AS BIGINT) AS packed FROM documents")
 def file_inventory(t):
-    return scanned_sizes(t).orderBy("episode_id").limit(SELECTION)
+    """Number and size of the files, and how far the packs reach: contents lie one behind another, without gaps."""
+    per_pack = packs.packed_inventory(t.spark, item_packs(t)).groupBy("path").agg(
+        F.count("*").alias("n"), F.sum("length").alias("size"), F.max(F.col("offset") + F.col("length")).alias("packed"))
+    return per_pack.agg(*[F.sum(c).alias(c) for c in ("n", "size", "packed")])
 
 
 @query("s5_located_media", sql("""SELECT id AS episode_id, CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'm/' || id || '.mp3' WHEN 2 THEN 'm/' || id || '.m4a'

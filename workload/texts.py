@@ -13,7 +13,7 @@ from feedlake.functions.basic import strip
 from feedlake.operators import mentions
 from feedlake.operators.inference import apply_model
 from feedlake.plans.jobs import clean_texts
-from feedlake.storage import fresh_dir
+from feedlake.storage import fresh_dir, spread
 from feedlake.schemas import SUMMARY_ARRAYS
 from feedlake.sinks import documents
 
@@ -58,6 +58,9 @@ WRITTEN = [
     ("", "d MMM yyyy", " 10:00:00.5 GMT", "10 HOUR"), ("tue, ", "dd MMM yyyy", " 10:00:00 GMT+0200", "8 HOUR"), ("", "d'th' MMMM yyyy", "", "0 HOUR"),
     ("", "yyyyMMdd", "T090500Z", "545 MINUTE"), ("", "yyyy-MM-dd", " 09:05:00 EST", "845 MINUTE"), ("", "dd MMM yyyy", " 09:05:00 -0500 (EST)", "845 MINUTE"),
     ("", "yyyy/MM/dd", " 9:05 am CET", "485 MINUTE"), ("", "yyyy-MM-dd", "T23:59:59+00:00", "86399 SECOND"), ("Friday, ", "MMM dd, yyyy", " 12:15 AM XYZ", "15 MINUTE"),
+    ("Tue,", "dd MMM yyyy", " 10:00:00 GMT", "10 HOUR"), ("", "yyyy-M-d", "", "0 HOUR"), ("", "M/d/yy", "", "0 HOUR"), ("Tue ", "MMM d '10:00:00 UTC' yyyy", "", "10 HOUR"),
+    ("", "M.d.yyyy", "", "0 HOUR"), ("10:00 GMT ", "MMMM d, yyyy", "", "10 HOUR"), ("", "dd/MMM/yyyy", ":10:00:00 +0530", "270 MINUTE"), ("", "d-MMM-yy", " at 3pm", "15 HOUR"),
+    ("Sunny day ", "d MMM yyyy", "", None),
 ]
 SLASHED = "CASE WHEN day(o_orderdate) > 12 THEN o_orderdate ELSE CAST(make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate)) AS TIMESTAMP) END"
 
@@ -70,7 +73,8 @@ def published_date(t):
     for i, (front, pattern, back, _) in enumerate(WRITTEN):
         text = text.when(F.col("o_orderkey") % (len(WRITTEN) + 1) == i, F.concat(F.lit(front), F.date_format("o_orderdate", pattern), F.lit(back)))
     text = text.otherwise(F.date_format("o_orderdate", "dd/MM/yyyy"))
-    return t.given("orders").select(F.col("o_orderkey").alias("id"), ff.published_date(text).alias("published_date"))
+    orders = spread(t.given("orders").select("o_orderkey", "o_orderdate"), "o_orderkey", t.partitions)
+    return orders.select(F.col("o_orderkey").alias("id"), ff.published_date(text).alias("published_date"))
 
 
 @query("x3_duration", """SELECT o_orderkey AS id, CAST(CASE o_orderpriority WHEN '1-URGENT' THEN o_custkey WHEN '2-HIGH' THEN o_custkey * 60 + 75
