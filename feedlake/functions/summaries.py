@@ -38,21 +38,59 @@ def unfence(reply: str | Column) -> Column:
     return let(strip(reply), inner)
 
 
+def _whole_json(text: Column) -> Column:
+    """The text as one JSON value; NULL if it is none, has a key twice, or if anything stands behind the value.
+
+    The parser stops behind the first value, so the text is put into an object whose last member is only there if the value took all of it.
+    """
+    framed = F.concat(F.lit('{"value":'), text, F.lit(',"whole":true}'))
+    return let(F.try_parse_json(framed), lambda v: F.when(F.try_variant_get(v, "$.whole", "boolean"), F.try_variant_get(v, "$.value", "variant")))
+
+
+def _array_of(name: str, elements: Column) -> Column:
+    """Elements, each a variant, as the summary field ``name`` has them, one by one.
+
+    A value of another type than text is its JSON text. An element that should have fields and is none of an object's keeps its text in the
+    first field, so that nothing of the array is lost; a null stays null.
+    """
+    type_ = SUMMARY_ARRAYS[name]
+    text = lambda v, path="$": F.try_variant_get(v, path, "string")
+    if "STRUCT" not in type_:
+        return F.transform(elements, lambda v: text(v))
+    fields = [f.split(":")[0].strip() for f in type_.removeprefix("ARRAY<STRUCT<").rstrip(">").split(",")]
+
+    def element(v: Column) -> Column:
+        def kept(named: Column) -> Column:
+            bare = F.struct(text(v).alias(fields[0]), *[F.lit(None).cast("string").alias(f) for f in fields[1:]])
+            # The cast to a map holds for objects only.
+            is_object = F.try_variant_get(v, "$", "map<string, variant>").isNotNull()
+            known = F.exists(F.array(*[named[f].isNotNull() for f in fields]), lambda p: p)
+            return F.when(known | is_object, named).when(text(v).isNotNull(), bare)
+
+        return let(F.struct(*[text(v, f"$.{f}").alias(f) for f in fields]), kept)
+
+    return F.transform(elements, element).cast(type_)
+
+
 def decode(reply: str | Column) -> Column:
-    """Model reply to summary struct; NULL when it is not a JSON object with any of the fields."""
+    """Model reply to summary struct; NULL when it is not one whole JSON object with any of the fields, as with text behind the object."""
+
+    def known(v: Column) -> Column:
+        texts = [F.try_variant_get(v, f"$.{name}", "string").alias(name) for name in ("host_and_guest", "comprehensive_summary")]
+        arrays = [_array_of(name, F.try_variant_get(v, f"$.{name}", "array<variant>")).alias(name) for name in SUMMARY_ARRAYS]
+        return F.struct(*texts, *arrays).cast(SUMMARY)
 
-    def known(summary: Column) -> Column:
-        fields = [summary[name] for name in ("host_and_guest", "comprehensive_summary", *SUMMARY_ARRAYS)]
-        present = [f.isNotNull() for f in fields]
+    def filled(summary: Column) -> Column:
+        present = [summary[name].isNotNull() for name in ("host_and_guest", "comprehensive_summary", *SUMMARY_ARRAYS)]
         return F.when(F.exists(F.array(*present), lambda p: p), summary)
 
-    return let(F.from_json(unfence(reply), SUMMARY), known)
+    return let(let(_whole_json(unfence(reply)), known), filled)
 
 
 def decode_array(name: str, text: str | Column) -> Column:
-    """Stored JSON array of the summary field ``name``; NULL or empty text is an empty array."""
-    type_ = SUMMARY_ARRAYS[name]
-    return F.coalesce(F.from_json(non_empty(text), type_), F.array().cast(type_))
+    """Stored JSON array of the summary field ``name``, element by element; NULL, empty or unreadable text is an empty array."""
+    elements = F.try_variant_get(_whole_json(non_empty(text)), "$", "array<variant>")
+    return F.coalesce(_array_of(name, elements), F.array().cast(SUMMARY_ARRAYS[name]))
 
 
 def encode_array(array: str | Column) -> Column:

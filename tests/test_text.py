@@ -339,3 +339,19 @@ def test_processing(spark):
                     ("transcribe", "success", "Transcribed 5 characters"), ("clean", "started", None), ("clean", "success", "Cleaned 5 characters"),
                     ("summarize", "started", None), ("summarize", "error", "Summarization failed")]
     assert done.logs.filter("episode_id = 8").count() == 2
+
+
+def test_replies_are_read_strictly_and_element_by_element(spark):
+    """One whole JSON object or nothing; an odd element costs no other."""
+    good = {'{"host_and_guest":"h"}': "h", ' \n{"host_and_guest":"h"} \n ': "h", '{"host_and_guest":{"a":1}}': '{"a":1}', '{"host_and_guest":7}': "7"}
+    bad = ['{"host_and_guest":"h"} trailing', '{"host_and_guest":"h"}{}', '{"host_and_guest":"h"},"whole":true} x', '{"host_and_guest":"h"', '["host_and_guest"]', '"x"', "{}", '{"a":1}',
+           '{"host_and_guest":null}', "", None]
+    df = spark.createDataFrame([(x,) for x in [*good, *bad]], "d string")
+    found = {r.d: r.s and r.s.host_and_guest for r in df.select("d", fs.decode("d").alias("s")).collect()}
+    assert {k: found[k] for k in good} == good and not any(found[k] for k in bad if k != bad[2])
+    arrays = {'[{"name":"A","x":1},"B",null,3,{"x":1},["q"]]': ["A", "B", None, "3", None, '["q"]'], "[]": [], "x": [], '{"name":"A"}': [], None: [], "": [], "[1] 2": []}
+    df = spark.createDataFrame([(x,) for x in arrays], "d string")
+    found = {r.d: [e and e.name for e in r.a] for r in df.select("d", fs.decode_array("company_mentions", "d").alias("a")).collect()}
+    assert found == arrays
+    df = spark.createDataFrame([('["a",1,null,{"b":2},[3]]',)], "d string")
+    assert df.select(fs.decode_array("noteworthy_observations", "d")).first()[0] == ["a", "1", None, '{"b":2}', "[3]"]

@@ -283,24 +283,30 @@ def unfence(t):
 
 
 @query("x18_decode", """SELECT doc_id AS episode_id, source AS host_and_guest, text AS comprehensive_summary,
-    '4 ' || text AS last_quote, CAST(6 AS BIGINT) AS n_topics, 'said in ' || lang AS last_observation FROM documents WHERE doc_id % 20 <> 3""")
+    '4 ' || text AS last_quote, CAST(CASE WHEN doc_id % 20 = 11 THEN 8 ELSE 6 END AS BIGINT) AS n_topics,
+    CASE WHEN doc_id % 20 = 11 THEN 'loose' ELSE lang || '1' END AS first_topic, 'said in ' || lang AS last_observation FROM documents WHERE doc_id % 20 NOT IN (3, 7)""")
 def decode(t):
+    """Fenced replies; some cut off, some with text behind the object, some with elements that are no objects."""
     made = t.summary_structs.select("episode_id", "summary.host_and_guest", fs.document("summary").alias("json"))
     fenced = F.concat(F.lit("```json\n"), "json", F.lit("\n```"))
-    reply = F.when(F.col("episode_id") % 20 == 3, F.substring("json", 1, 40)).otherwise(fenced)
+    loose = F.regexp_replace("json", '("key_topics"\\s*:\\s*\\[)', '$1 "loose", 7,')
+    case = F.col("episode_id") % 20
+    reply = F.when(case == 3, F.substring("json", 1, 40)).when(case == 7, F.concat("json", F.lit("\nThat is all."))).when(case == 11, loose).otherwise(fenced)
     decoded = made.select("episode_id", fs.decode(reply).alias("s")).filter("s IS NOT NULL")
     return decoded.select(
         "episode_id", "s.host_and_guest", "s.comprehensive_summary",
         F.element_at("s.actionable_quotes", -1)["quote"].alias("last_quote"), F.size("s.key_topics").cast("bigint").alias("n_topics"),
+        F.get("s.key_topics", F.lit(0))["topic"].alias("first_topic"),
         F.element_at("s.noteworthy_observations", -1).alias("last_observation"))
 
 
 @query("x18_stored_arrays", """SELECT doc_id AS episode_id, CAST(CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 0 ELSE 2 END AS BIGINT) AS n
-    FROM documents""")
+, source AS odd FROM documents""")
 def stored_arrays(t):
     text = F.expr("""CASE lang WHEN 'en' THEN '' WHEN 'fr' THEN NULL ELSE concat('["', source, '", "x"]') END""")
     array = fs.decode_array("noteworthy_observations", text)
-    return t.given("documents").select(F.col("doc_id").alias("episode_id"), F.size(array).cast("bigint").alias("n"))
+    mixed = fs.decode_array("company_mentions", F.concat(F.lit('[{"name": "A", "details": "d"}, null, "'), "source", F.lit('"]')))
+    return t.given("documents").select(F.col("doc_id").alias("episode_id"), F.size(array).cast("bigint").alias("n"), F.element_at(mixed, -1)["name"].alias("odd"))
 
 
 @query("x19_encode", """SELECT doc_id AS episode_id, '["seen in ' || source || '","said in ' || lang || '"]' AS noteworthy_observations,
