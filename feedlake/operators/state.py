@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.basic import non_empty, utc
 from ..schemas import COMPLETED, NOT_NULL, PENDING, TABLES
+from ..sinks.keyed import KeyedTable
 from .ordering import with_position
 
 STATUS_PATHS = ("audio_path", "raw_transcript_path", "cleaned_transcript_path", "summary_path")
@@ -130,12 +131,13 @@ def insert_items(
     as_of: str | datetime,
     order: tuple[str, ...] = ("feed_id", "pos"),
     ids: str = "sequence",
+    after: int | None = None,
 ) -> DataFrame:
     """Rows to add to ``episodes``: the first item of each guid that is not stored yet.
 
     ``items`` has the episode columns without id, plus the columns of ``order``, which must be unique. Rows that miss a required value
     or whose feed is unknown are dropped; without ``feeds``, all feeds count as known. A NULL guid never collides. ``ids`` is
-    ``sequence`` or ``hash``. Repeats are dropped before the join, and both use one shuffle by guid.
+    ``sequence`` (above ``after``, else above the largest of ``episodes``) or ``hash``. Repeats are dropped before the join, and both use one shuffle by guid.
     """
     complete = items
     for column in NOT_NULL["episodes"]:
@@ -145,7 +147,7 @@ def insert_items(
     stored = episodes.filter("guid IS NOT NULL").select(F.concat(F.lit("k"), "guid").alias("_key"))
     fresh = _first_rows(complete, "guid", order).join(stored, "_key", "left_anti").drop("_key")
     numbered = (
-        with_new_ids(fresh, last_id(episodes), *order)
+        with_new_ids(fresh, last_id(episodes) if after is None else after, *order)
         if ids == "sequence"
         else fresh.withColumn("id", hash_id("guid", *order))
     )
@@ -174,33 +176,45 @@ def _last(value: Column, present: Column) -> Column:
     return F.max_by(value, F.when(present, F.struct("at", "seq")))
 
 
-def update_status(status: DataFrame, updates: DataFrame) -> DataFrame:
-    """Apply a batch ``(episode_id, status, error_message, *paths, at, seq)`` in the order of ``at, seq``.
+def status_changes(updates: DataFrame) -> DataFrame:
+    """A batch ``(episode_id, status, error_message, *paths, at, seq)`` as one row per item; a field that does not change is NULL.
 
-    Status and updated_at always change; completed_at only with status 'completed'; an error text only when it is not empty, so an old
-    one stays after a later success; a path only when it is not NULL. Unknown items are ignored.
+    In the order of ``at, seq``: status and updated_at always change; completed_at only with status 'completed'; an error text only when it is
+    not empty, so an old one stays after a later success; a path only when it is not NULL.
     """
     done = F.col("status") == COMPLETED
     error = non_empty("error_message")
-    changes = updates.groupBy("episode_id").agg(
-        F.max_by("status", F.struct("at", "seq")).alias("n_status"),
-        F.max_by("at", F.struct("at", "seq")).alias("n_updated_at"),
-        _last(F.col("at"), done).alias("n_completed_at"),
-        _last(error, error.isNotNull()).alias("n_error_message"),
-        *[_last(F.col(p), F.col(p).isNotNull()).alias(f"n_{p}") for p in STATUS_PATHS],
+    return updates.groupBy("episode_id").agg(
+        F.max_by("status", F.struct("at", "seq")).alias("status"),
+        F.max_by("at", F.struct("at", "seq")).alias("updated_at"),
+        _last(F.col("at"), done).alias("completed_at"),
+        _last(error, error.isNotNull()).alias("error_message"),
+        *[_last(F.col(p), F.col(p).isNotNull()).alias(p) for p in STATUS_PATHS],
     )
+
+
+def update_status(status: DataFrame, updates: DataFrame) -> DataFrame:
+    """Apply a batch of ``status_changes``. Unknown items are ignored."""
+    changes = status_changes(updates)
+    changes = changes.select("episode_id", *[F.col(c).alias(f"n_{c}") for c in changes.columns if c != "episode_id"])
     merged = {c: F.coalesce(f"n_{c}", c).alias(c) for c in
               ("status", *STATUS_PATHS, "error_message", "completed_at", "updated_at")}
     return status.join(changes, "episode_id", "left").select(*[merged.get(c, F.col(c)) for c in status.columns])
 
 
+def transcript_changes(saves: DataFrame) -> DataFrame:
+    """A batch ``(episode_id, *fields, at, seq)`` as one row per item: the last value of each field that is not NULL, the first and the last time."""
+    return saves.groupBy("episode_id").agg(
+        *[_last(F.col(f), F.col(f).isNotNull()).alias(f) for f in TRANSCRIPT_FIELDS],
+        F.min(F.struct("at", "seq")).alias("first"),
+        F.max("at").alias("updated_at"),
+    )
+
+
 def save_transcripts(transcripts: DataFrame, saves: DataFrame) -> DataFrame:
     """Apply a batch ``(episode_id, *fields, at, seq)``: insert, or overwrite the fields that are not NULL ('' does overwrite)."""
-    changes = saves.groupBy("episode_id").agg(
-        *[_last(F.col(f), F.col(f).isNotNull()).alias(f"n_{f}") for f in TRANSCRIPT_FIELDS],
-        F.min(F.struct("at", "seq")).alias("n_first"),
-        F.max("at").alias("n_last_at"),
-    )
+    found = transcript_changes(saves)
+    changes = found.select("episode_id", *[F.col(f).alias(f"n_{f}") for f in TRANSCRIPT_FIELDS], F.col("first").alias("n_first"), F.col("updated_at").alias("n_last_at"))
     unseen = changes.join(transcripts.select("episode_id"), "episode_id", "left_anti").select(
         "episode_id", F.col("n_first.at").alias("at"), F.col("n_first.seq").alias("seq")
     )
@@ -233,3 +247,30 @@ def latest_summaries(summaries: DataFrame) -> DataFrame:
 
 def latest_transcripts(transcripts: DataFrame) -> DataFrame:
     return latest_per_key(transcripts, "episode_id", "updated_at", "id")
+
+
+def take_status(table: KeyedTable, updates: DataFrame, order: int) -> None:
+    """``update_status`` for a table that is merged on read: only the batch is written."""
+    table.apply(status_changes(updates), order)
+
+
+def take_transcripts(table: KeyedTable, saves: DataFrame, order: int) -> None:
+    """``save_transcripts`` for a table that is merged on read: no stored text is read or moved."""
+
+    def added(unseen: DataFrame) -> DataFrame:
+        known = table.read().select("id")
+        return with_new_ids(unseen, last_id(known), "first.at", "first.seq", "episode_id").withColumn("created_at", F.col("first.at"))
+
+    table.apply(transcript_changes(saves), order, added)
+
+
+def take_feeds(table: KeyedTable, batch: DataFrame, order: int, as_of: str | datetime) -> None:
+    """``upsert_feeds`` for a table that is merged on read: a batch ``(pos, name, url, enabled)`` overwrites name and enabled or adds feeds."""
+    named = batch.select("pos", F.coalesce("name", F.lit("")).alias("name"), non_empty("url").alias("url"), "enabled").filter("url IS NOT NULL")
+    changes = named.groupBy("url").agg(
+        F.min("pos").alias("first_pos"), F.max_by("name", "pos").alias("name"), F.max_by("enabled", "pos").alias("enabled"))
+
+    def added(unseen: DataFrame) -> DataFrame:
+        return with_new_ids(unseen, last_id(table.read().select("id")), "first_pos").withColumn("created_at", utc(as_of))
+
+    table.apply(changes, order, added)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,6 +13,7 @@ from ..functions.basic import utc_instant, utc_wall_clock
 from ..operators import state
 from ..plans.jobs import incoming_items
 from ..schemas import COMPLETED, TABLES
+from ..sinks.keyed import ROWS_PER_BUCKET, KeyedTable
 from ..storage import materialize
 
 
@@ -38,46 +38,37 @@ def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     return run_batches(stream, write, checkpoint, mode)
 
 
-BUCKETS = 16
+def episode_table(spark: SparkSession, path: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> KeyedTable:
+    """The episodes that the sync stream keeps, by guid."""
+    return KeyedTable(spark, path, f"{TABLES['episodes']}, batch_id BIGINT", "guid", rows_per_bucket)
 
 
-def guid_bucket(guid: str = "guid") -> Column:
-    """The folder of an episode: a batch is compared only with the folders that its own guids fall into."""
-    return F.pmod(F.xxhash64(guid), F.lit(BUCKETS)).cast("int")
-
-
-def stored_episodes(spark: SparkSession, path: str, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
-    """Episodes written by the sync stream, optionally only by batches before ``before`` and in the given buckets, whose folders alone are read."""
-    schema = f"{TABLES['episodes']}, batch_id BIGINT, bucket INT"
-    try:
-        rows = spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        # nothing written yet
-        rows = spark.createDataFrame([], schema)
-    if before is not None:
-        rows = rows.filter(F.col("batch_id") < before)
-    return (rows if buckets is None else rows.filter(F.col("bucket").isin(buckets))).drop("bucket")
+def stored_episodes(spark: SparkSession, path: str) -> DataFrame:
+    """Episodes written by the sync stream, with the batch that brought them."""
+    return episode_table(spark, path).read()
 
 
 def sync_stream(
     fetched: DataFrame, feeds: DataFrame, path: str, checkpoint: str, as_of: str | datetime, max_age_days: int | None = None,
-    ids: str = "hash",
+    ids: str = "hash", rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> StreamingQuery:
     """Take up new items from a stream of payloads ``(payload_no, url, xml)``.
 
-    Every batch is compared with all that is stored of its guids' buckets, so a guid is never forgotten. ``as_of`` fixes the age rule of
-    the run. Ids are hashes by default: consecutive ones need the largest stored id in every batch.
+    Every batch is compared with all that is stored, so a guid is never forgotten; of the stored files those are read whose Bloom filter does
+    not exclude all of the batch's guids. ``as_of`` fixes the age rule of the run. Ids are hashes by default: consecutive ones need
+    the largest stored id in every batch.
     """
     order = ("feed_id", "payload_no", "pos")
 
     def take_up(batch: DataFrame, batch_id: int) -> None:
+        table = episode_table(batch.sparkSession, path, rows_per_bucket)
+        if table.has(batch_id + 1):
+            return
         items = materialize(incoming_items(batch, feeds, as_of, max_age_days))
-        touched = [r[0] for r in items.select(guid_bucket()).distinct().collect()] if ids == "hash" else None  # at most BUCKETS numbers
-        stored = stored_episodes(batch.sparkSession, path, batch_id, touched).drop("batch_id")
-        inserted = state.insert_items(stored, items, None, as_of, order, ids).withColumn("bucket", guid_bucket())
-        inserted.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(_batch_path(path, batch_id))
+        after = state.last_id(table.read().select("id")) if ids == "sequence" else None
+        inserted = state.insert_items(table.known(items), items, None, as_of, order, ids, after)
+        table.add(inserted.withColumn("batch_id", F.lit(batch_id).cast("long")), batch_id + 1)
+        table.compact()
 
     return run_batches(fetched, take_up, checkpoint)
 

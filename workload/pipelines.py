@@ -580,6 +580,20 @@ def sync_batches(t):
     return streams.stored_episodes(t.spark, f"{out}/episodes").select("guid")
 
 
+@query("st1_growing_history", sql(f"SELECT guid, true AS grew FROM ({SYNCED.replace(' AND guid NOT IN (SELECT guid FROM known)', '')})", "feeds", "known"))
+def growing_history(t):
+    """Many small batches: the history's buckets double as it grows, and each guid is stored once."""
+    folder, out = fresh_dir(t.spark, "fetched"), fresh_dir(t.spark, "sync")
+    payload_rows = fetched(t)
+    spread(payload_rows, "payload_no", 8).write.parquet(folder)
+    per_bucket = 1 + t.given("documents").count() // 1000
+    arriving = t.spark.readStream.schema("payload_no BIGINT, url STRING, xml STRING").option("maxFilesPerTrigger", 1).parquet(folder)
+    streams.sync_stream(arriving, t.feeds, f"{out}/episodes", f"{out}/checkpoint", SYNC_AS_OF, SYNC_AGE, rows_per_bucket=per_bucket).awaitTermination()
+    history = streams.episode_table(t.spark, f"{out}/episodes", per_bucket)
+    buckets = {v.name: v.buckets for v in history.versions(live=False)}
+    return history.read().select("guid", F.lit(max(buckets.values()) >= 2 * buckets["v1"]).alias("grew"))
+
+
 @query("st2_without_repeats", "SELECT DISTINCT md5(text) AS guid FROM documents")
 def without_repeats(t):
     out = fresh_dir(t.spark, "distinct")

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from feedlake.functions import summaries as fs
 from feedlake.operators import aggregates as agg
 from feedlake.operators import state
+from feedlake.schemas import TABLES
+from feedlake.sinks.keyed import KeyedTable
+from feedlake.storage import fresh_dir
 
-from .registry import query
+from .registry import SQL, query
 from .views import AS_OF, Tables, sql
 
 NOW = f"TIMESTAMP '{AS_OF}'"
@@ -147,14 +150,18 @@ SAVES = """SELECT user_id * 10 AS episode_id, CASE event_type WHEN 'view' THEN p
         coalesce(c.last_at, o.updated_at) AS updated_at, {", ".join(f"coalesce(c.{f}, o.{f}) AS {f}" for f in state.TRANSCRIPT_FIELDS)}
     FROM transcripts o FULL JOIN changes c USING (episode_id) LEFT JOIN added a USING (episode_id)""", "transcripts"))
 def save_transcripts(t):
+    return state.save_transcripts(t.transcripts, saved_texts(t))
+
+
+def saved_texts(t: Tables) -> DataFrame:
+    """Texts to save, many per item, out of the events."""
     def when(**values: str) -> str:
         return "CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + " END"
 
-    saves = t.given("events").selectExpr(
+    return t.given("events").selectExpr(
         "user_id * 10 AS episode_id", when(view="props", error="''") + " AS raw_text", when(click="props", signup="''") + " AS cleaned_text",
         when(view="event_type") + " AS transcription_model", when(click="event_type") + " AS cleaning_model",
         "ts AS at", "event_id AS seq")
-    return state.save_transcripts(t.transcripts, saves)
 
 
 @query("u7_save_summaries", f"""WITH old AS (SELECT doc_id * 2 + n AS id, doc_id, CASE n WHEN 0 THEN 'old' ELSE 'new' END AS model_used,
@@ -170,3 +177,55 @@ def save_summaries(t):
     both = state.append(t.summaries, state.save_summaries(t.summaries, saved, AS_OF))
     sizes = [F.size(fs.decode_array(c, c)).cast("bigint").alias(n) for c, n in (("key_topics", "topics"), ("actionable_quotes", "quotes"), ("company_mentions", "companies"))]
     return both.select("id", "episode_id", "model_used", "created_at", "host_and_guest", "comprehensive_summary", "noteworthy_observations", "investment_theses", *sizes)
+
+
+# --- tables that are merged on read -------------------------------------------------------------------------------------------
+
+
+def in_three(rows: DataFrame, order: str) -> list[DataFrame]:
+    """The rows as three batches, one after another by a column."""
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    bounds = [low + (high - low) * i / 3 for i in (1, 2)] if not isinstance(low, int) else [low + (high - low) * i // 3 for i in (1, 2)]
+    first, last = F.col(order) < F.lit(bounds[0]), F.col(order) >= F.lit(bounds[1])
+    return [rows.filter(first), rows.filter(~first & ~last), rows.filter(last)]
+
+
+def keyed(t: Tables, name: str, key: str, rows: DataFrame) -> KeyedTable:
+    table = KeyedTable(t.spark, fresh_dir(t.spark, name), TABLES[name], key)
+    table.create(rows)
+    return table
+
+
+@query("u1_feed_batches", sql(_with_batch("SELECT * FROM feed_batch", UPSERT), "feeds", "feed_batch"))
+def feed_batches(t):
+    table = keyed(t, "feeds", "url", t.feeds)
+    for order, batch in enumerate(in_three(t.feed_batch, "pos"), 1):
+        state.take_feeds(table, batch, order, AS_OF)
+    return table.read().select("id", "name", "url", "enabled", "last_checked", "created_at")
+
+
+@query("u5_status_batches", SQL["u5_update_status"])
+def status_batches(t):
+    table = keyed(t, "processing_status", "episode_id", t.status)
+    for order, batch in enumerate(in_three(t.updates, "at"), 1):
+        state.take_status(table, batch, order)
+    return table.read()
+
+
+@query("u6_transcript_batches", SQL["u6_save_transcripts"])
+def transcript_batches(t):
+    table = keyed(t, "transcripts", "episode_id", t.transcripts)
+    for order, batch in enumerate(in_three(saved_texts(t), "at"), 1):
+        state.take_transcripts(table, batch, order)
+    return table.read()
+
+
+@query("u6_compacted", SQL["u6_save_transcripts"])
+def compacted(t):
+    """The same batches, each followed by a compaction; the last one joins all versions, and the replaced files are deleted."""
+    table = keyed(t, "transcripts", "episode_id", t.transcripts)
+    for order, batch in enumerate(in_three(saved_texts(t), "at"), 1):
+        state.take_transcripts(table, batch, order)
+        table.compact()
+    table.vacuum()
+    return table.read()
