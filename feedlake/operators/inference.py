@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sinks.keyed import KeyedTable
+from ..storage import materialize
+
 Model = Callable[[str], str]
 BatchModel = Callable[[list[str]], list[str | None]]
 
@@ -26,6 +33,9 @@ def apply_model(
     error: str = "error",
     partitions: int | None = None,
     batch_size: int | None = None,
+    attempts: int = 1,
+    wait: float = 1.0,
+    workers: int = 1,
     **options,
 ) -> DataFrame:
     """Replace the column ``text`` by the model's ``reply`` and an ``error`` text.
@@ -34,6 +44,8 @@ def apply_model(
     model with ``temperature`` and ``max_tokens``; if it fails, the task fails, since no row could be answered. With ``batch_size`` the
     function takes a list of at most so many prompts, which it may send at once, and returns a list of as many replies. A row that
     fails, or whose reply is no string, gets a NULL reply and its error; the job goes on. So does each row of a batch that fails.
+    A call that fails is tried ``attempts`` times in all, ``wait`` seconds after the first failure and twice as long after each further
+    one. With ``workers`` above 1 a task has so many calls under way at once; the model must allow that.
     ``partitions`` spreads the rows and so sets how many tasks call the model at a time. Write the result before using it twice: a
     second action would call the model again.
     """
@@ -43,25 +55,60 @@ def apply_model(
     rows = df.repartition(partitions) if partitions else df
 
     def ask(model, prompts: list[str]) -> list[tuple[str | None, str | None]]:
-        try:
-            answers = list(model(prompts)) if batch_size else [model(prompts[0])]
-            if len(answers) != len(prompts):
-                raise ValueError(f"{len(answers)} replies to {len(prompts)} prompts")
-        except Exception as e:  # bad rows must not end the job
-            return [(None, f"{type(e).__name__}: {e}")] * len(prompts)
-        return [_text_or_error(a) for a in answers]
+        for attempt in range(attempts):
+            if attempt:
+                time.sleep(wait * 2 ** (attempt - 1))
+            try:
+                answers = list(model(prompts)) if batch_size else [model(prompts[0])]
+                if len(answers) != len(prompts):
+                    raise ValueError(f"{len(answers)} replies to {len(prompts)} prompts")
+                return [_text_or_error(a) for a in answers]
+            except Exception as e:  # bad rows must not end the job
+                failure = f"{type(e).__name__}: {e}"
+        return [(None, failure)] * len(prompts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = None
+        model, pool = None, ThreadPoolExecutor(workers) if workers > 1 else None
         for batch in batches:
             found: list[tuple[str | None, str | None]] = [(None, None)] * len(batch)
             asked = [(i, value) for i, value in enumerate(batch[text]) if value is not None]
             if asked and model is None:
                 model = make_model(**options)
-            for lo in range(0, len(asked), batch_size or 1):
-                some = asked[lo : lo + (batch_size or 1)]
-                for (i, _), answer in zip(some, ask(model, [value for _, value in some])):
+            groups = [asked[lo : lo + (batch_size or 1)] for lo in range(0, len(asked), batch_size or 1)]
+            call = lambda some: ask(model, [value for _, value in some])
+            for some, answers in zip(groups, (pool.map if pool else map)(call, groups)):
+                for (i, _), answer in zip(some, answers):
                     found[i] = answer
             yield batch[names].assign(**{reply: [a for a, _ in found], error: [e for _, e in found]})
 
     return rows.mapInPandas(run, schema)
+
+
+def reply_store(spark: SparkSession, path: str) -> KeyedTable:
+    """Replies by the digest of prompt, model and options."""
+    return KeyedTable(spark, path, "digest STRING, reply STRING", "digest")
+
+
+def apply_stored(
+    df: DataFrame, text: str, make_model: Callable[..., Model | BatchModel], store: KeyedTable, model: str, reply: str = "reply", error: str = "error",
+    calls: dict | None = None, **options,
+) -> DataFrame:
+    """``apply_model`` that asks no question twice, in this job or a later one.
+
+    A reply is kept under the digest of its prompt, the name ``model`` and the ``options``. Prompts with a stored reply make no call, equal prompts
+    make one; what fails is not stored, so that the next run tries it again. ``calls`` are the arguments of ``apply_model`` that do not
+    change a reply: ``partitions``, ``batch_size``, ``attempts``, ``wait``, ``workers``. The replies of a run are stored as a whole when all its
+    calls are done; a large queue is better given in several runs.
+    """
+    named = F.lit(json.dumps([model, options], sort_keys=True, default=str))
+    asked = df.withColumn("_digest", F.when(F.col(text).isNotNull(), F.sha2(F.concat(named, F.lit("\n"), F.col(text)), 256)))
+    digests = asked.select(F.col("_digest").alias("digest"))
+    known = materialize(store.known(digests))
+    questions = asked.select(F.col("_digest").alias("digest"), F.col(text).alias("prompt")).filter("digest IS NOT NULL").dropDuplicates(["digest"])
+    answers = materialize(apply_model(questions.join(known, "digest", "left_anti"), "prompt", make_model, "reply", "error", **(calls or {}), **options))
+    store.add(answers.filter("reply IS NOT NULL").select("digest", "reply"), 1 + max([v.order for v in store.versions(live=False)], default=0))
+    store.compact()
+    replies = store.read(digests).select(F.col("digest").alias("_digest"), F.col("reply").alias(reply))
+    failed = answers.filter("reply IS NULL").select(F.col("digest").alias("_digest"), F.col("error").alias(error))
+    kept = [c for c in df.columns if c != text]
+    return asked.drop(text).join(replies, "_digest", "left").join(failed, "_digest", "left").select(*kept, reply, error)

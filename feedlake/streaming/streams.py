@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.basic import utc_instant, utc_wall_clock
 from ..operators import state
 from ..plans.jobs import incoming_items
-from ..schemas import COMPLETED, TABLES
+from ..schemas import COMPLETED, FAILED, IN_PROGRESS, PENDING, TABLES
 from ..sinks.keyed import ROWS_PER_BUCKET, KeyedTable
 from ..storage import materialize
 
@@ -96,6 +99,79 @@ def live_status(logs: DataFrame) -> DataFrame:
     )
 
 
+#: What a log row says about an item: the state that a stage's start leads to, and that a success of the last stage or any error leads to.
+_STARTS = {"download": "downloading", "transcribe": "transcribing", "clean": "cleaning", "summarize": "summarizing"}
+
+
+def state_of_log(stage: str | Column, status: str | Column) -> Column:
+    """The state that a log row reports; NULL if it reports none."""
+    stage, status = (F.col(c) if isinstance(c, str) else c for c in (stage, status))
+    started = F.create_map(*[F.lit(x) for pair in _STARTS.items() for x in pair])
+    return (
+        F.when(status == "error", FAILED).when((stage == "summarize") & (status == "success"), COMPLETED)
+        .when(status == "started", F.try_element_at(started, stage))
+    )
+
+
+def legal_step(before: str, after: str) -> bool:
+    """Whether an item may go from one state to the other: one step on, to a failure from any state that is not final, or, after a failure, from the start."""
+    order = (PENDING, *IN_PROGRESS, COMPLETED)
+    if before == COMPLETED:
+        return False
+    if after == FAILED:
+        return before != FAILED
+    return order.index(after) == (1 if before == FAILED else order.index(before) + 1)
+
+
+def item_steps(logs: DataFrame, delay: str = "10 minutes", stale_after: str = "1 day") -> DataFrame:
+    """The state machine of every item over the log stream: ``(episode_id, id, state, kind, at)``; run it in append mode.
+
+    Rows wait in the item's state until the watermark has passed them and are then taken in the order of ``timestamp, id``, so the order in
+    which they arrive within ``delay`` does not matter. A row that reports the next state is a ``step``; any other is ``illegal`` and
+    changes nothing. If an item is in progress and no row of it follows within ``stale_after``, it is reported as ``stale`` at that time, with the id of the
+    row that it stopped at. An item's state is small: its present state and the rows of one delay.
+    """
+    columns = "episode_id BIGINT, id BIGINT, state STRING, kind STRING, at TIMESTAMP_NTZ"
+    stale_us = int(pd.Timedelta(stale_after) / pd.Timedelta(microseconds=1))
+    reported = logs.select("episode_id", "id", state_of_log("stage", "status").alias("state"), utc_instant("timestamp").alias("_time")).filter("state IS NOT NULL")
+    timed = reported.withWatermark("_time", delay).select("episode_id", "id", "state", "_time", F.unix_micros("_time").alias("micros"))
+
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        now, last_id, last, waiting = group.get if group.exists else (PENDING, -1, -1, "[]")
+        rows = [tuple(r) for r in json.loads(waiting)]
+        for batch in batches:
+            if len(batch):
+                rows += list(zip(batch["micros"].tolist(), batch["id"].tolist(), batch["state"].tolist()))
+        rows.sort()
+        passed, out = group.getCurrentWatermarkMs(), []
+
+        def stale_until(limit: int) -> None:
+            nonlocal last
+            if now in IN_PROGRESS and 0 <= last <= limit - stale_us:
+                out.append((key[0], last_id, now, "stale", last + stale_us))
+                last = -1
+
+        while rows and rows[0][0] <= passed * 1000:
+            micros, id_, to = rows.pop(0)
+            stale_until(micros - 1)
+            step = legal_step(now, to)
+            out.append((key[0], id_, to, "step" if step else "illegal", micros))
+            now, last_id, last = to if step else now, id_, micros
+        stale_until(passed * 1000)
+        group.update((now, last_id, last, json.dumps(rows)))
+        due = [rows[0][0]] if rows else []
+        due += [last + stale_us] if now in IN_PROGRESS and last >= 0 else []
+        if due:
+            # The group is called again when the watermark is above this time.
+            group.setTimeoutTimestamp(max(-(-min(due) // 1000) - 1, passed, 1))
+        yield pd.DataFrame({
+            "episode_id": [r[0] for r in out], "id": [r[1] for r in out], "state": [r[2] for r in out], "kind": [r[3] for r in out],
+            "at": pd.to_datetime([r[4] for r in out], unit="us")})
+
+    return timed.groupBy("episode_id").applyInPandasWithState(
+        advance, columns, "state STRING, last_id BIGINT, last BIGINT, waiting STRING", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def newest_batch(updates: DataFrame, key: str) -> DataFrame:
     """Current value per key from the batches that ``write_batches`` kept in update mode."""
     return state.latest_per_key(updates, key, "batch_id")

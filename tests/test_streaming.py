@@ -103,3 +103,23 @@ def test_nothing_stored_yet(spark, tmp_path):
     rows = streams.stored_episodes(spark, str(tmp_path / "none"))
     assert rows.count() == 0 and "batch_id" in rows.columns
     assert rows.filter(F.col("guid") == "x").count() == 0
+
+
+def test_item_steps_over_late_rows(spark, tmp_path):
+    """Steps in the order of time, whatever the order of arrival; illegal rows change nothing; an item that stands still is reported once."""
+    at = lambda h, m=0: datetime(2024, 1, 1 + h // 24, h % 24, m)
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    log_files(spark, folder, [
+        [(2, 1, "transcribe", "started", None, at(1, 30)), (20, 2, "download", "started", None, at(0)), (90, 9, "process", "warning", None, at(1))],
+        [(1, 1, "download", "started", None, at(1)), (3, 1, "download", "started", None, at(1, 45)), (4, 1, "clean", "error", None, at(2))],
+        [(5, 1, "download", "started", None, at(30)), (91, 9, "process", "error", None, at(31))],
+        [(92, 9, "download", "started", None, at(60))],
+    ])
+    logs = spark.readStream.schema(TABLES["processing_logs"]).option("maxFilesPerTrigger", 1).parquet(folder)
+    streams.write_batches(streams.item_steps(logs, "2 hours", "10 hours"), out, str(tmp_path / "c")).awaitTermination()
+    rows = {(r.episode_id, r.id, r.state, r.kind, r.at) for r in spark.read.parquet(out).collect()}
+    assert rows == {
+        (1, 1, "downloading", "step", at(1)), (1, 2, "transcribing", "step", at(1, 30)), (1, 3, "downloading", "illegal", at(1, 45)), (1, 4, "failed", "step", at(2)),
+        (1, 5, "downloading", "step", at(30)), (1, 5, "downloading", "stale", at(40)), (2, 20, "downloading", "step", at(0)), (2, 20, "downloading", "stale", at(10)),
+        (9, 91, "failed", "step", at(31)),
+    }

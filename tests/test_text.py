@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import pathlib
 import random
+import uuid
 from collections import Counter
 
 import pytest
@@ -13,7 +15,7 @@ from feedlake.functions import summaries as fs
 from feedlake.functions import text as ft
 from feedlake.functions.basic import WHITESPACE, strip
 from feedlake.operators.aggregates import time_coded_parts
-from feedlake.operators import mentions
+from feedlake.operators import inference, mentions
 from feedlake.operators.inference import apply_model
 from feedlake.plans import jobs
 from feedlake.schemas import SUMMARY, TABLES
@@ -355,3 +357,38 @@ def test_replies_are_read_strictly_and_element_by_element(spark):
     assert found == arrays
     df = spark.createDataFrame([('["a",1,null,{"b":2},[3]]',)], "d string")
     assert df.select(fs.decode_array("noteworthy_observations", "d")).first()[0] == ["a", "1", None, '{"b":2}', "[3]"]
+
+
+class Flaky:
+    """Fails on its first calls with a prompt, then answers; notes every call in a folder."""
+
+    def __init__(self, folder: str, failures: int):
+        self.folder, self.failures = pathlib.Path(folder), failures
+
+    def __call__(self, prompt: str) -> str:
+        (self.folder / f"{prompt}-{uuid.uuid4().hex}").touch()
+        if len(list(self.folder.glob(f"{prompt}-*"))) <= self.failures:
+            raise ConnectionError("try later")
+        return prompt.upper()
+
+
+def test_replies_are_stored_and_failed_calls_tried_again(spark, tmp_path):
+    store = inference.reply_store(spark, str(tmp_path / "store"))
+    prompts = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None)], "id int, text string").repartition(3)
+
+    def run(folder, failures, **calls):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        rows = inference.apply_stored(prompts, "text", Flaky, store, "flaky", calls=calls, folder=str(tmp_path / "calls"), failures=failures).collect()
+        return {r.id: (r.reply, r.error) for r in rows}
+
+    wrong = "ConnectionError: try later"
+    (tmp_path / "calls").mkdir()
+    assert run("x", 2) == {1: (None, wrong), 2: (None, wrong), 3: (None, wrong), 4: (None, None)}
+    assert len(list((tmp_path / "calls").iterdir())) == 2  # equal prompts are asked once
+    answered = {1: ("A", None), 2: ("B", None), 3: ("A", None), 4: (None, None)}
+    assert run("x", 2, attempts=3, wait=0.01, workers=2) == answered
+    made = len(list((tmp_path / "calls").iterdir()))
+    assert made == 6
+    assert run("x", 2) == answered and len(list((tmp_path / "calls").iterdir())) == made
+    # Other options are another question.
+    assert run("x", 99)[1] == (None, wrong)

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.functions.basic import escape_attribute, escape_xml
+from feedlake.functions.basic import escape_attribute, escape_xml, utc_instant
 from feedlake.operators import digests, state
 from feedlake.plans import jobs
 from feedlake.schemas import TABLES
@@ -614,6 +614,37 @@ def live_status(t):
     return now.select("episode_id", "stage", "status", F.col("at").alias("at_time"))
 
 
+STEPS = """WITH RECURSIVE reported AS (SELECT episode_id, id, epoch_us("timestamp") AS us, CASE WHEN status = 'error' THEN 'failed'
+        WHEN stage = 'summarize' AND status = 'success' THEN 'completed' WHEN status = 'started' THEN
+        CASE stage WHEN 'download' THEN 'downloading' WHEN 'transcribe' THEN 'transcribing' WHEN 'clean' THEN 'cleaning' WHEN 'summarize' THEN 'summarizing' END END AS state FROM logs),
+    passed AS (SELECT (max(us) // 1000 - 7200000) * 1000 AS mark FROM reported WHERE state IS NOT NULL),
+    placed AS (SELECT *, list_position(['pending', 'downloading', 'transcribing', 'cleaning', 'summarizing', 'completed', 'failed'], state) AS r,
+        row_number() OVER (PARTITION BY episode_id ORDER BY us, id) AS n FROM reported, passed WHERE state IS NOT NULL AND us <= mark),
+    run AS (SELECT episode_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST(0 AS BIGINT) AS us, '' AS state, false AS ok, 1 AS now FROM (SELECT DISTINCT episode_id FROM placed)
+        UNION ALL SELECT episode_id, n, id, us, state, ok, CASE WHEN ok THEN r ELSE was END FROM (SELECT p.*, q.now AS was, CASE WHEN q.now = 6 THEN false WHEN p.r = 7 THEN q.now <> 7
+            WHEN q.now = 7 THEN p.r = 2 ELSE p.r = q.now + 1 END AS ok FROM run q JOIN placed p ON p.episode_id = q.episode_id AND p.n = q.n + 1)),
+    followed AS (SELECT *, lead(us) OVER (PARTITION BY episode_id ORDER BY n) AS next FROM run WHERE n > 0)
+    SELECT episode_id, id, state, CASE WHEN ok THEN 'step' ELSE 'illegal' END AS kind, make_timestamp(us) AS at_time FROM run WHERE n > 0
+    UNION ALL SELECT episode_id, id, ['', 'downloading', 'transcribing', 'cleaning', 'summarizing'][now], 'stale', make_timestamp(us + 43200000000) FROM followed, passed
+    WHERE now BETWEEN 2 AND 5 AND (next > us + 43200000000 OR (next IS NULL AND us + 43200000000 <= mark))"""
+
+
+@query("st3_item_steps", sql(STEPS, "logs"))
+def item_steps(t):
+    """The log in four files, every second row up to an hour late: legal steps, illegal rows, and items that stand still."""
+    folder, out = fresh_dir(t.spark, "logs"), fresh_dir(t.spark, "steps")
+    logs = t.logs
+    micros = F.unix_micros(utc_instant("timestamp")) + (F.col("id") % 2) * 3_600_000_000
+    low, high = logs.agg(F.min(micros), F.max(micros)).first()
+    part = F.floor(4 * (micros - low) / (high - low + 1))
+    for i in range(4):
+        logs.filter(part == i).coalesce(1).write.mode("append").parquet(folder)
+    arriving = t.spark.readStream.schema(TABLES["processing_logs"]).option("maxFilesPerTrigger", 1).parquet(folder)
+    steps = streams.item_steps(arriving, delay="2 hours", stale_after="12 hours")
+    streams.write_batches(steps, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{out}/rows").select("episode_id", "id", "state", "kind", F.col("at").alias("at_time"))
+
+
 @query("st4_weekly_completions", sql("""WITH done AS (SELECT e.feed_id, s.completed_at, TIMESTAMP '1970-01-01' + to_days(CAST(
         CAST(epoch(s.completed_at) AS BIGINT) // 604800 * 7 AS INTEGER)) AS week_start FROM episodes e JOIN status_rows s ON e.id = s.episode_id WHERE s.status = 'completed')
     SELECT week_start, feed_id, count(*) AS n FROM done

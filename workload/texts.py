@@ -11,7 +11,7 @@ from feedlake.functions import summaries as fs
 from feedlake.functions import text as ft
 from feedlake.functions.basic import strip
 from feedlake.operators import mentions
-from feedlake.operators.inference import apply_model
+from feedlake.operators.inference import apply_model, apply_stored, reply_store
 from feedlake.plans.jobs import clean_texts
 from feedlake.storage import fresh_dir, spread
 from feedlake.schemas import SUMMARY_ARRAYS
@@ -199,6 +199,25 @@ def model_in_batches(t):
     return apply_model(texts, "text", counting_model, batch_size=16)
 
 
+class Silent:
+    """A model that must not be asked but for tables."""
+
+    def __call__(self, prompt: str) -> str:
+        if "|" not in prompt:
+            raise RuntimeError("asked again")
+        return f"2 {prompt}"
+
+
+@query("m1_stored_replies", """SELECT doc_id AS episode_id, CASE WHEN NOT contains(text, '|') THEN replace(replace(text, 'e', 'E'), 'a', 'A') ELSE '2 ' || text END AS reply,
+    CAST(NULL AS VARCHAR) AS error FROM documents""")
+def stored_replies(t):
+    """Two runs over the same prompts: the second asks only what failed in the first, and another model answers."""
+    texts = t.documents.select(F.col("doc_id").alias("episode_id"), "text")
+    store = reply_store(t.spark, fresh_dir(t.spark, "replies"))
+    apply_stored(texts, "text", Shout, store, "shout")
+    return apply_stored(texts, "text", Silent, store, "shout", calls={"workers": 4, "attempts": 2, "wait": 0.01})
+
+
 @query("m2_prompt", """SELECT doc_id AS episode_id, 'Answer as {"summary": "text"}. Here it is: ' || text AS prompt FROM documents""")
 def prompt(t):
     template = 'Answer as {"summary": "text"}. Here it is: {transcript}'
