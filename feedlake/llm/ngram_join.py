@@ -7,11 +7,12 @@ fragments depends on the size class of the sets (powers of two); a set also show
 link into it. N-grams that are frequent in many tasks are left out of the segments, which changes no difference between sets upwards;
 a set with too few segments left shows those of the whole set as well. So common lines make no candidates, and none is lost.
 
-Candidates are verified by vertical partial counts: in each of ``SLICES`` slices of the order the overlap is counted on its own, and the
-counts are summed per pair. Copies (equal sets) are one class. In a group of equal segments each class is first compared with one
+Candidates first meet as sketches, one byte for each fragment: the segments of a pair that differ are counted fragment by fragment and summed, and as
+each holds at least one n-gram that is not shared, a pair with too many of them is dropped before any text is dealt out. What is left is
+verified by vertical partial counts: in each of ``SLICES`` slices of the order the overlap is counted on its own, and the counts are summed per pair. Copies (equal sets) are one class. In a group of equal segments each class is first compared with one
 hub, so that a group of near copies costs about one pair per member. Then only classes that are still in different components are
-compared: small groups give their pairs; the members of large ones go, block by block, to tasks that sum the overlaps of all their pairs
-slice by slice as a matrix and give only the links. No pair that could link two components is left untested.
+compared: small groups give their pairs; the members of large ones go, block by block, to tasks that compare all their sketches and keep those with
+a likely partner; the texts of these go to tasks that sum the overlaps of all their pairs slice by slice as a matrix and give only the links. No pair that could link two components is left untested.
 
 Rows with an empty set (null or empty text) link with nothing and are a component of their own. A component's id is its smallest document
 id; null ids are passed over, and null only if there is no other. Repeated rows are copies. An empty table gives an empty result.
@@ -227,6 +228,52 @@ def candidate_texts(classes: DataFrame, sets: DataFrame, docs: DataFrame, gram:
     return materialize(chosen.join(holders.select("cls", "at"), "at").select("cls", "_text"))
 
 
+def _layouts(n: int, percent: int) -> list[int]:
+    """The size classes in which a set of ``n`` n-grams is compared: its own, and the next if it can link into it."""
+    own = n.bit_length() - 1
+    return [own] + [own + 1] * (100 * n >= percent * (2 << own))
+
+
+def sketch_table(texts: DataFrame, gram: int, percent: int) -> DataFrame:
+    """(cls, layout, sketch): for each size class a byte per fragment, 0 where it is empty, written once."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            classes = batch.column(0).to_pylist()
+            for lo, _, data, offsets in text_chunks(batch.column(1)):
+                found, cut = gram_sets(data, offsets, gram)
+                rows = []
+                for i, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist()), lo):
+                    for layout in _layouts(b - a, percent) if b > a else []:
+                        fragment, segment = _segments(found[a:b], fragments(layout, percent))
+                        sketch = np.zeros(fragments(layout, percent), np.uint8)
+                        sketch[fragment.astype(np.int64)] = mix(segment) % U64(255) + U64(1)
+                        rows.append((classes[i], layout, sketch.tobytes()))
+                columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, ["cls", "layout", "sketch"])
+
+    return materialize(texts.select("cls", "_text").mapInArrow(draw, "cls long, layout int, sketch binary"))
+
+
+def likely_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, na, nb) whose differing segments do not exclude that they reach the threshold; written."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
+                x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8) for c in ("x", "y"))
+                lengths = pa.compute.binary_length(part.column("x")).to_numpy()
+                differ = np.add.reduceat((x != y).astype(np.int64), np.cumsum(lengths) - lengths)
+                sizes = part.column("na").to_numpy() + part.column("nb").to_numpy()
+                yield part.select(["a", "b", "na", "nb"]).filter(pa.array(differ * (100 + percent) <= sizes * (100 - percent)))
+
+    size_class = lambda c: F.length(F.bin(c)) - 1
+    placed = pairs.withColumn("layout", F.greatest(size_class("na"), size_class("nb")))
+    met = placed.join(sketches.select(F.col("cls").alias("a"), "layout", F.col("sketch").alias("x")), ["a", "layout"])
+    met = met.join(sketches.select(F.col("cls").alias("b"), "layout", F.col("sketch").alias("y")), ["b", "layout"])
+    return materialize(met.select("a", "b", "na", "nb", "x", "y").mapInArrow(compare, "a long, b long, na long, nb long").distinct())
+
+
 def verify(pairs: DataFrame, texts: DataFrame, gram: int, percent: int) -> DataFrame:
     """The pairs of classes (a, b) that reach the threshold, by partial overlaps per slice of the order, summed per pair.
 
@@ -284,17 +331,41 @@ def _pairs(found: DataFrame, tested: DataFrame | None, percent: int) -> DataFram
     return materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
 
 
-def _block_links(members: DataFrame, texts: DataFrame, gram: int, percent: int) -> DataFrame:
+def _sift(placed: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The classes of each pair of blocks that have a likely partner of another component there."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        cls, component, n = (table.column(c).to_numpy() for c in ("cls", "component", "n"))
+        layout, sketch = table.column("layout").to_numpy(), table.column("sketch").to_pylist()
+        own = np.array([int(x).bit_length() - 1 for x in n.tolist()])
+        kept = set()
+        for c in np.unique(layout).tolist():
+            at = np.flatnonzero(layout == c)
+            bytes_ = np.frombuffer(b"".join(sketch[i] for i in at.tolist()), np.uint8).reshape(len(at), -1)
+            for k in range(len(at)):
+                differ = (bytes_ != bytes_[k]).sum(1)
+                near = (differ * (100 + percent) <= (n[at] + n[at[k]]) * (100 - percent)) & (component[at] != component[at[k]])
+                if (near & (np.maximum(own[at], own[at[k]]) == c)).any():
+                    kept.add(int(cls[at[k]]))
+        chosen = np.array([i for i, x in enumerate(cls.tolist()) if x in kept], np.int64)
+        return table.take(pa.array(chosen)).select(["family", "i", "j", "own", "cls", "component"])
+
+    schema = "family long, i int, j int, own int, cls long, component long"
+    return materialize(placed.join(sketches, "cls").groupBy("family", "i", "j").applyInArrow(compare, schema).distinct())
+
+
+def _block_links(members: DataFrame, texts: DataFrame, sketches: DataFrame, gram: int, percent: int) -> DataFrame:
     """Links (a, b) between classes of one family and of different components; ``members`` is (family, cls, component, n).
 
-    Each class is sent to the tasks of all pairs of blocks that its own block is in.
+    The sketch of each class is sent to the tasks of all pairs of blocks that its own block is in, its text to those where it has a likely partner.
     """
     sizes = members.groupBy("family").agg(F.count("*").alias("m"), F.sum("n").alias("grams"))
     blocks = F.ceil(F.greatest(F.col("m") / BLOCK_CLASSES, F.col("grams") / BLOCK_GRAMS)).cast("int")
     placed = members.join(sizes.select("family", blocks.alias("blocks")), "family").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    placed = placed.select("family", "cls", "component", "own", other)
-    placed = placed.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "component")
+    placed = placed.select("family", "cls", "component", "n", "own", other)
+    placed = placed.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "component", "n")
+
     def compare(table: pa.Table) -> pa.Table:
         cls, component, own = (table.column(c).to_numpy() for c in ("cls", "component", "own"))
         last = int(table.column("j")[0].as_py())
@@ -320,7 +391,7 @@ def _block_links(members: DataFrame, texts: DataFrame, gram: int, percent: int)
         kept = (cls[x] < cls[y]) & (component[x] != component[y]) & ((own[x] != own[y]) | (own[x] == last) & (table.column("i")[0].as_py() == last))
         return pa.table({"a": cls[x[kept]], "b": cls[y[kept]]})
 
-    return placed.join(texts, "cls").groupBy("family", "i", "j").applyInArrow(compare, "a long, b long")
+    return _sift(placed, sketches, percent).join(texts, "cls").groupBy("family", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def link_documents(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -328,6 +399,7 @@ def link_documents(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, te
     sets, frequent = set_table(docs, gram, text, key)
     shared = materialize(shared_segments(docs, frequent, gram, percent, text))
     texts = candidate_texts(shared.select("cls"), sets, docs, gram, text, key)
+    sketches = sketch_table(texts, gram, percent)
     tested = links = label = None
 
     def labelled() -> DataFrame:
@@ -339,8 +411,9 @@ def link_documents(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, te
     def take(pairs: DataFrame) -> None:
         nonlocal tested, links, label
         tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
-        if not pairs.isEmpty():
-            linked = materialize(verify(pairs, texts, gram, percent))
+        likely = likely_pairs(pairs, sketches, percent)
+        if not likely.isEmpty():
+            linked = materialize(verify(likely, texts, gram, percent))
             links = linked if links is None else links.union(linked)
             label = components(links)
 
@@ -356,7 +429,7 @@ def link_documents(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, te
     if not large.isEmpty():
         family = components(large.select(F.col("first").alias("a"), F.col("cls").alias("b")).distinct()).withColumnRenamed("component", "family")
         members = materialize(large.select("cls", "component", "n").distinct().join(family, "cls"))
-        linked = materialize(_block_links(members, texts, gram, percent))
+        linked = materialize(_block_links(members, texts, sketches, gram, percent))
         links = linked if links is None else links.union(linked)
     mine = small.select("sig", F.col("cls").alias("h"), F.col("n").alias("hn"), F.col("component").alias("hc"))
     take(_pairs(small.join(mine, "sig").filter(F.col("hc") < F.col("component")), tested, percent))
