@@ -29,8 +29,10 @@ from pyspark.sql.types import StructType
 
 from ..storage import materialize, store_of
 
-#: Rows of a bucket, bits of its filter per row (a power of two is taken), bits that a key sets.
-ROWS_PER_BUCKET, BITS_PER_ROW, PROBES = 1 << 20, 12, 4
+#: Rows of a bucket, which is one file and one task of a write: for wide rows a few hundred megabytes, for narrow ones a larger number is better.
+ROWS_PER_BUCKET = 1 << 16
+#: Bits of a bucket's filter per row (a power of two is taken), and bits that a key sets.
+BITS_PER_ROW, PROBES = 12, 4
 #: Neighbouring versions of like size that are joined, and how much larger the older may be.
 FAN_IN, LIKE = 4, 2
 
@@ -157,8 +159,8 @@ class KeyedTable:
         """The first version; ``rows`` has one row per key."""
         if self.versions():
             raise ValueError("the table is there already")
-        whole = materialize(self._complete(rows, True))
-        self._write(whole, "v0", 0, True, whole.count())
+        # The count sets the number of buckets; the rows themselves are written once.
+        self._write(self._complete(rows, True), "v0", 0, True, rows.count())
 
     def add(self, rows: DataFrame, order: int) -> None:
         """Add rows whose keys are not stored, each once, as version ``order`` (from 1, rising)."""
