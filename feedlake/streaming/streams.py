@@ -123,6 +123,33 @@ def legal_step(before: str, after: str) -> bool:
     return order.index(after) == (1 if before == FAILED else order.index(before) + 1)
 
 
+class _Waiting:
+    """Rows of a group that wait until the watermark has passed them, to be taken in the order of time, then id. Kept as text in the group's state."""
+
+    def __init__(self, text: str):
+        self.rows = [tuple(r) for r in json.loads(text)]
+
+    def add(self, batches: Iterator[pd.DataFrame], *columns: str) -> None:
+        for batch in batches:
+            if len(batch):
+                self.rows += list(zip(*[batch[c].tolist() for c in ("micros", "id", *columns)]))
+        self.rows.sort()
+
+    def passed(self, watermark_ms: int) -> Iterator[tuple]:
+        while self.rows and self.rows[0][0] <= watermark_ms * 1000:
+            yield self.rows.pop(0)
+
+    def wake(self, group: GroupState, watermark_ms: int, *others: int) -> None:
+        """Have the group called again as soon as the watermark passes its next row or one of the other times."""
+        due = [r[0] for r in self.rows[:1]] + list(others)
+        if due:
+            # The group is called when the watermark is above the time that is set.
+            group.setTimeoutTimestamp(max(-(-min(due) // 1000) - 1, watermark_ms, 1))
+
+    def text(self) -> str:
+        return json.dumps(self.rows)
+
+
 def item_steps(logs: DataFrame, delay: str = "10 minutes", stale_after: str = "1 day") -> DataFrame:
     """The state machine of every item over the log stream: ``(episode_id, id, state, kind, at)``; run it in append mode.
 
@@ -137,13 +164,9 @@ def item_steps(logs: DataFrame, delay: str = "10 minutes", stale_after: str = "1
     timed = reported.withWatermark("_time", delay).select("episode_id", "id", "state", "_time", F.unix_micros("_time").alias("micros"))
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        now, last_id, last, waiting = group.get if group.exists else (PENDING, -1, -1, "[]")
-        rows = [tuple(r) for r in json.loads(waiting)]
-        for batch in batches:
-            if len(batch):
-                rows += list(zip(batch["micros"].tolist(), batch["id"].tolist(), batch["state"].tolist()))
-        rows.sort()
-        passed, out = group.getCurrentWatermarkMs(), []
+        now, last_id, last, kept = group.get if group.exists else (PENDING, -1, -1, "[]")
+        waiting, passed, out = _Waiting(kept), group.getCurrentWatermarkMs(), []
+        waiting.add(batches, "state")
 
         def stale_until(limit: int) -> None:
             nonlocal last
@@ -151,19 +174,14 @@ def item_steps(logs: DataFrame, delay: str = "10 minutes", stale_after: str = "1
                 out.append((key[0], last_id, now, "stale", last + stale_us))
                 last = -1
 
-        while rows and rows[0][0] <= passed * 1000:
-            micros, id_, to = rows.pop(0)
+        for micros, id_, to in waiting.passed(passed):
             stale_until(micros - 1)
             step = legal_step(now, to)
             out.append((key[0], id_, to, "step" if step else "illegal", micros))
             now, last_id, last = to if step else now, id_, micros
         stale_until(passed * 1000)
-        group.update((now, last_id, last, json.dumps(rows)))
-        due = [rows[0][0]] if rows else []
-        due += [last + stale_us] if now in IN_PROGRESS and last >= 0 else []
-        if due:
-            # The group is called again when the watermark is above this time.
-            group.setTimeoutTimestamp(max(-(-min(due) // 1000) - 1, passed, 1))
+        group.update((now, last_id, last, waiting.text()))
+        waiting.wake(group, passed, *([last + stale_us] if now in IN_PROGRESS and last >= 0 else []))
         yield pd.DataFrame({
             "episode_id": [r[0] for r in out], "id": [r[1] for r in out], "state": [r[2] for r in out], "kind": [r[3] for r in out],
             "at": pd.to_datetime([r[4] for r in out], unit="us")})
@@ -172,6 +190,48 @@ def item_steps(logs: DataFrame, delay: str = "10 minutes", stale_after: str = "1
         advance, columns, "state STRING, last_id BIGINT, last BIGINT, waiting STRING", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def stage_runs(logs: DataFrame, delay: str = "10 minutes", longest: str = "1 day") -> DataFrame:
+    """``aggregates.stage_runs`` over the log stream; run it in append mode.
+
+    A run is given out as soon as the watermark has passed the next row of its item and stage, whatever the order of arrival within ``delay``:
+    with its result if that row ends it, open if it does not. A run that nothing follows within ``longest`` is given out open then.
+    """
+    columns = "id BIGINT, episode_id BIGINT, stage STRING, started_at TIMESTAMP_NTZ, result STRING, finished_at TIMESTAMP_NTZ, seconds BIGINT"
+    longest_us = int(pd.Timedelta(longest) / pd.Timedelta(microseconds=1))
+    rows = logs.select("episode_id", "stage", "id", "status", utc_instant("timestamp").alias("_time")).withWatermark("_time", delay)
+    rows = rows.select("*", F.unix_micros("_time").alias("micros"))
+
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        open_id, began, kept = group.get if group.exists else (-1, -1, "[]")
+        waiting, passed, out = _Waiting(kept), group.getCurrentWatermarkMs(), []
+        waiting.add(batches, "status")
+
+        def close(at: int, status: str | None) -> None:
+            nonlocal began
+            if began >= 0:
+                ended = status in ("success", "error")
+                out.append((open_id, key[0], key[1], began, status if ended else None, at if ended else None, (at - began) // 1_000_000 if ended else None))
+            began = -1
+
+        for micros, id_, status in waiting.passed(passed):
+            if began >= 0 and began + longest_us < micros:
+                close(began + longest_us, None)
+            close(micros, status)
+            if status == "started":
+                open_id, began = id_, micros
+        if began >= 0 and began + longest_us <= passed * 1000:
+            close(began + longest_us, None)
+        group.update((open_id, began, waiting.text()))
+        waiting.wake(group, passed, *([began + longest_us] if began >= 0 else []))
+        moments = lambda i: pd.to_datetime(pd.Series([r[i] for r in out], dtype="Int64"), unit="us")
+        yield pd.DataFrame({
+            "id": [r[0] for r in out], "episode_id": [r[1] for r in out], "stage": [r[2] for r in out], "started_at": moments(3),
+            "result": [r[4] for r in out], "finished_at": moments(5), "seconds": pd.Series([r[6] for r in out], dtype="Int64")})
+
+    return rows.groupBy("episode_id", "stage").applyInPandasWithState(
+        follow, columns, "open_id BIGINT, began BIGINT, waiting STRING", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def newest_batch(updates: DataFrame, key: str) -> DataFrame:
     """Current value per key from the batches that ``write_batches`` kept in update mode."""
     return state.latest_per_key(updates, key, "batch_id")

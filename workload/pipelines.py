@@ -268,6 +268,15 @@ def _esc(text: str) -> str:
     return f"replace(replace(replace({text}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
 
+# The frame of an HTML digest as it has to be, said here on its own so that a wrong frame in the library shows.
+FRAME_HEAD = """<!DOCTYPE html>
+<html>
+<head><meta charset="UTF-8"></head>
+<body>"""
+FRAME_FOOT = """<footer>This is an automated weekly digest.</footer>
+</body>
+</html>"""
+
 NUMBERED = f"""WITH base AS ({DIGEST_BASE}), numbered AS (SELECT b.*, row_number() OVER (ORDER BY completed_at DESC, b.id) - 1 AS position,
     d.doc_id, d.text AS body, d.source, d.lang FROM base b LEFT JOIN documents d ON b.id = d.doc_id),
     heading AS (SELECT count(*) AS n, strftime(min(completed_at), '%B %d') || ' - ' || strftime(max(completed_at), '%B %d, %Y') AS days,
@@ -285,7 +294,7 @@ def _html_sql(full: bool) -> str:
 </section>
 ' ||""" if full else ""
     return f"""{NUMBERED}
-    SELECT 0 AS part, CAST(0 AS BIGINT) AS position, '{digests.HTML_HEAD}' AS text
+    SELECT 0 AS part, CAST(0 AS BIGINT) AS position, '{FRAME_HEAD}' AS text
     UNION ALL SELECT 1, 0, '<header>
 <h1>🎧 Your Weekly Podcast Digest</h1>
 <p>' || days || '<br>' || counted || '</p>
@@ -326,14 +335,14 @@ def _html_sql(full: bool) -> str:
 </dl>
 </section>
 </article>' FROM numbered WHERE doc_id IS NOT NULL
-    UNION ALL SELECT 6, 0, '{digests.HTML_FOOT}'"""
+    UNION ALL SELECT 6, 0, '{FRAME_FOOT}'"""
 
 
-@query("x13_empty_digest", f"""SELECT * FROM (VALUES (0, '{digests.HTML_HEAD}'), (1, '<header>
+@query("x13_empty_digest", f"""SELECT * FROM (VALUES (0, '{FRAME_HEAD}'), (1, '<header>
 <h1>🎧 Your Weekly Podcast Digest</h1>
 <p>No episodes processed this week</p>
 </header>
-<p>No podcast episodes were processed in the last 7 days. Check your feeds or processing status.</p>'), (6, '{digests.HTML_FOOT}')) d(part, text)""")
+<p>No podcast episodes were processed in the last 7 days. Check your feeds or processing status.</p>'), (6, '{FRAME_FOOT}')) d(part, text)""")
 def empty_html_digest(t):
     # No item was completed in the seven days before this date.
     return jobs.weekly_digest(t.episodes, t.feeds, t.status, t.summaries, "2031-01-01 00:00:00", 7).html.select("part", "text")
@@ -629,22 +638,39 @@ STEPS = """WITH RECURSIVE reported AS (SELECT episode_id, id, epoch_us("timestam
     WHERE now BETWEEN 2 AND 5 AND (next > us + 43200000000 OR (next IS NULL AND us + 43200000000 <= mark))"""
 
 
-@query("st3_item_steps", sql(STEPS, "logs"))
-def item_steps(t):
-    """The log in four files, every second row up to an hour late: legal steps, illegal rows, and items that stand still."""
-    folder, out = fresh_dir(t.spark, "logs"), fresh_dir(t.spark, "steps")
-    logs = t.logs
+def late_logs(t: Tables) -> DataFrame:
+    """The log as a stream of four files, every second row up to an hour late."""
+    folder, logs = fresh_dir(t.spark, "logs"), t.logs
     micros = F.unix_micros(utc_instant("timestamp")) + (F.col("id") % 2) * 3_600_000_000
     low, high = logs.agg(F.min(micros), F.max(micros)).first()
     part = F.floor(4 * (micros - low) / (high - low + 1))
     for i in range(4):
         logs.filter(part == i).coalesce(1).write.mode("append").parquet(folder)
-    arriving = t.spark.readStream.schema(TABLES["processing_logs"]).option("maxFilesPerTrigger", 1).parquet(folder)
-    steps = streams.item_steps(arriving, delay="2 hours", stale_after="12 hours")
+    return t.spark.readStream.schema(TABLES["processing_logs"]).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@query("st3_item_steps", sql(STEPS, "logs"))
+def item_steps(t):
+    """Legal steps, illegal rows, and items that stand still."""
+    out = fresh_dir(t.spark, "steps")
+    steps = streams.item_steps(late_logs(t), delay="2 hours", stale_after="12 hours")
     streams.write_batches(steps, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
     return t.spark.read.parquet(f"{out}/rows").select("episode_id", "id", "state", "kind", F.col("at").alias("at_time"))
 
 
+@query("w5_stage_runs_stream", sql("""WITH timed AS (SELECT *, epoch_us("timestamp") AS us FROM logs), passed AS (SELECT (max(us) // 1000 - 7200000) * 1000 AS mark FROM timed),
+    followed AS (SELECT *, lead(status) OVER w AS next_status, lead(us) OVER w AS next_us FROM timed, passed WHERE us <= mark WINDOW w AS (PARTITION BY episode_id, stage ORDER BY us, id)),
+    runs AS (SELECT *, next_status IN ('success', 'error') AND next_us <= us + 259200000000 AS ended FROM followed
+        WHERE status = 'started' AND (next_us IS NOT NULL OR us + 259200000000 <= mark))
+    SELECT id, episode_id, stage, "timestamp" AS started_at, CASE WHEN ended THEN next_status END AS result, CASE WHEN ended THEN make_timestamp(next_us) END AS finished_at,
+        CASE WHEN ended THEN CAST((next_us - us) // 1000000 AS BIGINT) END AS seconds FROM runs""", "logs"))
+def stage_runs_stream(t):
+    out = fresh_dir(t.spark, "runs")
+    runs = streams.stage_runs(late_logs(t), delay="2 hours", longest="3 days")
+    streams.write_batches(runs, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{out}/rows").drop("batch_id")
+
+
 @query("st4_weekly_completions", sql("""WITH done AS (SELECT e.feed_id, s.completed_at, TIMESTAMP '1970-01-01' + to_days(CAST(
         CAST(epoch(s.completed_at) AS BIGINT) // 604800 * 7 AS INTEGER)) AS week_start FROM episodes e JOIN status_rows s ON e.id = s.episode_id WHERE s.status = 'completed')
     SELECT week_start, feed_id, count(*) AS n FROM done
