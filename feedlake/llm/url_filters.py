@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from .common import lower_ascii, whole_rows
 
 PREFIX_DIGITS = 8
-RULE_SCHEMA = "host string, path string, verdict string"
 # The rules of the registered query.
 DEFAULT_RULES = [
     ("com", "/", "allow"),
@@ -30,7 +29,10 @@ DEFAULT_RULES = [
 
 
 def rule_table(spark: SparkSession, rules=DEFAULT_RULES) -> DataFrame:
-    return spark.createDataFrame(rules, RULE_SCHEMA)
+    """A short list of rules as a table, made of literals."""
+    names = ("host", "path", "verdict")
+    rows = [F.struct(*[F.lit(v).cast("string").alias(n) for n, v in zip(names, rule)]) for rule in rules]
+    return spark.range(1, numPartitions=1).select(F.inline(F.array(*rows)))
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
