@@ -10,7 +10,7 @@ The vectors are dealt out into blocks of about ``BLOCK_ROWS`` and the queries in
 is one task of bounded memory, with the sorted arrays of its vectors. A block gives its ``k`` best per query, and the best of all
 blocks are ranked. Every vector is in the index, whatever the size.
 
-Vectors that are null, zero, shorter or longer than the longest query, or hold null or non-finite components take no part. Ties go to
+Vectors that are null, zero, or hold null or non-finite components take no part; a query meets the vectors of its own length. Ties go to
 the smaller id; rows with a null id take no part; repeated ids are candidates of their own, and a query is asked once per id.
 """
 
@@ -85,11 +85,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
     points = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     points = points.filter(F.col("id").isNotNull() & usable(F.col("v")))
     length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    facts = points.agg(F.count("*"), F.sum(F.col("q").cast("long")), F.max(length), F.max(F.struct(F.col("q"), F.size("v")))).first()
+    facts = points.agg(F.count("*"), F.sum(F.col("q").cast("long")), F.max(length)).first()
     n, n_queries, longest = facts[0], facts[1] or 0, float(np.sqrt(facts[2] or 0.0))
-    d = facts[3][1] if facts[3] else 0
     blocks, query_blocks = max(1, -(-n // block_rows)), max(1, -(-n_queries // query_rows))
-    points = points.filter(F.size("v") == d)
     of = lambda salt, m: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(m)).cast("int")
     spread = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     candidates = points.select("id", "v", of(1, blocks).alias("block")).withColumn("query_block", spread(query_blocks)).withColumn("asks", F.lit(False))
@@ -99,7 +97,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
     def search(table: pa.Table) -> pa.Table:
         ids, asks = table.column("id").to_numpy(), table.column("asks").to_numpy()
         flat = table.column("v").combine_chunks()
-        points = (flat.flatten() if hasattr(flat, "flatten") else flat).to_numpy(zero_copy_only=False).reshape(len(ids), d)
+        points = (flat.flatten() if hasattr(flat, "flatten") else flat).to_numpy(zero_copy_only=False).reshape(len(ids), -1)
         rows = [], [], []
         arranged = np.flatnonzero(~asks)
         arranged = arranged[np.argsort(ids[arranged], kind="stable")]
@@ -111,7 +109,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
         join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts]).astype(kind)
         return pa.table({"query_id": join(rows[0], np.int64), "vec_id": join(rows[1], np.int64), "score": join(rows[2], np.float64)})
 
-    found = both.groupBy("block", "query_block").applyInArrow(search, "query_id long, vec_id long, score double")
+    found = both.groupBy(F.size("v").alias("d"), "block", "query_block").applyInArrow(search, "query_id long, vec_id long, score double")
     ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     best = found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")
