@@ -129,14 +129,17 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     unlabelled = rows.orderBy(F.xxhash64(F.lit(SEED + 1), "_key"), "_key").limit(sample).withColumn("_positive", F.lit(False))
     chosen = positive.unionAll(unlabelled).groupBy("_key").agg(F.max("_positive").alias("p"), F.min("_positive").alias("u"))
     # At most twice the sample, so small enough to broadcast.
-    picked = docs.select(F.col(key).alias("_key"), text_of(text).alias("_text")).join(F.broadcast(chosen), "_key").select("p", "u", "_text")
+    picked = docs.select(F.col(key).alias("_key"), text_of(text).alias("_text")).join(F.broadcast(chosen), "_key").select("p", "u", "_text", "_key")
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = vectors(batch.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(found), pa.list_(pa.float64()))], ["p", "u", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(list(found), pa.list_(pa.float64()))], ["p", "u", "_key", "x"])
 
-    found = picked.mapInArrow(turn, "p boolean, u boolean, x array<double>").toArrow()
+    key_type = docs.schema[key].dataType.simpleString()
+    turned = picked.mapInArrow(turn, f"p boolean, u boolean, _key {key_type}, x array<double>")
+    # One row per id, however many rows share it: the sample bounds what reaches the driver.
+    found = turned.groupBy("_key").agg(F.max("p").alias("p"), F.min("u").alias("u"), F.min("x").alias("x")).toArrow()
     x = np.array(found.column("x").to_pylist(), dtype=np.float64).reshape(found.num_rows, -1)
     is_p, not_u = np.array(found.column("p").to_pylist(), bool), np.array(found.column("u").to_pylist(), bool)
     # Rows arrive in any order; sorted, the sums and so the scores are the same in every run.

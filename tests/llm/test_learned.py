@@ -73,6 +73,33 @@ def test_odd_vectors(spark):
     assert nearest.nearest(vectors.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_vectors_of_several_lengths(spark):
+    """A query meets the vectors of its own length; one odd row takes nothing from the others."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(200)] + [(400, rng.normal(size=5).tolist()), (401, rng.normal(size=5).tolist()), (420, [1.0])]
+    found = nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    by_query = {}
+    for r in found:
+        by_query.setdefault(r.query_id, []).append(r.vec_id)
+    assert {q: len(v) for q, v in by_query.items()} == {**{q: 20 for q in range(0, 200, 20)}, 400: 1}
+    wanted = exact_neighbours([r for r in rows if len(r[1]) == 4])
+    assert sum(i in by_query[q] for q, best in wanted.items() for i, _ in best) >= 0.9 * 20 * len(wanted)
+
+
+def test_sample_is_bounded_by_rows(spark):
+    """An id that many rows share gives one row of the sample."""
+    docs = spark.range(4000).select(F.when(F.col("id") < 3000, 1).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("some words "), "id").alias("text"))
+    labels = spark.createDataFrame([(1, 1), (3500, 0), (3501, 1), (3502, 0)], "doc_id long, quality int")
+    seen = []
+    original = quality_classifier.fit
+    quality_classifier.fit = lambda p, u, prior: seen.append((len(p), len(u))) or original(p, u, prior)
+    try:
+        quality_classifier.train(docs, labels, sample=50)
+    finally:
+        quality_classifier.fit = original
+    assert seen[0][0] <= 2 and seen[0][1] <= 52
+
+
 def test_held_out_quality(spark):
     rows = registry.op4_quality_classifier(spark, MEDIUM).join(spark.read.parquet(f"{MEDIUM}/labels.parquet").select("doc_id", "quality"), "doc_id").collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.7) for r in rows)
