@@ -17,6 +17,7 @@ from ..operators import digests, joins, state
 from ..operators.inference import Model, apply_model
 from ..schemas import COMPLETED, FAILED, LOG_STAGES
 from ..sinks import documents
+from ..sinks.keyed import KeyedTable
 from ..sources import outlines, payloads
 from ..storage import materialize
 
@@ -161,10 +162,7 @@ def process_items(
         decoded.withColumn("failed_at", failed_at).withColumn("summary_path", documents.summary_paths(output_format)["summary_path"])
     )
 
-    saves = results.filter("failed_at > 1").select(
-        "episode_id", "raw_text", "cleaned_text", F.lit(models[0]).alias("transcription_model"),
-        F.lit(models[1]).alias("cleaning_model"), utc(as_of).alias("at"), F.lit(0).alias("seq"),
-    )
+    saves = _transcript_saves(results, as_of, models)
     done = results.filter("failed_at = 4")
     saved = fs.storable(done.select("episode_id", F.lit(models[2]).alias("model_used"), "summary"))
     return Processing(
@@ -178,6 +176,27 @@ def process_items(
     )
 
 
+def keep_processing(
+    done: Processing, status: KeyedTable, transcripts: KeyedTable, as_of: str | datetime, order: int,
+    models: tuple[str, str, str] = ("recogniser", "cleaner", "summarizer"),
+) -> None:
+    """Take a batch of processed items into tables that are merged on read, as version ``order`` of both: only the batch is written.
+
+    A job that is repeated after a failure gives the same order again, which does nothing where it was taken.
+    """
+    state.take_transcripts(transcripts, _transcript_saves(done.results, as_of, models), order)
+    state.take_status(status, _status_updates(done.results, as_of), order)
+    for table in (transcripts, status):
+        table.compact()
+
+
+def _transcript_saves(results: DataFrame, as_of: str | datetime, models: tuple[str, str, str]) -> DataFrame:
+    return results.filter("failed_at > 1").select(
+        "episode_id", "raw_text", "cleaned_text", F.lit(models[0]).alias("transcription_model"),
+        F.lit(models[1]).alias("cleaning_model"), utc(as_of).alias("at"), F.lit(0).alias("seq"),
+    )
+
+
 def _status_updates(results: DataFrame, as_of: str | datetime) -> DataFrame:
     at = F.col("failed_at")
     error = F.get(F.array(*[F.lit(e) for e in STATUS_ERRORS]), at)

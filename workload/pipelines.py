@@ -13,6 +13,7 @@ from feedlake.plans import jobs
 from feedlake.schemas import TABLES
 from feedlake.sinks import documents
 from feedlake.sinks import tables as table_sinks
+from feedlake.sinks.keyed import KeyedTable
 from feedlake.sinks.packs import write_packs
 from feedlake.sources import files, outlines, packs, payloads
 from feedlake.sources import tables as table_sources
@@ -429,16 +430,19 @@ class Analyst:
         return "```json\n" + json.dumps({"comprehensive_summary": text, "key_topics": [{"topic": "length"}]}) + "\n```"
 
 
+def waiting_items(t: Tables) -> DataFrame:
+    return t.documents.select(
+        F.col("doc_id").alias("episode_id"), F.lit("pending").alias("status"),
+        *[F.lit(None).cast("string").alias(c) for c in (*state.STATUS_PATHS, "error_message")],
+        *[F.lit(None).cast("timestamp_ntz").alias(c) for c in ("started_at", "completed_at", "updated_at")])
+
+
 def processed(t: Tables) -> jobs.Processing:
     docs = t.documents
     queue = docs.select(F.col("doc_id").alias("id"))
     media = docs.filter("doc_id % 20 <> 9").select(F.col("doc_id").alias("episode_id"), F.concat(F.lit("audio/"), F.col("doc_id").cast("string")).alias("audio_path"))
     nothing = t.spark.createDataFrame([], TABLES["transcripts"]), t.spark.createDataFrame([], TABLES["summaries"])
-    waiting = docs.select(
-        F.col("doc_id").alias("episode_id"), F.lit("pending").alias("status"),
-        *[F.lit(None).cast("string").alias(c) for c in (*state.STATUS_PATHS, "error_message")],
-        *[F.lit(None).cast("timestamp_ntz").alias(c) for c in ("started_at", "completed_at", "updated_at")])
-    return jobs.process_items(queue, media, replies(t), Editor, Analyst, AS_OF, waiting, *nothing, chunk_size=CHUNK)
+    return jobs.process_items(queue, media, replies(t), Editor, Analyst, AS_OF, waiting_items(t), *nothing, chunk_size=CHUNK)
 
 
 FAILED_AT = "CASE WHEN doc_id % 20 = 9 THEN 0 WHEN doc_id % 20 = 3 THEN 1 WHEN regexp_matches(text, '[0-9]') THEN 3 ELSE 4 END"
@@ -455,6 +459,23 @@ def process_status(t):
     return processed(t).status.select("episode_id", "status", "error_message", "audio_path", "cleaned_transcript_path", "summary_path", "completed_at")
 
 
+@query("p2_kept", f"""{CLEANED} SELECT doc_id AS episode_id, CASE f WHEN 4 THEN 'completed' ELSE 'failed' END AS status,
+    CASE f WHEN 0 THEN 'Audio download failed' WHEN 1 THEN 'Transcription failed' WHEN 3 THEN 'Summarization failed' END AS error_message,
+    CASE WHEN f > 1 THEN md5(text) END AS raw_digest, CASE WHEN f > 1 THEN md5(cleaned_text) END AS cleaned_digest
+    FROM (SELECT doc_id, text, {FAILED_AT} AS f FROM documents) d LEFT JOIN cleaned c ON c.episode_id = d.doc_id""")
+def kept_processing(t):
+    """The results in tables that are merged on read; the batch is given twice, as by a job that is repeated."""
+    status = KeyedTable(t.spark, fresh_dir(t.spark, "status"), TABLES["processing_status"], "episode_id")
+    status.create(waiting_items(t))
+    transcripts = KeyedTable(t.spark, fresh_dir(t.spark, "transcripts"), TABLES["transcripts"], "episode_id")
+    done = processed(t)
+    for _ in range(2):
+        jobs.keep_processing(done, status, transcripts, AS_OF, 1)
+    digest = lambda c: F.md5(F.encode(c, "UTF-8"))
+    texts = transcripts.read().select("episode_id", digest("raw_text").alias("raw_digest"), digest("cleaned_text").alias("cleaned_digest"))
+    return status.read().select("episode_id", "status", "error_message").join(texts, "episode_id", "left")
+
+
 @query("p2_transcripts", f"""{CLEANED} SELECT doc_id AS episode_id, text AS raw_text, cleaned_text, 'cleaner' AS cleaning_model FROM documents d
     JOIN cleaned c ON c.episode_id = d.doc_id WHERE {FAILED_AT} > 1""")
 def process_transcripts(t):
