@@ -123,3 +123,21 @@ def test_item_steps_over_late_rows(spark, tmp_path):
         (1, 5, "downloading", "step", at(30)), (1, 5, "downloading", "stale", at(40)), (2, 20, "downloading", "step", at(0)), (2, 20, "downloading", "stale", at(10)),
         (9, 91, "failed", "step", at(31)),
     }
+
+
+def _state_rows(spark, tmp_path, make):
+    """The most state rows that 400 items of three hours leave, and the rows given out."""
+    day = datetime(2024, 1, 1)
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    log_files(spark, folder, [[(1000 * h + i, i, "download", "started" if h % 2 == 0 else "success", None, day.replace(hour=h)) for i in range(400)] for h in range(3)])
+    logs = spark.readStream.schema(TABLES["processing_logs"]).option("maxFilesPerTrigger", 1).parquet(folder)
+    query = streams.write_batches(make(logs), out, str(tmp_path / "c"))
+    query.awaitTermination()
+    return max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]), spark.read.parquet(out)
+
+
+def test_stage_runs_share_groups(spark, tmp_path):
+    """A group is called once a batch, at a price of its own: their number does not grow with the items."""
+    most, runs = _state_rows(spark, tmp_path, lambda logs: streams.stage_runs(logs, "1 hour", "1 day"))
+    assert most <= streams.GROUPS < 400
+    assert sorted((r.id, r.episode_id, r.result, r.seconds) for r in runs.collect()) == [(i, i, "success", 3600) for i in range(400)]
