@@ -141,3 +141,9 @@ def test_stage_runs_share_groups(spark, tmp_path):
     most, runs = _state_rows(spark, tmp_path, lambda logs: streams.stage_runs(logs, "1 hour", "1 day"))
     assert most <= streams.GROUPS < 400
     assert sorted((r.id, r.episode_id, r.result, r.seconds) for r in runs.collect()) == [(i, i, "success", 3600) for i in range(400)]
+
+
+def test_item_steps_share_groups(spark, tmp_path):
+    most, steps = _state_rows(spark, tmp_path, lambda logs: streams.item_steps(logs, "1 hour", "1 day"))
+    assert most <= streams.GROUPS < 400
+    assert sorted((r.episode_id, r.id, r.state, r.kind) for r in steps.collect()) == [(i, i, "downloading", "step") for i in range(400)]
