@@ -130,3 +130,11 @@ def test_item_files(spark, tmp_path):
         assert documents.write_item_files(part, folder) == n
         found = files.read_transcript_files(spark, f"{folder}/*")
         assert {tuple(r) for r in found.collect()} == {(1, "raw", "a\nb\n"), (2, "raw", "ü\n\n"), (3, "raw", "\n")} if n else found.count() == 0
+
+
+def test_file_inventory_has_a_row_per_file(spark):
+    from workload import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    found = QUERIES["s5_file_inventory"](spark, folder)
+    assert found.count() == found.select("episode_id").distinct().count() == spark.read.parquet(f"{folder}/documents.parquet").count()
