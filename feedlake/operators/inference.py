@@ -7,7 +7,7 @@ import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +18,9 @@ from ..storage import materialize
 Model = Callable[[str], str]
 BatchModel = Callable[[list[str]], list[str | None]]
 
+#: Bytes of the rows that a task turns into Python strings at a time, unless the workers need more rows.
+PIECE_BYTES = 1 << 20
+
 
 def _text_or_error(answer) -> tuple[str | None, str | None]:
     if answer is None or isinstance(answer, str):
@@ -67,21 +70,28 @@ def apply_model(
                 failure = f"{type(e).__name__}: {e}"
         return [(None, failure)] * len(prompts)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        # A batch may hold thousands of long texts. Their Python strings, prompts and replies are held for one piece of it at a time.
+        rows = max(8 * workers * (batch_size or 1), 1 + batch.num_rows * PIECE_BYTES // max(batch.nbytes, 1))
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, pool = None, ThreadPoolExecutor(workers) if workers > 1 else None
-        for batch in batches:
-            found: list[tuple[str | None, str | None]] = [(None, None)] * len(batch)
-            asked = [(i, value) for i, value in enumerate(batch[text]) if value is not None]
+        call = lambda some: ask(model, [value for _, value in some])
+        for batch in (p for whole in batches for p in pieces(whole)):
+            found: list[tuple[str | None, str | None]] = [(None, None)] * batch.num_rows
+            asked = [(i, value) for i, value in enumerate(batch.column(text).to_pylist()) if value is not None]
             if asked and model is None:
                 model = make_model(**options)
             groups = [asked[lo : lo + (batch_size or 1)] for lo in range(0, len(asked), batch_size or 1)]
-            call = lambda some: ask(model, [value for _, value in some])
             for some, answers in zip(groups, (pool.map if pool else map)(call, groups)):
                 for (i, _), answer in zip(some, answers):
                     found[i] = answer
-            yield batch[names].assign(**{reply: [a for a, _ in found], error: [e for _, e in found]})
+            given = [pa.array([f[at] for f in found], pa.string()) for at in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *given], names=[*names, reply, error])
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def reply_store(spark: SparkSession, path: str) -> KeyedTable:
@@ -102,13 +112,15 @@ def apply_stored(
     """
     named = F.lit(json.dumps([model, options], sort_keys=True, default=str))
     asked = df.withColumn("_digest", F.when(F.col(text).isNotNull(), F.sha2(F.concat(named, F.lit("\n"), F.col(text)), 256)))
-    digests = asked.select(F.col("_digest").alias("digest"))
-    known = materialize(store.known(digests))
-    questions = asked.select(F.col("_digest").alias("digest"), F.col(text).alias("prompt")).filter("digest IS NOT NULL").dropDuplicates(["digest"])
-    answers = materialize(apply_model(questions.join(known, "digest", "left_anti"), "prompt", make_model, "reply", "error", **(calls or {}), **options))
+    # Written without the prompts: what is known is settled on digests, and prompts are moved for the questions that are left only.
+    rows = materialize(asked.drop(text))
+    digests = rows.select(F.col("_digest").alias("digest")).filter("digest IS NOT NULL")
+    unknown = materialize(digests.distinct().join(store.known(digests), "digest", "left_anti"))
+    questions = asked.select(F.col("_digest").alias("digest"), F.col(text).alias("prompt")).join(unknown, "digest", "left_semi").dropDuplicates(["digest"])
+    answers = materialize(apply_model(questions, "prompt", make_model, "reply", "error", **(calls or {}), **options))
     store.add(answers.filter("reply IS NOT NULL").select("digest", "reply"), 1 + max([v.order for v in store.versions(live=False)], default=0))
     store.compact()
     replies = store.read(digests).select(F.col("digest").alias("_digest"), F.col("reply").alias(reply))
     failed = answers.filter("reply IS NULL").select(F.col("digest").alias("_digest"), F.col("error").alias(error))
     kept = [c for c in df.columns if c != text]
-    return asked.drop(text).join(replies, "_digest", "left").join(failed, "_digest", "left").select(*kept, reply, error)
+    return rows.join(replies, "_digest", "left").join(failed, "_digest", "left").select(*kept, reply, error)

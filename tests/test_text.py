@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import pathlib
 import random
 import uuid
@@ -11,6 +12,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from feedlake import storage
 from feedlake.functions import summaries as fs
 from feedlake.functions import text as ft
 from feedlake.functions.basic import WHITESPACE, strip
@@ -20,6 +22,8 @@ from feedlake.operators.inference import apply_model
 from feedlake.plans import jobs
 from feedlake.schemas import SUMMARY, TABLES
 from feedlake.sinks import documents
+from workload import pipelines
+from workload.views import Tables
 
 
 def column(spark, values, name="text"):
@@ -392,3 +396,51 @@ def test_replies_are_stored_and_failed_calls_tried_again(spark, tmp_path):
     assert run("x", 2) == answered and len(list((tmp_path / "calls").iterdir())) == made
     # Other options are another question.
     assert run("x", 99)[1] == (None, wrong)
+
+
+def _written(spark):
+    folder = storage.shared_dir(spark).removeprefix("file:")
+    return {n for n in os.listdir(folder) if n.startswith("table-")} if os.path.isdir(folder) else set()
+
+
+def test_only_tables_that_are_asked_for_are_worked_out(spark):
+    """The numbering of summaries sorts and writes their texts, which no caller pays for who wants the status."""
+    t = Tables(spark, "/root/testdata/sf0.001")
+    before = _written(spark)
+    done = pipelines.processed(t)
+    assert len(_written(spark) - before) == 3  # the work, the cleaned chunks, the results
+    assert done.status.count() == t.given("documents").count() and len(_written(spark) - before) == 3
+    assert done.summaries.count() > 0 and len(_written(spark) - before) > 3
+
+
+def test_a_task_holds_a_piece_of_a_batch(spark):
+    """A batch of many long texts is turned into Python strings piece by piece, which pandas would do with all of it at once."""
+    texts = spark.range(3000, numPartitions=1).select("id", F.repeat(F.lit("long "), 800).alias("text"))
+    asked = apply_model(texts, "text", Sizes, batch_size=16)
+    assert "MapInArrow" in asked._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.id, r.reply, r.error) for r in asked.collect()) == [(i, "4000", None) for i in range(3000)]
+
+
+class Sizes:
+    def __call__(self, prompts):
+        return [str(len(p)) for p in prompts]
+
+
+def test_stored_replies_read_the_prompts_twice_at_most(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    prompts = spark.range(40, numPartitions=2).select("id", F.concat(F.lit("p"), F.col("id").cast("string")).alias("text"))
+    store = inference.reply_store(spark, str(tmp_path / "store"))
+    rows = inference.apply_stored(prompts.mapInArrow(counted, prompts.schema), "text", Mirror, store, "mirror").collect()
+    assert sorted((r.id, r.reply) for r in rows) == [(i, f"p{i}"[::-1]) for i in range(40)]
+    assert seen.value <= 80
+
+
+class Mirror:
+    def __call__(self, prompt):
+        return prompt[::-1]

@@ -13,7 +13,7 @@ from feedlake.functions.basic import strip
 from feedlake.operators import mentions
 from feedlake.operators.inference import apply_model, apply_stored, reply_store
 from feedlake.plans.jobs import clean_texts
-from feedlake.storage import fresh_dir, spread
+from feedlake.storage import fresh_dir, materialize, spread
 from feedlake.schemas import SUMMARY_ARRAYS
 from feedlake.sinks import documents
 
@@ -212,7 +212,8 @@ class Silent:
     CAST(NULL AS VARCHAR) AS error FROM documents""")
 def stored_replies(t):
     """Two runs over the same prompts: the second asks only what failed in the first, and another model answers."""
-    texts = t.documents.select(F.col("doc_id").alias("episode_id"), "text")
+    # Two runs read the prompts several times, so they are dealt out once.
+    texts = materialize(t.documents.select(F.col("doc_id").alias("episode_id"), "text"))
     store = reply_store(t.spark, fresh_dir(t.spark, "replies"))
     apply_stored(texts, "text", Shout, store, "shout")
     return apply_stored(texts, "text", Silent, store, "shout", calls={"workers": 4, "attempts": 2, "wait": 0.01})
