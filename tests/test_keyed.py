@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from feedlake import storage
+from feedlake.operators import state
+from feedlake.schemas import TABLES
 from feedlake.sinks import keyed
 from feedlake.sinks.keyed import KeyedTable
 
@@ -91,3 +95,28 @@ def test_nothing_in_it(spark, tmp_path):
     table.apply(some, 3, lambda unseen: unseen)
     assert rows_of(table.read()) == [("a", 1, "b")]
     assert keyed._power(0) == 1 and keyed._power(17) == 32
+
+
+def test_one_version_is_read_without_moving_it(spark, tmp_path):
+    """A version has one row per key; two are merged."""
+    table = KeyedTable(spark, str(tmp_path / "t"), SCHEMA, "k")
+    for order in (1, 2):
+        table.apply(spark.createDataFrame([("a", order, "x"), (f"b{order}", 1, "y")], SCHEMA), order, lambda unseen: unseen)
+        plan = table.read()._jdf.queryExecution().executedPlan().toString()
+        assert ("Aggregate" in plan) == (order == 2)
+    assert rows_of(table.read()) == [("a", 2, "x"), ("b1", 1, "y"), ("b2", 1, "y")]
+
+
+def test_numbering_new_transcripts_writes_keys_only(spark, tmp_path):
+    """What is numbered is sorted and written; the texts are written as the batch and as the version."""
+    table = KeyedTable(spark, str(tmp_path / "t"), TABLES["transcripts"], "episode_id")
+    at = F.lit("2024-01-01").cast("timestamp_ntz")
+    saves = spark.range(50).select(F.col("id").alias("episode_id"), *[F.concat(F.lit("text "), F.col("id").cast("string")).alias(f) for f in state.TRANSCRIPT_FIELDS],
+                                   at.alias("at"), F.lit(0).alias("seq"))
+    folder = storage.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    state.take_transcripts(table, saves, 1)
+    tables = [spark.read.parquet(f"{folder}/{n}").columns for n in set(os.listdir(folder)) - before if n.startswith("table-")]
+    assert sum("raw_text" in columns for columns in tables) == 1
+    found = table.read().orderBy("episode_id").collect()
+    assert [(r.id, r.episode_id, r.raw_text) for r in found] == [(i + 1, i, f"text {i}") for i in range(50)]
