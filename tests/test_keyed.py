@@ -120,3 +120,14 @@ def test_numbering_new_transcripts_writes_keys_only(spark, tmp_path):
     assert sum("raw_text" in columns for columns in tables) == 1
     found = table.read().orderBy("episode_id").collect()
     assert [(r.id, r.episode_id, r.raw_text) for r in found] == [(i + 1, i, f"text {i}") for i in range(50)]
+
+
+def test_many_like_keys_do_not_pass_through_the_driver(spark, tmp_path):
+    """Keys that are much alike make small files; a join of very many must not be a broadcast for that."""
+    table = KeyedTable(spark, str(tmp_path / "t"), SCHEMA, "k")
+    keys = spark.range(keyed.BROADCAST_ROWS + 1).select(F.concat(F.lit("https://feeds.example.com/"), F.col("id").cast("string")).alias("k"), F.lit(1).alias("a"), F.lit("b").alias("b"))
+    table.create(keys)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan(table.known(keys))
+    table.apply(keys.withColumn("a", F.lit(2)), 1)
+    assert "BroadcastHashJoin" not in plan(table.read()) and table.read().filter("a = 2").count() == keyed.BROADCAST_ROWS + 1
