@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from feedlake.schemas import TABLES
+from feedlake.storage import shared_dir
 from feedlake.streaming import streams
+from workload import pipelines
+from workload.views import Tables
 
 from .test_feeds import RSS, item
 
@@ -147,3 +151,38 @@ def test_item_steps_share_groups(spark, tmp_path):
     most, steps = _state_rows(spark, tmp_path, lambda logs: streams.item_steps(logs, "1 hour", "1 day"))
     assert most <= streams.GROUPS < 400
     assert sorted((r.episode_id, r.id, r.state, r.kind) for r in steps.collect()) == [(i, i, "downloading", "step") for i in range(400)]
+
+
+@pytest.mark.parametrize("n, files", [(960, 8), (40, 1)])
+def test_late_logs_are_written_by_many_tasks(spark, tmp_path, n, files):
+    """A part of the log stream is a file per task, since a single one would be one task of the write and of the read, and it is taken up whole."""
+    rows = [(i, datetime(2024, 1, 1) + timedelta(days=i / n), i % 7, "view", 1.0, '{"k": 1}') for i in range(n)]
+    events = spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    root = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(root.glob("logs-*"))
+    streams.write_batches(pipelines.late_logs(Tables(spark, str(tmp_path))), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    (folder,) = set(root.glob("logs-*")) - before
+    assert len(list(folder.glob("*.parquet"))) == 4 * files
+    late = spark.read.parquet(str(tmp_path / "out")).withColumn("at", F.unix_seconds(F.col("timestamp").cast("timestamp")) + F.col("id") % 2 * 3600)
+    parts = late.groupBy("batch_id").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.count("*").alias("n")).orderBy("batch_id").collect()
+    assert len(parts) == 4 and sum(p.n for p in parts) == n
+    assert all(a.high <= b.low for a, b in zip(parts, parts[1:]))
+
+
+def test_sync_batches_are_dealt_out(spark, tmp_path, monkeypatch):
+    """The documents of one file are parsed by many tasks."""
+    feeds = spark.createDataFrame([(1, "A", "ua", True, None, None)], TABLES["feeds"])
+    folder, out, seen = str(tmp_path / "in"), str(tmp_path / "out"), []
+    payload(spark, folder, [(n, "ua", RSS.format(items=item(f"a{n % 50}"))) for n in range(100)])
+    plain = streams.incoming_items
+
+    def counted(fetched, *rest):
+        seen.append(fetched.select(F.spark_partition_id()).distinct().count())
+        return plain(fetched, *rest)
+
+    monkeypatch.setattr(streams, "incoming_items", counted)
+    arriving = spark.readStream.schema("payload_no bigint, url string, xml string").parquet(folder)
+    streams.sync_stream(arriving, feeds, out, str(tmp_path / "c"), AS_OF, 30).awaitTermination()
+    assert seen == [8]
+    assert sorted(r.guid for r in streams.stored_episodes(spark, out).collect()) == sorted(f"a{n}" for n in range(50))
