@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import time
 from datetime import datetime
 
 import pytest
@@ -214,3 +216,30 @@ def test_plain_documents_do_not_leave_the_jvm(spark):
     broken = "<a><b></a></b><c x='>' y=\"<\"/>&x;<!-- "
     assert names.resolved(broken) == broken
     assert names.resolved("<" * 5000 + "\"'" * 5000) == "<" * 5000 + "\"'" * 5000
+
+
+def test_documents_that_need_the_pass_are_found_fast(spark):
+    """The pattern that tells them looks at few characters twice; tried as a whole at every character, it cost more than all the rest of the parsing."""
+    any_of = lambda p: "(?:" + "|".join(re.escape(a) for a in names.NAMESPACES[p]) + ")"
+    plain = [r"&(?!(?:amp|lt|gt|quot|apos);)[a-z_][a-z0-9_.-]*;", r"<(?!rdf:)[a-z_][^\s<>:/]*:(?:feed|rdf|rss)[\s>]",
+             rf"""<(?!(?:feed|rss)[\s>])[a-z_][^<>]*\sxmlns\s*=\s*["']{any_of("atom")}["']"""]
+    for p in names.NAMESPACES:
+        plain.append(rf"""\sxmlns:{f"(?!{p}\\s*=)" if p else ""}[^\s=]+\s*=\s*["']{any_of(p)}["']""")
+        plain += [rf"""\sxmlns\s*=\s*["']{any_of(p)}["']"""] if p not in ("", "atom") else []
+    itunes, atom, dc = (names.NAMESPACES[p][0] for p in ("itunes", "atom", "dc"))
+    texts = [
+        "", "x", "&", "a &AMP; b", "a &nbsp b", "a &Nbsp; b", "&amp;&lt;", "<", "<a:feed>", "<rdf:RDF >", "<RDF:rdf>", "<A:RSS\n>", f"<rss xmlns:itunes='{itunes}'>",
+        f"<rss XMLNS:own = '{itunes.upper()}'>", f"<rss axmlns:own='{itunes}'>", f"<p xmlns='{dc}'>", f"<feed xmlns='{atom}'>", f"<p xmlns='{atom}'>", f"xmlns:a='{atom}'",
+        f"<feed\txmlns:atom='{atom}'>", "<rss xmlns:q='http://purl.org/rss/1.0/'>", f"<p a='1' xmlns=\"{atom}\">", "xxmlns xmlns", f" xxmlns:a='{dc}'", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "xml string")
+    found = rows.select("xml", names.needs_pass(F.col("xml")).alias("is"), F.rlike("xml", F.lit("(?i)" + "|".join(plain))).alias("plain")).collect()
+    assert [r["is"] for r in found] == [r.plain for r in found] and 8 <= sum(bool(r["is"]) for r in found) < len(texts) - 8
+
+    long = spark.range(8).select(F.repeat(F.lit("Some words of a long text without any markup. "), 50_000).alias("xml"))
+
+    def seconds(test):
+        start = time.perf_counter()
+        assert long.filter(test).count() == 0
+        return time.perf_counter() - start
+
+    assert min(seconds(names.needs_pass(F.col("xml"))) for _ in range(2)) < 0.5 * min(seconds(F.rlike("xml", F.lit("(?i)" + "|".join(plain)))) for _ in range(2))
