@@ -129,3 +129,23 @@ def test_shared_ids(spark):
     a, b = spark.range(5), spark.createDataFrame([(4,), (7,), (7,)], "id long")
     assert {(r.id, r.n) for r in state.shared_ids(a, b).collect()} == {(4, 2), (7, 2)}
     assert state.shared_ids(a).count() == 0
+
+
+def test_saved_summaries_are_numbered_without_their_texts(spark, monkeypatch):
+    """Only the order goes through the sort; a row without it is numbered first."""
+    names = [f.strip().split(" ")[0] for f in TABLES["summaries"].split(",")]
+    stored = spark.createDataFrame([(4, 1)], "id bigint, episode_id bigint").select(*[F.col(n) if n in ("id", "episode_id") else F.lit(None).cast("string").alias(n) for n in names])
+    texts = [n for n in names if n not in ("id", "episode_id", "created_at")]
+    batch = spark.createDataFrame([(7, 2, 1), (5, None, 2), (7, 1, 3), (5, 3, None)], "episode_id bigint, part bigint, seq bigint").select(
+        "*", *[F.lit(n).alias(n) for n in texts])
+    plain, sorted_ = state.with_new_ids, []
+
+    def recorded(df, *rest, **named):
+        sorted_.append(df.columns)
+        return plain(df, *rest, **named)
+
+    monkeypatch.setattr(state, "with_new_ids", recorded)
+    rows = state.save_summaries(stored, batch, "2024-01-01", ("episode_id", "part")).collect()
+    assert sorted_ == [["episode_id", "part"]]
+    assert sorted((r.id, r.episode_id) for r in rows) == [(5, 5), (6, 5), (7, 7), (8, 7)]
+    assert all(r[n] == n for r in rows for n in texts)
