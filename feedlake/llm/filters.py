@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Size of a map: 2 MB, whatever the data.
@@ -26,3 +27,16 @@ def digest_filter(digests: DataFrame, digest: str) -> np.ndarray:
 def passes(bits: np.ndarray, digests: np.ndarray) -> np.ndarray:
     bit = digests % FILTER_BITS
     return (bits[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 > 0
+
+
+def filter_row(digests: DataFrame, digest: str, name: str) -> DataFrame:
+    """The map as one row with the array ``name``, of the same fixed size: for a join that asks it with ``may_hold``."""
+    words = digest_filter(digests, digest).view(np.int32)
+    array = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(words))
+    return F.broadcast(digests.sparkSession.createDataFrame(pa.table({name: array})))
+
+
+def may_hold(words: Column, digest: Column) -> Column:
+    """``passes`` as an expression."""
+    bit = F.pmod(digest, F.lit(FILTER_BITS))
+    return F.getbit(F.get(words, F.floor(bit / 32).cast("int")), F.pmod(bit, F.lit(32)).cast("int")) == 1

@@ -11,8 +11,8 @@ Candidates first meet as sketches, one byte for each fragment: the segments of a
 each holds at least one n-gram that is not shared, a pair with too many of them is dropped before any text is dealt out. What is left is
 verified by vertical partial counts: in each of ``SLICES`` slices of the order the overlap is counted on its own, and the counts are summed per pair. Copies (equal sets) are one class. In a group of equal segments each class is first compared with one
 hub, so that a group of near copies costs about one pair per member. Then only classes that are still in different components are
-compared: small groups give their pairs; the members of large ones go, block by block, to tasks that compare all their sketches and keep those with
-a likely partner; the texts of these go to tasks that sum the overlaps of all their pairs slice by slice as a matrix and give only the links. No pair that could link two components is left untested.
+compared: small groups give their pairs; the members of large ones go, by the smallest class of the group and block by block, to tasks that compare all their
+sketches and keep those with a likely partner; the texts of these go to tasks that sum the overlaps of all their pairs slice by slice as a matrix and give only the links. No pair that could link two components is left untested.
 
 Rows with an empty set (null or empty text) link with nothing and are a component of their own. A component's id is its smallest document
 id; null ids are passed over, and null only if there is no other. Repeated rows are copies. An empty table gives an empty result.
@@ -212,18 +212,23 @@ def _close(n: str, m: str, percent: int):
     return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
 
 
-def candidate_texts(classes: DataFrame, sets: DataFrame, docs: DataFrame, gram: int, text: str, key: str) -> DataFrame:
-    """(cls, _text): a text of each class that may take part in a pair, written once. Only texts that pass the filter are dealt out."""
-    one = sets.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("at").alias("at")).join(classes.distinct(), "cls", "left_semi")
-    holders = materialize(one.select("cls", "at", F.xxhash64("at").alias("h")))
-    bits = docs.sparkSession.sparkContext.broadcast(digest_filter(holders, "h"))
+def _passing(rows: DataFrame, wanted: DataFrame, digest: str) -> DataFrame:
+    """The rows but for those whose digest, their first column, is surely not among the wanted ones."""
+    bits = rows.sparkSession.sparkContext.broadcast(digest_filter(wanted, digest))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(passes(bits.value, batch.column(2).to_numpy())))
+            yield batch.filter(pa.array(passes(bits.value, batch.column(0).to_numpy())))
+
+    return rows.mapInArrow(choose, rows.schema)
+
 
-    rows = docs.select(content_key(key, text_of(text)).alias("at"), text_of(text).alias("_text")).withColumn("h", F.xxhash64("at"))
-    chosen = rows.mapInArrow(choose, "at string, _text string, h long").select("at", "_text")
+def candidate_texts(classes: DataFrame, sets: DataFrame, docs: DataFrame, gram: int, text: str, key: str) -> DataFrame:
+    """(cls, _text): a text of each class that may take part in a pair, written once. Only texts that pass the filter are dealt out."""
+    one = sets.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("at").alias("at")).join(classes.distinct(), "cls", "left_semi")
+    holders = materialize(one.select("cls", "at", F.xxhash64("at").alias("h")))
+    rows = docs.select(F.xxhash64(content_key(key, text_of(text))).alias("h"), content_key(key, text_of(text)).alias("at"), text_of(text).alias("_text"))
+    chosen = _passing(rows, holders, "h").select("at", "_text")
     # A row that repeats gives its text twice, which does no harm.
     return materialize(chosen.join(holders.select("cls", "at"), "at").select("cls", "_text"))
 
@@ -284,7 +289,8 @@ def verify(pairs: DataFrame, texts: DataFrame, gram: int, percent: int) -> DataF
     placed = pairs.select("a", "b").join(shares, "a").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int"))
     uses = placed.select("a", "share", F.col("b").alias("cls")).unionByName(placed.select("a", "share", F.col("a").alias("cls")).distinct())
     part = F.pmod(F.xxhash64("a", "share"), F.lit(parts)).cast("int")
-    rows = uses.join(texts, "cls").select(part.alias("part"), "a", "share", "cls", "_text")
+    # Few of the texts are in a pair that got so far; the others are not dealt out.
+    rows = uses.join(_passing(texts.select("cls", "_text"), uses, "cls"), "cls").select(part.alias("part"), "a", "share", "cls", "_text")
     borders = np.arange(1, SLICES, dtype=np.uint64) * U64((1 << 64) // SLICES)
 
     def count(table: pa.Table) -> pa.Table:
@@ -331,40 +337,53 @@ def _pairs(found: DataFrame, tested: DataFrame | None, percent: int) -> DataFram
     return materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
 
 
-def _sift(placed: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The classes of each pair of blocks that have a likely partner of another component there."""
+def _placed(members: DataFrame) -> DataFrame:
+    """The members (family, cls, component, n) in every pair of blocks ``i``, ``j`` of their family that their ``own`` block is in."""
+    sizes = members.groupBy("family").agg(F.count("*").alias("m"), F.sum("n").alias("grams"))
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK_CLASSES, F.col("grams") / BLOCK_GRAMS)).cast("int")
+    placed = members.join(sizes.select("family", blocks.alias("blocks")), "family").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    placed = placed.select("family", "cls", "component", "n", "own", other)
+    return placed.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "component", "n")
+
+
+def _sift(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(a, b) that join the classes of a family that have a likely partner of another component to their partners: one row per class and pair of blocks."""
 
     def compare(table: pa.Table) -> pa.Table:
         cls, component, n = (table.column(c).to_numpy() for c in ("cls", "component", "n"))
         layout, sketch = table.column("layout").to_numpy(), table.column("sketch").to_pylist()
         own = np.array([int(x).bit_length() - 1 for x in n.tolist()])
-        kept = set()
+        joined = np.unique(cls, return_inverse=True)[1]
+        first = joined.copy()
         for c in np.unique(layout).tolist():
             at = np.flatnonzero(layout == c)
             bytes_ = np.frombuffer(b"".join(sketch[i] for i in at.tolist()), np.uint8).reshape(len(at), -1)
             for k in range(len(at)):
                 differ = (bytes_ != bytes_[k]).sum(1)
                 near = (differ * (100 + percent) <= (n[at] + n[at[k]]) * (100 - percent)) & (component[at] != component[at[k]])
-                if (near & (np.maximum(own[at], own[at[k]]) == c)).any():
-                    kept.add(int(cls[at[k]]))
-        chosen = np.array([i for i, x in enumerate(cls.tolist()) if x in kept], np.int64)
-        return table.take(pa.array(chosen)).select(["family", "i", "j", "own", "cls", "component"])
+                near &= np.maximum(own[at], own[at[k]]) == c
+                if near.any():
+                    met = np.unique(np.append(joined[at[near]], joined[at[k]]))
+                    joined[np.isin(joined, met)] = met[0]
+        order = np.unique(cls)
+        moved = joined != first
+        return pa.table({"a": order[joined[moved]], "b": cls[moved]})
 
-    schema = "family long, i int, j int, own int, cls long, component long"
-    return materialize(placed.join(sketches, "cls").groupBy("family", "i", "j").applyInArrow(compare, schema).distinct())
+    return materialize(_placed(members).join(sketches, "cls").groupBy("family", "i", "j").applyInArrow(compare, "a long, b long").distinct())
 
 
-def _block_links(members: DataFrame, texts: DataFrame, sketches: DataFrame, gram: int, percent: int) -> DataFrame:
-    """Links (a, b) between classes of one family and of different components; ``members`` is (family, cls, component, n).
+def _block_links(members: DataFrame, texts: DataFrame, sketches: DataFrame, gram: int, percent: int) -> DataFrame | None:
+    """Links (a, b) between classes of one family and of different components; ``members`` is (family, cls, component, n). None if no pair is likely.
 
-    The sketch of each class is sent to the tasks of all pairs of blocks that its own block is in, its text to those where it has a likely partner.
+    The sketch of each class is sent to the tasks of all pairs of blocks that its own block is in. Classes that likely pairs join are a family of
+    their own, so that a text is sent for one family only, in however many the class was before.
     """
-    sizes = members.groupBy("family").agg(F.count("*").alias("m"), F.sum("n").alias("grams"))
-    blocks = F.ceil(F.greatest(F.col("m") / BLOCK_CLASSES, F.col("grams") / BLOCK_GRAMS)).cast("int")
-    placed = members.join(sizes.select("family", blocks.alias("blocks")), "family").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    placed = placed.select("family", "cls", "component", "n", "own", other)
-    placed = placed.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "component", "n")
+    likely = _sift(members, sketches, percent)
+    if likely.isEmpty():
+        return None
+    family = components(likely).withColumnRenamed("component", "family")
+    kept = materialize(members.select("cls", "component", "n").distinct().join(family, "cls").select("family", "cls", "component", "n"))
 
     def compare(table: pa.Table) -> pa.Table:
         cls, component, own = (table.column(c).to_numpy() for c in ("cls", "component", "own"))
@@ -391,7 +410,8 @@ def _block_links(members: DataFrame, texts: DataFrame, sketches: DataFrame, gram
         kept = (cls[x] < cls[y]) & (component[x] != component[y]) & ((own[x] != own[y]) | (own[x] == last) & (table.column("i")[0].as_py() == last))
         return pa.table({"a": cls[x[kept]], "b": cls[y[kept]]})
 
-    return _sift(placed, sketches, percent).join(texts, "cls").groupBy("family", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    placed = _placed(kept).join(_passing(texts.select("cls", "_text"), kept, "cls"), "cls")
+    return placed.groupBy("family", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def link_documents(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -423,14 +443,17 @@ def link_documents(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, te
         hub = hub.filter("low < high").select("sig", "low", F.col("hub.cls").alias("h"), F.col("hub.n").alias("hn"))
         take(_pairs(known.join(hub, "sig").filter(F.col("component") != F.col("low")), tested, percent))
     known = labelled()
-    split = known.groupBy("sig").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("cls").alias("first"))
-    split = materialize(known.join(split.filter("low < high").select("sig", "m", "first"), "sig"))
+    # A large group's family is its smallest class, whose groups have most classes in common. Groups are not joined by all classes they share: chains of
+    # groups grow much faster than the input, and only members of one group can be a pair.
+    split = known.groupBy("sig").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("cls").alias("family"))
+    split = materialize(known.join(split.filter("low < high").select("sig", "m", "family"), "sig"))
     small, large = split.filter(F.col("m") <= LARGE), split.filter(F.col("m") > LARGE)
     if not large.isEmpty():
-        family = components(large.select(F.col("first").alias("a"), F.col("cls").alias("b")).distinct()).withColumnRenamed("component", "family")
-        members = materialize(large.select("cls", "component", "n").distinct().join(family, "cls"))
-        linked = materialize(_block_links(members, texts, sketches, gram, percent))
-        links = linked if links is None else links.union(linked)
+        members = materialize(large.select("family", "cls", "component", "n").distinct())
+        likely = _block_links(members, texts, sketches, gram, percent)
+        if likely is not None:
+            linked = materialize(likely)
+            links = linked if links is None else links.union(linked)
     mine = small.select("sig", F.col("cls").alias("h"), F.col("n").alias("hn"), F.col("component").alias("hc"))
     take(_pairs(small.join(mine, "sig").filter(F.col("hc") < F.col("component")), tested, percent))
     if links is not None:

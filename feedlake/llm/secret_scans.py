@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.basic import let
 from ..storage import materialize
 from .common import content_key, numbered, text_of, whole_rows
+from .filters import filter_row, may_hold
 
 # The base patterns, the group that holds the value, and the least length of the value, in the order of the kinds.
 BASE = [
@@ -176,11 +177,19 @@ def joined_spans(spans: Column) -> Column:
 
 
 def mask_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", mask: str = MASK) -> DataFrame:
-    """The documents with every span replaced by ``mask`` (spans that overlap are replaced together); ``n_chars`` follows the text."""
+    """The documents with every span replaced by ``mask`` (spans that overlap are replaced together); ``n_chars`` follows the text.
+
+    Documents without a span stay where they are: a map of fixed size tells them, and only the others meet their spans.
+    """
     at = content_key(key, text_of(text)).alias("_at")
     found = scan_secrets(docs.select(at, text), text, key="_at").filter(F.size("spans") > 0)
-    found = found.groupBy("_at").agg(F.min("spans").alias("spans"))  # copies of a row have the same spans
-    rows = whole_rows(docs, text_of(text).alias("_text"), at).join(found, "_at", "left")
+    # Copies of a row have the same spans.
+    found = materialize(found.groupBy("_at").agg(F.min("spans").alias("spans")).withColumn("_h", F.xxhash64("_at")))
+    rows = whole_rows(docs, text_of(text).alias("_text"), at).withColumn("_h", F.xxhash64("_at"))
+    asked = may_hold(F.col("_words"), F.col("_h"))
+    words = filter_row(found, "_h", "_words")
+    clean = rows.join(words, ~asked).select("row.*")
+    rows = rows.join(words, asked).drop("_words", "_h").join(found.drop("_h"), "_at", "left")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("upto"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -193,4 +202,4 @@ def mask_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", mask:
     changed = F.col("row").withField(text, masked)
     if "n_chars" in docs.columns:
         changed = changed.withField("n_chars", F.length(masked).cast(docs.schema["n_chars"].dataType))
-    return rows.select(F.when(F.col("spans").isNull(), F.col("row")).otherwise(changed).alias("row")).select("row.*")
+    return clean.unionByName(rows.select(F.when(F.col("spans").isNull(), F.col("row")).otherwise(changed).alias("row")).select("row.*"))
